@@ -51,7 +51,10 @@ def _kept():
 
 def item_windows(items: DataFrame) -> DataFrame:
     """(hash, off, len, words, items): each distinct window of items, its kept gram and the items that have it."""
-    base = _with_grams(items.select(F.col("item_id").cast("string").alias("item"), "text")).withColumn("p", _kept())
+    from .common import stored
+
+    base = _with_grams(items.select(F.col("item_id").cast("string").alias("item"), "text")).withColumn("p", _kept()).drop("text")
+    base = stored(base)  # else filters on n repeat all of its expressions
     long = base.where(F.col("n") >= WINDOW).select("item", "h", "g", F.posexplode("p").alias("i", "p"))
     long = long.select("item", _at(F.col("g"), F.col("p")).alias("hash"), (F.col("p") - F.col("i")).alias("off"), F.lit(WINDOW).alias("len"), F.slice("h", F.col("i") + 1, WINDOW).alias("words"))
     short = base.where((F.col("n") >= 1) & (F.col("n") < WINDOW))

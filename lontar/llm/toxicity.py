@@ -19,9 +19,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,15 +113,15 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     spark = docs.sparkSession
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def prepare(it):
-        for p in it:
-            f = [fold(x or "") for x in p["text"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "folded": f, "sig": [_signature(x.split()) for x in f]})
+    def prepare(batches):
+        for b in batches:
+            f = [fold(x or "") for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(f, pa.string()), pa.array([_signature(x.split()) for x in f], pa.int64())], ["doc_id", "y", "folded", "sig"])
 
     from .common import stored
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample(docs, labels, most, "toxic").mapInPandas(prepare, f"doc_id {kind}, y int, folded string, sig long")
+    rows = sample(docs, labels, most, "toxic").select("doc_id", "y", "text").mapInArrow(prepare, f"doc_id {kind}, y int, folded string, sig long")
     rows = stored(rows.repartition(tasks, "sig"))
     one = rows.groupBy("sig", "y").agg(F.min_by("folded", "doc_id").alias("folded"))
     n = {r.y: r.n for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,10 +129,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     if not n_pos or not n_neg:
         terms, gone = {f" {w} ": 4.0 for w in DEFAULT}, {}
     else:
-        def count(it):
+        def count(batches):
             pos, neg = Counter(), Counter()
-            for p in it:
-                for y, x in zip(p["y"], p["folded"]):
+            for b in batches:
+                for y, x in zip(b.column("y").to_pylist(), b.column("folded").to_pylist()):
                     (pos if y else neg).update(_begins(set(x.split())))
                 if len(pos) + len(neg) > 400_000:
                     yield out(pos, neg)
@@ -139,9 +141,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
 
         def out(pos, neg):
             t = list(pos.keys() | neg.keys())
-            return pd.DataFrame({"t": t, "pos": [pos[x] for x in t], "neg": [neg[x] for x in t]})
+            return pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array([pos[x] for x in t], pa.int64()), pa.array([neg[x] for x in t], pa.int64())], ["t", "pos", "neg"])
 
-        f = one.mapInPandas(count, "t string, pos long, neg long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        f = one.mapInArrow(count, "t string, pos long, neg long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         f = f.where((F.col("pos") >= LEAST_TOXIC) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
         f = f.orderBy(F.desc("pos"), "t").limit(MOST_TERMS).toPandas()
         w = np.log((f.pos + 0.5) / (n_pos + 1)) - np.log((f.neg + 0.5) / (n_neg + 1))
@@ -154,24 +156,25 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     gone = {f" {e} ": f" {e.split()[0]} " for e in DEFAULT_EXCEPTIONS if f" {e.split()[0]} " in terms} | gone
     model = {"terms": terms, "exceptions": gone}
 
-    def measure(it):
+    def measure(batches):
         a = automaton(terms, gone)
-        for p in it:
-            v = [features(*weigh(a, x), x.count(" ") - 1) for x in p["folded"]]
-            yield pd.DataFrame(v, columns=["a", "b", "c"]).assign(y=p["y"].to_numpy())
+        for b in batches:
+            v = [features(*weigh(a, x), x.count(" ") - 1) for x in b.column("folded").to_pylist()]
+            v = np.array(v, float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[:, i])) for i in range(3)] + [b.column("y")], ["a", "b", "c", "y"])
 
-    x = rows.mapInPandas(measure, "a double, b double, c double, y int").toPandas()  # at most `most` rows of four numbers
+    x = rows.mapInArrow(measure, "a double, b double, c double, y int").toPandas()  # at most `most` rows of four numbers
     model["curve"] = logistic(x[["a", "b", "c"]].to_numpy(), x["y"].to_numpy())
     return model
 
 
 def exceptions(one: DataFrame, terms: dict[str, float]) -> dict[str, str]:
     """Phrases and longer words that hold an entry yet stand in clean rows: phrase -> the entry it takes back."""
-    def near(it):
+    def near(batches):
         a = automaton(terms, {})
         pos, neg = Counter(), Counter()
-        for p in it:
-            for y, x in zip(p["y"], p["folded"]):
+        for b in batches:
+            for y, x in zip(b.column("y").to_pylist(), b.column("folded").to_pylist()):
                 seen = set()
                 for end, (n, _, _) in a.iter(x) if len(a) else ():
                     at = end - n + 1
@@ -183,9 +186,10 @@ def exceptions(one: DataFrame, terms: dict[str, float]) -> dict[str, str]:
                         seen.add((x[at : nxt + 1], x[at : end + 1]))
                 (pos if y else neg).update(seen)
         t = list(pos.keys() | neg.keys())
-        yield pd.DataFrame({"phrase": [x[0] for x in t], "term": [x[1] for x in t], "pos": [pos[x] for x in t], "neg": [neg[x] for x in t]})
+        cells = [[x[0] for x in t], [x[1] for x in t]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells] + [pa.array([c[x] for x in t], pa.int64()) for c in (pos, neg)], ["phrase", "term", "pos", "neg"])
 
-    f = one.mapInPandas(near, "phrase string, term string, pos long, neg long").groupBy("phrase", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    f = one.mapInArrow(near, "phrase string, term string, pos long, neg long").groupBy("phrase", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     f = f.where("neg >= 3 AND pos = 0").orderBy(F.desc("neg"), "phrase", "term").limit(MOST_TERMS).toPandas()
     return dict(zip(f.phrase, f.term))
 
@@ -209,8 +213,7 @@ def score(docs: DataFrame, model: dict, text: str = "text"):
     terms, gone, curve = model["terms"], model["exceptions"], model["curve"]
     cast = docs.sparkSession.sparkContext.broadcast((terms, gone))  # at most 2 * MOST_TERMS entries
 
-    @F.pandas_udf("double")
-    def of(it: "pd.Iterator[pd.Series]") -> "pd.Iterator[pd.Series]":
+    def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = automaton(*cast.value)
         for s in it:
             out = []
@@ -221,10 +224,8 @@ def score(docs: DataFrame, model: dict, text: str = "text"):
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pd.Series(out, dtype="float64")
 
-    from collections.abc import Iterator
-
-    of.func.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return of(F.col(text))
+    of.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(of, "double")(F.col(text))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
