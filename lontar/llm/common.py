@@ -49,14 +49,30 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that are not read again, and lets Spark drop the shuffles of what is no longer used."""
+    import gc
+
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            delete(t.sparkSession, path)
+    spark = tables[0].sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is neither null nor repeated."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
 def row_keys(docs: DataFrame, *carry: str) -> DataFrame:
     """(_key long, carry...): _key orders rows by doc_id, null first.
 
     Where doc_ids are unique and not null, _key is doc_id. Else rows are ordered by (doc_id, hash of the text)
     and fully equal rows share a key: they are one document and get the same outcome.
     """
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
-    if ids.isEmpty():
+    if unique_ids(docs):
         return docs.select(F.col("doc_id").cast("long").alias("_key"), *carry)
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     keys = docs.select("doc_id", th.alias("_th")).distinct().orderBy(F.col("doc_id").asc_nulls_first(), "_th")

@@ -7,12 +7,12 @@ doc_id, or same document and earlier start). Words are runs of bytes other than
    words holds an anchor, at the same place wherever the window stands. Anchors that occur once in the corpus cannot
    be part of a repeat; they are dropped by an exact count.
 2. Segments: around each other anchor the 12 words before it and the 19 after its start hold all its windows. Equal
-   segments are one; it keeps its first place. Shards take all segments of an anchor, so a shard holds all
-   occurrences of its windows, and shards grow in number, not in size, with the corpus.
+   segments are one, with its first place; only that one is cut from its text. Shards take all segments of an
+   anchor, so a shard holds all texts of its windows, and shards grow in number, not in size, with the corpus.
 3. Each shard gets a compressed FM-index: a suffix array of its segments by prefix doubling, its Burrows-Wheeler
    transform in a wavelet matrix of packed bits with rank blocks. Backward search runs all windows at once; the
    matching statistic of a window that reaches 20 words is an interval of the suffix array with all its occurrences,
-   whose least place says which windows start earlier elsewhere.
+   whose least place says which windows start earlier elsewhere. A window alone in its interval leaves the search.
 4. Each segment's intervals return to the documents; a document drops the words that they cover.
 
 Null text has no words. Where rows share a doc_id they are ordered by their text's hash; fully equal rows are one
@@ -24,17 +24,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import release, row_keys, stored, unique_ids
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 BEFORE, WIDE = SPAN - 1, SPAN - 1 + WINDOW  # a segment's words before its anchor, and all
 #: Segments of one index; a shard with more gets several, each with whole anchors.
-INDEXED = 16_384
+INDEXED = 4_096
 U = np.uint64
 
 
@@ -69,10 +71,10 @@ class FMIndex:
         self.symbols, flat = np.unique(rows, return_inverse=True)
         text = np.concatenate([np.column_stack([flat.reshape(n, w).astype(np.int64) + 1, np.zeros(n, np.int64)]).ravel()])
         rank, size = text.copy(), 1
-        while size <= w:  # prefix doubling: rank orders suffixes by their first `size` words
+        while size < w:  # prefix doubling: rank orders suffixes by their first `size` words
             key = rank * (len(text) + 1)
             key[:-size] += rank[size:] + 1
-            self.sa = np.argsort(key, kind="stable")
+            self.sa = np.argsort(key)
             k = key[self.sa]
             new = np.zeros(len(k), np.int64)
             new[1:] = k[1:] != k[:-1]
@@ -80,54 +82,58 @@ class FMIndex:
             size *= 2
         bwt = text[self.sa - 1]
         self.tree = Wavelet(bwt, int(text.max(initial=1)))
-        self.start = {}
         self.flat, self.width = text, w + 1
         top = int(text.max(initial=1)) + 1
         count = np.bincount(text, minlength=top + 1)
         self.less = np.concatenate([[0], np.cumsum(count)])[: top + 1]  # suffixes that begin with a smaller symbol
         self.zero = self.tree.rank(np.arange(top), np.zeros(top, np.int64))
 
-    def intervals(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array intervals of the `length` symbols from each place of the text, by backward search."""
+    def intervals(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, lo, hi): suffix array intervals of the `length` symbols from places `at`, by backward search.
+
+        Only those with two occurrences or more: an interval of one is the place itself.
+        """
+        live = np.arange(len(at))
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.flat), np.int64)
         for j in reversed(range(length)):
             c = self.flat[at + j]
-            lo = self.less[c] + self.tree.rank(c, lo) - self.zero[c]
-            hi = self.less[c] + self.tree.rank(c, hi) - self.zero[c]
-        return lo, hi
-
+            less = self.less[c] - self.zero[c]
+            lo, hi = less + self.tree.rank(c, lo), less + self.tree.rank(c, hi)
+            more = np.flatnonzero(hi - lo > 1)
+            if len(more) < len(live):
+                live, at, lo, hi = live[more], at[more], lo[more], hi[more]
+        return live, lo, hi
 
-def earliest(rows: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct segments with first places (key, pos): key and start of each window's earliest occurrence.
 
-    A row for each segment, a column for each of its SPAN windows; the start is relative to the document, and -1
-    where the segment has no such window.
-    """
+def earliest(rows: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct segments with first places (key, pos): (segment, window, key, start) of the earliest occurrence of
+    each window that some other segment or place has too, where it differs from the segment's own."""
     n, w = rows.shape
     span = w - WINDOW + 1
     full = np.ones((n, span), bool)
     gaps = np.flatnonzero((rows == 0).any(1))
-    for s in gaps:
-        full[s] = np.lib.stride_tricks.sliding_window_view(rows[s] != 0, WINDOW).all(1)
-    index = FMIndex(rows)
+    if len(gaps):
+        full[gaps] = np.lib.stride_tricks.sliding_window_view(rows[gaps] != 0, WINDOW, axis=1).all(2)
     seg, off = np.nonzero(full)
-    out_k, out_p = np.zeros((n, span), np.int64), np.full((n, span), -1, np.int64)
+    none = np.zeros(0, np.int64)
     if not len(seg):
-        return out_k, out_p
-    at = seg * index.width + off
-    lo, hi = index.intervals(at, WINDOW)
+        return none, none, none, none
+    index = FMIndex(rows)
+    which, lo, hi = index.intervals(seg * index.width + off, WINDOW)
+    if not len(which):
+        return none, none, none, none
+    seg, off = seg[which], off[which]
     # order of places: by key, then by start
     uk, ki = np.unique(key, return_inverse=True)
-    where = index.sa
-    s, o = where // index.width, where % index.width
+    s, o = index.sa // index.width, index.sa % index.width
     place = ki[s] * (1 << 33) + (pos[s] + o)
     cut, inv = np.unique(lo, return_inverse=True)  # intervals of one length are equal or disjoint
     end = np.zeros(len(cut), np.int64)
     end[inv] = hi
-    edges = np.column_stack([cut, end]).ravel()
-    low = np.minimum.reduceat(np.append(place, np.iinfo(np.int64).max), edges)[::2][inv]
-    out_k[seg, off], out_p[seg, off] = uk[low >> 33], low & ((1 << 33) - 1)
-    return out_k, out_p
+    low = np.minimum.reduceat(np.append(place, np.iinfo(np.int64).max), np.column_stack([cut, end]).ravel())[::2][inv]
+    k, p = uk[low >> 33], low & ((1 << 33) - 1)
+    new = (k != key[seg]) | (p != pos[seg] + off)
+    return seg[new], off[new], k[new], p[new]
 
 
 def _places(raw, offs):
@@ -139,16 +145,27 @@ def _places(raw, offs):
 
 
 def anchor_rows(keyed: DataFrame) -> DataFrame:
-    """(h, key, pos): each document's anchors."""
+    """(h, sh, key, pos): each document's anchors: hashes of the anchor and of its segment, place of the segment."""
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy()
             for lo, hi, raw, offs in K.chunks(b.column(1)):
                 h, _, _, first, g, at = _places(raw, offs)
                 doc = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(keys[lo:hi][doc]), pa.array((at - first[doc]).astype(np.int32))], ["h", "key", "pos"])
+                seg = _segments(h, first[doc], first[doc + 1], at)
+                sh = np.zeros(len(at), U)
+                for j in range(WIDE):
+                    sh = sh * U(0xF1357AEA2E62A9C5) + seg[:, j]
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(K.mix(sh).view(np.int64)), pa.array(keys[lo:hi][doc]), pa.array((at - first[doc] - BEFORE).astype(np.int32))], ["h", "sh", "key", "pos"])
+
+    return keyed.mapInArrow(run, "h long, sh long, key long, pos int")
 
-    return keyed.mapInArrow(run, "h long, key long, pos int")
+
+def _segments(h, first, last, at):
+    """A row of word hashes for each anchor at `at` of a text with words first:last; 0 beyond its ends."""
+    idx = at[:, None] + np.arange(-BEFORE, WINDOW)
+    inside = (idx >= first[:, None]) & (idx < last[:, None])
+    return np.where(inside, h[np.clip(idx, 0, max(0, len(h) - 1))] | U(1), U(0)) if len(h) else np.zeros((0, WIDE), U)
 
 
 def _cover(starts: np.ndarray, n: int) -> np.ndarray:
@@ -160,53 +177,51 @@ def _cover(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """(key, starts): starts of the windows whose words also start earlier, of documents with any. keyed: _key, text."""
-    spark = keyed.sparkSession
-    a = anchor_rows(keyed)
+    """(key, marks) of documents with windows whose words also start earlier. keyed: _key, text.
+
+    A mark is pos << 16 | bits: bit o stands for the window from pos + o, if the document has that window.
+    """
+    a = stored(anchor_rows(keyed))
     twice = a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = a.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_list("pos").alias("pos"))
+    m = stored(a.join(twice, "h", "left_semi"))
+    release(a)
+    classes = m.groupBy("h", "sh").agg(F.min("key").alias("ckey"), F.min_by("pos", F.struct("key", "pos")).alias("cpos"))
 
     def cut(batches):
         for b in batches:
-            keys = b.column(0).to_numpy()
-            marks = b.column(2).to_pylist()
+            if not b.num_rows:
+                continue
+            keys, marks = b.column(0).to_numpy(), b.column(2).to_pylist()
             for lo, hi, raw, offs in K.chunks(b.column(1)):
-                h, _, _, first, g, _ = _places(raw, offs)
+                h, _, _, first = K.words(raw, offs)
                 doc = np.repeat(np.arange(lo, hi), [len(marks[i]) for i in range(lo, hi)])
-                p = np.concatenate([np.asarray(marks[i], np.int64) for i in range(lo, hi)])
+                rows = [x for i in range(lo, hi) for x in marks[i]]
+                p = np.array([x["cpos"] for x in rows], np.int64)
                 f, e = first[doc - lo], first[doc - lo + 1]
-                idx = (f + p)[:, None] + np.arange(-BEFORE, WINDOW)
-                inside = (idx >= f[:, None]) & (idx < e[:, None])
-                seg = np.where(inside, (h[np.clip(idx, 0, len(h) - 1)] | U(1)), U(0))
-                sh = seg[:, 0].copy()
-                for j in range(1, WIDE):
-                    sh = sh * U(0xF1357AEA2E62A9C5) + seg[:, j]
-                sh = K.mix(sh)
+                seg = _segments(h, f, e, f + p + BEFORE)
                 small = (seg >> U(32)).astype(np.uint32) | (seg > 0).astype(np.uint32)
-                blob = small.tobytes()
-                cells = [blob[i : i + 4 * WIDE] for i in range(0, len(blob), 4 * WIDE)]
-                yield pa.RecordBatch.from_arrays([pa.array(g[f + p].view(np.int64)), pa.array(sh.view(np.int64)), pa.array(keys[doc]), pa.array((p - BEFORE).astype(np.int32)), pa.array(cells, pa.binary())], ["h", "sh", "key", "pos", "seg"])
-
-    texts = keyed.join(places.withColumnRenamed("key", "_key"), "_key")
-    m = texts.select("_key", "text", "pos").mapInArrow(cut, "h long, sh long, key long, pos int, seg binary")
-    from .common import stored
+                ends = pa.py_buffer(np.arange(0, small.nbytes + 1, 4 * WIDE, dtype=np.int32).tobytes())
+                cells = pa.Array.from_buffers(pa.binary(), len(small), [None, ends, pa.py_buffer(small.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in rows], pa.int64()), pa.array([x["sh"] for x in rows], pa.int64()), pa.array(keys[doc]), pa.array(p.astype(np.int32)), cells], ["h", "sh", "ckey", "cpos", "seg"])
 
-    m = stored(m)
-    seg = m.groupBy("h", "sh").agg(F.min("key").alias("key"), F.min_by("pos", F.struct("key", "pos")).alias("pos"), F.first("seg").alias("seg"))
+    at = classes.groupBy("ckey").agg(F.collect_list(F.struct("h", "sh", "cpos")).alias("at"))
+    seg = keyed.join(at.withColumnRenamed("ckey", "_key"), "_key").select("_key", "text", "at").mapInArrow(cut, "h long, sh long, ckey long, cpos int, seg binary")
     seg = seg.repartition("h").sortWithinPartitions("h")
 
+    def flush(t):
+        rows = np.frombuffer(b"".join(t.column("seg").to_pylist()), np.uint32).reshape(-1, WIDE)
+        ck, cp = t.column("ckey").to_numpy(), t.column("cpos").to_numpy().astype(np.int64)
+        s, o, k, p = earliest(rows, ck, cp)
+        order = np.argsort(s, kind="stable")
+        cells = pa.array(np.column_stack([o, k, p])[order].reshape(-1), pa.int64())
+        ends = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum(3 * np.bincount(s, minlength=len(rows)), out=ends[1:])
+        over = pa.ListArray.from_arrays(pa.array(ends), cells)
+        return pa.RecordBatch.from_arrays([t.column("sh").combine_chunks(), t.column("ckey").combine_chunks(), t.column("cpos").combine_chunks(), over], ["sh", "ckey", "cpos", "over"])
+
     def search(batches):
         """Whole anchors are gathered until an index is full."""
         held, n = [], 0
-
-        def flush(t):
-            rows = np.frombuffer(b"".join(t.column("seg").to_pylist()), np.uint32).reshape(-1, WIDE)
-            k, p = earliest(rows, t.column("key").to_numpy(), t.column("pos").to_numpy().astype(np.int64))
-            cells = pa.array(np.hstack([k, p]).reshape(-1), pa.int64())
-            width = 2 * (WIDE - WINDOW + 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cells) + 1, width, dtype=np.int32)), cells)
-            return pa.RecordBatch.from_arrays([t.column("sh").combine_chunks(), lists], ["sh", "first"])
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -223,67 +238,75 @@ def repeats(keyed: DataFrame) -> DataFrame:
         if n:
             yield flush(pa.Table.from_batches(held))
 
-    found = seg.mapInArrow(search, "sh long, first array<long>")
-    span = WIDE - WINDOW + 1
+    found = seg.mapInArrow(search, "sh long, ckey long, cpos int, over array<long>")
 
     def judge(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, pos = b.column("key").to_numpy(), b.column("pos").to_numpy().astype(np.int64)
-            v = b.column("first").flatten().to_numpy().reshape(-1, 2 * span)
-            k, p = v[:, :span], v[:, span:]
-            own = pos[:, None] + np.arange(span)
-            i, o = np.nonzero((p >= 0) & ((k < key[:, None]) | ((k == key[:, None]) & (p < own))))
-            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(own[i, o].astype(np.int32))], ["key", "start"])
-
-    late = m.select("sh", "key", "pos").join(found, "sh").select("key", "pos", "first").mapInArrow(judge, "key long, start int")
-    return late.groupBy("key").agg(F.collect_set("start").alias("starts"))
-
-
-def kept_words(raw, offs, starts: list):
+            key, pos, ck, cp = (b.column(c).to_numpy().astype(np.int64) for c in ("key", "pos", "ckey", "cpos"))
+            late = (ck < key) | ((ck == key) & (cp < pos))
+            bits = np.where(late, (1 << (WIDE - WINDOW + 1)) - 1, 0)
+            lists = b.column("over")
+            v = lists.flatten().to_numpy().reshape(-1, 3)
+            n = np.diff(lists.offsets.to_numpy()) // 3
+            i = np.repeat(np.arange(len(key)), n)
+            o, k, p = v[:, 0], v[:, 1], v[:, 2]
+            then = (k < key[i]) | ((k == key[i]) & (p < pos[i] + o))
+            np.bitwise_and.at(bits, i[~then], ~(1 << o[~then]))
+            np.bitwise_or.at(bits, i[then], 1 << o[then])
+            some = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array((pos[some] << 16) | bits[some])], ["key", "mark"])
+
+    late = m.select("sh", "key", "pos").join(found, "sh").select("key", "pos", "ckey", "cpos", "over").mapInArrow(judge, "key long, mark long")
+    return late.groupBy("key").agg(F.collect_list("mark").alias("marks"))
+
+
+def starts_of(marks, n: int) -> np.ndarray:
+    """Starts of the windows that marks name in a text of n words."""
+    m = np.asarray(marks, np.int64)
+    i, o = np.nonzero(m[:, None] >> np.arange(WIDE - WINDOW + 1) & 1)
+    s = (m >> 16)[i] + o
+    return s[(s >= 0) & (s + WINDOW <= n)]
+
+
+def kept_words(raw, offs, marks: list):
     """For each text: (words, words removed, bytes of the kept words joined by one space)."""
     _, start, end, first = K.words(raw, offs)
     data = raw.tobytes()
     for i in range(len(offs) - 1):
         f, e = int(first[i]), int(first[i + 1])
         n = e - f
-        if starts[i] is None:
+        if marks[i] is None or not len(gone := starts_of(marks[i], n)):
             yield n, 0, b" ".join(data[offs[i] : offs[i + 1]].split())
             continue
-        keep = np.flatnonzero(~_cover(np.asarray(starts[i], np.int64), n)) + f
+        keep = np.flatnonzero(~_cover(gone, n)) + f
         yield n, n - len(keep), b" ".join([data[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist())])
 
 
-def _with_starts(whole: DataFrame) -> DataFrame:
+def _with_marks(whole: DataFrame, several: bool) -> DataFrame:
     keyed = whole.select("_key", "text")
-    r = repeats(keyed.distinct() if getattr(whole, "_several", False) else keyed)
+    r = repeats(keyed.distinct() if several else keyed)
     return whole.join(r.withColumnRenamed("key", "_key"), "_key", "left")
 
 
-def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
-    from .common import row_keys
-
-    whole = row_keys(docs, *carry)
-    several = not whole.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    whole._several = several  # fully equal rows are one document
-    return whole
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = _with_starts(_keyed(docs.select("doc_id", "text"), "doc_id", "text"))
+    if unique_ids(docs):
+        d = _with_marks(docs.select(F.col("doc_id").cast("long").alias("_key"), "text"), False).withColumn("doc_id", F.col("_key").cast(kind))
+    else:
+        d = _with_marks(row_keys(docs.select("doc_id", "text"), "doc_id", "text"), True)
 
     def run(batches):
         for b in batches:
-            starts = b.column("starts").to_pylist()
+            marks = b.column("marks").to_pylist()
             for lo, hi, raw, offs in K.chunks(b.column("text")):
-                r = list(kept_words(raw, offs, starts[lo:hi]))
+                r = list(kept_words(raw, offs, marks[lo:hi]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([x[0] for x in r], pa.int64()), pa.array([x[1] for x in r], pa.int64()),
                                                   pa.array([hashlib.sha256(x[2]).hexdigest() for x in r])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return d.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return d.select("doc_id", "text", "marks").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -291,21 +314,24 @@ def clean(docs: DataFrame) -> DataFrame:
 
     Rows whose words are all removed go; n_chars, where there is one, follows the text. Other rows stay as they are.
     """
-    whole = _keyed(docs.select("doc_id", "text", F.struct("*").alias("_row")), "text", "_row")
-    d = _with_starts(whole)
+    several = not unique_ids(docs)
+    whole = row_keys(docs.select("doc_id", "text", F.struct("*").alias("_row")), "text", "_row")
+    d = _with_marks(whole, several)
 
     @F.pandas_udf("string")
-    def shorter(text, starts):
-        import pandas as pd
-
-        t = pa.array(text, pa.string())
-        out = [x[2].decode() for lo, hi, raw, offs in K.chunks(t) for x in kept_words(raw, offs, list(starts[lo:hi]))]
+    def shorter(text: pd.Series, marks: pd.Series) -> pd.Series:
+        """The kept words, or null where none is removed."""
+        out = []
+        for lo, hi, raw, offs in K.chunks(pa.array(text, pa.string())):
+            out += [x[2].decode() if x[1] else None for x in kept_words(raw, offs, list(marks[lo:hi]))]
         return pd.Series(out, dtype=object)
 
-    same = d.where("starts IS NULL").select("_row.*")
-    cut = d.where("starts IS NOT NULL").select("_row", shorter(F.col("text"), F.col("starts")).alias("_t")).where("_t <> ''")
-    new = [F.col("_t").alias(c) if c == "text" else F.char_length("_t").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return same.unionByName(cut.select(*new))
+    d = d.withColumn("_t", F.when(F.col("marks").isNotNull(), shorter(F.col("text"), F.coalesce("marks", F.array().cast("array<bigint>")))))
+    d = d.where("_t IS NULL OR _t <> ''")
+    new = {"text": F.coalesce("_t", "_row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_t").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("_t").cast(docs.schema["n_chars"].dataType))
+    return d.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL of the rule; quadratic in nothing, but windows are lists of 20 words.
