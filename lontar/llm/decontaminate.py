@@ -74,10 +74,12 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     row = lambda hash, p, n, words: F.struct(hash.alias("hash"), p.alias("p"), n.alias("len"), words.alias("near"))
     found = F.transform(F.array_distinct(_kept()), lambda p: row(_at(F.col("g"), p), p, F.lit(WINDOW), near(p, SPAN - 1 + WINDOW)))
     parts = [F.array(row(F.lit(None).cast("bigint"), F.lit(-1), F.col("n"), F.array().cast("array<bigint>"))), found]
-    for k in lens:
-        whole = lambda p, k=k: F.slice(F.col("h"), p + 1, k)
-        places = F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda p, k=k, whole=whole: row(F.xxhash64(F.concat(F.array(F.lit(k).cast("bigint")), whole(p))), p, F.lit(k), whole(p)))
-        parts.append(F.coalesce(F.when(F.col("n") >= k, places), F.slice(found, 1, 0)))
+    def short(k):
+        whole = lambda p: F.slice("h", p + 1, k)
+        places = F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda p: row(F.xxhash64(F.concat(F.array(F.lit(k).cast("bigint")), whole(p))), p, F.lit(k), whole(p)))
+        return F.coalesce(F.when(F.col("n") >= k, places), F.slice(found, 1, 0))
+
+    parts += [short(k) for k in lens]
     e = d.select("rid", "doc_id", F.explode(F.concat(*parts)).alias("e")).select("rid", "doc_id", "e.*")
     w = wins.select(F.col("hash").alias("w_hash"), "off", F.col("len").alias("w_len"), "words", "items")
     w = F.broadcast(w) if small else w
