@@ -40,18 +40,29 @@ DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "so
 ALIKE = str.maketrans(dict(zip(
     "авсеніјкмоорԛѕтухуԝɑαβγεικνορτυχωϲ" + "ｏ",
     "abcehijkmoopqstyxywaabyeiknoptuxwc" + "o", strict=True)))
-_SIGNS = re.compile(r"[^\W\d_]*(?:[@$]?[^\W\d_]+[\d@$!]+|[\d@$]+[^\W\d_])[^\W_]*(?:[@$!]+[^\W_]+)*")
 _AS = str.maketrans("01345789@$!", "oieastbgasi")
 _GAP = re.compile(r"[\W\d_]+")
+_INSIDE = re.compile(r"[^\W\d_][\d@$!]+(?=[^\W\d_])|^[\d@$]+(?=[^\W\d_])|[^\W\d_][\d]+$")
+_SIGNED = re.compile(r"\S*[0134578@$]\S*")
+_OTHER = re.compile(f"[{''.join(map(chr, ALIKE))}]")
+
+
+def _sign(m) -> str:
+    w = m[0].strip(".,;:!?\"'()[]{}|*&%#")
+    return f" {_INSIDE.sub(lambda x: x[0].translate(_AS), w)} "
 
 
 def fold(text: str) -> str:
     """Folded words, each between single spaces, with one in front and one behind."""
-    t = text.casefold() if not text.isascii() else text.lower()
-    if not t.isascii():
-        t = t.translate(ALIKE)
-    t = _SIGNS.sub(lambda m: m[0].rstrip("!@$").translate(_AS) if not m[0].isalpha() else m[0], t)
-    return " " + " ".join(_GAP.sub(" ", t).split()) + " "
+    if text.isascii():
+        t = text.lower()
+    else:
+        t = text.casefold()
+        if _OTHER.search(t):
+            t = t.translate(ALIKE)
+    if any(c in t for c in "0134578@$"):
+        t = _SIGNED.sub(_sign, t)
+    return f" {_GAP.sub(' ', t).strip()} "
 
 
 def automaton(terms: dict[str, float], exceptions: dict[str, str]):
