@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions.text import chosen, in_list
 from ..plans import rules as R
 from . import lexicon as L
+from .storage import held
 
 EDGE = "struct<i:int,j:int,rel:string>"
 VIOLATION = "struct<tipe:string,tokens:array<string>,dimensi:string,severitas:double,asal:string>"
@@ -37,10 +38,10 @@ def _pairs(n, width):
 def edges(df: DataFrame) -> DataFrame:
     """Adds n and edges: neighbours within 2, subject-predicate, predicate-object, subject-complement, modifier-head."""
     t, n = F.col("tokens"), F.size("tokens")
-    df = df.withColumn("n", n)
+    df = held(df, "n", n)
     with_role = lambda role: _first(t, lambda x: x["peran"] == role)
     for name, role in (("_s", "S"), ("_p", "P"), ("_o", "O")):
-        df = df.withColumn(name, with_role(role))
+        df = held(df, name, with_role(role))
     edge = lambda i, j, r: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(r).alias("rel"))
     near = F.transform(_pairs(F.col("n"), 2), lambda p: edge(p["i"], p["j"], "adjacent"))
     s, p, o = F.col("_s"), F.col("_p"), F.col("_o")
@@ -57,7 +58,7 @@ def edges(df: DataFrame) -> DataFrame:
 
     mods = F.transform(F.filter(t, lambda x: x["peran"] == "Mod"), lambda m: edge(m["idx"], head(m), "modifier"))
     mods = F.filter(mods, lambda e: e["j"].isNotNull())
-    return df.withColumn("edges", F.array_distinct(F.concat(near, subj, obj, comp, mods)))
+    return held(df, "edges", F.array_distinct(F.concat(near, subj, obj, comp, mods)))
 
 
 def vector(t):
@@ -93,7 +94,7 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
     """Adds checks (one for each edge: five tensions, which are violated), energi (by dimension) and violations."""
     config = config or Config()
     thr = float(config.threshold)
-    df = df.withColumn("_f", F.transform("tokens", lambda t: F.struct(vector(t).alias("v"), _neutral(t["root"], config.neutral).alias("netral"), F.exists(t["afiks"], lambda a: ~a["valid"]).alias("rusak"),
+    df = held(df, "_f", F.transform("tokens", lambda t: F.struct(vector(t).alias("v"), _neutral(t["root"], config.neutral).alias("netral"), F.exists(t["afiks"], lambda a: ~a["valid"]).alias("rusak"),
                                                                     (t["kelas"].isin("N_proper", "Pron") | L.animate(F.lower(t["root"]), t["pos"])).alias("hidup"))))
 
     def check(e):
@@ -123,7 +124,7 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
         return F.struct(e["i"].alias("i"), e["j"].alias("j"), e["rel"].alias("rel"), a["root"].alias("a"), b["root"].alias("b"), morph.alias("morfologis"), synt.alias("sintaktis"), sem.alias("semantik"), lex.alias("leksikal"), anim.alias("animasi"),
                         geo.alias("geometrik"), (~free & (d > thr)).alias("jauh"), (diff > 0.5).alias("campur"), F.coalesce(subj["root"], a["root"]).alias("subj"), F.coalesce(pred["root"], b["root"]).alias("pred"))
 
-    df = df.withColumn("checks", F.transform("edges", check))
+    df = held(df, "checks", F.transform("edges", check))
     total = lambda f: F.aggregate(F.transform("checks", f), F.lit(0.0), lambda s, v: s + v)
     tension = lambda dim: total(lambda c: c["semantik"] + c["geometrik"] if dim == "semantik" else c[dim])
     k = F.greatest(F.size("edges"), F.lit(1))
@@ -139,7 +140,7 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
                      told("semantik", lambda c: c["jauh"], lambda c: c["semantik"]), told("leksikal", lambda c: c["campur"], lambda c: c["leksikal"]),
                      told("animasi", lambda c: c["animasi"] > 0, lambda c: c["animasi"], "subj", "pred"))
     once = F.aggregate(found, _none(VIOLATION), lambda acc, v: F.when(F.exists(acc, lambda x: (x["tipe"] == v["tipe"]) & (x["tokens"] == v["tokens"])), acc).otherwise(F.concat(acc, F.array(v))))
-    return df.withColumn("violations", once).drop("_f")
+    return held(df, "violations", once).drop("_f")
 
 
 def word_order(df: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def word_order(df: DataFrame) -> DataFrame:
     true_subject = F.exists(t, lambda x: (x["idx"] < at) & (x["peran"] == "S") & (x["idx"] != 1) & ~x["kelas"].isin("Prep", "Konj"))
     agent = one(inflected & (first["kelas"] == "Prep") & (F.lower(first["root"]) == "oleh") & ~F.coalesce(true_subject, F.lit(False)),
                 v("sintaktis", F.array(F.lit("oleh"), F.coalesce(F.get(t, 1)["root"], F.lit("?"))), 0.80))
-    return df.withColumn("order", F.concat(end, double, frame, dative, agent))
+    return held(df, "order", F.concat(end, double, frame, dative, agent))
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def composition(df: DataFrame, config: Config | None = None) -> DataFrame:
     objects = F.filter(F.transform(verbs, lambda x: F.struct(x["root"].alias("root"), first_clash(x).alias("j"))), lambda p: p["j"].isNotNull())
     bad_vo = F.transform(objects, lambda p: v(F.array(p["root"], F.get(t, p["j"])["root"]), "semantik", 0.70))
     found = F.concat(F.transform(bad_mod, lambda p: v(F.array(p["a"]["root"], p["b"]["root"]), "sintaktis", 0.65)), dangling, bad_vo)
-    df = df.withColumn("komposisi", found).withColumn("n_rusak", F.size("komposisi"))
+    df = held(df, "komposisi", found).withColumn("n_rusak", F.size("komposisi"))
     df = df.withColumn("n_morfisme", n + n_pairs + F.size(dangling) + F.size(objects))
     return df.withColumn("e_komposisi", F.col("n_rusak") / F.greatest(F.col("n_morfisme"), F.lit(1)))
 
@@ -233,7 +234,7 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     t, n = F.col("tokens"), F.col("n")
     df = df.withColumn("_pairs", F.transform(_pairs(n, None), lambda p: F.struct(F.get(t, p["i"]).alias("a"), F.get(t, p["j"]).alias("b"))))
     near = F.filter("_pairs", lambda p: _gap(p["a"], p["b"]) <= thr)
-    df = df.withColumn("_sisi", F.array_distinct(F.transform(near, lambda p: F.array_sort(F.array_distinct(F.array(p["a"]["root"], p["b"]["root"])))))).drop("_pairs")
+    df = held(df, "_sisi", F.array_distinct(F.transform(near, lambda p: F.array_sort(F.array_distinct(F.array(p["a"]["root"], p["b"]["root"])))))).drop("_pairs")
     roots = F.array_distinct(F.transform(t, lambda x: x["root"]))
     joined = F.array_distinct(F.flatten("_sisi"))
     lonely = F.array_except(roots, joined)
@@ -247,23 +248,23 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     df = df.withColumn("_r", roots)
     # distinct roots in order; a root that repeats also gives smaller sets, counted like the larger ones
     tri = F.flatten(F.transform("_sisi", lambda e: F.transform(F.filter("_r", lambda c: (c > F.element_at(e, -1)) & has(F.element_at(e, 1), c) & has(F.element_at(e, -1), c) & (F.size(e) == 2)), lambda c: F.concat(e, F.array(c)))))
-    df = df.withColumn("n_sisi", F.size("_sisi")).withColumn("n_segitiga", F.size(F.array_distinct(tri))).withColumn("betti0", b0.cast("int"))
+    df = held(df.withColumn("n_sisi", F.size("_sisi")).withColumn("n_segitiga", F.size(F.array_distinct(tri))), "betti0", b0.cast("int"))
     df = df.withColumn("betti1", F.greatest(F.lit(0), F.col("n_sisi") - n + F.col("betti0"))).withColumn("euler", n - F.col("n_sisi") + F.col("n_segitiga"))
     df = df.withColumn("terpencil", F.when(n >= 2, lonely).otherwise(_none("string")))
     trivial = n <= 1
     excess = F.when(trivial, 0).otherwise(F.greatest(F.lit(0), F.col("betti1") - F.greatest(F.lit(0), F.col("n_sisi") - n)))
-    df = df.withColumn("betti1", F.when(trivial, 0).otherwise(F.col("betti1"))).withColumn("_x", excess)
+    df = held(df.withColumn("betti1", F.when(trivial, 0).otherwise(F.col("betti1"))), "_x", excess)
     df = df.withColumn("anomali", ~trivial & ((F.col("betti0") > 1) | (F.col("_x") > 2) | (F.size("terpencil") > 0)))
     df = df.withColumn("e_topologis", F.col("_x") * 0.2 + F.size("terpencil") * 0.3)
     v = lambda words, sev: F.struct(F.lit("topologis").alias("tipe"), words.alias("tokens"), F.lit("topologis").alias("dimensi"), F.lit(sev).alias("severitas"), F.lit("topologi").alias("asal"))
     apart = F.when(~trivial & (F.col("betti0") > 1), F.array(v(F.slice("_r", 1, 4), 0.8))).otherwise(_none(VIOLATION))
     cycle = F.when(F.col("_x") > 0, F.array(v(F.transform(F.slice(t, 1, 3), lambda x: x["root"]), 0.5))).otherwise(_none(VIOLATION))
-    return df.withColumn("topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_sisi", "_r", "_x")
+    return held(df, "topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_sisi", "_r", "_x")
 
 
 def score(df: DataFrame) -> DataFrame:
     """Adds pelanggaran (all violations), energi, kepuasan (by dimension), skor, valid and spans."""
-    df = df.withColumn("pelanggaran", F.concat("violations", "order", "komposisi", "topologi"))
+    df = held(df, "pelanggaran", F.concat("violations", "order", "komposisi", "topologi"))
     top = sum(2.718281828459045 ** w for w in R.WEIGHTS.values())
     base = sum((F.col(f"e_{d}") * (2.718281828459045 ** w / top) for d, w in R.WEIGHTS.items()), F.lit(0.0))
     cpe = F.when(F.size("order") > 0, F.least(F.lit(1.0), base + 0.15 * F.size("order"))).otherwise(base)
@@ -299,7 +300,7 @@ def spans(df: DataFrame) -> DataFrame:
         return F.struct(F.when(pos >= 0, end).otherwise(acc["at"]).alias("at"), F.when(pos >= 0, F.concat(acc["map"], F.array(row(F.lower(t["root"])), row(word)))).otherwise(acc["map"]).alias("map"))
 
     places = F.aggregate("tokens", start, step, lambda a: a["map"])
-    df = df.withColumn("_at", places)
+    df = held(df, "_at", places)
     named = F.flatten(F.transform("pelanggaran", lambda p: F.transform(p["tokens"], lambda r: F.struct(F.element_at(F.filter(F.concat(F.array(F.lit(None).cast(kind)), "_at"), lambda x: x.isNull() | (x["kunci"] == F.lower(r))), -1).alias("x"), r.alias("root"), p["dimensi"].alias("dimensi"), p["severitas"].alias("severitas")))))
     named = F.transform(F.filter(named, lambda s: s["x"].isNotNull()), lambda s: F.struct(s["x"]["mulai"].alias("mulai"), s["x"]["akhir"].alias("akhir"), s["x"]["token"].alias("token"), s["root"].alias("root"), s["dimensi"].alias("dimensi"), s["severitas"].alias("severitas")))
     empty = _none("struct<mulai:int,akhir:int,token:string,root:string,dimensi:string,severitas:double>")

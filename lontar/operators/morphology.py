@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chosen, in_list, normalise, segments
 from ..plans import rules as R
 from . import lexicon as L
+from .storage import held
 
 AFFIX = "struct<bentuk:string,tipe:string,fungsi:string,valid:boolean>"
 NOMINAL = ["N", "Pron", "N_proper", "N_serapan"]
@@ -65,8 +66,8 @@ def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """words (teks, lanjut: not a sentence's first) -> one row each: root, kelas, peran, afiks, redup, base, serapan,
     proper, ada, and of the root's entry: domain, pos."""
     w = words.select("teks", "lanjut").distinct().withColumn("lw", F.lower("teks"))
-    w = w.withColumn("p", prefix_of(F.col("lw"))).withColumn("k", F.array(*confix_roots(F.col("lw"))))
-    w = w.withColumn("inner", F.coalesce("p.root", "lw")).withColumn("s", suffix_of(F.col("inner")))
+    w = held(held(w, "p", prefix_of(F.col("lw"))), "k", F.array(*confix_roots(F.col("lw"))))
+    w = held(held(w, "inner", F.coalesce("p.root", "lw")), "s", suffix_of(F.col("inner")))
     cands = F.array_distinct(F.filter(F.concat(F.array("lw", "p.root", "inner", "s.root"), F.col("k")), lambda x: x.isNotNull()))
     lex = L.small(lexicon.select("kata", "kelas"))
     hits = w.select("teks", "lanjut", F.explode(cands).alias("kata")).join(lex, "kata")
@@ -93,9 +94,9 @@ def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
         root = F.get("k", i)
         confix.append(F.when(root.isNotNull(), cand(root, affix(c, "konfiks", F.lit(use), F.array_contains(F.array(*[F.lit(x) for x in valid.split()]), kelas(root))), F.lit(out))))
     some = F.filter(F.array(*confix), lambda x: x.isNotNull())
-    w = w.withColumn("ck", some).withColumn("pc", prefix_cand)
+    w = held(held(w, "ck", some), "pc", prefix_cand)
     known = F.filter(F.concat("ck", F.filter(F.array("pc"), lambda x: x.isNotNull())), lambda x: entry(x["root"]).isNotNull())
-    w = w.withColumn("known", known)
+    w = held(w, "known", known)
     # the longest known root, the first of equals
     longest = F.array_max(F.transform("known", lambda x, i: F.struct(F.char_length(x["root"]).alias("n"), (-i).alias("i"))))
     by_confix = F.coalesce(F.get("known", -longest["i"]), F.get("ck", 0))
@@ -105,8 +106,8 @@ def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     afiks = F.concat(F.when(p.isNotNull(), F.col("pc.afiks")).otherwise(none), F.when(strip, F.array(affix(s["bentuk"], "sufiks", table(suf, s["bentuk"], 0), allowed(suf, s["bentuk"], sk)))).otherwise(none))
     root = F.when(strip, s["root"]).otherwise(F.col("inner"))
     kls = F.coalesce(F.when(strip, table(suf, s["bentuk"], 2)), F.when(p.isNotNull(), F.col("pc.kelas")), F.lit("?"))
-    w = w.withColumn("bc", F.when(F.size("ck") > 0, by_confix)).withColumn("sr", root).withColumn("sa", afiks).withColumn("sk", kls)
-    w = w.withColumn("sk", F.when(F.col("sk") == "?", kelas(F.col("sr"))).otherwise(F.col("sk")))
+    w = held(held(held(held(w, "bc", F.when(F.size("ck") > 0, by_confix)), "sr", root), "sa", afiks), "_sk", kls)
+    w = held(w, "sk", F.when(F.col("_sk") == "?", kelas(F.col("sr"))).otherwise(F.col("_sk")))
 
     lw, t = F.col("lw"), F.col("teks")
     whole, part = t.rlike(r"(?iU)^(\w+)-\1$"), F.regexp_extract(t, r"(?iU)^(\w{2,3})-(\w+)$", 1)
@@ -125,7 +126,7 @@ def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     wk = kelas(lw)
     step = (F.when(whole, "full").when(partial, "part").when(closed.isNotNull(), "closed").when(proper, "proper").when(keep, "keep").when(loan, "loan")
             .when(stays, "entry").when(F.col("bc").isNotNull(), "confix").otherwise("affix"))
-    w = w.withColumn("step", step)
+    w = held(w, "step", step)
     at = lambda cases, other=None: _cases(F.col("step"), cases, other)
     out = w.select("teks", "lanjut",
         at({"full": F.lower(F.split_part(t, F.lit("-"), F.lit(1))), "part": F.lower(base), "proper": t, "confix": F.col("bc.root"), "affix": F.col("sr")}, lw).alias("root"),
