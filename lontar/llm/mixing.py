@@ -44,8 +44,10 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weig
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     t = t.withColumn("total", F.sum("source_size").over(everything) * float(share)).withColumn("level", (F.col("total") - before) / rest)
-    fits = F.col("level") <= F.col("cap") / F.col("weight")
-    t = t.withColumn("level", F.min(F.when(fits, F.col("level"))).over(everything))
+    # the first source whose cap the level does not pass; levels behind it mean nothing
+    t = t.withColumn("rn", F.row_number().over(order))
+    first = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("rn", "level"))).over(everything)
+    t = t.withColumn("level", first["level"])
     target = F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap"))
     return t.select("source", "source_size", "weight", target.alias("target"))
 
@@ -104,7 +106,7 @@ per1 AS (
 per2 AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per1),
-per3 AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS lv FROM per2),
+per3 AS (SELECT *, (SELECT level FROM per2 WHERE level <= cap / weight ORDER BY cap / weight, source ASC NULLS LAST LIMIT 1) AS lv FROM per2),
 per AS (SELECT source, source_size, coalesce(least(cap, lv * weight), cap) AS target FROM per3),
 mixed0 AS (
   SELECT s.*, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN CAST(floor(p.target / p.source_size) AS BIGINT) ELSE 0 END AS whole,
