@@ -39,7 +39,7 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there."""
     path = f"{scratch(df.sparkSession)}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

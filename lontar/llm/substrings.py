@@ -315,8 +315,10 @@ def clean(docs: DataFrame) -> DataFrame:
     Rows whose words are all removed go; n_chars, where there is one, follows the text. Other rows stay as they are.
     """
     several = not unique_ids(docs)
-    whole = row_keys(docs.select("doc_id", "text", F.struct("*").alias("_row")), "text", "_row")
-    d = _with_marks(whole, several)
+    others = [c for c in docs.columns if c != "text"]
+    whole = row_keys(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")), "text", "_row")
+    texts = whole.select("_key", "text")
+    d = _with_marks(texts.dropDuplicates(["_key"]) if several else texts, False)
 
     @F.pandas_udf("string")
     def shorter(text: pd.Series, marks: pd.Series) -> pd.Series:
@@ -327,11 +329,12 @@ def clean(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     d = d.withColumn("_t", F.when(F.col("marks").isNotNull(), shorter(F.col("text"), F.coalesce("marks", F.array().cast("array<bigint>")))))
-    d = d.where("_t IS NULL OR _t <> ''")
-    new = {"text": F.coalesce("_t", "_row.text")}
+    d = d.where("_t IS NULL OR _t <> ''").select("_key", F.coalesce("_t", "text").alias("_text"), F.col("_t").isNotNull().alias("_cut"))
+    d = d.join(whole.select("_key", "_row"), "_key")  # texts stay where the last join put them
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_t").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("_t").cast(docs.schema["n_chars"].dataType))
-    return d.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_cut"), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return d.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL of the rule; quadratic in nothing, but windows are lists of 20 words.
