@@ -27,7 +27,7 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): the least node of each node's component, for nodes that have an edge (a, b)."""
+    """(node, root): the least node of its component for each node that has an edge (a, b) and is not the least itself."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(most):

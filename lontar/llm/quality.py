@@ -92,7 +92,8 @@ def statistics(texts) -> np.ndarray:
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lh = K.mix(np.add.reduceat(h * K.mix((np.arange(len(h)) - np.repeat(cut, np.diff(np.r_[cut, len(h)]))).astype(U) + U(7)), cut))
             ld = doc[cut]
-            copies = 1 - _uniques(lh, ld, n) / np.maximum(np.bincount(ld, minlength=n), 1)
+            of = np.bincount(ld, minlength=n)
+            copies = np.where(of > 0, 1 - _uniques(lh, ld, n) / np.maximum(of, 1), 0.0)
         out.append(np.column_stack([
             np.log1p(size), np.log1p(nw), by[:, 1] / one, (by[:, 1] + by[:, 2]) / one, by[:, 3] / one, by[:, 4] / one, by[:, 10] / one,
             by[:, 5] / w1, by[:, 6] / w1, by[:, 7] / w1, by[:, 8] / w1, lines / w1, mean, sd,
