@@ -108,7 +108,7 @@ def _signature(words: list[str]) -> int:
 def _begins(words: set[str]) -> set[str]:
     out = {f" {w} " for w in words}
     for w in words:
-        out.update(f" {w[:k]}" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+        out.update(f" {w[:k]}" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return out
 
 
