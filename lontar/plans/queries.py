@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import segments, sentences, normalise, tokens
-from ..operators import checks, corpus, lexicon, metrics, morphology, semantics, training, vocabulary
+from ..operators import checks, corpus, homology, lexicon, metrics, morphology, semantics, training, vocabulary
 from ..sources import seeds
 from . import rules as R
 
@@ -570,6 +570,45 @@ def document_scores(spark, sf_dir):
     return by
 
 
+@query()
+def barcodes(spark, sf_dir):
+    b = homology.barcode(parsed(spark)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
+    return b.select("doc_id", "sent_idx", F.round("b.death", 6).alias("death"), "b.root")
+
+
+@query()
+def fuzzy_lookup(spark, sf_dir):
+    w = morphology.words_of(seeds.sentences(spark), ["doc_id", "sent_idx"]).select(F.col("teks").alias("word"))
+    return homology.fuzzy(w, seeds.lexicon(spark)).select("word", "kata", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def noisy_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return homology.noise(d, "typo", 0.3).select("doc_id", F.char_length("text").alias("n_chars"))
+
+
+@query("SELECT event_type, round(regr_slope(value, event_id::DOUBLE), 9) AS slope, greatest(0, 1 - max(value) / max(abs(value))) AS recovery FROM events GROUP BY event_type")
+def degradation(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("double").alias("i"), "value").withColumn("base", F.lit(0.0))
+    a = metrics.degradation(e, ["event_type"], "i", "value", "base").select("event_type", F.round("slope", 9).alias("slope"))
+    b = e.groupBy("event_type").agg(F.greatest(F.lit(0.0), 1 - F.max("value") / F.max(F.abs("value"))).alias("recovery"))
+    return a.join(b, "event_type")
+
+
+@query(f"""WITH d AS (SELECT source, len({TOKENS})::DOUBLE AS v FROM documents), a AS (SELECT source AS config, avg(v) AS mean, stddev_pop(v) AS std FROM d GROUP BY source), f AS (SELECT mean AS m FROM a WHERE config = 'src0')
+SELECT config, round(mean, 6) AS mean, round(std, 6) AS std, round(m - mean, 6) AS delta, CASE WHEN config = 'src0' THEN 'reference' WHEN m - mean > 0.01 THEN 'important' WHEN m - mean > 0.001 THEN 'minor' ELSE 'none' END AS verdict FROM a, f""")
+def ablation_verdict(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("config"), F.size(tokens(F.col("text"))).cast("double").alias("v"))
+    return metrics.ablation(d, "config", "v", "src0").select("config", *[F.round(c, 6).alias(c) for c in ("mean", "std", "delta")], "verdict")
+
+
+@query("""WITH f AS (SELECT user_id, arg_min(value, event_id) AS f FROM events GROUP BY user_id)
+SELECT user_id, min(CASE WHEN value < 0.5::DOUBLE * f THEN event_id END) AS epoch FROM events JOIN f USING (user_id) GROUP BY user_id""")
+def convergence_epoch(spark, sf_dir):
+    return metrics.convergence(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
 def queries() -> dict:
     return dict(Q)
 
