@@ -246,9 +246,12 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     b0 = F.when(n == 0, 0).when((n == 1) | open_, 1).otherwise(parts)
     has = lambda a, b: F.array_contains("_sisi", F.array_sort(F.array_distinct(F.array(a, b))))
     df = df.withColumn("_r", roots)
-    # distinct roots in order; a root that repeats also gives smaller sets, counted like the larger ones
     tri = F.flatten(F.transform("_sisi", lambda e: F.transform(F.filter("_r", lambda c: (c > F.element_at(e, -1)) & has(F.element_at(e, 1), c) & has(F.element_at(e, -1), c) & (F.size(e) == 2)), lambda c: F.concat(e, F.array(c)))))
-    df = held(df.withColumn("n_sisi", F.size("_sisi")).withColumn("n_segitiga", F.size(F.array_distinct(tri))), "betti0", b0.cast("int"))
+    # three tokens of which two or all share a root give sets of two or one
+    times = lambda r: F.size(F.filter(t, lambda x: x["root"] == r))
+    twice = F.size(F.filter("_sisi", lambda e: (F.size(e) == 2) & F.exists(e, lambda r: times(r) >= 2)))
+    thrice = F.size(F.filter("_r", lambda r: times(r) >= 3))
+    df = held(df.withColumn("n_sisi", F.size("_sisi")).withColumn("n_segitiga", F.size(F.array_distinct(tri)) + twice + thrice), "betti0", b0.cast("int"))
     df = df.withColumn("betti1", F.greatest(F.lit(0), F.col("n_sisi") - n + F.col("betti0"))).withColumn("euler", n - F.col("n_sisi") + F.col("n_segitiga"))
     df = df.withColumn("terpencil", F.when(n >= 2, lonely).otherwise(_none("string")))
     trivial = n <= 1

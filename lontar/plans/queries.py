@@ -451,19 +451,81 @@ def function_words(spark, sf_dir):
     return t.select("teks", k.alias("kelas")).where(F.col("kelas").isNotNull() & ~F.contains("teks", F.lit("-"))).distinct()
 
 
+def _parse_sql() -> str:
+    """The parser's rules in SQL: candidate roots by joins with the affix tables, roles by windows."""
+    spell = sorted([(c, a, a[:-1], len(a) - 1, R.RESTORED.get(a, "")) for c, _, _, _, forms in R.PREFIXES for a in forms.split()], key=lambda r: -r[3])
+    cspell = []
+    for c, *_ in R.CONFIXES:
+        part = c.split("-")[0]
+        cspell += [(c, f, n, b, i) for i, (canon, _, f, n, b) in enumerate(spell) if part in canon]
+    closed_role = "CASE " + " ".join(f"WHEN list_contains({listed(ws)}, lw) THEN {lit(r)}" for ws, _, r in R.CLOSED) + " END"
+    closed = CLOSED.replace("lower(teks)", "lw")
+    cls = lambda c: f"coalesce(CASE lower({c}) " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in R.POS_CLASS.items()) + " END, '?')"
+    cut = lambda w, n, b: f"CASE WHEN {b} <> '' AND NOT starts_with(substr({w}, {n} + 1), {b}) THEN {b} || substr({w}, {n} + 1) ELSE substr({w}, {n} + 1) END"
+    word = r"[\p{L}\p{N}_]"
+    return (SEED + ", " + LEX.removeprefix("WITH ") + ", " + values("pfx", "bentuk, form, n, back, ord", [(c, f, n, b, i) for i, (c, _, f, n, b) in enumerate(spell)])
+            + ", " + values("pinfo", "bentuk, valid, keluar", [(c, v, o) for c, _, v, o, _ in R.PREFIXES]) + ", " + values("cspell", "c, form, n, back, ord", cspell)
+            + ", " + values("cinfo", "c, akhir, valid, keluar, cord", [(c, c.split("-")[1], v, o, i) for i, (c, _, v, o) in enumerate(R.CONFIXES)])
+            + ", " + values("suf", "sb, akhir, svalid, skeluar, sord", [(x, x[1:], v, o, i) for i, (x, _, v, o) in enumerate(R.SUFFIXES)]) + f""",
+lk AS (SELECT kata, kelas AS pos, {cls('kelas')} AS k FROM lex),
+w AS (SELECT DISTINCT teks, idx > 0 AS lanjut, lower(teks) AS lw FROM tok),
+p AS (SELECT teks, lanjut, bentuk, {cut('lw', 'n', 'back')} AS proot FROM w JOIN pfx ON starts_with(lw, form) AND length(lw) > n + 2 QUALIFY row_number() OVER (PARTITION BY teks, lanjut ORDER BY ord) = 1),
+ci AS (SELECT teks, lanjut, c, {cut('lw', 'n', 'back')} AS dalam FROM w JOIN cspell ON starts_with(lw, form) AND length(lw) > n + 2 QUALIFY row_number() OVER (PARTITION BY teks, lanjut, c ORDER BY ord) = 1),
+ck AS (SELECT teks, lanjut, c AS af, left(dalam, length(dalam) - length(akhir)) AS root, cord AS ord, valid, keluar FROM ci JOIN cinfo USING (c) WHERE ends_with(dalam, akhir) AND length(dalam) - length(akhir) >= 3),
+pk AS (SELECT p.*, coalesce(k, '?') AS k, valid, coalesce(keluar, k, '?') AS kelas FROM p JOIN pinfo USING (bentuk) LEFT JOIN lk ON kata = proot),
+cand AS (SELECT teks, lanjut, af, root, ord, coalesce(k, '?') AS k, valid, keluar AS kelas, k IS NOT NULL AS ada FROM ck LEFT JOIN lk ON kata = root
+ UNION ALL SELECT teks, lanjut, bentuk, proot, 100, coalesce(lk.k, '?'), valid, pk.kelas, lk.k IS NOT NULL FROM pk LEFT JOIN lk ON kata = proot WHERE (teks, lanjut) IN (SELECT (teks, lanjut) FROM ck)),
+bc AS (SELECT teks, lanjut, af, root, kelas, ada, list_contains(string_split(valid, ' '), k) AS ok FROM cand WHERE ada OR ord < 100 QUALIFY row_number() OVER (PARTITION BY teks, lanjut ORDER BY ada DESC, CASE WHEN ada THEN length(root) ELSE 0 END DESC, ord) = 1),
+inn AS (SELECT w.teks, w.lanjut, coalesce(proot, lw) AS dalam FROM w LEFT JOIN p USING (teks, lanjut)),
+sx AS (SELECT teks, lanjut, sb, svalid, skeluar, left(dalam, length(dalam) - length(akhir)) AS sroot FROM inn JOIN suf ON ends_with(dalam, akhir) AND length(dalam) > length(akhir) + 2 QUALIFY row_number() OVER (PARTITION BY teks, lanjut ORDER BY sord) = 1),
+sf AS (SELECT inn.teks, inn.lanjut, dalam, sb, svalid, skeluar, sroot, coalesce(b.k, '?') AS sk, coalesce(length(sroot) >= 3 AND NOT (a.k IS NOT NULL AND b.k IS NULL), FALSE) AS pakai, pk.bentuk, pk.proot, pk.k AS pkk, pk.valid AS pvalid, pk.kelas AS pkelas
+ FROM inn LEFT JOIN sx USING (teks, lanjut) LEFT JOIN lk a ON a.kata = dalam LEFT JOIN lk b ON b.kata = sroot LEFT JOIN pk ON pk.teks = inn.teks AND pk.lanjut = inn.lanjut),
+af AS (SELECT teks, lanjut, CASE WHEN pakai THEN sroot ELSE dalam END AS root, coalesce(CASE WHEN pakai THEN skeluar END, pkelas, '?') AS k0, concat_ws(',', bentuk, CASE WHEN pakai THEN sb END) AS afiks,
+ coalesce(list_contains(string_split(pvalid, ' '), pkk), TRUE) AND (NOT pakai OR list_contains(string_split(svalid, ' '), sk)) AS ok FROM sf),
+st AS (SELECT w.*, lw.k AS wk, lw.pos AS wpos, bc.root AS broot, bc.kelas AS bkelas, bc.af AS baf, bc.ok AS bok, bc.ada AS bada, af.root AS aroot, CASE WHEN af.k0 = '?' THEN coalesce(ak.k, '?') ELSE af.k0 END AS akelas, af.afiks AS aaf, af.ok AS aok, ak.k IS NOT NULL AS aada,
+ coalesce(length(pc.sroot) >= 3 AND pr.pos = lw.pos AND p.proot IS NOT NULL, FALSE) AS belah, {closed} AS tutup, {closed_role} AS tperan
+ FROM w LEFT JOIN lk lw ON lw.kata = w.lw LEFT JOIN bc USING (teks, lanjut) LEFT JOIN af USING (teks, lanjut) LEFT JOIN lk ak ON ak.kata = af.root LEFT JOIN p USING (teks, lanjut) LEFT JOIN sx pc ON pc.teks = w.teks AND pc.lanjut = w.lanjut LEFT JOIN lk pr ON pr.kata = pc.sroot),
+sp AS (SELECT *, CASE WHEN regexp_full_match(teks, '{word}+-{word}+') AND lower(split_part(teks, '-', 1)) = lower(split_part(teks, '-', 2)) THEN 'full'
+ WHEN regexp_full_match(teks, '{word}{{2,3}}-{word}+') AND starts_with(split_part(teks, '-', 2), left(split_part(teks, '-', 1), 2)) THEN 'part' WHEN tutup IS NOT NULL THEN 'closed' WHEN regexp_matches(teks, '^\\p{{Lu}}') AND lanjut THEN 'proper'
+ WHEN list_contains({listed(R.WHOLE)}, lw) THEN 'keep' WHEN regexp_matches(lw, '^({"|".join(R.LOANWORDS)})($|[^a-z0-9_])') THEN 'loan' WHEN wpos IS NOT NULL AND NOT belah THEN 'entry' WHEN broot IS NOT NULL THEN 'confix' ELSE 'affix' END AS step FROM st),
+an AS (SELECT teks, lanjut, CASE step WHEN 'full' THEN lower(split_part(teks, '-', 1)) WHEN 'part' THEN lower(split_part(teks, '-', 2)) WHEN 'proper' THEN teks WHEN 'confix' THEN broot WHEN 'affix' THEN aroot ELSE lw END AS root,
+ CASE step WHEN 'full' THEN 'N' WHEN 'part' THEN 'N' WHEN 'closed' THEN tutup WHEN 'proper' THEN 'N_proper' WHEN 'keep' THEN CASE WHEN coalesce(wk, '?') = '?' THEN 'Adj' ELSE wk END WHEN 'loan' THEN 'N_serapan' WHEN 'entry' THEN wk WHEN 'confix' THEN bkelas ELSE akelas END AS kelas,
+ CASE WHEN step = 'closed' THEN tperan ELSE '?' END AS peran0, CASE step WHEN 'confix' THEN baf WHEN 'affix' THEN aaf ELSE '' END AS afiks, CASE step WHEN 'confix' THEN bok WHEN 'affix' THEN aok ELSE TRUE END AS afiks_valid,
+ CASE step WHEN 'closed' THEN TRUE WHEN 'keep' THEN wpos IS NOT NULL WHEN 'entry' THEN TRUE WHEN 'confix' THEN bada WHEN 'affix' THEN aada ELSE FALSE END AS ada FROM sp),
+t0 AS (SELECT doc_id, sent_idx, idx, an.*, lex.domain, min(CASE WHEN an.kelas = 'V' THEN idx END) OVER (PARTITION BY doc_id, sent_idx) AS vb FROM tok JOIN an ON an.teks = tok.teks AND an.lanjut = (tok.idx > 0) LEFT JOIN lex ON lex.kata = lower(an.root)),
+t1 AS (SELECT *, peran0 = '?' AND idx IS DISTINCT FROM vb AS buka FROM t0),
+t2 AS (SELECT *, lag(kelas) OVER (PARTITION BY doc_id, sent_idx, buka ORDER BY idx) AS sblm FROM t1),
+t3 AS (SELECT *, buka AND kelas <> 'Prep' AND coalesce(sblm, '') <> 'Prep' AS bebas, kelas IN ('N', 'Pron', 'N_proper', 'N_serapan') AS nom FROM t2),
+t4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx, bebas AND nom, coalesce(idx > vb, FALSE) ORDER BY idx) AS ke FROM t3),
+hasil AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, CAST(idx AS INT) AS idx, teks, root, kelas, CASE WHEN idx = vb THEN 'P' WHEN NOT buka THEN peran0 WHEN kelas <> 'Prep' AND sblm = 'Prep' THEN 'K' WHEN bebas AND nom AND coalesce(idx > vb, FALSE) THEN CASE WHEN ke = 1 THEN 'O' ELSE 'Pel' END
+ WHEN bebas AND nom AND ke = 1 THEN 'S' WHEN bebas AND NOT nom AND kelas = 'Adj' THEN 'Mod' ELSE '?' END AS peran, afiks, afiks_valid, ada, domain FROM t4)""")
+
+
+PARSE = _parse_sql()
+
+
 def parsed(spark) -> DataFrame:
     from ..operators.storage import stored
 
     return stored(morphology.parse(seeds.sentences(spark), seeds.lexicon(spark)))
 
 
-@query()
+@query(PARSE + " SELECT * FROM hasil")
 def parse_tokens(spark, sf_dir):
     p = parsed(spark).select("doc_id", "sent_idx", F.explode("tokens").alias("t"))
     return p.select("doc_id", "sent_idx", "t.idx", "t.teks", "t.root", "t.kelas", "t.peran", F.concat_ws(",", F.transform("t.afiks", lambda a: a["bentuk"])).alias("afiks"), F.forall("t.afiks", lambda a: a["valid"]).alias("afiks_valid"), "t.ada", "t.domain")
 
 
-@query()
+EDGES = PARSE + f""",
+edges AS (SELECT a.doc_id, a.sent_idx, a.idx AS i, b.idx AS j, 'adjacent' AS rel FROM hasil a JOIN hasil b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.idx BETWEEN a.idx + 1 AND a.idx + 2
+ UNION ALL SELECT doc_id, sent_idx, min(CASE WHEN peran = 'S' THEN idx END), min(CASE WHEN peran = 'P' THEN idx END), 'subj-pred' FROM hasil GROUP BY ALL HAVING count(*) FILTER (peran = 'S') > 0 AND count(*) FILTER (peran = 'P') > 0
+ UNION ALL SELECT doc_id, sent_idx, min(CASE WHEN peran = 'P' THEN idx END), min(CASE WHEN peran = 'O' THEN idx END), 'pred-obj' FROM hasil GROUP BY ALL HAVING count(*) FILTER (peran = 'P') > 0 AND count(*) FILTER (peran = 'O') > 0
+ UNION ALL SELECT doc_id, sent_idx, s, idx, 'subj-komplemen' FROM (SELECT *, min(CASE WHEN peran = 'S' THEN idx END) OVER (PARTITION BY doc_id, sent_idx) AS s FROM hasil) WHERE idx > s AND kelas IN ('N', 'N_serapan', 'Adj') AND peran NOT IN ('S', 'O')
+ UNION ALL SELECT m.doc_id, m.sent_idx, m.idx, min(t.idx), 'modifier' FROM hasil m JOIN hasil t ON m.doc_id = t.doc_id AND m.sent_idx = t.sent_idx AND abs(m.idx - t.idx) <= 2 AND m.idx <> t.idx WHERE m.peran = 'Mod' AND t.kelas IN ('N', 'V', 'N_proper', 'N_serapan', 'V_serapan')
+  AND (NOT (m.kelas = 'Adv' AND list_contains({listed(R.TEMPORAL)}, lower(m.root))) OR t.kelas IN ('V', 'V_serapan')) GROUP BY m.doc_id, m.sent_idx, m.idx)"""
+
+
+@query(EDGES + " SELECT doc_id, sent_idx, i, j, rel FROM edges")
 def dependency_edges(spark, sf_dir):
     return checks.edges(parsed(spark)).select("doc_id", "sent_idx", F.explode("edges").alias("e")).select("doc_id", "sent_idx", "e.*")
 
@@ -496,7 +558,24 @@ def composition_checks(spark, sf_dir):
     return checks.composition(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
 
 
-@query()
+TOPOLOGY = PARSE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tk AS (SELECT doc_id, sent_idx, idx, root, lower(root) AS kata, hasil.domain, lex.kelas FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
+gap AS (SELECT a.doc_id, a.sent_idx, a.root AS ra, b.root AS rb, {_distance_case()} AS d FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx),
+sisi AS (SELECT DISTINCT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y FROM gap WHERE d <= 1.5),
+rc AS (SELECT DISTINCT doc_id, sent_idx, root AS r, root AS z FROM tk UNION SELECT rc.doc_id, rc.sent_idx, rc.r, CASE WHEN e.x = rc.z THEN e.y ELSE e.x END FROM rc JOIN sisi e ON e.doc_id = rc.doc_id AND e.sent_idx = rc.sent_idx AND (e.x = rc.z OR e.y = rc.z)),
+b0 AS (SELECT doc_id, sent_idx, count(DISTINCT m) AS b0 FROM (SELECT doc_id, sent_idx, r, min(z) AS m FROM rc GROUP BY ALL) GROUP BY ALL),
+n1 AS (SELECT doc_id, sent_idx, count(*) AS n FROM tk GROUP BY ALL), e1 AS (SELECT doc_id, sent_idx, count(*) AS e FROM sisi GROUP BY ALL),
+tri AS (SELECT a.doc_id, a.sent_idx, count(DISTINCT list_sort(list_distinct([a.root, b.root, c.root]))) AS f FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx JOIN tk c ON b.doc_id = c.doc_id AND b.sent_idx = c.sent_idx AND b.idx < c.idx
+ JOIN sisi p ON p.doc_id = a.doc_id AND p.sent_idx = a.sent_idx AND p.x = least(a.root, b.root) AND p.y = greatest(a.root, b.root) JOIN sisi q ON q.doc_id = a.doc_id AND q.sent_idx = a.sent_idx AND q.x = least(a.root, c.root) AND q.y = greatest(a.root, c.root)
+ JOIN sisi s ON s.doc_id = a.doc_id AND s.sent_idx = a.sent_idx AND s.x = least(b.root, c.root) AND s.y = greatest(b.root, c.root) GROUP BY a.doc_id, a.sent_idx),
+iso AS (SELECT doc_id, sent_idx, count(*) AS i FROM (SELECT DISTINCT doc_id, sent_idx, root FROM tk) r WHERE NOT EXISTS (SELECT 1 FROM sisi e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND (e.x = r.root OR e.y = r.root)) GROUP BY ALL),
+al AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 2 THEN coalesce(n, 0) ELSE b0 END AS b0, coalesce(e, 0) AS e, coalesce(f, 0) AS f, CASE WHEN n >= 2 THEN coalesce(i, 0) ELSE 0 END AS i
+ FROM sent LEFT JOIN n1 USING (doc_id, sent_idx) LEFT JOIN b0 USING (doc_id, sent_idx) LEFT JOIN e1 USING (doc_id, sent_idx) LEFT JOIN tri USING (doc_id, sent_idx) LEFT JOIN iso USING (doc_id, sent_idx)),
+be AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, e - n + b0) END AS b1 FROM al), xc AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, b1 - greatest(0, e - n)) END AS ex FROM be)"""
+
+
+@query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS INT) AS betti1, CAST(n - e + f AS INT) AS euler, CAST(e AS INT) AS n_sisi, CAST(f AS INT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
+ n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, round(ex * 0.2::DOUBLE + i * 0.3::DOUBLE, 6) AS energi FROM xc""")
 def topology_numbers(spark, sf_dir):
     t = checks.topology(checks.edges(parsed(spark)))
     return t.select("doc_id", "sent_idx", "betti0", "betti1", "euler", "n_sisi", "n_segitiga", F.size("terpencil").alias("n_terpencil"), "anomali", F.round("e_topologis", 6).alias("energi"))
@@ -539,7 +618,14 @@ def subtype_closure(spark, sf_dir):
     return semantics.subtype_closure(spark)
 
 
-@query()
+STEPS_SQL = listed([a + b for a, b in metrics.STEPS])
+
+
+@query(EDGES + f""", rr AS (SELECT doc_id, sent_idx, idx, CASE WHEN peran IN ('S', 'P', 'O', 'K') THEN peran ELSE '?' END AS r FROM hasil), xs AS (SELECT *, r || lead(r) OVER (PARTITION BY doc_id, sent_idx ORDER BY idx) AS s FROM rr),
+ov AS (SELECT count(*) FILTER (list_contains({STEPS_SQL}, s))::DOUBLE / count(s) AS order_validity FROM xs), qs AS (SELECT doc_id, sent_idx, count(*) AS n, max(CASE WHEN r = 'S' THEN 1 ELSE 0 END) * max(CASE WHEN r = 'P' THEN 1 ELSE 0 END) AS sp FROM rr GROUP BY ALL),
+ln AS (SELECT doc_id, sent_idx, count(DISTINCT v) AS k FROM (SELECT doc_id, sent_idx, i AS v FROM edges UNION ALL SELECT doc_id, sent_idx, j FROM edges) GROUP BY ALL),
+ag AS (SELECT count(*) AS n_sentences, sum(coalesce(sp, 0))::DOUBLE / count(*) AS spok_completeness, sum(coalesce(k::DOUBLE / n, 0)) / count(*) AS dep_coherence FROM sent LEFT JOIN qs USING (doc_id, sent_idx) LEFT JOIN ln USING (doc_id, sent_idx))
+SELECT n_sentences, round(spok_completeness, 6) AS spok_completeness, round(order_validity, 6) AS order_validity, round(dep_coherence, 6) AS dep_coherence, round((spok_completeness + order_validity + dep_coherence) / 3, 6) AS overall FROM ag, ov""")
 def structure_validity(spark, sf_dir):
     m = metrics.structural(checks.edges(parsed(spark)))
     return m.select("n_sentences", *[F.round(c, 6).alias(c) for c in ("spok_completeness", "order_validity", "dep_coherence", "overall")])
