@@ -530,7 +530,31 @@ def dependency_edges(spark, sf_dir):
     return checks.edges(parsed(spark)).select("doc_id", "sent_idx", F.explode("edges").alias("e")).select("doc_id", "sent_idx", "e.*")
 
 
-@query()
+def _checks_sql() -> str:
+    mods = " OR ".join(f"(m.kelas = {lit(k)} AND h.kelas NOT IN ({', '.join(lit(x) for x in to.split())}))" for k, to in R.MODIFIES.items()).replace("m.", "{m}.").replace("h.", "{h}.")
+    bad = f"CASE WHEN a.peran = 'Mod' THEN ({mods.format(m='a', h='b')}) ELSE ({mods.format(m='b', h='a')}) END"
+    dim = "CASE lower(kelas) " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in R.CLASS_DIMENSION.items()) + " END"
+    bare = "CASE " + " ".join(f"WHEN starts_with(lower(b.root), {lit(x)}) AND length(b.root) > {len(x) + 2} THEN substr(lower(b.root), {len(x) + 1})" for x in R.ANIMATE_PREFIXES) + " ELSE lower(b.root) END"
+    dist = _distance_case().replace("a.kelas", "a.pos").replace("b.kelas", "b.pos")
+    neutral = listed(R.NEUTRAL_VERBS)
+    verbs = listed(R.ANIMATE_VERBS)
+    return EDGES + f""",
+f0 AS (SELECT hasil.*, lower(root) AS kata, lex.kelas AS pos FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
+f1 AS (SELECT *, CASE WHEN list_contains({listed(R.DOMAINS)}, domain) THEN domain END AS di, {dim} AS k1, {dim.replace('lower(kelas)', 'lower(pos)')} AS k2, kelas = 'N_serapan' AS pinjam FROM f0),
+ft AS (SELECT *, coalesce(k1, k2) AS ck, CASE WHEN k1 IS NOT NULL THEN 1.0::DOUBLE WHEN k2 IS NOT NULL THEN 0.8 ELSE 0 END AS cv, CASE WHEN pinjam THEN 0.5::DOUBLE WHEN kelas = 'N_proper' OR pos IS NOT NULL THEN 1 ELSE 0.5 END AS rg, CASE WHEN pos IS NOT NULL THEN 0.8::DOUBLE ELSE 0.2 END AS su,
+ len(list_filter({neutral}, lambda v: kata = v OR (ends_with(kata, v) AND length(kata) > length(v)))) > 0 AS netral, kelas IN ('N_proper', 'Pron') OR list_contains({listed([*R.HUMANS, *R.ANIMALS])}, kata) OR coalesce(pos = 'pron', FALSE) AS hidup FROM f1),
+ck0 AS (SELECT e.*, a.root AS ra, b.root AS rb, CAST({dist} AS DOUBLE) AS d, a.kelas = 'N_proper' OR b.kelas = 'N_proper' OR a.netral OR b.netral AS bebas2, NOT a.afiks_valid OR NOT b.afiks_valid AS rusak, rel = 'modifier' AND (a.peran = 'Mod' OR b.peran = 'Mod') AND {bad} AS salah,
+ CASE WHEN a.pinjam = b.pinjam THEN 0 ELSE 0.15::DOUBLE END AS leksikal, rel = 'subj-pred' AND NOT a.hidup AND (list_contains({verbs}, lower(b.root)) OR list_contains({verbs}, {bare}) OR list_contains({verbs}, lower(b.teks))) AS mati,
+ ((CASE WHEN a.di = b.di THEN 1 ELSE 0 END) + (CASE WHEN a.ck = b.ck THEN a.cv * b.cv ELSE 0 END) + a.rg * b.rg + a.su * b.su) / (sqrt((CASE WHEN a.di IS NULL THEN 0 ELSE 1 END) + a.cv * a.cv + a.rg * a.rg + a.su * a.su) * sqrt((CASE WHEN b.di IS NULL THEN 0 ELSE 1 END) + b.cv * b.cv + b.rg * b.rg + b.su * b.su)) AS cs
+ FROM edges e JOIN ft a ON a.doc_id = e.doc_id AND a.sent_idx = e.sent_idx AND a.idx = e.i JOIN ft b ON b.doc_id = e.doc_id AND b.sent_idx = e.sent_idx AND b.idx = e.j),
+cek AS (SELECT doc_id, sent_idx, i, j, rel, ra, rb, CASE WHEN rusak THEN 1.0::DOUBLE ELSE 0 END AS morfologis, CASE WHEN salah THEN 0.7::DOUBLE ELSE 0 END AS sintaktis, CASE WHEN bebas2 THEN 0 WHEN d <= 1.5 THEN d / 1.5::DOUBLE * 0.3::DOUBLE ELSE least(1, (d - 1.5) / 2) END AS semantik,
+ leksikal, CASE WHEN mati THEN 0.85::DOUBLE ELSE 0 END AS animasi, greatest(0, (1 - cs) / 2) * 0.05::DOUBLE AS geometrik, NOT bebas2 AND d > 1.5 AS jauh FROM ck0)"""
+
+
+CHECKS = _checks_sql()
+
+
+@query(CHECKS + " SELECT doc_id, sent_idx, i, j, rel, morfologis, sintaktis, round(semantik, 6) AS semantik, leksikal, animasi, round(geometrik, 6) AS geometrik FROM cek")
 def edge_checks(spark, sf_dir):
     e = checks.tensions(checks.edges(parsed(spark))).select("doc_id", "sent_idx", F.explode("checks").alias("c"))
     return e.select("doc_id", "sent_idx", "c.i", "c.j", "c.rel", *[F.round(f"c.{d}", 6).alias(d) for d in (*R.WEIGHTS, "geometrik")])
