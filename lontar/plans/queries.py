@@ -560,28 +560,6 @@ def edge_checks(spark, sf_dir):
     return e.select("doc_id", "sent_idx", "c.i", "c.j", "c.rel", *[F.round(f"c.{d}", 6).alias(d) for d in (*R.WEIGHTS, "geometrik")])
 
 
-@query()
-def violations(spark, sf_dir):
-    a = checks.analyse(parsed(spark)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
-    return a.select("doc_id", "sent_idx", "v.tipe", F.concat_ws(" ", "v.tokens").alias("tokens"), "v.dimensi", F.round("v.severitas", 6).alias("severitas"), "v.asal")
-
-
-@query()
-def violation_spans(spark, sf_dir):
-    return checks.spans(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
-
-
-@query()
-def sentence_scores(spark, sf_dir):
-    a = checks.analyse(parsed(spark))
-    return a.select("doc_id", "sent_idx", F.round("skor", 6).alias("skor"), F.round("energi", 6).alias("energi"), "valid", "lengkap", "register", F.round("rata_kepuasan", 6).alias("kepuasan"), "ringkasan")
-
-
-@query()
-def composition_checks(spark, sf_dir):
-    return checks.composition(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
-
-
 TOPOLOGY = PARSE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 tk AS (SELECT doc_id, sent_idx, idx, root, lower(root) AS kata, hasil.domain, lex.kelas FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
 gap AS (SELECT a.doc_id, a.sent_idx, a.root AS ra, b.root AS rb, {_distance_case()} AS d FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx),
@@ -598,6 +576,71 @@ al AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT)
 be AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, e - n + b0) END AS b1 FROM al), xc AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, b1 - greatest(0, e - n)) END AS ex FROM be)"""
 
 
+def _score_sql() -> str:
+    topo = TOPOLOGY[TOPOLOGY.index("tk AS (SELECT") :]
+    nouns = "('N', 'N_proper', 'N_serapan')"
+    clash = " OR ".join(f"(v.domain = {lit(k)} AND o.domain IN ({', '.join(lit(x) for x in w.split())}))" for k, w in R.INCOMPATIBLE.items())
+    phrases = values("frasa", "a, b, ord", [(*ph.split(), i) for i, ph in enumerate(R.COMPLEMENT_PHRASES)])
+    single = values("kunci", "w, ord", [(w, i + 10) for i, w in enumerate(["yaitu", "yakni", "adalah", *[x for x in R.COMPLEMENT_WORDS if x not in ("yaitu", "yakni", "adalah")]])])
+    same = "a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx"
+    top = sum(2.718281828459045 ** w for w in R.WEIGHTS.values())
+    base = " + ".join(f"coalesce({d}, 0) * {2.718281828459045 ** w / top}::DOUBLE" for d, w in R.WEIGHTS.items())
+    sat = lambda d, e: f"greatest(0, least(1, 1 - {e} - 0.1::DOUBLE * coalesce(h_{d}, 0) / greatest(coalesce(k, 0), 1)))"
+    sats = " + ".join(sat(d, f"coalesce({d}, 0)" if d != "topologis" else "e_topo") for d in R.DIMENSIONS)
+    return CHECKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + topo + ", " + phrases + ", " + single + f""",
+ul AS (SELECT doc_id, sent_idx, max(idx) AS akhir_idx, count(*) AS nn FROM hasil GROUP BY ALL),
+nx AS (SELECT a.*, b.idx AS bi, b.root AS broot, b.kelas AS bkelas, b.hidup AS bhidup FROM ft a JOIN ft b ON {same} AND b.idx = a.idx + 1),
+hd AS (SELECT a.doc_id, a.sent_idx, a.kelas AS k1, a.root AS r1, b.kelas AS k2, b.root AS r2 FROM hasil a JOIN ul USING (doc_id, sent_idx) JOIN hasil b ON {same} AND b.idx = akhir_idx WHERE a.idx = 0),
+ps AS (SELECT doc_id, sent_idx, bool_or(kelas = 'V' AND starts_with(lower(teks), 'di') AND lower(root) <> lower(teks)) AS pasif, min(CASE WHEN kelas = 'V' AND starts_with(lower(teks), 'di') THEN idx END) AS vp FROM hasil GROUP BY ALL),
+ur AS (SELECT doc_id, sent_idx, 'topologis' AS dim, 0.8 AS sev FROM hd WHERE k2 = 'Prep' UNION ALL SELECT doc_id, sent_idx, 'topologis', 0.7 FROM nx WHERE kelas = 'Prep' AND bkelas = 'Prep' UNION ALL SELECT doc_id, sent_idx, 'topologis', 0.9 FROM hd WHERE k1 = 'Prep' AND k2 = 'Prep' AND r1 = r2
+ UNION ALL SELECT doc_id, sent_idx, 'semantik', 0.75 FROM nx WHERE kelas = 'Prep' AND lower(root) IN ('kepada', 'terhadap') AND bkelas IN ('N', 'N_serapan') AND NOT bhidup
+ UNION ALL SELECT doc_id, sent_idx, 'sintaktis', 0.8 FROM hd JOIN ps USING (doc_id, sent_idx) WHERE pasif AND k1 = 'Prep' AND lower(r1) = 'oleh' AND NOT EXISTS (SELECT 1 FROM hasil h WHERE h.doc_id = hd.doc_id AND h.sent_idx = hd.sent_idx AND h.idx < vp AND h.peran = 'S' AND h.idx <> 1 AND h.kelas NOT IN ('Prep', 'Konj'))),
+pv AS (SELECT DISTINCT doc_id, sent_idx, ra, rb, 'morfologis' AS dim, 1.0 AS sev FROM cek WHERE morfologis > 0 UNION ALL SELECT DISTINCT doc_id, sent_idx, ra, rb, 'sintaktis', 0.7 FROM cek WHERE sintaktis > 0
+ UNION ALL SELECT doc_id, sent_idx, ra, rb, 'semantik', arg_min(semantik, i * 1000 + j) FROM cek WHERE jauh GROUP BY doc_id, sent_idx, ra, rb UNION ALL SELECT DISTINCT doc_id, sent_idx, ra, rb, 'animasi', 0.85 FROM cek WHERE animasi > 0),
+mo AS (SELECT a.doc_id, a.sent_idx, count(*) FILTER (a.kelas = 'Adj' AND b.kelas IN {nouns} OR (a.peran = 'S' AND b.peran = 'P') OR (a.peran = 'P' AND b.peran = 'O')) AS pas, count(*) FILTER (a.kelas = 'Adj' AND b.kelas IN {nouns} AND a.domain <> b.domain) AS beda FROM hasil a JOIN hasil b ON {same} AND b.idx BETWEEN a.idx + 1 AND a.idx + 2 GROUP BY a.doc_id, a.sent_idx),
+tg AS (SELECT a.doc_id, a.sent_idx, b.idx AS tempat, f.ord FROM hasil a JOIN hasil b ON {same} AND b.idx = a.idx + 1 JOIN frasa f ON f.a = lower(a.teks) AND f.b = lower(b.teks) UNION ALL SELECT doc_id, sent_idx, idx, ord FROM hasil JOIN kunci ON w = lower(teks)),
+tp AS (SELECT doc_id, sent_idx, arg_min(tempat, ord * 1000 + tempat) AS tempat FROM tg GROUP BY ALL),
+gt AS (SELECT tp.doc_id, tp.sent_idx, CASE WHEN count(h.idx) < 2 THEN 1 ELSE 0 END AS gantung FROM tp LEFT JOIN hasil h ON h.doc_id = tp.doc_id AND h.sent_idx = tp.sent_idx AND h.idx > tp.tempat AND h.kelas IN ('N', 'V', 'Adj', 'N_proper', 'N_serapan', 'V_serapan') GROUP BY tp.doc_id, tp.sent_idx),
+vo AS (SELECT v.doc_id, v.sent_idx, count(DISTINCT v.idx) AS nvo FROM ft v JOIN hasil o ON o.doc_id = v.doc_id AND o.sent_idx = v.sent_idx AND o.idx BETWEEN v.idx + 1 AND v.idx + 3 WHERE v.kelas IN ('V', 'V_serapan') AND NOT v.netral AND o.kelas IN {nouns} AND ({clash}) GROUP BY v.doc_id, v.sent_idx),
+en AS (SELECT doc_id, sent_idx, count(*) AS k, avg(morfologis) AS morfologis, avg(sintaktis) AS sintaktis, avg(semantik + geometrik) AS semantik, avg(leksikal) AS leksikal, avg(animasi) AS animasi FROM cek GROUP BY ALL),
+kl AS (SELECT doc_id, sent_idx, bool_or(peran = 'P') AS pr, bool_or(peran = 'S') AS sb, bool_or(list_contains({listed(R.COMPLEMENT_MARKS)}, lower(root))) AS mk, bool_or(kelas IN {nouns}) AS nm, bool_or(kelas = 'Adj') AS aj, avg(CASE WHEN kelas = 'N_serapan' THEN 1.0::DOUBLE ELSE 0 END) AS pj FROM hasil GROUP BY ALL),
+al2 AS (SELECT xc.doc_id, xc.sent_idx, xc.n, b0, i, ex, n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, ex * 0.2::DOUBLE + i * 0.3::DOUBLE AS e_topo, en.k, en.morfologis, en.sintaktis, en.semantik, en.leksikal, en.animasi,
+ coalesce(beda, 0) AS beda, coalesce(gantung, 0) AS gantung, coalesce(nvo, 0) AS nvo, coalesce(pas, 0) AS pas, pr, sb, mk, nm, aj, pj FROM xc LEFT JOIN en USING (doc_id, sent_idx) LEFT JOIN mo USING (doc_id, sent_idx) LEFT JOIN gt USING (doc_id, sent_idx) LEFT JOIN vo USING (doc_id, sent_idx) LEFT JOIN kl USING (doc_id, sent_idx)),
+dv AS (SELECT doc_id, sent_idx, dim, sev FROM pv UNION ALL SELECT doc_id, sent_idx, dim, sev FROM ur),
+hv AS (SELECT doc_id, sent_idx, count(*) AS nd, count(*) FILTER (dim = 'morfologis' AND sev > 0.5) AS hm, count(*) FILTER (dim = 'sintaktis' AND sev > 0.5) AS hs, count(*) FILTER (dim = 'semantik' AND sev > 0.5) AS hk, count(*) FILTER (dim = 'animasi' AND sev > 0.5) AS ha, count(*) FILTER (dim = 'topologis' AND sev > 0.5) AS ht FROM dv GROUP BY ALL),
+uo AS (SELECT doc_id, sent_idx, count(*) AS nu FROM ur GROUP BY ALL),
+pn AS (SELECT al2.*, coalesce(nu, 0) AS nu, coalesce(nd, 0) + beda + gantung + nvo + i + CASE WHEN n > 1 AND b0 > 1 THEN 1 ELSE 0 END + CASE WHEN ex > 0 THEN 1 ELSE 0 END AS np, coalesce(hm, 0) AS h_morfologis, coalesce(hs, 0) + beda AS h_sintaktis, coalesce(hk, 0) + gantung + nvo AS h_semantik, 0 AS h_leksikal, coalesce(ha, 0) AS h_animasi,
+ coalesce(ht, 0) + i + CASE WHEN n > 1 AND b0 > 1 THEN 1 ELSE 0 END AS h_topologis, (beda + gantung + nvo)::DOUBLE / greatest(1, n + pas + gantung + nvo) AS e_kom FROM al2 LEFT JOIN hv USING (doc_id, sent_idx) LEFT JOIN uo USING (doc_id, sent_idx)),
+eg AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (CASE WHEN nu > 0 THEN least(1, {base} + 0.15::DOUBLE * nu) ELSE {base} END) + 0.2::DOUBLE * e_kom + 0.15::DOUBLE * e_topo END AS energi,
+ CASE WHEN n = 0 THEN 0 ELSE 1 - CASE WHEN NOT pr AND NOT (mk AND nm) AND NOT (nm AND aj) THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN NOT sb AND NOT mk AND NOT (nm AND aj) THEN 0.3::DOUBLE ELSE 0 END END AS lengkap, ({sats}) / 6 AS puas FROM pn),
+sk AS (SELECT *, greatest(0, 0.5::DOUBLE / (1 + exp(greatest(0, least(5, energi)))) + 0.3::DOUBLE * puas + 0.2::DOUBLE * CASE WHEN anomali THEN 0.7::DOUBLE ELSE 1 END - least(0.4, 0.08::DOUBLE * (h_morfologis + h_sintaktis + h_semantik + h_animasi + h_topologis))) * (0.5 + 0.5::DOUBLE * lengkap) AS skor FROM eg)"""
+
+
+SCORE = _score_sql()
+
+
+@query(SCORE + """ SELECT doc_id, sent_idx, n_morfisme, n_rusak, round(e_kom, 6) AS energi FROM (SELECT *, CAST(n + pas + gantung + nvo AS INT) AS n_morfisme, CAST(beda + gantung + nvo AS INT) AS n_rusak FROM pn)""")
+def composition_checks(spark, sf_dir):
+    return checks.composition(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
+
+
+@query()
+def violations(spark, sf_dir):
+    a = checks.analyse(parsed(spark)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
+    return a.select("doc_id", "sent_idx", "v.tipe", F.concat_ws(" ", "v.tokens").alias("tokens"), "v.dimensi", F.round("v.severitas", 6).alias("severitas"), "v.asal")
+
+
+@query()
+def violation_spans(spark, sf_dir):
+    return checks.spans(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
+
+
+@query(SCORE + """ SELECT doc_id, sent_idx, round(least(1, skor), 6) AS skor, round(energi, 6) AS energi, energi < 0.5 AND NOT anomali AS valid, round(lengkap, 6) AS lengkap, CASE WHEN coalesce(pj, 0) > 0.3 THEN 'mixed' ELSE 'formal' END AS register, round(puas, 6) AS kepuasan, CAST(np AS INT) AS n_pelanggaran FROM sk""")
+def sentence_scores(spark, sf_dir):
+    a = checks.analyse(parsed(spark))
+    return a.select("doc_id", "sent_idx", F.round("skor", 6).alias("skor"), F.round("energi", 6).alias("energi"), "valid", F.round("lengkap", 6).alias("lengkap"), "register", F.round("rata_kepuasan", 6).alias("kepuasan"), F.size("pelanggaran").alias("n_pelanggaran"))
+
+
 @query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS INT) AS betti1, CAST(n - e + f AS INT) AS euler, CAST(e AS INT) AS n_sisi, CAST(f AS INT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
  n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, round(ex * 0.2::DOUBLE + i * 0.3::DOUBLE, 6) AS energi FROM xc""")
 def topology_numbers(spark, sf_dir):
