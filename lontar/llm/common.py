@@ -49,16 +49,22 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes stored tables that are not read again, and lets Spark drop the shuffles of what is no longer used."""
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes stored tables that are not read again, and lets Spark drop the shuffles of plans no longer used.
+
+    Spark's cleaner drops a shuffle's files when the driver's garbage collector finds its plan unreachable; a driver
+    with memory to spare may not collect for a long time, so it is asked to, twice, as the first round frees handles.
+    """
     import gc
+    import time
 
     for t in tables:
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            delete(t.sparkSession, path)
-    spark = tables[0].sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            delete(spark, path)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def unique_ids(docs: DataFrame) -> bool:

@@ -85,7 +85,8 @@ class FMIndex:
         self.flat, self.width = text, w + 1
         top = int(text.max(initial=1)) + 1
         count = np.bincount(text, minlength=top + 1)
-        self.less = np.concatenate([[0], np.cumsum(count)])[: top + 1]  # suffixes that begin with a smaller symbol
+        upto = np.concatenate([[0], np.cumsum(count)])
+        self.less, self.upto = upto[: top + 1], upto[1 : top + 2]  # suffixes that begin with a smaller symbol, or one no larger
         self.zero = self.tree.rank(np.arange(top), np.zeros(top, np.int64))
 
     def intervals(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +94,12 @@ class FMIndex:
 
         Only those with two occurrences or more: an interval of one is the place itself.
         """
-        live = np.arange(len(at))
-        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.flat), np.int64)
-        for j in reversed(range(length)):
+        c = self.flat[at + length - 1]
+        live = np.flatnonzero(self.upto[c] - self.less[c] > 1)
+        at, lo, hi = at[live], self.less[c[live]], self.upto[c[live]]
+        for j in reversed(range(length - 1)):
+            if not len(live):
+                break
             c = self.flat[at + j]
             less = self.less[c] - self.zero[c]
             lo, hi = less + self.tree.rank(c, lo), less + self.tree.rank(c, hi)
@@ -181,10 +185,11 @@ def repeats(keyed: DataFrame) -> DataFrame:
 
     A mark is pos << 16 | bits: bit o stands for the window from pos + o, if the document has that window.
     """
+    spark = keyed.sparkSession
     a = stored(anchor_rows(keyed))
     twice = a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     m = stored(a.join(twice, "h", "left_semi"))
-    release(a)
+    release(spark, a)
     classes = m.groupBy("h", "sh").agg(F.min("key").alias("ckey"), F.min_by("pos", F.struct("key", "pos")).alias("cpos"))
 
     def cut(batches):
@@ -238,7 +243,9 @@ def repeats(keyed: DataFrame) -> DataFrame:
         if n:
             yield flush(pa.Table.from_batches(held))
 
-    found = seg.mapInArrow(search, "sh long, ckey long, cpos int, over array<long>")
+    found = stored(seg.mapInArrow(search, "sh long, ckey long, cpos int, over array<long>"))
+    del classes, at, seg
+    release(spark)
 
     def judge(batches):
         for b in batches:
