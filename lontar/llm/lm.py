@@ -6,14 +6,12 @@ pairs (the first word follows an end). A count c is quantised to level q = 1 + f
 stands for the middle of its range. A text's probability interpolates: (1 - LAMBDA) of the smoothed word probability
 (c(w) + 1) / (N + V + 1) and LAMBDA of c(v, w) / c(v).
 
-Counting: each task hashes words to 64 bits, sums equal ones in batches of BATCH tokens, and sends one packed message
-for each block of the hash space. A block's owner sums its messages, builds its slice of the filter, and, for the
-exact base score, answers each message with sums of log10(c + 1) by document. So a word of any frequency is a few
-entries of a message, and messages grow with the input.
-
-The filter is broadcast. Its size is bounded by filter_bytes: where a block's items would overfill its slice, the
-least count that the slice holds is doubled until they fit, so large corpora coarsen rare counts to zero and never
-the broadcast. base_score stays exact.
+Counting: each task hashes words to 64 bits and, in batches of BATCH tokens, sends the distinct words and pairs in one
+packed message for each block of the hash space. A block's owner sums its messages, builds its slice of the filter, and
+answers each message with the levels of its words and pairs and, for the exact base score, the words' counts. A batch's
+answers meet its tokens, which are read from the table again in the same batches. So a word of any frequency is one
+entry of a message, and messages, answers and the filter grow with the input: a slice is as large as its items need,
+no count is left out of it, and no task or driver holds more than one slice.
 
 Null and empty texts have the end token alone. Rows that repeat a doc_id each count and score for themselves. With no
 training rows N = V = 0. Extra columns are ignored.
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import in_training, spread, stored
 
-LAMBDA, PROBES, BITS_PER_ITEM, FILTER_BYTES = 0.1, 4, 8, 160 << 20
+LAMBDA, PROBES, BITS_PER_ITEM = 0.1, 4, 8
 BATCH = 2 << 20
 FINE = {1: 2, 2: 1}  # levels for each doubling of a count: words, pairs
 U = np.uint64
@@ -58,79 +56,72 @@ def pairs(h, new):
     return K.mix(v * U(0x9FB21C651E98DF25) + h + _PAIR), v
 
 
-def summed(h, counts=None):
-    """(distinct, sums), ascending."""
+def summed(h, counts):
+    """(distinct, sums, place of each entry among the distinct), ascending."""
     if not len(h):
-        return h, np.zeros(0, np.int64)
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
     o = np.argsort(h, kind="stable")
     a = h[o]
-    cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    return a[cut], np.diff(np.r_[cut, len(a)]) if counts is None else np.add.reduceat(counts[o], cut)
+    new = np.r_[True, a[1:] != a[:-1]]
+    at = np.empty(len(h), np.int64)
+    at[o] = np.cumsum(new) - 1
+    cut = np.flatnonzero(new)
+    return a[cut], np.add.reduceat(counts[o].astype(np.int64), cut), at
+
+
+def turns(batches):
+    """(msg, ids, held out, hash, doc, new) of runs of BATCH tokens. A scan of the same table gives the same ones."""
+    from pyspark import TaskContext
+
+    part, turn = TaskContext.get().partitionId(), 0
+    ids, held, hs, ds, news, n = [], [], [], [], [], 0
+
+    def whole():
+        return (part << 24) + turn, ids, np.array(held, bool), np.concatenate(hs), np.concatenate(ds), np.concatenate(news)
+
+    for b in batches:
+        keys, out = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for lo, hi, raw, offs in K.chunks(b.column(2)):
+            h, d, new = tokens(raw, offs)
+            hs.append(h), ds.append(d + len(ids)), news.append(new)
+            ids += keys[lo:hi]
+            held += out[lo:hi]
+            n += len(h)
+            if n >= BATCH:
+                yield whole()
+                ids, held, hs, ds, news, n = [], [], [], [], [], 0
+                turn += 1
+    if ids:
+        yield whole()
+
+
+def packed(rows, names, types):
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
 
 def messages(docs: DataFrame, blocks: int) -> DataFrame:
-    """(kind, block, msg, a, b, c): packed messages.
+    """(kind, block, msg, a, b): packed messages; kind 1: words of a block, kind 2: pairs.
 
-    kind 0: a batch's documents: a = doc_ids, b = number of tokens, c = held out (goes to no block).
-    kind 1: words of a block: a = hashes, b = entries of each hash and of those training ones, c = document of each entry.
-    kind 2: pairs of training documents of a block: a = hashes, b = counts.
+    a = distinct hashes, b = how often each is in training documents.
     """
     shift = U(64 - int(math.log2(blocks)))
-    names = ["kind", "block", "msg", "a", "b", "c"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-    def flush(part, msg, ids, held, hs, ds, ps, pcs):
-        rows = []
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        heldout = np.array(held, np.uint8)
-        rows.append((0, 0, msg, np.array(ids, np.int64).tobytes(), np.bincount(d, minlength=len(ids)).astype(np.int64).tobytes(), heldout.tobytes()))
-        o = np.argsort(h, kind="stable")
-        a, d = h[o], d[o]
-        cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        n = np.diff(np.r_[cut, len(a)])
-        train = np.add.reduceat((heldout[d] == 0).astype(np.int64), cut)
-        u = a[cut]
-        edge = np.searchsorted(u >> shift, np.arange(blocks + 1).astype(U))
-        at = np.r_[cut, len(a)]
-        for k in range(blocks):
-            s = slice(edge[k], edge[k + 1])
-            if s.stop > s.start:
-                rows.append((1, k, msg, u[s].tobytes(), np.concatenate([n[s], train[s]]).astype(np.uint32).tobytes(), d[at[s.start] : at[s.stop]].astype(np.uint32 if len(ids) > 65535 else np.uint16).tobytes()))
-        if ps:
-            u, c = summed(np.concatenate(ps), np.concatenate(pcs))
-            edge = np.searchsorted(u >> shift, np.arange(blocks + 1).astype(U))
-            for k in range(blocks):
-                s = slice(edge[k], edge[k + 1])
-                if s.stop > s.start:
-                    c8 = c[s]
-                    rows.append((2, k, msg, u[s].tobytes(), (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes(), None))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+    names = ["kind", "block", "msg", "a", "b"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        from pyspark import TaskContext
+        for msg, _, held, h, d, new in turns(batches):
+            train, rows = ~held[d], []
+            for kind, x in ((1, h), (2, pairs(h, new)[0])):
+                u, c, _ = summed(x, train)
+                edge = np.searchsorted(u >> shift, np.arange(blocks + 1).astype(U))
+                for k in range(blocks):
+                    s = slice(edge[k], edge[k + 1])
+                    if s.stop > s.start:
+                        c8 = c[s]
+                        rows.append((kind, k, msg, u[s].tobytes(), (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes()))
+            yield packed(rows, names, types)
 
-        part, turn = TaskContext.get().partitionId(), 0
-        ids, held, hs, ds, ps, pcs, n = [], [], [], [], [], [], 0
-        for b in batches:
-            keys, out = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi, raw, offs in K.chunks(b.column(2)):
-                h, d, new = tokens(raw, offs)
-                o = np.array(out[lo:hi], bool)
-                p, _ = pairs(h, new)
-                u, c = summed(p[~o[d]])
-                ps.append(u), pcs.append(c)
-                hs.append(h), ds.append(d + len(ids))
-                ids += [k if k is not None else -(2**63) for k in keys[lo:hi]]
-                held += out[lo:hi]
-                n += len(h)
-                if n >= BATCH:
-                    yield flush(part, (part << 24) + turn, ids, held, hs, ds, ps, pcs)
-                    ids, held, hs, ds, ps, pcs, n = [], [], [], [], [], [], 0
-                    turn += 1
-        if ids:
-            yield flush(part, (part << 24) + turn, ids, held, hs, ds, ps, pcs)
-
-    return docs.mapInArrow(run, "kind int, block int, msg long, a binary, b binary, c binary")
+    return docs.mapInArrow(run, "kind int, block int, msg long, a binary, b binary")
 
 
 def slots(h, level: int, size: int):
@@ -147,13 +138,21 @@ def levels(c, fine: int):
     return 1 + np.floor(np.log2(np.maximum(c, 1)) * fine + 1e-9).astype(np.int64)
 
 
-def fill(groups, most_bits: int):
-    """(slice, bits, least): a slice of the filter for [(hashes, counts, fine)], and the least count it holds."""
+def values(q, fine: int):
+    """The count that a level stands for."""
+    lo = 2.0 ** ((q - 1) / fine)
+    return np.where(q > 0, np.where(q <= fine, lo, lo * 2 ** (0.5 / fine)), 0.0)
+
+
+def fill(groups, most_bits: int | None = None):
+    """(slice, bits, least): a slice of the filter for [(hashes, counts, fine)], and the least count it holds.
+
+    The slice holds every count, unless it is bounded by most_bits (report() does not)."""
     least = 1
     while True:
         items = sum(int(levels(c[c >= least] // least, f).sum()) for _, c, f in groups)
         bits = max(64, -(-items * BITS_PER_ITEM // 64) * 64)
-        if bits <= most_bits or not items:
+        if most_bits is None or bits <= most_bits or not items:
             break
         least *= 2
     a = np.zeros(bits, bool)
@@ -167,63 +166,48 @@ def fill(groups, most_bits: int):
     return np.packbits(a, bitorder="little").tobytes(), bits, least
 
 
-def owners(sent: DataFrame, blocks: int, most_bits: int) -> DataFrame:
-    """(kind, msg, block, a, b, n, m): kind 0 rows as they came; kind 1 answers: a = sums of log10(c + 1) by
-    document, b = known tokens; kind 3: a = the block's slice, n = bits, m = least count; kind 4: n = N, m = V."""
-    names = ["kind", "msg", "block", "a", "b", "c", "n", "m"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+def owners(sent: DataFrame, blocks: int) -> DataFrame:
+    """(kind, msg, block, a, b, n, m): kinds 1 and 2 answer messages: a = levels, b = the words' exact counts; kind 4:
+    n = N, m = V of the block."""
+    names = ["kind", "msg", "block", "a", "b", "n", "m"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def settle(block, held):
-        words = [x for x in held if x[0] == 1]
-        made = []
-        for _, msg, a, b, c in words:
-            u = np.frombuffer(a, U)
-            n, train = np.frombuffer(b, np.uint32).reshape(2, -1).astype(np.int64)
-            d = np.frombuffer(c, np.uint16 if len(c) == 2 * n.sum() else np.uint32)
-            made.append((msg, u, n, train, d))
-        groups = []
-        if made:
-            u, c = summed(np.concatenate([x[1] for x in made]), np.concatenate([x[3] for x in made]))
-            u, c = u[c > 0], c[c > 0]
-            groups.append((u, c, FINE[1]))
-            yield batch([(4, -1, block, None, None, None, int(c.sum()), len(u))])
-            for msg, w, n, _, d in made:
-                at = np.minimum(np.searchsorted(u, w), max(0, len(u) - 1))
-                cw = np.where(u[at] == w, c[at], 0) if len(u) else np.zeros(len(w), np.int64)
-                each = np.repeat(cw, n)
-                s, k = np.bincount(d, np.log10(each + 1.0)), np.bincount(d, each > 0).astype(np.int64)
-                yield batch([(1, msg, block, s.tobytes(), k.astype(np.uint32).tobytes(), None, 0, 0)])
-        two = [x for x in held if x[0] == 2]
-        if two:
-            hs = [np.frombuffer(x[2], U) for x in two]
-            cs = [np.frombuffer(x[3], np.uint8 if len(x[3]) * 8 == len(x[2]) else np.uint32).astype(np.int64) for x in two]
-            groups.append((*summed(np.concatenate(hs), np.concatenate(cs)), FINE[2]))
-        if groups:
-            s, bits, least = fill(groups, most_bits)
-            yield batch([(3, -1, block, s, None, None, bits, least)])
+        groups, asked = [], []
+        for kind in (1, 2):
+            made = [x for x in held if x[0] == kind]
+            if not made:
+                continue
+            hs = [np.frombuffer(x[2], U) for x in made]
+            cs = [np.frombuffer(x[3], np.uint8 if x[3].size * 8 == x[2].size else np.uint32).astype(np.int64) for x in made]
+            u, c, at = summed(np.concatenate(hs), np.concatenate(cs))
+            groups.append((u[c > 0], c[c > 0], FINE[kind]))
+            asked.append((kind, [x[1] for x in made], [len(x) for x in hs], u, c, at))
+            if kind == 1:
+                yield packed([(4, -1, block, None, None, int(c.sum()), int((c > 0).sum()))], names, types)
+        f = Filter({0: fill(groups)}, 1)
+        for kind, msgs, sizes, u, c, at in asked:
+            q, lo = f.levels(u).astype(np.uint8), 0
+            for msg, n in zip(msgs, sizes):
+                x = at[lo : lo + n]
+                yield packed([(kind, msg, block, q[x].tobytes(), c[x].tobytes() if kind == 1 else None, 0, 0)], names, types)
+                lo += n
 
     def run(batches):
         block, held = None, []
         for b in batches:
-            for kind, k, msg, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
-                if kind == 0:
-                    yield batch([(0, msg, -1, x, y, z, 0, 0)])
-                    continue
+            whole = [c.to_pylist() for c in b.columns[:3]] + [[x.as_buffer() for x in c] for c in b.columns[3:]]  # binaries are not copied
+            for kind, k, msg, x, y in zip(*whole):
                 if k != block and held:
                     yield from settle(block, held)
                     held = []
                 block = k
-                held.append((kind, msg, x, y, z))
+                held.append((kind, msg, x, y))
         if held:
             yield from settle(block, held)
 
-    # a block's messages come to one task, documents' rows spread over all
-    to = F.when(F.col("kind") == 0, -1 - F.col("msg") % blocks).otherwise(F.col("block"))
-    rows = sent.repartition(F.col("kind") == 0, to).sortWithinPartitions("block", "kind")
-    return rows.mapInArrow(run, "kind int, msg long, block int, a binary, b binary, c binary, n long, m long")
+    rows = sent.repartition("block").sortWithinPartitions("block", "kind")
+    return rows.mapInArrow(run, "kind int, msg long, block int, a binary, b binary, n long, m long")
 
 
 class Filter:
@@ -240,8 +224,8 @@ class Filter:
             parts.append(s)
         self.data = np.frombuffer(b"".join(parts), np.uint8)
 
-    def count(self, h, fine: int):
-        """Quantised counts (0: not held)."""
+    def levels(self, h):
+        """The last level held of each item (0: not held)."""
         q = np.zeros(len(h), np.int64)
         live = np.arange(len(h))
         level = 1
@@ -259,82 +243,86 @@ class Filter:
                 y = (y + step) & U(0xFFFFFFFF)
             q[live] = level
             level += 1
-        lo = 2.0 ** ((q - 1) / fine)
-        return np.where(q > 0, np.where(q <= fine, lo, lo * 2 ** (0.5 / fine)), 0.0) * self.least[(h >> self.shift).astype(np.int64)]
-
-
-def log_scores(f: Filter, raw, offs, total: float, lam: float):
-    """log10 probability of each text: total is N + V + 1."""
-    h, d, new = tokens(raw, offs)
-    u, inv = np.unique(h, return_inverse=True)
-    c = f.count(u, FINE[1])
-    p, v = pairs(h, new)
-    cv = np.empty(len(h))
-    cv[1:] = c[inv[:-1]]
-    cv[new] = c[np.searchsorted(u, END)]
-    seen = cv > 0
-    two = np.zeros(len(h))
-    two[seen] = np.minimum(f.count(p[seen], FINE[2]) / cv[seen], 1.0)
-    one = (c[inv] + 1) / total
-    prob = np.where(seen, (1 - lam) * one + lam * two, one)
-    return np.bincount(d, np.log10(prob), minlength=len(offs) - 1)
-
-
-def report(docs: DataFrame, filter_bytes: int = FILTER_BYTES, lam: float = LAMBDA, blocks: int | None = None) -> DataFrame:
+        return q
+
+    def count(self, h, fine: int):
+        """Quantised counts (0: not held)."""
+        return values(self.levels(h), fine) * self.least[(h >> self.shift).astype(np.int64)]
+
+
+def planes(x) -> bytes:
+    """Numbers of 32 bits byte by byte: the upper ones are mostly zero and compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(b: bytes):
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def report(docs: DataFrame, lam: float = LAMBDA, blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    blocks = blocks or min(4096, 1 << max(4, math.ceil(math.log2(spread(docs)))))
+    blocks = blocks or min(4096, 1 << max(4, math.ceil(math.log2(4 * spread(docs)))))  # four for each task: messages are small rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", (~in_training(7, 2)).alias("held_out"), "text")
-    got = stored(owners(messages(base, blocks), blocks, filter_bytes * 8 // blocks))
+    got = stored(owners(messages(base, blocks), blocks))
     n = got.where("kind = 4").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()
-    total = float(n.n + n.v + 1)
-    slices = {r.block: (bytes(r.a), r.n, r.m) for r in got.where("kind = 3").select("block", "a", "n", "m").toLocalIterator()}  # filter_bytes at most
-    cast = spark.sparkContext.broadcast((slices, blocks))
-    train = int(n.n)
+    total, train = float(n.n + n.v + 1), int(n.n)
+    names = ["msg", "kind", "block", "a", "b", "c", "d", "e"]
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+    def again(batches):
+        """A batch's tokens: a = doc_ids, b = numbers of tokens, c = held out (1), doc_id null (2), d = distinct words, e = place of each token among them."""
+        for msg, ids, held, h, d, _ in turns(batches):
+            u, _, at = summed(h, np.ones(len(h), np.int64))
+            null = np.array([k is None for k in ids])
+            yield packed([(msg, 0, -1, np.array([k or 0 for k in ids], np.int64).tobytes(), planes(np.bincount(d, minlength=len(ids))), (held + 2 * null).astype(np.uint8).tobytes(), u.tobytes(), planes(at))], names, types)
+
+    def settle(held):
+        """Scores of a batch from its tokens and answers; the answers, in order of blocks, are those of its distinct words and pairs."""
+        if not held[0]:
+            raise RuntimeError("lm: the table's second scan differs from the first")
+        ids, size, flags, u, at = held[0]
+        ids, size, flags, u, at = np.frombuffer(ids, np.int64), unplaned(size).astype(np.int64), np.frombuffer(flags, np.uint8), np.frombuffer(u, U), unplaned(at)
+        q1, c, q2 = (np.frombuffer(b"".join(held[k]), t) for k, t in ((1, np.uint8), (3, np.int64), (2, np.uint8)))
+        h, d, new = u[at], np.repeat(np.arange(len(ids)), size), np.zeros(len(at), bool)
+        new[np.cumsum(size) - size] = True
+        p, _ = pairs(h, new)
+        p, _, pat = summed(p, np.ones(len(p), np.int64))
+        if len(q1) != len(u) or len(c) != len(u) or len(q2) != len(p):
+            raise RuntimeError("lm: the table's second scan differs from the first")
+        words = values(q1.astype(np.int64), FINE[1])
+        cv = np.empty(len(h))
+        cv[1:] = words[at[:-1]]
+        cv[new] = words[np.searchsorted(u, END)]
+        seen = cv > 0
+        one = ((words + 1) / total)[at]
+        two = np.minimum(values(q2.astype(np.int64), FINE[2])[pat] / np.where(seen, cv, 1.0), 1.0)
+        prob = np.where(seen, (1 - lam) * one + lam * two, one)
+        exact = np.bincount(d, np.log10(c + 1.0)[at]) - size * math.log10(total)
+        known = np.bincount(d, (c > 0)[at]).astype(np.int64)
+        cells = [pa.array(ids, mask=flags & 2 > 0), pa.array(flags & 1 > 0), pa.array(size), pa.array(known), pa.array(exact), pa.array(np.bincount(d, np.log10(prob)))]
+        return pa.RecordBatch.from_arrays(cells, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def join(batches):
-        msg, held = None, []
-
-        def settle():
-            head = next(x for x in held if x[0] == 0)
-            ids, size, out = np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.int64), np.frombuffer(head[3], np.uint8)
-            s, k = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            for x in sorted((x for x in held if x[0] == 1), key=lambda x: x[4]):
-                a = np.frombuffer(x[1])
-                s[: len(a)] += a
-                k[: len(a)] += np.frombuffer(x[2], np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([msg] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(out == 1), pa.array(size), pa.array(k), pa.array(s - size * math.log10(total))],
-                                              ["msg", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
-
+        msg, held = None, None
         for b in batches:
-            for t, m, x, y, z, blk in zip(*[c.to_pylist() for c in b.columns]):
-                if m != msg and held:
-                    yield settle()
-                    held = []
-                msg = m
-                held.append((t, x, y, z, blk))
+            for m, k, _, *x in zip(*[c.to_pylist() for c in b.columns]):
+                if m != msg:
+                    if held:
+                        yield settle(held)
+                    msg, held = m, {0: None, 1: [], 2: [], 3: []}
+                if k == 0:
+                    held[0] = x
+                else:
+                    held[k].append(x[0])
+                    if k == 1:
+                        held[3].append(x[1])
         if held:
-            yield settle()
-
-    rows = got.where("kind < 2").select("kind", "msg", "a", "b", "c", "block").repartition("msg").sortWithinPartitions("msg", "kind", "block")
-    exact = rows.mapInArrow(join, "msg long, place long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double")
-
-    def probe(batches):
-        f = Filter(*cast.value)
-        from pyspark import TaskContext
-
-        # the same batches as in messages(): a row is known by its batch's number and its place there
-        part, turn, n, place = TaskContext.get().partitionId(), 0, 0, 0
-        for b in batches:
-            for lo, hi, raw, offs in K.chunks(b.column(2)):
-                s = log_scores(f, raw, offs, total, lam)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([(part << 24) + turn] * (hi - lo), pa.int64()), pa.array(np.arange(place, place + hi - lo)), pa.array(s)], ["doc_id", "msg", "place", "score"])
-                place += hi - lo
-                n += len(K.words(raw, offs)[0]) + hi - lo
-                if n >= BATCH:
-                    n, place, turn = 0, 0, turn + 1
-
-    scored = base.mapInArrow(probe, f"doc_id {kind}, msg long, place long, score double")
-    out = scored.join(exact.drop("doc_id"), ["msg", "place"])
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
+            yield settle(held)
+
+    answers = got.where("kind < 3").select("msg", "kind", "block", "a", "b")
+    # the table comes first in the union: its tasks then have the numbers they had in messages()
+    scan = base.mapInArrow(again, "msg long, kind int, block int, a binary, b binary, c binary, d binary, e binary")
+    rows = scan.unionByName(answers, allowMissingColumns=True)
+    out = rows.repartition("msg").sortWithinPartitions("msg", "kind", "block").mapInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -261,3 +261,24 @@ def test_filter_has_no_false_negatives_and_bounds_its_size():
     s, bits, least = lm.fill([(h, c, 2)], 1 << 17)
     assert bits <= 1 << 17 and least > 1
     assert (lm.Filter({0: (s, bits, least)}, 2).count(h[low & (c < least)], 2) == 0).mean() > 0.8
+
+
+def test_lm_keeps_every_count_at_any_size(spark):
+    """Where a version has a bound on the filter, one far below the items: scores stay those of all counts."""
+    import inspect
+
+    bound = {"filter_bytes": 64} if "filter_bytes" in inspect.signature(lm.report).parameters else {}
+    r = random.Random(3)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 900}" for _ in range(r.randint(0, 40))) for _ in range(300)]
+    got = {x.doc_id: x.score for x in lm.report(frame(spark, texts), blocks=4, **bound).collect()}
+    tok = {i: t.split() + ["\n"] for i, t in enumerate(texts)}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in tok.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(w), two.update(zip(["\n", *w], w))
+    total = sum(one.values()) + len(one) + 1
+    off = []
+    for i, w in tok.items():
+        want = sum(math.log10(0.9 * (one[x] + 1) / total + 0.1 * two[v, x] / one[v] if one[v] else (one[x] + 1) / total) for v, x in zip(["\n", *w], w))
+        off.append((got[i] - want) / len(w))
+    assert abs(np.mean(off)) < 0.05 and np.mean(np.abs(off)) < 0.1
