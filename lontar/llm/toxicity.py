@@ -42,14 +42,15 @@ ALIKE = str.maketrans(dict(zip(
     "abcehijkmoopqstyxywaabyeiknoptuxwc" + "o", strict=True)))
 _AS = str.maketrans("01345789@$!", "oieastbgasi")
 _GAP = re.compile(r"[\W\d_]+")
-_INSIDE = re.compile(r"[^\W\d_][\d@$!]+(?=[^\W\d_])|^[\d@$]+(?=[^\W\d_])|[^\W\d_][\d]+$")
-_SIGNED = re.compile(r"\S*[0134578@$]\S*")
+#: A whole run of letters, digits and signs, if it is not of letters alone; each text is gone through once.
+_SIGNED = re.compile(r"(?<![^\W_])(?<![@$!])[^\W\d_]*+[\d@$!](?:[^\W_]|[@$!])*+")
+_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(f"[{''.join(map(chr, ALIKE))}]")
 
 
 def _sign(m) -> str:
-    w = m[0].strip(".,;:!?\"'()[]{}|*&%#")
-    return f" {_INSIDE.sub(lambda x: x[0].translate(_AS), w)} "
+    w = m[0].lstrip("!").rstrip("@$!")
+    return w.translate(_AS) if _LETTER.search(w) else w
 
 
 def fold(text: str) -> str:
@@ -60,7 +61,7 @@ def fold(text: str) -> str:
         t = text.casefold()
         if _OTHER.search(t):
             t = t.translate(ALIKE)
-    if any(c in t for c in "0134578@$"):
+    if any(c in t for c in "01345789@$!"):
         t = _SIGNED.sub(_sign, t)
     return f" {_GAP.sub(' ', t).strip()} "
 

@@ -117,6 +117,14 @@ def test_fold():
     assert toxicity.fold("") == "  " == toxicity.fold("!?  12")
 
 
+@pytest.mark.parametrize("text, out", [
+    *[(f"x{c}y", f" x{d}y ") for c, d in zip("01345789@$!", "oieastbgasi", strict=True)], *[(f"x{c}{c}y", f" x{d}{d}y ") for c, d in zip("01345789@$!", "oieastbgasi", strict=True)],
+    ("sh!t id!ot pathet!c", " shit idiot pathetic "), ("you 1d10t, id!ot", " you idiot idiot "), ("/1d10t m0r0n,1d10t so-called-1d10t", " idiot moron idiot so called idiot "),
+    ("Stop! \"idiot!\" 99 9! $5 $cum a$$hole @ss", " stop idiot scum asshole ass "), ("x" * 70000 + "-1", " " + "x" * 70000 + " ")])
+def test_fold_every_sign(text, out):
+    assert toxicity.fold(text) == out
+
+
 def made(n, seed=1):
     r = random.Random(seed)
     common = ["lorem", "ipsum", "dolor", "sit", "amet", "magna", "aliqua", "tempor", "labore", "irure"]
