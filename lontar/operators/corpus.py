@@ -71,35 +71,97 @@ def near_key(c, length: int):
     return F.substr(F.lower(F.trim(c)), F.lit(1), F.lit(length))
 
 
+def likeness(a, b):
+    """Jaccard similarity of two columns of distinct words; 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union > 0, both / union).otherwise(1.0)
+
+
 def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", order: str = "doc_id", rounds: int = 200) -> DataFrame:
     """Rows kept when, in order, a row goes if its word set is similar (Jaccard) to a kept one with the same key.
 
     In each round the first row left of each key is kept and all others of the key are held against it alone; those
-    similar to it go. That is the rule itself: no pairs are formed, and a key's rows meet one row in each round.
+    similar to it go. That is the rule itself: no pairs are formed, and a key's rows meet one row in each round. When a
+    round settles less than a tenth of the rows left, or after `rounds` of them, keys with many kept rows remain, and
+    settled() applies the same rule to what is left.
     """
     from .storage import stored
 
-    rest = df.select(F.col(order).alias("id"), F.xxhash64(near_key(F.col(text), s.key_length)).alias("key"), F.array_distinct(F.transform(word_list(F.lower(text)), lambda w: F.xxhash64(w))).alias("words"))
-    rest = stored(rest)
-    kept = []
+    key = F.xxhash64(near_key(F.col(text), s.key_length)).alias("key")
+    keys = stored(df.select(F.col(order).alias("id"), key).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    # a row that is alone with its key is kept, and its words do not travel
+    kept = [keys.where("n = 1").select("id")]
+    shared = df.select(F.col(order).alias("id"), key, F.col(text).alias("t")).join(keys.where("n > 1").select("key"), "key", "left_semi")
+    rest = stored(shared.select("id", "key", F.array_distinct(F.transform(word_list(F.lower("t")), lambda w: F.xxhash64(w))).alias("words")))
+    n = rest.count()
     for _ in range(rounds):
         first = rest.groupBy("key").agg(F.min("id").alias("fid"))
         lead = rest.join(first, "key").where("id = fid").select("key", "fid", F.col("words").alias("lw"))
         kept.append(lead.select(F.col("fid").alias("id")))
-        both = F.size(F.array_intersect("words", "lw"))
-        union = F.size("words") + F.size("lw") - both
-        like = F.when(union > 0, both / union).otherwise(1.0)
-        rest = stored(rest.join(lead, "key").where((F.col("id") > F.col("fid")) & (like < s.near_threshold)).select("id", "key", "words"))
-        if rest.isEmpty():
+        rest = stored(rest.join(lead, "key").where((F.col("id") > F.col("fid")) & (likeness("words", "lw") < s.near_threshold)).select("id", "key", "words"))
+        before, n = n, rest.count()
+        if n > 0.9 * before or not n:
             break
-    else:
-        raise RuntimeError("near_dedup: rounds ran out")
+    if n:
+        kept += settled(rest, s.near_threshold)
     ids = kept[0]
     for k in kept[1:]:
         ids = ids.unionByName(k)
     return df.join(ids.withColumnRenamed("id", order), order, "left_semi")
 
 
+def settled(rest: DataFrame, least: float) -> list[DataFrame]:
+    """Tables of the ids kept of (id, key, words) by near_dedup's rule, for any number of kept rows in a key.
+
+    Of equal word sets the first counts. Two similar sets share one of their rarest words (prefix filter: as many as may
+    differ, and one more). A row that is the first at each of its rare words has no similar row before it: it is kept, and
+    the rows that meet it there and are similar go, so large groups of copies go without pairs. When that settles less
+    than a tenth, the similar pairs among the rows left are formed, and their ids are settled in order: a row is
+    kept when none before it that is similar is left, and those similar to it go.
+    """
+    from .storage import stored
+
+    rows = stored(rest.groupBy("key", F.array_sort("words").alias("words")).agg(F.min("id").alias("id")))
+    each = rows.select("id", "key", F.explode("words").alias("w"))
+    order = each.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "w").groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+    size = F.size("o")
+    rare = order.select("id", "key", size.alias("size"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("x"))
+    rare = stored(rare.select("id", "key", "size", F.col("x.w").alias("w")))
+
+    def similar(pairs):
+        """(a, b) of the pairs that are similar."""
+        a, b = (rows.select(F.col("id").alias(c), F.col("words").alias(f"{c}w")) for c in "ab")
+        return pairs.distinct().join(a, "a").join(b, "b").where(likeness("aw", "bw") >= least).select("a", "b")
+
+    kept, n = [], rows.count()
+    ids = rows.select("id")
+    while True:
+        head = stored(rare.groupBy("key", "w").agg(F.min("id").alias("a")))
+        met = rare.join(head, ["key", "w"])
+        lead = stored(met.groupBy("id").agg(F.max("a").alias("last"), F.min("a").alias("first")).where("last = id AND first = id").select("id"))
+        gone = similar(met.where("a < id").join(lead.select(F.col("id").alias("a")), "a").select("a", F.col("id").alias("b"))).select(F.col("b").alias("id"))
+        # rows without words share none
+        lead = stored(lead.unionByName(ids.join(rare.select("id").distinct(), "id", "left_anti")))
+        kept.append(lead)
+        ids = stored(ids.join(gone.unionByName(lead).distinct(), "id", "left_anti"))
+        rare = stored(rare.join(ids, "id", "left_semi"))
+        before, n = n, ids.count()
+        if not n:
+            return kept
+        if n > 0.9 * before:
+            break
+    x, y = rare.select("key", "w", F.col("id").alias("a"), F.col("size").alias("m")), rare.select("key", "w", F.col("id").alias("b"), F.col("size").alias("n"))
+    links = stored(similar(x.join(y, ["key", "w"]).where((F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9)).select("a", "b")))
+    while not links.isEmpty():
+        top = stored(ids.join(links.select(F.col("b").alias("id")), "id", "left_anti"))
+        kept.append(top)
+        gone = links.join(top.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        ids = stored(ids.join(gone.unionByName(top).distinct(), "id", "left_anti"))
+        links = stored(links.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+    return [*kept, ids]
+
+
 def stage_counts(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row: rows that came in, were cleaned, were distinct; the rejection rate (0 for no rows)."""
     c = df.select(normalise(clean(F.col("text"), s)).alias("t"))

@@ -47,6 +47,26 @@ def test_near_dedup(spark):
     assert got == set(brute_near(rows, s))
 
 
+def test_near_dedup_of_a_key_with_many_kept_rows(spark):
+    import random
+
+    r = random.Random(7)
+    base = "lisensi " * 8
+    texts = [base + " ".join(f"w{r.randrange(60)}" for _ in range(r.randint(0, 25))) for _ in range(260)]
+    for t in r.choices(texts, k=140):
+        w = t.split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(8, len(w)) if len(w) > 8 else 0] = f"w{r.randrange(60)}"
+        texts.append(" ".join(w))
+    texts += ["", " "] + [base + f"salinan besar nomor a b c d e f g h {i}" for i in range(60)]
+    r.shuffle(texts)
+    rows, s = list(enumerate(texts)), corpus.Settings(key_length=40)
+    want = set(brute_near(rows, s))
+    assert len(want) > 200
+    got = corpus.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), s, rounds=3)
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_validator(spark, tmp_path):
     lines = ['{"text": "saya makan nasi di rumah", "extra": 1}', '{"content": "tanpa"}', '{"text": 12345}', '{"text": "   "}', "{tidak valid json", "", '{"text": "ya"}', json.dumps({"text": " ".join(["kata"] * 50)}),
              '{"text": "lihat https://a.b sekarang juga"}', '{"text": "ini [[link]] wiki di sini"}', '{"text": "ini <b>x</b> di sini"}', json.dumps({"text": "huruf 😀 di sini"}), json.dumps({"text": "a\x00b c d"})]
