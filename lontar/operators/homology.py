@@ -7,7 +7,9 @@ rows that hold all they need.
 from __future__ import annotations
 
 import difflib
+import math
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,17 +65,46 @@ def topology_any(df: DataFrame, threshold: float) -> DataFrame:
     return barcode(df).withColumn("betti0", F.size(F.filter("bars", lambda b: b["death"] > threshold)))
 
 
+#: Letters, rare ones first; others come before them. Any order is right, this one makes few candidates.
+RARE = "xqvzfwycjohpbdlmsgtrkuiena"
+
+
+def rare_letters(word: str, least: float) -> list[str]:
+    """A word's rarest letters, numbered by occurrence: any word with a ratio of `least` or more to it has one of them.
+
+    The matching letters are at least least / 2 of both lengths together, and the other length is at least
+    least / (2 - least) of this one, so at least that share of this word's letters is in the other one too.
+    """
+    seen, out = Counter(), []
+    for c in word:
+        seen[c] += 1
+        out.append((-seen[c], RARE.find(c), c))
+    n = len(word) - math.ceil(least * len(word) / (2 - least) - 1e-9) + 1
+    return [f"{c}{-k}" for k, _, c in sorted(out)[:n]]
+
+
 def fuzzy(words: DataFrame, lexicon: DataFrame, least: float = 0.75) -> DataFrame:
     """(word, kata, ratio): the most similar entry (ratio of matching blocks, `least` or more) of words that have none.
 
-    Candidates share the first letter and differ by at most a third in length; a ratio of 0.75 needs nearly as much.
-    A lexicon is a dimension table: a word meets the entries of its letter, and only those of about its length.
+    Every entry that can reach the ratio is compared: candidates share one of the rare letters of both and have lengths
+    that allow the ratio; of these, the matching blocks are found where the letters in common allow it.
     """
     w = words.select(F.lower("word").alias("word")).distinct().join(lexicon.select(F.col("kata").alias("word")), "word", "left_anti")
-    near = w.join(lexicon.select("kata"), (F.substr("word", F.lit(1), F.lit(1)) == F.substr("kata", F.lit(1), F.lit(1))) & (F.abs(F.char_length("word") - F.char_length("kata")) * 3 <= F.greatest(F.char_length("word"), F.char_length("kata"))))
+
+    def letters(a: pd.Series) -> pd.Series:
+        return pd.Series([rare_letters(x, least) if x else [] for x in a], dtype=object)
+
+    letters.__annotations__ = {"a": pd.Series, "return": pd.Series}
+    by = lambda df, c: df.select(c, F.explode(F.pandas_udf(letters, "array<string>")(c)).alias("letter"))
+    m, n = F.char_length("word"), F.char_length("kata")
+    near = by(w, "word").join(by(lexicon.select("kata").distinct(), "kata"), "letter").where(2 * F.least(m, n) >= least * (m + n) - 1e-9).select("word", "kata").distinct()
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+        out = []
+        for x, y in zip(a, b):
+            s = difflib.SequenceMatcher(None, x, y)
+            out.append(s.ratio() if s.quick_ratio() >= least else 0.0)
+        return pd.Series(out, dtype="float64")
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     r = near.withColumn("ratio", F.pandas_udf(run, "double")("word", "kata")).where(F.col("ratio") >= least)

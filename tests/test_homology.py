@@ -17,6 +17,26 @@ def test_closed_form_agrees(spark):
     assert a == b
 
 
+def test_fuzzy_compares_with_the_whole_lexicon(spark):
+    import difflib
+    import random
+
+    r = random.Random(4)
+    make = lambda: "".join(r.choice("aknmeé") for _ in range(r.randint(1, 9)))
+    known = sorted({make() for _ in range(150)} | {"makan", "abcde"})
+    asked = sorted({make() for _ in range(150)} | {"nakan", "akan", "emakan", "abc"})
+    want = {}
+    for x in set(asked) - set(known):
+        q, y = min((-difflib.SequenceMatcher(None, x, y).ratio(), y) for y in known)
+        if -q >= 0.75:
+            want[x] = (y, -q)
+    assert want["abc"] == ("abcde", 0.75)
+    got = homology.fuzzy(spark.createDataFrame([(x,) for x in asked], "word string"), spark.createDataFrame([(x,) for x in known], "kata string"))
+    assert {x.word: (x.kata, x.ratio) for x in got.collect()} == want
+    one = homology.fuzzy(spark.createDataFrame([(x,) for x in ("nakan", "akan", "emakan")], "word string"), spark.createDataFrame([("makan",)], "kata string"))
+    assert {x.word: round(x.ratio, 2) for x in one.collect()} == {"nakan": 0.8, "akan": 0.89, "emakan": 0.91}
+
+
 def test_fuzzy_and_noise(spark):
     w = spark.createDataFrame([("berass",), ("beras",), ("zzz",)], "word string")
     assert [(r.word, r.kata) for r in homology.fuzzy(w, seeds.lexicon(spark)).collect()] == [("berass", "beras")]
