@@ -9,15 +9,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
-    sc = df.sparkSession.sparkContext
-    root = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lontar-")
+    """df written as Parquet below spark.checkpoint.dir (a temporary folder only where that is unset on one machine) and read again.
+
+    The shuffles of the write are dropped as it ends: nothing reads them again.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lontar-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/lontar-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads again."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def held(df: DataFrame, name: str, value) -> DataFrame:
