@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -26,14 +26,19 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): the least node of its component for each node that has an edge (a, b) and is not the least itself."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of its component for each node that has an edge (a, b) and is not the least itself.
+
+    Rounds go on until one changes nothing; each makes edges go to lesser nodes, so they end. A round's table is
+    deleted once the next is written.
+    """
+    spark = edges.sparkSession
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
-    for _ in range(most):
-        e = stored(_star(_star(e, True), False))
+    while True:
+        before, e = e, stored(_star(_star(e, True), False))
+        release(spark, before)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
-    raise RuntimeError(f"components: no end after {most} rounds")

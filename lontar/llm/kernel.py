@@ -7,8 +7,6 @@ hashes agree on all workers and in all runs.
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,12 +23,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_KEPT: dict = {}
+
+
 def kept(name: str, make):
     """A value that a worker process makes once."""
-    store = sys.__dict__.setdefault("_lontar_kept", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def _tables():

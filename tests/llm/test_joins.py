@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lontar.llm import components, decontaminate, simhash, substrings, warc
-from lontar.llm.common import scratch
+from lontar.llm.common import scratch, split_join
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -258,6 +258,42 @@ def test_warc(spark, tmp_path):
     assert n == len(pages)
 
 
+def test_warc_headers_with_hostile_urls(spark):
+    urls = ["https://reg.example/img@sha256:deadbeef", "x\r\nWARC-Type: response\r\n", "y\u2028WARC-Type: response", "z\u0085WARC-Refers-To: <urn:page:99:1>", "WARC-Type: response", None, "\x00\x1f"]
+    pages = [(f"{i}:a>\n%", u, "copy" if i % 2 else f"own {i}") for i, u in enumerate(urls)]
+    d = spark.createDataFrame(pages, "page_id string, url string, html string")
+    path = scratch(spark)
+    warc.write(d, path)
+    top = max(i for i, _, h in pages if h == "copy")
+    got = warc.read(spark, path, whole=True).collect()
+    assert len(got) == len(pages) and len({re.search(r"WARC-Record-ID: (.*)\r\n", x.header)[1] for x in got}) == len(pages)
+    html = {i: h for i, _, h in pages}
+    for x in got:
+        payload = html[x.page_id].encode()
+        again = html[x.page_id] == "copy" and x.page_id != top
+        assert (x.record_type, x.refers_to) == (("revisit", top) if again else ("response", None))
+        assert (bytes(x.payload), x.payload_bytes, x.payload_digest) == (payload, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+        record = x.header.encode() + (b"" if again else payload) + b"\r\n\r\n"
+        assert (x.record_bytes, x.record_sha256) == (len(record), hashlib.sha256(record).hexdigest())
+        assert ("WARC-Profile: " in x.header) == again and "WARC-Date: " in x.header
+    assert sorted(map(tuple, warc.report(d).collect())) == sorted((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_join(spark, how):
+    """A key with most of the rows, keys with one, and keys that only one side has."""
+    r = random.Random(4)
+    left = [(r.choice([7] * 9 + list(range(40))), i) for i in range(3000)]
+    n = {}
+    for k, _ in left:
+        n[k] = n.get(k, 0) + 1
+    right = [(k, f"v{k}", c) for k, c in n.items() if k % 5] + [(1000, "none", 0)]
+    got = split_join(spark.createDataFrame(left, "k long, i long"), spark.createDataFrame(right, "k long, v string, n long"), "k", "n", "i", how)
+    assert got.columns == ["k", "i", "v"]
+    want = [(k, i, f"v{k}" if k % 5 else None) for k, i in left if k % 5 or how == "left"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_small_payloads_are_responses(spark):
     d = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert {x.page_id: x.record_type for x in warc.report(d, 5).collect()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
@@ -271,6 +307,9 @@ def test_damage_is_noticed(spark):
     spark.createDataFrame(p).write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read(spark, path).collect()
+    spark.createDataFrame(p).limit(0).write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="record and header differ"):
+        warc.read(spark, path).collect()
 
 
 # ---- pipeline --------------------------------------------------------------------------------------------------------------------
