@@ -7,13 +7,17 @@ doc_id, or same document and earlier start). Words are runs of bytes other than
    words holds an anchor, at the same place wherever the window stands. Anchors that occur once in the corpus cannot
    be part of a repeat; they are dropped by an exact count.
 2. Segments: around each other anchor the 12 words before it and the 19 after its start hold all its windows. Equal
-   segments are one, with its first place; only that one is cut from its text. Shards take all segments of an
-   anchor, so a shard holds all texts of its windows, and shards grow in number, not in size, with the corpus.
+   segments are one, with its first place; only that one is cut from its text, and what the index finds for it goes to
+   all its copies. Shards take all segments of an anchor, so a shard holds all texts of its windows, and shards grow in
+   number, not in size, with the corpus.
 3. Each shard gets a compressed FM-index: a suffix array of its segments by prefix doubling, its Burrows-Wheeler
    transform in a wavelet matrix of packed bits with rank blocks. Backward search runs all windows at once; the
    matching statistic of a window that reaches 20 words is an interval of the suffix array with all its occurrences,
    whose least place says which windows start earlier elsewhere. A window alone in its interval leaves the search.
 4. Each segment's intervals return to the documents; a document drops the words that they cover.
+5. An anchor with more distinct segments than one index holds, or with more than a thousandth of all anchor rows, does
+   not enter an index: its segments are dealt in pieces, and the earliest place of each of their windows is a minimum
+   over the window's hash, summed up before it is shuffled. So no index and no task grows with a frequent passage.
 
 Null text has no words. Where rows share a doc_id they are ordered by their text's hash; fully equal rows are one
 document and get one outcome. Null doc_ids come first. Extra columns are ignored.
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import release, row_keys, stored, unique_ids
+from .common import HOT, integral, release, row_keys, split_join, stored, unique_ids
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 BEFORE, WIDE = SPAN - 1, SPAN - 1 + WINDOW  # a segment's words before its anchor, and all
-#: Segments of one index; a shard with more gets several, each with whole anchors.
+#: Segments of one index; a shard with more gets several, each with whole anchors, and a wider anchor gets none.
 INDEXED = 4_096
 U = np.uint64
 
@@ -187,10 +191,12 @@ def repeats(keyed: DataFrame) -> DataFrame:
     """
     spark = keyed.sparkSession
     a = stored(anchor_rows(keyed))
-    twice = a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    m = stored(a.join(twice, "h", "left_semi"))
+    several = stored(a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    m = stored(split_join(a, several, "h", "n", ("key", "pos")))
     release(spark, a)
-    classes = m.groupBy("h", "sh").agg(F.min("key").alias("ckey"), F.min_by("pos", F.struct("key", "pos")).alias("cpos"))
+    classes = m.groupBy("h", "sh").agg(F.min("key").alias("ckey"), F.min_by("pos", F.struct("key", "pos")).alias("cpos"), F.count(F.lit(1)).alias("n"))
+    share = max((several.agg(F.sum("n")).first()[0] or 0) / HOT, INDEXED)  # not more than HOT anchors are above it
+    spread = several.where(F.col("n") > share).select("h", F.ceil(F.col("n") / share).alias("pieces"))
 
     def cut(batches):
         for b in batches:
@@ -207,45 +213,81 @@ def repeats(keyed: DataFrame) -> DataFrame:
                 small = (seg >> U(32)).astype(np.uint32) | (seg > 0).astype(np.uint32)
                 ends = pa.py_buffer(np.arange(0, small.nbytes + 1, 4 * WIDE, dtype=np.int32).tobytes())
                 cells = pa.Array.from_buffers(pa.binary(), len(small), [None, ends, pa.py_buffer(small.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in rows], pa.int64()), pa.array([x["sh"] for x in rows], pa.int64()), pa.array(keys[doc]), pa.array(p.astype(np.int32)), cells], ["h", "sh", "ckey", "cpos", "seg"])
+                named = [pa.array([x[c] for x in rows], pa.int64()) for c in ("h", "sh", "n")]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(keys[doc]), pa.array(p.astype(np.int32)), cells], ["h", "sh", "n", "ckey", "cpos", "seg"])
 
-    at = classes.groupBy("ckey").agg(F.collect_list(F.struct("h", "sh", "cpos")).alias("at"))
-    seg = keyed.join(at.withColumnRenamed("ckey", "_key"), "_key").select("_key", "text", "at").mapInArrow(cut, "h long, sh long, ckey long, cpos int, seg binary")
-    seg = seg.repartition("h").sortWithinPartitions("h")
+    at = classes.groupBy("ckey").agg(F.collect_list(F.struct("h", "sh", "cpos", "n")).alias("at"))
+    seg = keyed.join(at.withColumnRenamed("ckey", "_key"), "_key").select("_key", "text", "at").mapInArrow(cut, "h long, sh long, n long, ckey long, cpos int, seg binary")
+    seg = seg.join(F.broadcast(spread), "h", "left").withColumn("piece", F.coalesce(F.pmod("sh", "pieces"), F.lit(-1))).drop("pieces")
+    seg = seg.repartition("h", "piece").sortWithinPartitions("h", "piece")
+    same = ["sh", "n", "ckey", "cpos"]
+
+    def found_rows(t, over, wins):
+        return pa.RecordBatch.from_arrays([*[t.column(c).combine_chunks() for c in same], over, wins], [*same, "over", "wins"])
+
+    def segments(t):
+        return np.frombuffer(b"".join(t.column("seg").to_pylist()), np.uint32).reshape(-1, WIDE)
 
     def flush(t):
-        rows = np.frombuffer(b"".join(t.column("seg").to_pylist()), np.uint32).reshape(-1, WIDE)
+        """Rows of an index: the windows whose earliest place is not the segment's own."""
+        rows = segments(t)
         ck, cp = t.column("ckey").to_numpy(), t.column("cpos").to_numpy().astype(np.int64)
         s, o, k, p = earliest(rows, ck, cp)
         order = np.argsort(s, kind="stable")
         cells = pa.array(np.column_stack([o, k, p])[order].reshape(-1), pa.int64())
         ends = np.zeros(len(rows) + 1, np.int32)
         np.cumsum(3 * np.bincount(s, minlength=len(rows)), out=ends[1:])
-        over = pa.ListArray.from_arrays(pa.array(ends), cells)
-        return pa.RecordBatch.from_arrays([t.column("sh").combine_chunks(), t.column("ckey").combine_chunks(), t.column("cpos").combine_chunks(), over], ["sh", "ckey", "cpos", "over"])
+        return found_rows(t, pa.ListArray.from_arrays(pa.array(ends), cells), pa.nulls(len(rows), pa.list_(pa.int64())))
+
+    def by_windows(t):
+        """Rows that enter no index: the hash of each window, 0 where the text ends inside it."""
+        rows = segments(t)
+        h = K.grams(rows.ravel().astype(U), WINDOW) if len(rows) else np.zeros(0, U)
+        at = np.arange(len(rows))[:, None] * WIDE + np.arange(WIDE - WINDOW + 1)
+        full = np.lib.stride_tricks.sliding_window_view(rows != 0, WINDOW, axis=1).all(2)
+        w = np.where(full, h[at] | U(1), U(0)).view(np.int64)
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * w.shape[1])
+        return found_rows(t, pa.nulls(len(rows), pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(w.ravel())))
 
     def search(batches):
         """Whole anchors are gathered until an index is full."""
-        held, n = [], 0
+        held, n, wide = [], 0, None
         for b in batches:
-            if not b.num_rows:
+            t = pa.Table.from_batches([b])
+            apart = t.column("piece").to_numpy() >= 0
+            if wide is not None:
+                apart |= t.column("h").to_numpy() == wide
+            if apart.any():
+                yield by_windows(t.filter(pa.array(apart)))
+                t = t.filter(pa.array(~apart))
+            if not t.num_rows:
                 continue
-            held.append(b)
-            n += b.num_rows
+            held.append(t)
+            n += t.num_rows
             if n >= INDEXED:
-                t = pa.Table.from_batches(held)
+                t = pa.concat_tables(held)
                 h = t.column("h").to_numpy()
                 whole = int(np.searchsorted(h, h[-1]))
                 if whole:
                     yield flush(t.slice(0, whole))
-                held = t.slice(whole).to_batches()
-                n -= whole
+                held, n = [t.slice(whole)], len(h) - whole
+                if n >= INDEXED:
+                    wide = h[-1]
+                    yield by_windows(held[0])
+                    held, n = [], 0
         if n:
-            yield flush(pa.Table.from_batches(held))
-
-    found = stored(seg.mapInArrow(search, "sh long, ckey long, cpos int, over array<long>"))
-    del classes, at, seg
-    release(spark)
+            yield flush(pa.concat_tables(held))
+
+    found = stored(seg.mapInArrow(search, "sh long, n long, ckey long, cpos int, over array<long>, wins array<long>"))
+    apart = found.where("wins IS NOT NULL")
+    if not apart.isEmpty():
+        w = apart.select("sh", "ckey", "cpos", F.posexplode("wins").alias("o", "w")).where("w <> 0").select("sh", "o", "w", "ckey", (F.col("cpos") + F.col("o")).cast("long").alias("p"))
+        first = stored(w.groupBy("w").agg(F.min(F.struct("ckey", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        w = split_join(w, first, "w", "n", ("sh", "o")).where("first.ckey <> ckey OR first.p <> p")
+        w = w.groupBy("sh").agg(F.flatten(F.collect_list(F.array(F.col("o").cast("long"), F.col("first.ckey"), F.col("first.p")))).alias("then"))  # 13 windows at most
+        none = F.array().cast("array<bigint>")
+        found = found.where("wins IS NULL").drop("wins").unionByName(apart.join(w, "sh", "left").select(*same, F.coalesce("then", none).alias("over")))
+        found = stored(found)
 
     def judge(batches):
         for b in batches:
@@ -265,7 +307,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
             some = np.flatnonzero(bits)
             yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array((pos[some] << 16) | bits[some])], ["key", "mark"])
 
-    late = m.select("sh", "key", "pos").join(found, "sh").select("key", "pos", "ckey", "cpos", "over").mapInArrow(judge, "key long, mark long")
+    late = split_join(m.select("sh", "key", "pos"), found.select(*same, "over"), "sh", "n", ("key", "pos"))
+    late = late.select("key", "pos", "ckey", "cpos", "over").mapInArrow(judge, "key long, mark long")
     return late.groupBy("key").agg(F.collect_list("mark").alias("marks"))
 
 
@@ -300,7 +343,7 @@ def _with_marks(whole: DataFrame, several: bool) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if unique_ids(docs):
+    if integral(docs) and unique_ids(docs):
         d = _with_marks(docs.select(F.col("doc_id").cast("long").alias("_key"), "text"), False).withColumn("doc_id", F.col("_key").cast(kind))
     else:
         d = _with_marks(row_keys(docs.select("doc_id", "text"), "doc_id", "text"), True)

@@ -48,7 +48,7 @@ def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame
     d = stored(pages.select("page_id", F.monotonically_increasing_id().alias("rid"), F.coalesce("url", F.lit("")).alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"),
                             F.sha1(body).alias("sha1"), F.sha2(body, 256).alias("strong")))
     best = d.groupBy("strong").agg(F.max(F.struct("page_id", "rid")).alias("_best"), F.count(F.lit(1)).alias("copies"))  # null page_ids stand below all
-    d = split_join(d, stored(best.withColumn("n", F.col("copies"))), "strong", "n", "rid")
+    d = split_join(d, stored(best.withColumn("n", F.col("copies"))), "strong", "n", ("rid",))
     top = F.col("_best.page_id")
     again = (F.col("payload_bytes") >= least) & top.isNotNull() & ~F.col("page_id").eqNullSafe(top)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
@@ -98,7 +98,7 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     kind = _field("WARC-Type")
     to = F.when(kind == "revisit", F.url_decode(_field("WARC-Refers-To", "<urn:page:(.*):\\d+>\r?$")))
     h = h.select("page_id", "rid", "header", "strong", kind.alias("record_type"), to.alias("refers_to"))
-    r = split_join(h, verified(spark, path), "strong", "copies", "rid", "left")
+    r = split_join(h, verified(spark, path), "strong", "copies", ("rid",), "left")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     r = r.withColumn("block", block).withColumn("payload_digest", base32(F.sha1("payload")))
     fits = (_field("Content-Length").cast("long") == F.octet_length("block")) & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))

@@ -163,8 +163,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substrings(spark, seed):
+@pytest.mark.parametrize("seed, indexed", [(0, 4096), (1, 4096), (2, 4096), (0, 1), (1, 2), (2, 5), (2, 60)])
+def test_substrings(spark, seed, indexed, monkeypatch):
+    """With small indexes most anchors are wider than one, and the frequent ones are dealt in pieces."""
+    monkeypatch.setattr(substrings, "INDEXED", indexed)
     r = random.Random(seed)
     voc = [f"w{i}" for i in range([3, 40, 400][seed])] + ["É", "é"]
     words = lambda n: [r.choice(voc) for _ in range(n)]
@@ -209,6 +211,13 @@ def test_substrings_repeated_ids(spark):
     assert substrings.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substrings_string_ids(spark):
+    long = " ".join(f"v{i}" for i in range(30))
+    rows = [("b", long), ("a", "x " + long), ("c", None), ("B", "short")]
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substrings.report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (31, 0), "b": (30, 30), "c": (0, 0), "B": (1, 0)}
+
+
 def test_fm_index_counts(spark):
     r = np.random.default_rng(3)
     rows = r.integers(1, 4, (60, 32)).astype(np.uint32)
@@ -288,7 +297,7 @@ def test_split_join(spark, how):
     for k, _ in left:
         n[k] = n.get(k, 0) + 1
     right = [(k, f"v{k}", c) for k, c in n.items() if k % 5] + [(1000, "none", 0)]
-    got = split_join(spark.createDataFrame(left, "k long, i long"), spark.createDataFrame(right, "k long, v string, n long"), "k", "n", "i", how)
+    got = split_join(spark.createDataFrame(left, "k long, i long"), spark.createDataFrame(right, "k long, v string, n long"), "k", "n", ("i",), how)
     assert got.columns == ["k", "i", "v"]
     want = [(k, i, f"v{k}" if k % 5 else None) for k, i in left if k % 5 or how == "left"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
