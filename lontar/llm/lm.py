@@ -1,37 +1,42 @@
 """Scoring by a language model kept in a log-frequency Bloom filter.
 
-Tokens are the words of a text (A-Z lower-cased), then one end token. Training rows give counts of words and of word
-pairs (the first word follows an end). A count c is quantised to level q = 1 + floor(log2(c) * fine): the filter holds
+Tokens are the words of a text (A-Z lower-cased), then one end token. Training rows give counts of words, word pairs
+and triples (ends stand before the first word). A count c is quantised to level q = 1 + floor(log2(c) * fine): the filter holds
 (item, level) for each level 1..q, and a look-up probes level after level until one is missing; the last one found
-stands for the middle of its range. A text's probability interpolates: (1 - LAMBDA) of the smoothed word probability
-(c(w) + 1) / (N + V + 1) and LAMBDA of c(v, w) / c(v).
+stands for the middle of its range. The smoothed word probability (c(w) + 1) / (N + V + 1) is what the pair falls back
+on, and the pair's is what the triple falls back on: with p known without it, a context seen n times, k of them before
+the token, gives (k + PRIOR * p) / (n + PRIOR). So the more often a context was seen, the more it counts.
 
-Counting: each task hashes words to 64 bits and, in batches of BATCH tokens, sends the distinct words and pairs in one
+Counting: each task hashes words to 64 bits and, in batches of BATCH tokens, sends the distinct items in one
 packed message for each block of the hash space. A block's owner sums its messages, builds its slice of the filter, and
-answers each message with the levels of its words and pairs and, for the exact base score, the words' counts. A batch's
+answers each message with the levels of its items and, for the exact base score, the words' counts. A batch's
 answers meet its tokens, which are read from the table again in the same batches. So a word of any frequency is one
 entry of a message, and messages, answers and the filter grow with the input: a slice is as large as its items need,
 no count is left out of it, and no task or driver holds more than one slice.
 
-Null and empty texts have the end token alone. Rows that repeat a doc_id each count and score for themselves. With no
+The second reading gives the same batches, as the table is then a plain scan of files or is stored before; each batch's
+digest is held against that of the first reading all the same. Null and empty texts have the end token alone. Rows that repeat a doc_id each count and score for themselves. With no
 training rows N = V = 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel as K
-from .common import in_training, spread, stored
+from .common import in_training, same_scan, spread, stored
 
-LAMBDA, PROBES, BITS_PER_ITEM = 0.1, 4, 8
+PROBES, BITS_PER_ITEM = 4, 8
+PRIOR = {2: 500.0, 3: 10.0}  # how often a context must be seen to count as much as what is known without it
 BATCH = 2 << 20
-FINE = {1: 2, 2: 1}  # levels for each doubling of a count: words, pairs
+FINE = {1: 2, 2: 1, 3: 1}  # levels for each doubling of a count: words, pairs, triples
 U = np.uint64
 END = U(0x5851F42D4C957F2D)
 _PAIR = U(0xC2B2AE3D27D4EB4F)
@@ -53,7 +58,16 @@ def pairs(h, new):
     v = np.empty_like(h)
     v[1:] = h[:-1]
     v[new] = END
-    return K.mix(v * U(0x9FB21C651E98DF25) + h + _PAIR), v
+    return K.mix(v * U(0x9FB21C651E98DF25) + h + _PAIR)
+
+
+def items(h, new):
+    """(kind, hashes): words, pairs and triples that end at each token; ends stand before a text's first token."""
+    two = pairs(h, new)
+    before = np.empty_like(two)
+    before[1:] = two[:-1]
+    before[new] = END
+    return (1, h), (2, two), (3, K.mix(before * U(0xA0761D6478BD642F) + h + _PAIR))
 
 
 def summed(h, counts):
@@ -99,26 +113,37 @@ def packed(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
 
+def runs(x):
+    """(value, start, stop) of each run of equal values of a sorted array."""
+    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return zip(x[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(x)])
+
+
+def digest(ids, size, u) -> bytes:
+    """Stands for a batch's documents: doc_ids, numbers of tokens, distinct words."""
+    return hashlib.blake2b(repr(ids).encode() + size.astype("<i8").tobytes() + u.tobytes(), digest_size=16).digest()
+
+
 def messages(docs: DataFrame, blocks: int) -> DataFrame:
-    """(kind, block, msg, a, b): packed messages; kind 1: words of a block, kind 2: pairs.
+    """(kind, block, msg, a, b): packed messages; kinds 1, 2, 3: words, pairs, triples of a block; kind 5: the batch's digest.
 
-    a = distinct hashes, b = how often each is in training documents.
+    a = distinct hashes, b = how often each is in training documents. Blocks without an entry get no message, so there
+    are no more messages than entries, however many blocks there are.
     """
     shift = U(64 - int(math.log2(blocks)))
     names = ["kind", "block", "msg", "a", "b"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        for msg, _, held, h, d, new in turns(batches):
+        for msg, ids, held, h, d, new in turns(batches):
             train, rows = ~held[d], []
-            for kind, x in ((1, h), (2, pairs(h, new)[0])):
+            for kind, x in items(h, new):
                 u, c, _ = summed(x, train)
-                edge = np.searchsorted(u >> shift, np.arange(blocks + 1).astype(U))
-                for k in range(blocks):
-                    s = slice(edge[k], edge[k + 1])
-                    if s.stop > s.start:
-                        c8 = c[s]
-                        rows.append((kind, k, msg, u[s].tobytes(), (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes()))
+                if kind == 1:
+                    rows.append((5, msg % blocks, msg, digest(ids, np.bincount(d, minlength=len(ids)), u), None))
+                for k, lo, hi in runs(u >> shift):
+                    c8 = c[lo:hi]
+                    rows.append((kind, k, msg, u[lo:hi].tobytes(), (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes()))
             yield packed(rows, names, types)
 
     return docs.mapInArrow(run, "kind int, block int, msg long, a binary, b binary")
@@ -144,37 +169,32 @@ def values(q, fine: int):
     return np.where(q > 0, np.where(q <= fine, lo, lo * 2 ** (0.5 / fine)), 0.0)
 
 
-def fill(groups, most_bits: int | None = None):
-    """(slice, bits, least): a slice of the filter for [(hashes, counts, fine)], and the least count it holds.
-
-    The slice holds every count, unless it is bounded by most_bits (report() does not)."""
-    least = 1
-    while True:
-        items = sum(int(levels(c[c >= least] // least, f).sum()) for _, c, f in groups)
-        bits = max(64, -(-items * BITS_PER_ITEM // 64) * 64)
-        if most_bits is None or bits <= most_bits or not items:
-            break
-        least *= 2
+def fill(groups):
+    """(slice, bits): a slice of the filter for [(hashes, counts, fine)]; it is as large as its items need."""
+    items = sum(int(levels(c, f).sum()) for _, c, f in groups)
+    bits = max(64, -(-items * BITS_PER_ITEM // 64) * 64)
     a = np.zeros(bits, bool)
     for h, c, f in groups:
-        h, q = h[c >= least], levels(c[c >= least] // least, f)
+        q = levels(c, f)
         level = 1
         while len(h):
             for s in slots(h, level, bits):
                 a[s.astype(np.int64)] = True
             h, q, level = h[q > level], q[q > level], level + 1
-    return np.packbits(a, bitorder="little").tobytes(), bits, least
+    return np.packbits(a, bitorder="little").tobytes(), bits
 
 
 def owners(sent: DataFrame, blocks: int) -> DataFrame:
-    """(kind, msg, block, a, b, n, m): kinds 1 and 2 answer messages: a = levels, b = the words' exact counts; kind 4:
-    n = N, m = V of the block."""
+    """(kind, msg, block, a, b, n, m): kinds 1, 2, 3 answer messages: a = levels, b = the words' exact counts;
+    kind 4: n = N, m = V of the block; kind 5 is as it came."""
     names = ["kind", "msg", "block", "a", "b", "n", "m"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def settle(block, held):
         groups, asked = [], []
-        for kind in (1, 2):
+        if told := [x for x in held if x[0] == 5]:
+            yield packed([(5, msg, block, a.to_pybytes(), None, 0, 0) for _, msg, a, _ in told], names, types)
+        for kind in (1, 2, 3):
             made = [x for x in held if x[0] == kind]
             if not made:
                 continue
@@ -185,7 +205,7 @@ def owners(sent: DataFrame, blocks: int) -> DataFrame:
             asked.append((kind, [x[1] for x in made], [len(x) for x in hs], u, c, at))
             if kind == 1:
                 yield packed([(4, -1, block, None, None, int(c.sum()), int((c > 0).sum()))], names, types)
-        f = Filter({0: fill(groups)}, 1)
+        f = Filter(*fill(groups))
         for kind, msgs, sizes, u, c, at in asked:
             q, lo = f.levels(u).astype(np.uint8), 0
             for msg, n in zip(msgs, sizes):
@@ -196,7 +216,7 @@ def owners(sent: DataFrame, blocks: int) -> DataFrame:
     def run(batches):
         block, held = None, []
         for b in batches:
-            whole = [c.to_pylist() for c in b.columns[:3]] + [[x.as_buffer() for x in c] for c in b.columns[3:]]  # binaries are not copied
+            whole = [c.to_pylist() for c in b.columns[:3]] + [[x.as_buffer() if x.is_valid else None for x in c] for c in b.columns[3:]]  # binaries are not copied
             for kind, k, msg, x, y in zip(*whole):
                 if k != block and held:
                     yield from settle(block, held)
@@ -211,43 +231,28 @@ def owners(sent: DataFrame, blocks: int) -> DataFrame:
 
 
 class Filter:
-    """The slices of all blocks, end to end."""
-
-    def __init__(self, slices: dict[int, tuple[bytes, int, int]], blocks: int):
-        self.shift = U(64 - int(math.log2(blocks)))
-        self.bits, self.at, self.least = np.ones(blocks, np.int64), np.zeros(blocks, np.int64), np.ones(blocks, np.int64)
-        parts, at = [], 0
-        for k in range(blocks):
-            s, self.bits[k], self.least[k] = slices.get(k, (bytes(8), 64, 1))
-            self.at[k] = at
-            at += len(s) * 8
-            parts.append(s)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
+    """A slice of the filter, for look-ups."""
+
+    def __init__(self, data: bytes, bits: int):
+        self.data, self.bits = np.frombuffer(data, np.uint8), bits
 
     def levels(self, h):
         """The last level held of each item (0: not held)."""
         q = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        level = 1
+        live, level = np.arange(len(h)), 1
         while len(live):
-            x = h[live]
-            k = (x >> self.shift).astype(np.int64)
-            base, size = self.at[k], self.bits[k].astype(U)
-            y = K.mix(x + U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            step = (y >> U(32)) | U(1)
-            y &= U(0xFFFFFFFF)
-            for _ in range(PROBES):
-                s = base + ((y * size) >> U(32)).astype(np.int64)
-                ok = (self.data[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
-                live, base, size, y, step = live[ok], base[ok], size[ok], y[ok], step[ok]
-                y = (y + step) & U(0xFFFFFFFF)
+            ok = np.arange(len(live))
+            for s in slots(h[live], level, self.bits):  # all probes' places; those that a probe misses leave
+                s = s[ok].astype(np.int64)
+                ok = ok[(self.data[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)]
+            live = live[ok]
             q[live] = level
             level += 1
         return q
 
     def count(self, h, fine: int):
         """Quantised counts (0: not held)."""
-        return values(self.levels(h), fine) * self.least[(h >> self.shift).astype(np.int64)]
+        return values(self.levels(h), fine)
 
 
 def planes(x) -> bytes:
@@ -259,48 +264,53 @@ def unplaned(b: bytes):
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def report(docs: DataFrame, lam: float = LAMBDA, blocks: int | None = None) -> DataFrame:
+def report(docs: DataFrame, prior: dict[int, float] = PRIOR, blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = blocks or min(4096, 1 << max(4, math.ceil(math.log2(4 * spread(docs)))))  # four for each task: messages are small rows
+    blocks = blocks or 1 << max(4, math.ceil(math.log2(4 * spread(docs))))  # four for each task: messages are small rows
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", (~in_training(7, 2)).alias("held_out"), "text")
+    ids_type = pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))
+    base = same_scan(docs.select("doc_id", (~in_training(7, 2)).alias("held_out"), "text"))
     got = stored(owners(messages(base, blocks), blocks))
     n = got.where("kind = 4").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()
     total, train = float(n.n + n.v + 1), int(n.n)
-    names = ["msg", "kind", "block", "a", "b", "c", "d", "e"]
-    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    names = ["msg", "kind", "block", "a", "b", "c", "d", "e", "ids"]
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, ids_type]
 
     def again(batches):
-        """A batch's tokens: a = doc_ids, b = numbers of tokens, c = held out (1), doc_id null (2), d = distinct words, e = place of each token among them."""
+        """A batch's tokens: a = its digest, b = numbers of tokens, c = held out, d = distinct words, e = place of each token among them."""
         for msg, ids, held, h, d, _ in turns(batches):
             u, _, at = summed(h, np.ones(len(h), np.int64))
-            null = np.array([k is None for k in ids])
-            yield packed([(msg, 0, -1, np.array([k or 0 for k in ids], np.int64).tobytes(), planes(np.bincount(d, minlength=len(ids))), (held + 2 * null).astype(np.uint8).tobytes(), u.tobytes(), planes(at))], names, types)
+            size = np.bincount(d, minlength=len(ids))
+            yield packed([(msg, 0, -1, digest(ids, size, u), planes(size), held.astype(np.uint8).tobytes(), u.tobytes(), planes(at), ids)], names, types)
 
     def settle(held):
         """Scores of a batch from its tokens and answers; the answers, in order of blocks, are those of its distinct words and pairs."""
-        if not held[0]:
+        if not held[0] or held[0][0] != held[5]:
             raise RuntimeError("lm: the table's second scan differs from the first")
-        ids, size, flags, u, at = held[0]
-        ids, size, flags, u, at = np.frombuffer(ids, np.int64), unplaned(size).astype(np.int64), np.frombuffer(flags, np.uint8), np.frombuffer(u, U), unplaned(at)
-        q1, c, q2 = (np.frombuffer(b"".join(held[k]), t) for k, t in ((1, np.uint8), (3, np.int64), (2, np.uint8)))
+        _, size, flags, u, at, ids = held[0]
+        size, flags, u, at = unplaned(size).astype(np.int64), np.frombuffer(flags, np.uint8), np.frombuffer(u, U), unplaned(at)
         h, d, new = u[at], np.repeat(np.arange(len(ids)), size), np.zeros(len(at), bool)
         new[np.cumsum(size) - size] = True
-        p, _ = pairs(h, new)
-        p, _, pat = summed(p, np.ones(len(p), np.int64))
-        if len(q1) != len(u) or len(c) != len(u) or len(q2) != len(p):
-            raise RuntimeError("lm: the table's second scan differs from the first")
-        words = values(q1.astype(np.int64), FINE[1])
-        cv = np.empty(len(h))
-        cv[1:] = words[at[:-1]]
-        cv[new] = words[np.searchsorted(u, END)]
-        seen = cv > 0
-        one = ((words + 1) / total)[at]
-        two = np.minimum(values(q2.astype(np.int64), FINE[2])[pat] / np.where(seen, cv, 1.0), 1.0)
-        prob = np.where(seen, (1 - lam) * one + lam * two, one)
+        c = np.frombuffer(b"".join(held[4]), np.int64)
+        prob, context = None, None
+        for kind, x in items(h, new):
+            q = np.frombuffer(b"".join(held[kind]), np.uint8).astype(np.int64)
+            x, _, place = summed(x, np.ones(len(x), np.int64)) if kind > 1 else (u, None, at)
+            if len(q) != len(x) or len(c) != len(u):
+                raise RuntimeError("lm: answers are missing")
+            held_counts = values(q, FINE[kind])
+            n = held_counts[place]
+            if kind == 1:
+                prob = (n + 1) / total
+                first = held_counts[np.searchsorted(u, END)]  # ends, which stand before a text's first token
+            else:
+                prob = (np.minimum(n, context) + prior[kind] * prob) / (context + prior[kind])
+                first = 0.0
+            context = np.r_[0.0, n[:-1]]  # the count of what stands before each token
+            context[new] = first
         exact = np.bincount(d, np.log10(c + 1.0)[at]) - size * math.log10(total)
         known = np.bincount(d, (c > 0)[at]).astype(np.int64)
-        cells = [pa.array(ids, mask=flags & 2 > 0), pa.array(flags & 1 > 0), pa.array(size), pa.array(known), pa.array(exact), pa.array(np.bincount(d, np.log10(prob)))]
+        cells = [pa.array(ids, ids_type.value_type), pa.array(flags > 0), pa.array(size), pa.array(known), pa.array(exact), pa.array(np.bincount(d, np.log10(prob)))]
         return pa.RecordBatch.from_arrays(cells, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def join(batches):
@@ -310,19 +320,21 @@ def report(docs: DataFrame, lam: float = LAMBDA, blocks: int | None = None) -> D
                 if m != msg:
                     if held:
                         yield settle(held)
-                    msg, held = m, {0: None, 1: [], 2: [], 3: []}
+                    msg, held = m, {0: None, 1: [], 2: [], 3: [], 4: [], 5: None}
                 if k == 0:
                     held[0] = x
+                elif k == 5:
+                    held[5] = x[0]
                 else:
                     held[k].append(x[0])
                     if k == 1:
-                        held[3].append(x[1])
+                        held[4].append(x[1])
         if held:
             yield settle(held)
 
-    answers = got.where("kind < 3").select("msg", "kind", "block", "a", "b")
+    answers = got.where("kind <> 4").select("msg", "kind", "block", "a", "b")
     # the table comes first in the union: its tasks then have the numbers they had in messages()
-    scan = base.mapInArrow(again, "msg long, kind int, block int, a binary, b binary, c binary, d binary, e binary")
+    scan = base.mapInArrow(again, f"msg long, kind int, block int, a binary, b binary, c binary, d binary, e binary, ids array<{kind}>")
     rows = scan.unionByName(answers, allowMissingColumns=True)
-    out = rows.repartition("msg").sortWithinPartitions("msg", "kind", "block").mapInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
+    out = rows.repartition("msg").sortWithinPartitions("msg", "kind", "block").mapInArrow(join, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -246,47 +246,81 @@ def test_lm_base_is_exact_and_model_helps(spark):
         assert x.score < 0
     held = [x for x in got.values() if x.held_out and x.doc_id >= len(HARD)]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
-    again = {x.doc_id: x.score for x in lm.report(frame(spark, texts).repartition(3), blocks=8).collect()}
-    assert {i: round(s, 6) for i, s in again.items()}.keys() == got.keys()
+    again = {x.doc_id: x for x in lm.report(frame(spark, texts).repartition(3), blocks=4).collect()}
+    assert again.keys() == got.keys()
+    for i, x in again.items():
+        assert x.base_score == pytest.approx(got[i].base_score, rel=1e-12) and x.score == pytest.approx(got[i].score, rel=1e-12)
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 64])
+def test_lm_score_by_brute_force(spark, blocks, monkeypatch):
+    """Scores of each document against counts quantised one by one; the filter's false positives are shut out by wide slices."""
+    monkeypatch.setattr(lm, "BITS_PER_ITEM", 400)
+    monkeypatch.setattr(lm, "BATCH", 500)
+    r = random.Random(blocks)
+    texts = HARD + [" ".join(f"W{int(r.paretovariate(0.6)) % 500}" for _ in range(r.randint(0, 60))) for _ in range(250)]
+    tok = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
+    n = counted([w for i, w in enumerate(tok) if zlib.crc32(str(i).encode()) % 7 != 2], b"\n")
+
+    def coarse(c, fine):
+        if not c:
+            return 0.0
+        q = int(math.floor(math.log2(c) * fine + 1e-9))
+        return 2 ** (q / fine) * (2 ** (0.5 / fine) if q >= fine else 1)
+
+    got = {x.doc_id: x.score for x in lm.report(frame(spark, texts).repartition(3), blocks=blocks).collect()}
+    for i, w in enumerate(tok):
+        assert got[i] == pytest.approx(log10_of(w, b"\n", n, lambda k, x: coarse(n[k][x], lm.FINE[k])), rel=1e-9), i
+
+
+def counted(tok, end):
+    """Counts of words, pairs, triples; pairs and triples by what stands before."""
+    n = {1: collections.Counter(), 2: collections.Counter(), 3: collections.Counter()}
+    for w in tok:
+        n[1].update((x,) for x in w)
+        n[2].update(zip([end, *w], w))
+        n[3].update(zip([end, end, *w], [end, *w], w))
+    return n
+
+
+def log10_of(w, end, n, held):
+    total = sum(n[1].values()) + len(n[1]) + 1
+    out = 0.0
+    for i, x in enumerate(w):
+        v, u = (w[i - 1] if i else end), (w[i - 2] if i > 1 else end)
+        p = (held(1, (x,)) + 1) / total
+        for kind, context, item in ((2, held(1, (v,)), (v, x)), (3, held(2, (u, v)) if i else 0.0, (u, v, x))):
+            p = (min(held(kind, item), context) + lm.PRIOR[kind] * p) / (context + lm.PRIOR[kind])
+        out += math.log10(p)
+    return out
 
 
 def test_lm_ties_nulls_and_nothing(spark):
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None)]
     assert lm.report(spark.createDataFrame(rows, "doc_id long, text string"), blocks=2).count() == 4
     assert lm.report(spark.createDataFrame([], "doc_id long, text string"), blocks=2).count() == 0
+    ids = [str(i) if i is not None else None for i, _ in rows]
+    named = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows)], "doc_id string, text string")
+    assert sorted((str(x.doc_id), x.n_tokens) for x in lm.report(named, blocks=2).collect()) == [("1", 3), ("1", 3), ("2", 1), ("None", 2)]
 
 
-def test_filter_has_no_false_negatives_and_bounds_its_size():
+def test_filter_has_no_false_negatives():
     r = np.random.default_rng(0)
     h = np.unique(r.integers(0, 1 << 63, 20000).astype(np.uint64) << np.uint64(1))
     c = r.integers(1, 5000, len(h))
-    s, bits, least = lm.fill([(h, c, 2)], 1 << 40)
-    f = lm.Filter({0: (s, bits, least), 1: (bytes(8), 64, 1)}, 2)
-    low = h < np.uint64(1 << 63)
-    got = f.count(h[low], 2)
-    q = lm.levels(c[low], 2)
-    assert (got >= 2.0 ** ((q - 1) / 2) - 1e-9).all() and np.median(got / c[low]) == pytest.approx(1, abs=0.25)
-    s, bits, least = lm.fill([(h, c, 2)], 1 << 17)
-    assert bits <= 1 << 17 and least > 1
-    assert (lm.Filter({0: (s, bits, least)}, 2).count(h[low & (c < least)], 2) == 0).mean() > 0.8
+    f = lm.Filter(*lm.fill([(h, c, 2)]))
+    got, q = f.count(h, 2), lm.levels(c, 2)
+    assert (got >= 2.0 ** ((q - 1) / 2) - 1e-9).all() and np.median(got / c) == pytest.approx(1, abs=0.25)
+    other = np.setdiff1d(r.integers(0, 1 << 63, 20000).astype(np.uint64) << np.uint64(1), h)
+    assert (f.levels(other) > 0).mean() < 0.05
 
 
 def test_lm_keeps_every_count_at_any_size(spark):
-    """Where a version has a bound on the filter, one far below the items: scores stay those of all counts."""
-    import inspect
-
-    bound = {"filter_bytes": 64} if "filter_bytes" in inspect.signature(lm.report).parameters else {}
+    """Scores stay near those of all counts, rare ones too."""
     r = random.Random(3)
     texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 900}" for _ in range(r.randint(0, 40))) for _ in range(300)]
-    got = {x.doc_id: x.score for x in lm.report(frame(spark, texts), blocks=4, **bound).collect()}
+    got = {x.doc_id: x.score for x in lm.report(frame(spark, texts), blocks=4).collect()}
     tok = {i: t.split() + ["\n"] for i, t in enumerate(texts)}
-    one, two = collections.Counter(), collections.Counter()
-    for i, w in tok.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            one.update(w), two.update(zip(["\n", *w], w))
-    total = sum(one.values()) + len(one) + 1
-    off = []
-    for i, w in tok.items():
-        want = sum(math.log10(0.9 * (one[x] + 1) / total + 0.1 * two[v, x] / one[v] if one[v] else (one[x] + 1) / total) for v, x in zip(["\n", *w], w))
-        off.append((got[i] - want) / len(w))
+    n = counted([w for i, w in tok.items() if zlib.crc32(str(i).encode()) % 7 != 2], "\n")
+    off = [(got[i] - log10_of(w, "\n", n, lambda k, x: n[k][x])) / len(w) for i, w in tok.items()]
     assert abs(np.mean(off)) < 0.05 and np.mean(np.abs(off)) < 0.1
