@@ -2,10 +2,12 @@
 
 Each text gives STATS (shares of letters, capitals, signs; repetition of words, word pairs and lines; word lengths).
 Standardised, they go through DIMS random Fourier features, cosines of random projections that approximate a Gaussian
-kernel. Ridge scores solve the normal equations, whose matrices are summed over partitions; isotonic regression
-(pool adjacent violators) turns scores into probabilities.
+kernel. Ridge scores solve the normal equations, whose matrices are summed over partitions, by FOLDS of the rows: each
+fold is scored by the solution without its own matrices, and isotonic regression (pool adjacent violators) of labels on
+these scores, which no row had a part in, turns the whole solution's scores into probabilities.
 
-Training uses the labelled rows with the least hash of doc_id, MOST_ROWS at most. Null counts as the empty text, which
+Training uses the labelled rows with the least hash of doc_id, MOST_ROWS at most; of rows that share a doc_id the one
+whose text has the least hash. Null counts as the empty text, which
 has statistics too (zeros) and so a score. Every row gets a score; repeated rows each get theirs. With no training
 rows every score is 0.5.
 """
@@ -21,7 +23,7 @@ from . import kernel as K
 from .common import in_training
 from .toxicity import sample
 
-MOST_ROWS, DIMS, GAMMA, RIDGE, SEED = 40_000, 256, 0.04, 1e-3, 29
+MOST_ROWS, DIMS, GAMMA, RIDGE, SEED, FOLDS = 40_000, 256, 0.04, 1e-3, 29, 5
 U = np.uint64
 STATS = ("log_bytes", "log_words", "capitals", "letters", "digits", "spaces", "marks", "ends", "bars", "signs", "bangs", "lines",
          "mean_word", "sd_word", "once", "again", "pairs", "line_copies", "sign_words", "big_words")
@@ -130,18 +132,21 @@ def isotonic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ravel(np.column_stack([lo, hi])), np.repeat(v, 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, tasks: int = 8) -> dict | None:
-    """The model, or None without training rows. Matrices of DIMS + 1 squared are summed over `tasks` partitions."""
+def solve(a: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
+    return np.linalg.solve(a + RIDGE * max(1.0, n / 100) * np.eye(len(r)), r)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict | None:
+    """The model, or None without training rows. Matrices of DIMS + 1 squared are summed in each partition, one for each fold."""
     from .common import stored
 
     def measure(batches):
         for b in batches:
             x = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["fold", "y", "x"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample(docs, labels, most, "quality").select("doc_id", "y", "text").mapInArrow(measure, f"doc_id {kind}, y int, x array<double>")
-    rows = stored(rows.repartition(tasks, "doc_id"))  # statistics only, `most` rows
+    rows = sample(docs, labels, most, "quality").select(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold"), "y", "text")
+    rows = stored(rows.mapInArrow(measure, "fold int, y int, x array<double>").repartitionById(FOLDS, "fold"))  # statistics only, `most` rows
     d = len(STATS)
     sums = rows.select(*[f(F.get("x", i)).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).first()
     if not sums.n:
@@ -149,23 +154,26 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, tasks: int
     m = {"mean": np.array([sums[f"m{i}"] for i in range(d)]), "sd": np.array([sums[f"s{i}"] or 0 for i in range(d)]) + 1e-3, "dims": DIMS, "gamma": GAMMA, "seed": SEED}
 
     def add(batches):
-        a, r = np.zeros((DIMS + 1, DIMS + 1)), np.zeros(DIMS + 1)
+        a: dict[int, np.ndarray] = {}
         for b in batches:
-            z, y = fourier(np.array(b.column("x").to_pylist(), float).reshape(-1, d), m), b.column("y").to_numpy(zero_copy_only=False)
-            a += z.T @ z
-            r += z.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([np.vstack([a, r]).tobytes()], pa.binary())], ["m"])
-
-    a, r = np.zeros((DIMS + 1, DIMS + 1)), np.zeros(DIMS + 1)
-    for row in rows.mapInArrow(add, "m binary").collect():  # `tasks` matrices
-        part = np.frombuffer(bytes(row.m)).reshape(DIMS + 2, DIMS + 1)
-        a, r = a + part[:-1], r + part[-1]
-    m["coef"] = np.linalg.solve(a + RIDGE * max(1.0, sums.n / 100) * np.eye(DIMS + 1), r)
+            z, y, fold = fourier(np.array(b.column("x").to_pylist(), float).reshape(-1, d), m), b.column("y").to_numpy(zero_copy_only=False), b.column("fold").to_numpy()
+            for k in np.unique(fold).tolist():
+                of = fold == k
+                a[k] = a.get(k, 0) + np.vstack([z[of].T @ z[of], z[of].T @ y[of], np.full(DIMS + 1, of.sum())])
+        yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.int32()), pa.array([x.tobytes() for x in a.values()], pa.binary())], ["fold", "m"])
+
+    folds = np.zeros((FOLDS, DIMS + 3, DIMS + 1))
+    for row in rows.mapInArrow(add, "fold int, m binary").collect():  # FOLDS matrices, or some more where a fold is in two files
+        folds[row.fold] += np.frombuffer(bytes(row.m)).reshape(DIMS + 3, DIMS + 1)
+    whole = folds.sum(0)
+    m["coef"] = solve(whole[:-2], whole[-2], whole[-1, 0])
+    without = [solve(x[:-2], x[-2], x[-1, 0]) for x in whole - folds]
 
     def fit(batches):
         for b in batches:
             z = fourier(np.array(b.column("x").to_pylist(), float).reshape(-1, d), m)
-            yield pa.RecordBatch.from_arrays([pa.array(z @ m["coef"]), b.column("y")], ["s", "y"])
+            s = np.einsum("ij,ij->i", z, np.array(without)[b.column("fold").to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(s), b.column("y")], ["s", "y"])
 
     p = rows.mapInArrow(fit, "s double, y int").toPandas()  # `most` pairs of numbers
     m["knots"], m["values"] = isotonic(p.s.to_numpy(), p.y.to_numpy().astype(float))

@@ -2,13 +2,14 @@
 
 Folding: case is folded, look-alike letters of other scripts become Latin ones, and digits and signs that stand for
 letters inside a word become those letters; words are then runs of letters between single spaces. The lexicon holds
-whole words and word beginnings with weights, and exception phrases whose matches take back the weight of what they
-cover. A text's weights are summed, divided by a slowly growing function of its length, and turned into a
+whole words and word beginnings with weights, and exception phrases; a word counts by its longest entry, once, and not
+at all where an exception begins with it. A text's weights are summed, divided by a slowly growing function of its length, and turned into a
 probability by a logistic curve.
 
-The weights are log-odds learned from labelled rows (a sample bounded by MOST_ROWS rows, least hash of doc_id first),
-in which near copies, found by a one-value sketch of their four-word shingles, count once. Exceptions are learned too:
-longer words that begin like an entry but are mostly found in clean rows, and two-word phrases of which that holds.
+The weights are log-odds learned from labelled rows (a sample bounded by MOST_ROWS rows, least hash of doc_id first; of
+rows that share a doc_id the one whose text has the least hash), in which near copies, found by a one-value sketch of their four-word shingles, count once. Exceptions are learned too:
+longer words that begin like an entry but are mostly found in clean rows, and two-word phrases of which that holds. The number of
+entries follows from the sample alone: each stands in LEAST_TOXIC of its rows or more, far oftener than by chance.
 
 Null and empty texts score by the curve at zero. Every row gets a score; repeated rows each get theirs. Rows whose
 doc_id is null are never held out. With no toxic training rows the lexicon is DEFAULT, with weight 4 each.
@@ -30,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import in_training
 
 MOST_ROWS = 16_000
-MOST_TERMS = 40_000
 SHORTEST, LONGEST = 3, 9
-LEAST_TOXIC, LEAST_SHARE = 4, 0.6
+LEAST_TOXIC, LEAST_SHARE, LEAST_Z = 4, 0.6, 5.0
 DEFAULT = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser", "trash", "clown")
 DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser")
 
@@ -67,31 +67,32 @@ def fold(text: str) -> str:
 
 
 def automaton(terms: dict[str, float], exceptions: dict[str, str]):
+    """Entries carry (length, weight), exceptions (length, None)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for t, w in terms.items():
-        a.add_word(t, (len(t), w, None))
-    for e, t in exceptions.items():
-        a.add_word(e, (len(e), -terms.get(t, 0.0), t))
+        a.add_word(t, (len(t), w))
+    for e in exceptions:
+        a.add_word(e, (len(e), None))
     if len(a):
         a.make_automaton()
     return a
 
 
 def weigh(a, folded: str) -> tuple[float, int]:
-    """(summed weights, hits) of a folded text; a word counts by its longest entry."""
+    """(summed weights, words with an entry) of a folded text."""
     if not len(a):
         return 0.0, 0
     best: dict[int, tuple[int, float]] = {}
-    back = 0.0
-    for end, (n, w, what) in a.iter(folded):
+    free = set()
+    for end, (n, w) in a.iter(folded):
         at = end - n + 1
-        if what is not None:
-            back += w
+        if w is None:
+            free.add(at)
         elif at not in best or n > best[at][0]:
             best[at] = (n, w)
-    return max(0.0, sum(w for _, w in best.values()) + back), len(best)
+    return sum(w for at, (_, w) in best.items() if at not in free), len(best)
 
 
 def features(total: float, n: int, n_words: int) -> tuple[float, float, float]:
@@ -114,10 +115,11 @@ def _begins(words: set[str]) -> set[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, label: str) -> DataFrame:
-    """(doc_id, text, y) of training rows: those of the `most` labels with the least hash of doc_id."""
+    """(doc_id, text, y) of training rows: those of the `most` labels with the least hash of doc_id, one row for each."""
     rows = labels.where(in_training(5, 0) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most)  # at most `most` pairs of numbers
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.min("y").alias("y"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
@@ -157,11 +159,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
 
         f = one.mapInArrow(count, "t string, pos long, neg long").groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         f = f.where((F.col("pos") >= LEAST_TOXIC) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
-        f = f.orderBy(F.desc("pos"), "t").limit(MOST_TERMS).toPandas()
-        w = np.log((f.pos + 0.5) / (n_pos + 1)) - np.log((f.neg + 0.5) / (n_neg + 1))
+        weight = F.log((F.col("pos") + 0.5) / float(n_pos + 1)) - F.log((F.col("neg") + 0.5) / float(n_neg + 1))
         # how unlikely the count is by chance, from the share of toxic rows
-        z = (f.pos - (f.pos + f.neg) * n_pos / (n_pos + n_neg)) / np.sqrt((f.pos + f.neg) * n_pos / (n_pos + n_neg) + 1e-9)
-        found = {t: (float(x), int(p), int(q)) for t, x, zz, p, q in zip(f.t, w, z, f.pos, f.neg) if x > 0 and zz > 5}
+        chance = (F.col("pos") + F.col("neg")) * (n_pos / (n_pos + n_neg))
+        f = f.withColumn("w", weight).where((F.col("w") > 0) & ((F.col("pos") - chance) / F.sqrt(chance + 1e-9) > LEAST_Z))
+        found = {r.t: (r.w, r.pos, r.neg) for r in f.orderBy("t").collect()}
         # an entry that only repeats what a shorter beginning says is not needed
         terms = {t: v[0] for t, v in found.items() if not any((u := t[:k]) in found and found[u][2] <= 0.1 * found[u][1] for k in range(SHORTEST + 1, len(t)))}
         gone = exceptions(one, terms)
@@ -188,7 +190,7 @@ def exceptions(one: DataFrame, terms: dict[str, float]) -> dict[str, str]:
         for b in batches:
             for y, x in zip(b.column("y").to_pylist(), b.column("folded").to_pylist()):
                 seen = set()
-                for end, (n, _, _) in a.iter(x) if len(a) else ():
+                for end, (n, _) in a.iter(x) if len(a) else ():
                     at = end - n + 1
                     stop = x.find(" ", at + 1)
                     nxt = x.find(" ", stop + 1)
@@ -202,7 +204,7 @@ def exceptions(one: DataFrame, terms: dict[str, float]) -> dict[str, str]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells] + [pa.array([c[x] for x in t], pa.int64()) for c in (pos, neg)], ["phrase", "term", "pos", "neg"])
 
     f = one.mapInArrow(near, "phrase string, term string, pos long, neg long").groupBy("phrase", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    f = f.where("neg >= 3 AND pos = 0").orderBy(F.desc("neg"), "phrase", "term").limit(MOST_TERMS).toPandas()
+    f = f.where("neg >= 3 AND pos = 0").select("phrase", "term").orderBy("phrase", "term").toPandas()
     return dict(zip(f.phrase, f.term))
 
 
@@ -223,7 +225,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 def score(docs: DataFrame, model: dict, text: str = "text"):
     """A column with the probability of each row's text."""
     terms, gone, curve = model["terms"], model["exceptions"], model["curve"]
-    cast = docs.sparkSession.sparkContext.broadcast((terms, gone))  # at most 2 * MOST_TERMS entries
+    cast = docs.sparkSession.sparkContext.broadcast((terms, gone))  # what the sample taught
 
     def of(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = automaton(*cast.value)

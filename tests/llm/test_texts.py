@@ -160,6 +160,82 @@ def test_toxicity_without_labels(spark):
 def test_exceptions_take_back():
     a = toxicity.automaton({" trash ": 3.0}, {" trash can ": " trash "})
     assert toxicity.weigh(a, toxicity.fold("the trash can"))[0] == 0 and toxicity.weigh(a, toxicity.fold("you trash"))[0] == 3
+    a = toxicity.automaton({" tra": 4.0, " trash ": 5.0, " scum ": 3.0}, {" tram ": " tra", " tram line ": " tra", " trash can ": " trash "})
+    for text, want in (("tram line you scum", 3), ("tram tram line scum scum", 6), ("trash can trash", 5), ("travel scum", 7), ("tram", 0)):
+        assert toxicity.weigh(a, toxicity.fold(text))[0] == want, text
+
+
+def test_samples_are_bounded(spark):
+    d = spark.createDataFrame([(i % 10, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.sample(d, labels, 4, "toxic").collect()
+    assert len(got) == 4 == len({r.doc_id for r in got}) and {r.text for r in got} <= {f"text {i}" for i in range(500)}
+
+
+def brute_toxicity(docs, labels):
+    """Scores of a list of texts, learned from (doc_id, text, toxic) with distinct ids, by plain counting and matching."""
+    folded = {i: toxicity.fold(t or "") for i, t, _ in labels}
+    one = {}
+    for i, _, y in labels:
+        k = (toxicity._signature(folded[i].split()), y)
+        one[k] = min(one.get(k, (i, folded[i])), (i, folded[i]))
+    one = [(y, f) for (_, y), (_, f) in one.items()]
+    n = collections.Counter(y for y, _ in one)
+    seen = collections.Counter()
+    for y, f in one:
+        words = set(f.split())
+        seen.update({(y, f" {w} ") for w in words} | {(y, f" {w[:k]}") for w in words for k in range(3, min(9, len(w)) + 1)})
+    found = {}
+    for t in {t for _, t in seen}:
+        p, q = seen[1, t], seen[0, t]
+        w = math.log((p + 0.5) / (n[1] + 1)) - math.log((q + 0.5) / (n[0] + 1))
+        chance = (p + q) * n[1] / (n[0] + n[1])
+        if p >= 4 and p >= 0.6 * (p + q) and w > 0 and (p - chance) / math.sqrt(chance + 1e-9) > 5:
+            found[t] = (w, p, q)
+    terms = {t: v[0] for t, v in found.items() if not any((u := t[:k]) in found and found[u][2] <= 0.1 * found[u][1] for k in range(4, len(t)))}
+
+    def entries(f):
+        """(start, word and its end, phrase with the next word) of each word that an entry begins, with the entries."""
+        for at in [j for j, c in enumerate(f) if c == " " and j + 1 < len(f)]:
+            own = [t for t in terms if f.startswith(t, at)]
+            stop = f.find(" ", at + 1)
+            nxt = f.find(" ", stop + 1)
+            if own:
+                yield at, f[at : stop + 1], f[at : nxt + 1] if nxt > 0 else None, own
+
+    counts = collections.Counter()
+    for y, f in one:
+        mine = set()
+        for _, word, phrase, own in entries(f):
+            mine |= {(word, t) for t in own if t != word} | ({(phrase, t) for t in own} if phrase else set())
+        counts.update((y, *x) for x in mine)
+    gone = {p for (y, p, t), c in counts.items() if y == 0 and c >= 3 and not counts[1, p, t]}
+    gone |= {f" {e} " for e in toxicity.DEFAULT_EXCEPTIONS if f" {e.split()[0]} " in terms}
+
+    def measure(f):
+        hits = list(entries(f))
+        total = sum(terms[max(own, key=len)] for at, _, _, own in hits if not any(f.startswith(e, at) for e in gone))
+        return toxicity.features(total, len(hits), f.count(" ") - 1)
+
+    order = sorted(labels)
+    curve = toxicity.logistic(np.array([measure(folded[i]) for i, _, _ in order]), np.array([y for _, _, y in order]))
+    return [1 / (1 + math.exp(-(sum(c * u for c, u in zip(curve, measure(toxicity.fold(t or "")))) + curve[-1]))) for t in docs]
+
+
+def test_toxicity_by_brute_force(spark):
+    """Nulls in labels, ids without text, empty and long texts and repeated rows among the documents."""
+    r = random.Random(12)
+    rows = [(i, t if r.random() < 0.7 or y else t + " " + r.choice(["zorkhan fruit", "grubbel tea", "zorkhut"]), y) for i, t, y in made(1100, 7)]
+    rows += [(5000 + i, t, 0) for i, t in enumerate(HARD)]
+    texts = [t for _, t, _ in rows]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, texts[0]), (None, texts[1]), (9999, None)], "doc_id long, text string").withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (8888, 1), (9999, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    train = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    want = brute_toxicity(texts + [texts[0], texts[1], None], train)
+    got = toxicity.report(d, labels).collect()
+    key = lambda x: (str(x[0]), round(x[1], 6))
+    assert sorted(key((x.doc_id, x.score)) for x in got) == sorted(map(key, zip([i for i, _, _ in rows] + [0, None, 9999], want)))
+    assert all(x.predicted == int(x.score >= 0.5) for x in got) and {x.predicted for x in got} == {0, 1}
 
 
 # ---- quality ------------------------------------------------------------------------------------------------------------
@@ -188,6 +264,67 @@ def test_statistics_do_not_depend_on_neighbours():
     assert np.isfinite(whole).all()
 
 
+def slow_statistics(text):
+    """quality.STATS of one text, a byte, a word and a line at a time."""
+    b, w = text.encode(), text.encode().split()
+    share = lambda n: n / max(len(b), 1)
+    each = lambda n: n / max(len(w), 1)
+    two = sum(b[i] == 0xC3 and 0x80 <= b[i + 1] <= 0x9E for i in range(len(b) - 1))
+    capital = sum(65 <= c <= 90 for c in b) + 2 * two
+    letter = capital + sum(97 <= c <= 122 or c >= 128 for c in b) - 2 * two
+    signs = b"#$%&*@~^=+<>{}[]\\`"
+    lens = [len(x) for x in w]
+    mean = each(sum(lens))
+    lines = [x for x in (tuple(line.split()) for line in b.split(b"\n")) if x]
+    pairs = list(zip(w, w[1:]))
+    return [math.log1p(len(b)), math.log1p(len(w)), share(capital), share(letter), share(sum(48 <= c <= 57 for c in b)), share(sum(c in b" \t\x0b\x0c\r" for c in b)),
+            share(sum(c in b"\"'()-/:;?_" for c in b)), each(sum(c in b".," for c in b)), each(b.count(b"|")), each(sum(c in signs for c in b)), each(b.count(b"!")), each(b.count(b"\n")),
+            mean, math.sqrt(max(0, each(sum(x * x for x in lens)) - mean**2)), each(len(set(w))), each(sum(x == y for x, y in pairs)), 1 - len(set(pairs)) / max(len(pairs), 1),
+            1 - len(set(lines)) / len(lines) if lines and b"\n" in b else 0.0, each(sum(x[-1] in signs for x in w)), each(sum(65 <= x[0] <= 90 for x in w))]
+
+
+def test_statistics_one_at_a_time():
+    texts = [x or "" for x in HARD if len(x or "") < 9000] + ["A b\nA b\nc! d, e.\n\n É é ÀB\n| x$ #y 12", "same same same\nsame", "\n\n"]
+    for t in texts:
+        assert quality.statistics(pa.array([t]))[0] == pytest.approx(slow_statistics(t), abs=1e-9), t
+
+
+def test_quality_by_brute_force(spark):
+    """The whole model by plain matrices: features one by one, each fold scored by the other folds, isotonic fit of these."""
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        w = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(5, 60))]
+        y = int(r.random() < 0.6)
+        rows.append((i, " ".join(w if y or r.random() < 0.3 else [x + "!" for x in w]), y))
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, rows[0][1]), (7, rows[7][1]), (9001, None)], "doc_id long, text string").withColumn("x", F.lit("clash"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9001, None), (9002, 1)], "doc_id long, quality int")
+    train = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    ids = spark.createDataFrame([(i,) for i, _, _ in train], "doc_id long")
+    fold = {x.doc_id: x.f for x in ids.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(quality.FOLDS)).alias("f")).collect()}
+    x, y, f = np.array([slow_statistics(t) for _, t, _ in train]), np.array([v for _, _, v in train], float), np.array([fold[i] for i, _, _ in train])
+    m = {"mean": x.mean(0), "sd": x.std(0) + 1e-3, "dims": quality.DIMS, "gamma": quality.GAMMA, "seed": quality.SEED}
+    z = quality.fourier(x, m)
+
+    def coef(of):
+        return np.linalg.solve(z[of].T @ z[of] + quality.RIDGE * max(1.0, of.sum() / 100) * np.eye(z.shape[1]), z[of].T @ y[of])
+
+    s = np.array([z[i] @ coef(f != f[i]) for i in range(len(z))])
+    knots, values = quality.isotonic(s, y)
+    whole = coef(f >= 0)
+    texts = [t for _, t, _ in rows] + [rows[0][1], rows[7][1], ""]
+    v = quality.fourier(np.array([slow_statistics(t) for t in texts]), m) @ whole
+    want = np.clip(np.interp(v, knots, values) + 1e-6 * np.tanh(v), 0, 1)
+    got = quality.report(d, labels).collect()
+    # a score at a step of the fit may differ by rounding
+    near = lambda a, b: sum(abs(p - q) < 1e-3 for p, q in zip(a, b)) >= 0.99 * len(b)
+    key = lambda i: (i is None, i or 0)
+    own = sorted(zip([i for i, _, _ in rows] + [None, 7, 9001], want.tolist()), key=lambda p: (key(p[0]), p[1]))
+    mine = sorted(((r.doc_id, r.score) for r in got), key=lambda p: (key(p[0]), p[1]))
+    assert [i for i, _ in mine] == [i for i, _ in own] and near([p for _, p in mine], [p for _, p in own])
+    assert all(r.predicted == int(r.score >= 0.3) for r in got)
+
+
 def test_isotonic():
     x, v = quality.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert np.interp([1, 2, 3, 4, 5], x, v) == pytest.approx([0, 0.5, 0.5, 1, 1])
