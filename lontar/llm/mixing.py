@@ -4,7 +4,7 @@ Sources in code point order, null last, weigh WEIGHTS in turn. Targets share `sh
 target stops at `epochs` times its source's size and the excess goes to the others by weight until none is above.
 That limit has a closed form: with sources in order of cap / weight, a level t holds target = min(cap, t * weight).
 Each document is then taken floor(target / size) whole times, and a seeded fraction once more: documents stand in
-the order of a seeded digest of doc_id, and the first ones are taken until the source's remaining words are used up;
+the order of a seeded digest of doc_id and text, and the first ones are taken until the source's remaining words are used up;
 the one at the end gives only the words still missing. So each source's words meet its target, rounded down.
 
 Null text has size 0; null source is a source of its own; sources of size 0 have target 0. Rows that repeat a doc_id
@@ -30,8 +30,8 @@ def size_of(text):
 
 
 def order_of(seed: str = SEED):
-    """A seeded digest of doc_id: its first four hex digits are the bucket."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """A seeded digest of doc_id and text: its first four hex digits are the bucket. Rows without doc_id spread as others do."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
@@ -55,38 +55,38 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weig
 def mix(docs: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """docs' columns with _size, _source_size, _target and _taken added: the words of each that the mix takes.
 
-    Columns of docs with the names dropped below are replaced.
+    Columns of docs that begin with _mix_, or have one of these four names, are replaced.
 
     One pass sums sizes by source and bucket (65,536 buckets of the digest) with partial sums before its shuffle;
     a second pass decides each row by its source's entry. Only the rows of one bucket of each source are ordered.
     """
-    docs = docs.drop("_size", "_source_size", "_target", "_taken", "_dg", "_b", "_s", "_edge", "_once", "whole", "left", "before")
-    dg = order_of(seed)
-    sums = docs.select("source", F.conv(F.substring(dg, 1, 4), 16, 10).cast("int").alias("b"), size_of(F.col("text")).alias("n"))
+    docs = docs.drop("_size", "_source_size", "_target", "_taken", *[c for c in docs.columns if c.startswith("_mix_")])
+    bucket = lambda dg: F.conv(F.substring(dg, 1, 4), 16, 10).cast("int")
+    sums = docs.select("source", bucket(order_of(seed)).alias("b"), size_of(F.col("text")).alias("n"))
     sums = stored(sums.groupBy("source", "b").agg(F.sum("n").alias("n")))
     per = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, epochs, weights)
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("left", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    run = Window.partitionBy("source").orderBy("b")
+    run = Window.partitionBy("source").orderBy("b")  # 65,536 rows a source at most
     cut = sums.withColumn("before", F.sum("n").over(run) - F.col("n"))
     cut = cut.alias("c").join(per.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select(
-        F.col("p.source").alias("_s"), F.col("p.source_size").alias("_source_size"), F.col("p.target").alias("_target"), "whole", "left", "b", "before", "n")
-    last = F.when(F.col("before") < F.col("left"), F.struct("b", "before"))  # the bucket in which the words run out
-    cut = cut.groupBy("_s", "_source_size", "_target", "whole", "left").agg(F.max(last).alias("e"))
-    cut = cut.select("_s", "_source_size", "_target", "whole", "left", F.coalesce("e.b", F.lit(-1)).alias("_edge"), F.coalesce("e.before", F.lit(0)).alias("before"))
-    cut = stored(cut)
+        F.col("p.source").alias("_mix_source"), F.col("p.source_size").alias("_source_size"), F.col("p.target").alias("_target"), F.col("whole").alias("_mix_whole"), F.col("left").alias("_mix_left"), "b", "before", "n")
+    last = F.when(F.col("before") < F.col("_mix_left"), F.struct("b", "before"))  # the bucket in which the words run out
+    same = ["_mix_source", "_source_size", "_target", "_mix_whole", "_mix_left"]
+    cut = cut.groupBy(*same).agg(F.max(last).alias("e"))
+    cut = stored(cut.select(*same, F.coalesce("e.b", F.lit(-1)).alias("_mix_edge"), F.coalesce("e.before", F.lit(0)).alias("_mix_before")))
     cut = F.broadcast(cut) if cut.limit(SMALL + 1).count() <= SMALL else cut
     # the size is worked out after the edge's filter, so that the edge's branch reads few texts' words
-    j = docs.withColumn("_dg", dg).withColumn("_b", F.conv(F.substring("_dg", 1, 4), 16, 10).cast("int"))
-    j = j.join(cut, F.col("source").eqNullSafe(F.col("_s")))
+    j = docs.withColumn("_mix_dg", order_of(seed)).withColumn("_mix_b", bucket(F.col("_mix_dg")))
+    j = j.join(cut, F.col("source").eqNullSafe(F.col("_mix_source")))
     sized = lambda d: d.withColumn("_size", size_of(F.col("text")))
-    far = sized(j.where("_b <> _edge")).withColumn("_once", F.when(F.col("_b") < F.col("_edge"), F.col("_size")).otherwise(0))
-    w = Window.partitionBy("_s").orderBy("_dg", "_size", F.xxhash64(F.coalesce("text", F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
-    edge = sized(j.where("_b = _edge"))
+    far = sized(j.where("_mix_b <> _mix_edge")).withColumn("_mix_once", F.when(F.col("_mix_b") < F.col("_mix_edge"), F.col("_size")).otherwise(0))
+    w = Window.partitionBy("_mix_source").orderBy("_mix_dg", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = sized(j.where("_mix_b = _mix_edge"))
     cum = F.sum("_size").over(w)
-    edge = edge.withColumn("_once", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("left") - F.col("before") - (cum - F.col("_size")))))
-    out = far.unionByName(edge).withColumn("_taken", (F.col("whole") * F.col("_size") + F.col("_once")).cast("long"))
-    return out.drop("_dg", "_b", "_s", "whole", "left", "_edge", "before", "_once")
+    edge = edge.withColumn("_mix_once", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_mix_left") - F.col("_mix_before") - (cum - F.col("_size")))))
+    out = far.unionByName(edge).withColumn("_taken", (F.col("_mix_whole") * F.col("_size") + F.col("_mix_once")).cast("long"))
+    return out.drop(*[c for c in out.columns if c.startswith("_mix_")])
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -98,7 +98,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 SQL_PARTS = """
 sized AS (
   SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('mix-17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS dg FROM {docs}),
+         md5('mix-17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS dg FROM {docs}),
 per0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 per1 AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,

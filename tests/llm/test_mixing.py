@@ -40,6 +40,10 @@ def test_mix(spark):
     rows = [(i, r.choice(["a", "b", "c", None, "é"] + ["a"] * 5), " ".join("w" * r.randint(0, 40))) for i in range(400)]
     rows += [(400, "a", None), (401, "b", ""), (402, "a", "x " * 5000), (5, "a", "same"), (5, "a", "same"), (None, "c", "no id here")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_size", F.lit("clash"))
+    own = ["whole", "left", "before", "b", "n", "weight", "target", "e"]
+    d = d.withColumns({c: F.lit(c) for c in own})
+    assert set(mixing.mix(d).columns) == {"doc_id", "source", "text", *own, "_size", "_source_size", "_target", "_taken"}
+    assert mixing.mix(d).select(*own).distinct().collect() == [tuple(own)]
     got = mixing.mix(d).select("doc_id", "source", "_size", "_source_size", "_target", "_taken").collect()
     assert len(got) == len(rows)
     sizes = {}
