@@ -151,23 +151,15 @@ class Counter(dict):
         self[piece] = n
         return n
 
-    def count(self, text: str) -> int:
-        n, at = 0, 0
-        for m in self.special.finditer(text) if "<|" in text else ():
-            n += 1 + sum(map(self.__getitem__, self.pieces(text[at : m.start()])))
-            at = m.end()
-        return n + sum(map(self.__getitem__, self.pieces(text[at:] if at else text)))
-
-    def running(self, text: str) -> list[int]:
-        """Tokens up to the end of each piece (a special string is a piece)."""
-        out, n, at = [], 0, 0
+    def each(self, text: str) -> list[int]:
+        """Tokens of each piece (a special string is a piece of one)."""
+        if "<|" not in text:
+            return list(map(self.__getitem__, self.pieces(text)))
+        out, at = [], 0
         for m in [*self.special.finditer(text), None]:
-            for p in self.pieces(text[at : m.start() if m else len(text)]):
-                n += self[p]
-                out.append(n)
+            out += map(self.__getitem__, self.pieces(text[at : m.start() if m else len(text)]))
             if m:
-                n += 1
-                out.append(n)
+                out.append(1)
                 at = m.end()
         return out
 
@@ -176,32 +168,34 @@ def counter(path: str) -> Counter:
     return K.kept(f"tokens {path}", lambda: Counter(path))
 
 
-def count(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit."""
+def prefixes(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, running: exact tokens of the text up to the end of each of its pieces.
+
+    What a text's prefix costs, and where a budget ends, are look-ups in running."""
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         c = counter(path)
         for b in batches:
-            n = pa.array([c.count(x) if x else 0 for x in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
+            each = [np.cumsum(c.each(x), dtype=np.int64) if x else np.zeros(0, np.int64) for x in b.column("text").to_pylist()]
+            ends = np.zeros(len(each) + 1, np.int32)
+            np.cumsum([len(x) for x in each], out=ends[1:])
+            running = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), running], ["doc_id", "n_bytes", "running"])
 
     base = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    out = base.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    return base.mapInArrow(run, f"doc_id {kind}, n_bytes long, running array<long>")
 
 
-def prefixes(docs: DataFrame, path: str | None = None, budget: int = LIMIT) -> DataFrame:
-    """doc_id, running (tokens up to the end of each piece), n_fit (pieces that fit in the budget)."""
-    path = path or default_path()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def within(table: DataFrame, budget: int) -> DataFrame:
+    """A table of prefixes with n_fit, the pieces that fit in the budget, and fit_tokens, what they cost."""
+    fit = F.size(F.filter("running", lambda n: n <= budget))
+    return table.withColumn("n_fit", fit.cast("long")).withColumn("fit_tokens", F.coalesce(F.get("running", fit - 1), F.lit(0)).cast("long"))
 
-    def run(batches):
-        c = counter(path)
-        for b in batches:
-            r = [c.running(x or "") for x in b.column("text").to_pylist()]
-            fit = [int(np.searchsorted(x, budget, "right")) for x in r]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(r, pa.list_(pa.int64())), pa.array(fit, pa.int64())], ["doc_id", "running", "n_fit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, running array<long>, n_fit long")
+def count(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit; n_fit, fit_tokens: the pieces that a truncation to the limit keeps, and their tokens."""
+    t = within(prefixes(docs, path), limit)
+    n = F.coalesce(F.try_element_at("running", F.lit(-1)), F.lit(0)).cast("long")
+    return t.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "n_fit", "fit_tokens")
