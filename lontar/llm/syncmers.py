@@ -2,8 +2,12 @@
 
 A k-mer (k consecutive code points) is a closed syncmer if the least hash among its s-mers stands at its first or
 last place. The choice depends on the k-mer alone, so an edit elsewhere in the text never changes it: the anchors
-serve positional matching. The fingerprint keeps the SKETCH least distinct 32-bit hashes of a text's syncmers
-(all of them, where fewer), in ascending order, as hex digits; likeness is the Jaccard estimate from two of them.
+serve positional matching: anchors that two texts share vote for the shift between their places, and the share of a
+text's anchors that agree on the best shift says how much of it stands in the other, in order (aligned_*, shift_*).
+
+The fingerprint keeps the distinct 32-bit hashes of a text's syncmers below 2^32 / SCALE, but at least the SKETCH least
+ones (all of them, where fewer), in ascending order, as hex digits: it grows with the text, so that a passage shared
+by long texts shows. Likeness is the Jaccard estimate from two fingerprints, over the range that both cover.
 
 Null counts as the empty text, whose fingerprint is empty; a text shorter than k, or without a syncmer, has the
 hash of the whole text as its one entry. Equal texts have equal fingerprints, and two empty ones a likeness of 1.
@@ -14,13 +18,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel as K
+from .common import integral, row_keys, unique_ids
 
-KMER, SMER, SKETCH = 12, 5, 128
+KMER, SMER, SKETCH, SCALE = 12, 5, 128, 16
+BELOW = (1 << 32) // SCALE
 U = np.uint64
 
 
@@ -48,24 +56,19 @@ def syncmers(c: np.ndarray, k: int = KMER, s: int = SMER) -> tuple[np.ndarray, n
     return at, K.mix(g)
 
 
-def sketch(c: np.ndarray, size: int = SKETCH, k: int = KMER, s: int = SMER) -> np.ndarray:
-    """The least distinct 32-bit hashes of a text's syncmers."""
-    if not len(c):
-        return np.zeros(0, np.uint32)
-    _, g = syncmers(c, k, s)
-    if not len(g):
-        g = np.frombuffer(hashlib.blake2b(c.tobytes(), digest_size=8).digest(), U)
-    g = (g >> U(32)).astype(np.uint32)
-    if len(g) > 4 * size:
-        g = np.partition(g, 3 * size)[: 3 * size + 1] if len(np.unique(g[:64])) > 32 else g
-        least = np.unique(g)[:size]
-        return least if len(least) == size else sketch_slow(c, size, k, s)
-    return np.unique(g)[:size]
+def marks(c: np.ndarray, k: int = KMER, s: int = SMER) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of a text's anchors: its syncmers, or where there are none the whole text as one."""
+    at, g = syncmers(c, k, s)
+    if len(c) and not len(g):
+        return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(c.tobytes(), digest_size=8).digest(), U)
+    return at, g
 
 
-def sketch_slow(c, size, k, s):
-    """As sketch(), for texts with so many repeated hashes that the short way falls short."""
-    return np.unique((syncmers(c, k, s)[1] >> U(32)).astype(np.uint32))[:size]
+def sketch(g: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The fingerprint's hashes, ascending, from those of all anchors."""
+    g = (g >> U(32)).astype(np.uint32)
+    least = np.unique(g[g < BELOW])
+    return least if len(least) >= size else np.unique(g)[:size]
 
 
 def hexed(a: np.ndarray) -> str:
@@ -73,11 +76,30 @@ def hexed(a: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Jaccard estimate: the share of both among the least `size` hashes of either."""
+    """Jaccard estimate: the share of both among all hashes in the range that both fingerprints cover."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(both))
+    # a fingerprint covers all hashes, those up to its last one, or those below the fixed limit
+    up_to = min(1 << 32 if len(x) < size else int(x[-1]) if len(x) == size and x[-1] >= BELOW else BELOW - 1 for x in (a, b))
+    a, b = a[: np.searchsorted(a, up_to, "right")], b[: np.searchsorted(b, up_to, "right")]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def aligned(a: tuple, b: tuple) -> tuple[float, int]:
+    """(share of a's distinct anchors that b has at the shift most of them agree on, that shift); the first place of an anchor counts.
+
+    Of equally good shifts the least one; (0, 0) where no anchor is shared, (1, 0) for two texts without any."""
+    if not len(a[1]) or not len(b[1]):
+        return float(len(a[1]) == len(b[1])), 0
+    ga, ia = np.unique(a[1], return_index=True)
+    gb, ib = np.unique(b[1], return_index=True)
+    _, x, y = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+    if not len(x):
+        return 0.0, 0
+    shift, n = np.unique(b[0][ib[y]] - a[0][ia[x]], return_counts=True)
+    top = int(n.argmax())
+    return float(n[top] / len(ga)), int(shift[top])
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,7 +108,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def of(s):
-        return s.map(lambda x: hexed(sketch(codes(x or ""))))
+        return s.map(lambda x: hexed(sketch(marks(codes(x or ""))[1])))
 
     return docs.withColumn("fingerprint", of(F.col(text)))
 
@@ -98,7 +120,7 @@ def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, g = syncmers(codes(x or ""))
+                at, g = marks(codes(x or ""))
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), b.column(0).type), pa.array(at.astype(np.int64)), pa.array(g.view(np.int64))], ["key", "place", "hash"])
 
     return docs.select(key, text).mapInArrow(run, f"key {kind}, place long, hash long")
@@ -113,29 +135,45 @@ def edited(text: str, after: str) -> str:
 def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     """(bucket, tail, doc_id, text): doc_id's ranges, each followed by a row with tail set: the first of the next.
 
-    A range's rows are in one partition in order, so each row's successor is the row after it. The ranges' limits
-    come from a scan of doc_id alone; only a range's first row travels twice. Null doc_ids come first.
+    A range is one partition, in order, so each row's successor is the row after it. The ranges' limits come from a scan
+    of doc_id alone; only a range's first row travels twice. The driver and the workers hold two numbers for each range.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("k"))
-    cuts = sorted(set(base.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
-    marks = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    bucket = F.size(F.filter(marks, lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    base = base.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r.bucket, r.k) for r in base.groupBy("bucket").agg(F.min("k").alias("k")).collect())  # parts rows at most
-    into = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
-    to = F.coalesce(*[F.when(F.col("k") == k, F.lit(b)) for k, b in into.items()], F.lit(-1)) if into else F.lit(-1)
-    own = base.select("bucket", F.lit(0).alias("tail"), "k", "doc_id", "text")
-    head = base.where(F.col("k").isin(list(into))).select(to.cast("int").alias("bucket"), F.lit(1).alias("tail"), "k", "doc_id", "text") if into else own.limit(0)
-    return own.unionByName(head).repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "tail", "k", "text")
+    plain = integral(docs) and unique_ids(docs)
+    base = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_key")) if plain else row_keys(docs.select("doc_id", "text"), "doc_id", "text")
+    base = base.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_key").alias("k"))
+    cuts = np.array(sorted(set(base.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [], np.float64).astype(np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
+
+    heads = sorted((r.k, r.bucket) for r in base.select(bucket("k").alias("bucket"), "k").groupBy("bucket").agg(F.min("k").alias("k")).collect())
+    first = np.array([k for k, _ in heads], np.int64)
+    before = np.array([heads[i - 1][1] for i in range(len(heads))], np.int32)
+
+    @F.pandas_udf("int")
+    def follows(k: pd.Series) -> pd.Series:
+        """The range that ends where this row begins the next one; -1 for other rows."""
+        k = k.to_numpy()
+        if not len(first):
+            return pd.Series(np.full(len(k), -1, np.int32))
+        i = np.minimum(np.searchsorted(first, k), len(first) - 1)
+        return pd.Series(np.where(first[i] == k, before[i], -1).astype(np.int32))
+
+    rows = base.withColumn("own", bucket("k")).withColumn("to", follows("k"))
+    place = lambda b, tail: F.struct(b.alias("bucket"), F.lit(tail).alias("tail"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("to") >= 0, F.array(place(F.col("own"), 0), place(F.col("to"), 1))).otherwise(F.array(place(F.col("own"), 0)))))
+    rows = rows.select("at.bucket", "at.tail", "k", "doc_id", "text")
+    return rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "tail", "k", "text")
 
 
 def edit_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and likenesses, as op1's contract names them.
+    """Each document's fingerprint, that of its edited text, and likenesses, as op1's contract names them; then, for the
+    edited text and the next document, the share of the text's anchors found in order there, and their shift.
 
-    Rows with one doc_id are ordered by text. Extra columns are ignored. An empty table gives an empty result.
+    Null doc_ids come first; rows with one doc_id are ordered by their text's hash. doc_id may be of any type that has an
+    order. Extra columns are ignored. An empty table gives an empty result.
     """
     from .common import spread
 
@@ -143,27 +181,30 @@ def edit_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or max(spread(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = neighbours(docs, parts).select("bucket", "tail", "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = (f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+              "aligned_edited double, shift_edited long, aligned_next double, shift_next long")
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
 
     def run(batches):
-        last = None  # (bucket, doc_id, text, sketch) that waits for its successor
+        last = None  # (bucket, doc_id, text, anchors, fingerprint) that waits for its successor
         done = None  # a bucket whose tail has come
         for b in batches:
             out = []
             for bucket, tail, i, x in zip(*[c.to_pylist() for c in b.columns]):
                 if tail and done == bucket:
                     continue
-                own = sketch(codes(x))
+                own = marks(codes(x))
+                mark = sketch(own[1])
                 if last and last[0] == bucket:
-                    _, j, y, fp = last
+                    _, j, y, m, fp = last
                     e = edited(y, x)
-                    fe = fp if e == y else sketch(codes(e))
-                    out.append((j, len(y), hashlib.sha256(e.encode()).hexdigest(), hexed(fp), hexed(fe), likeness(fp, fe), likeness(fp, own)))
-                last = None if tail else (bucket, i, x, own)
+                    me = m if e == y else marks(codes(e))
+                    fe = fp if e == y else sketch(me[1])
+                    out.append((j, len(y), hashlib.sha256(e.encode()).hexdigest(), hexed(fp), hexed(fe), likeness(fp, fe), likeness(fp, mark), *aligned(m, me), *aligned(m, own)))
+                last = None if tail else (bucket, i, x, own, mark)
                 done = bucket if tail else done
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return rows.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -70,14 +71,64 @@ def test_syncmers_are_context_free():
     assert {(p - 2 + 100, x) for p, x in zip(at2.tolist(), g2.tolist()) if p >= 2} <= set(whole.items())
 
 
-def brute_op1(rows):
-    rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+def mixed(x):
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def brute_anchors(text, k=12, s=5):
+    """(place, hash) of the closed syncmers, or of the whole text, one by one."""
+    c = [ord(x) + 1 for x in text]
+    small = [mixed(sum_hash(c[i : i + s])) for i in range(len(c) - s + 1)]
+    out = []
+    for i in range(len(c) - k + 1):
+        h = small[i : i + k - s + 1]
+        if min(h) in (h[0], h[-1]):
+            g = 0
+            for j in (0, 5, 7):  # s-mers that cover the k-mer
+                g = (g * 0xD1342543DE82EF95 + h[j]) % (1 << 64)
+            out.append((i, mixed(g)))
+    return out or [(0, int.from_bytes(hashlib.blake2b(text.encode("utf-32-le"), digest_size=8).digest(), "little"))] * bool(text)
+
+
+def brute_fingerprint(anchors):
+    g = sorted({h >> 32 for _, h in anchors})
+    return g[: max(128, sum(x < 1 << 28 for x in g))]
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    top = [float("inf") if len(x) < 128 else x[-1] if len(x) == 128 and x[-1] >= 1 << 28 else (1 << 28) - 1 for x in (a, b)]
+    a, b = ({y for y in x if y <= min(top)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def brute_aligned(a, b):
+    if not a or not b:
+        return float(a == b), 0
+    pa_, pb = ({h: p for p, h in reversed(x)} for x in (a, b))
+    votes = collections.Counter(pb[h] - pa_[h] for h in pa_.keys() & pb.keys())
+    if not votes:
+        return 0.0, 0
+    n, shift = max((n, -s) for s, n in votes.items())
+    return n / len(pa_), -shift
+
+
+def brute_op1(rows, spark):
+    th = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, th[x[1] or ""]))
+    known = {}
     for i, (k, t) in enumerate(rows):
         n = rows[(i + 1) % len(rows)][1] or ""
         t = t or ""
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        f = [syncmers.sketch(syncmers.codes(x)) for x in (t, e, n)]
-        yield k, len(t), hashlib.sha256(e.encode()).hexdigest(), syncmers.hexed(f[0]), syncmers.hexed(f[1]), syncmers.likeness(f[0], f[1]), syncmers.likeness(f[0], f[2])
+        m = [known.setdefault(x, None) or known.__setitem__(x, brute_anchors(x)) or known[x] for x in (t, e, n)]
+        f = [brute_fingerprint(x) for x in m]
+        digits = ["".join(f"{x:08x}" for x in y) for y in f]
+        yield k, len(t), hashlib.sha256(e.encode()).hexdigest(), digits[0], digits[1], brute_likeness(f[0], f[1]), brute_likeness(f[0], f[2]), *brute_aligned(m[0], m[1]), *brute_aligned(m[0], m[2])
 
 
 @pytest.mark.parametrize("parts", [1, 3, 9])
@@ -88,16 +139,35 @@ def test_edit_likeness(spark, parts):
     r.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(0)).repartition(4)
     got = [tuple(x) for x in syncmers.edit_likeness(d, parts).collect()]
-    assert sorted(got) == sorted(brute_op1(rows))
+    assert sorted(got) == sorted(brute_op1(rows, spark))
     assert syncmers.edit_likeness(d.limit(0)).count() == 0
 
 
 def test_edit_likeness_one_row_and_ties(spark):
-    one = syncmers.edit_likeness(spark.createDataFrame([(7, "abcd")], "doc_id long, text string")).first()
-    assert (one.edited_sha256, one.near_edited) == (hashlib.sha256(b"abab").hexdigest(), syncmers.likeness(syncmers.sketch(syncmers.codes("abcd")), syncmers.sketch(syncmers.codes("abab"))))
-    rows = [(1, "x" * 30), (1, "y" * 30), (1, "y" * 30), (None, "z" * 9), (2, "")]
+    one = syncmers.edit_likeness(spark.createDataFrame([(7, "abcd")], "doc_id long, text string"))
+    assert list(map(tuple, one.collect())) == list(brute_op1([(7, "abcd")], spark))
+    rows = [(1, "x" * 30), (1, "y" * 30), (1, "y" * 30), (None, "z" * 9), (2, ""), (None, None)]
     got = syncmers.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(brute_op1(rows), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted(brute_op1(rows, spark), key=str)
+    named = [("b", "first text of all"), ("a", "another text here"), ("c", None)]
+    got = syncmers.edit_likeness(spark.createDataFrame(named, "doc_id string, text string"), 2).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_op1(named, spark))
+
+
+def test_anchors_stay_in_place(spark):
+    """A passage moved into another text keeps its anchors, at one shift."""
+    r = random.Random(8)
+    words = [f"{r.randrange(10**6)}" for _ in range(400)]
+    a, b = " ".join(words[:200]), " ".join(words[300:] + words[50:150])
+    d = spark.createDataFrame([(1, a), (2, b)], "key long, text string")
+    got = {1: {}, 2: {}}
+    for x in syncmers.anchors(d, "key").collect():
+        got[x.key].setdefault(x.hash, x.place)
+    shifts = collections.Counter(got[2][h] - got[1][h] for h in got[1].keys() & got[2].keys())
+    best = b.index(words[50] + " " + words[51]) - a.index(words[50] + " " + words[51])
+    assert shifts.most_common(1)[0][0] == best
+    share, shift = syncmers.aligned(*(syncmers.marks(syncmers.codes(x)) for x in (a, b)))
+    assert shift == best and 0.4 < share < 0.6
 
 
 def test_equal_texts_have_equal_fingerprints(spark):
@@ -106,9 +176,12 @@ def test_equal_texts_have_equal_fingerprints(spark):
     for r in syncmers.fingerprint(d).collect():
         assert f.setdefault(r.text or "", r.fingerprint) == r.fingerprint
     assert f[""] == ""
-    long = " ".join(f"w{i}" for i in range(5000))
-    a, b = syncmers.sketch(syncmers.codes(long)), syncmers.sketch(syncmers.codes(long + " more"))
-    assert syncmers.likeness(a, b) > 0.9 > 0.1 > syncmers.likeness(a, syncmers.sketch(syncmers.codes("other " + long[::-1])))
+    made = lambda t: syncmers.sketch(syncmers.marks(syncmers.codes(t))[1])
+    long = " ".join(f"w{i}" for i in range(9000))
+    a = made(long)
+    assert len(a) > 500 and syncmers.likeness(a, made(long + " more")) > 0.9 > 0.1 > syncmers.likeness(a, made("other " + long[::-1]))
+    passage = " ".join(f"w{i}" for i in range(500, 580))
+    assert syncmers.likeness(a, made(" ".join(f"v{i * 7}" for i in range(9000)) + passage)) > 0
 
 
 # ---- toxicity ---------------------------------------------------------------------------------------------------------
@@ -357,13 +430,19 @@ def test_prefix_counts(library):
                 assert ended[i] == len(library.encode(word[:i], add_special_tokens=False).ids)
         assert ended[-1] == c.whole(word)
     text = "The quick brown fox's 12 dens"
-    run = c.running(text)
-    assert run[-1] == c.count(text) and all(b > a for a, b in zip(run, run[1:]))
-
-
-def test_prefixes_answer_budgets(spark):
-    r = tokens.prefixes(frame(spark, ["one two three four", ""], False), budget=2).orderBy("doc_id").collect()
-    assert r[0].n_fit == sum(x <= 2 for x in r[0].running) and r[1].n_fit == 0
+    assert sum(c.each(text)) == len(library.encode(text, add_special_tokens=False).ids) and min(c.each(text)) > 0
+
+
+def test_prefixes_answer_budgets(spark, library):
+    """Each prefix that ends with a piece costs what the library says of it alone; rows may repeat."""
+    text = "The quick, extraordinarily brown fox jumps 1234 times over thereandbackagain <|endoftext|> unbelievable dens"
+    texts = [text, "", None, "one two three four", text, "x" * 3000]
+    for budget in (0, 1, 7, 20, 5000):
+        for r in tokens.within(tokens.prefixes(frame(spark, texts, False)), budget).collect():
+            t = texts[r.doc_id] or ""
+            ends = [m.end() for m in re.finditer(r"<\|endoftext\|>|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", t)]
+            assert r.running == [len(library.encode(t[:e], add_special_tokens=False).ids) for e in ends]
+            assert (r.n_fit, r.fit_tokens) == (sum(x <= budget for x in r.running), max([0, *[x for x in r.running if x <= budget]]))
 
 
 # ---- language model -------------------------------------------------------------------------------------------------------
