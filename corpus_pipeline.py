@@ -1,4 +1,10 @@
-"""A corpus pipeline over `documents`: each stage filters or trims what the stage before it kept."""
+"""A corpus pipeline over `documents`: each stage filters or trims what the stage before it kept.
+
+All stages but the last return the columns of documents, whatever their names. Null and empty texts have no words: they
+are never toxic by the lexicon, are near copies of each other (one stays), and are taken zero times by the mix. Rows
+are told apart by (doc_id, text), null doc_ids first; fully equal rows are one document and one of them stays from the
+second stage on. An empty table gives an empty result. Very long texts are handled whole.
+"""
 
 from __future__ import annotations
 
