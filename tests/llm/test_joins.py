@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -352,3 +353,83 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in last} == set(left) and all(0 <= r.taken <= 2 * r.size for r in last)
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, last))
+
+
+def keyed(spark, rows):
+    """Distinct (doc_id, text) in the order that the stages use: doc_id, null first, then the text's hash."""
+    th = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    return sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, th[x[1] or ""]))
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    """Null ids and texts, ids and rows that repeat, empty and very long texts, clashing names: each stage by brute force."""
+    import corpus_pipeline
+    from test_mixing import fill
+    from test_texts import brute_toxicity, made
+
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("bcdfgaeiou") for _ in range(r.randint(3, 9))) for _ in range(n))
+    items, shared = [(i, words(25)) for i in range(6)] + [(6, None), (7, "")], [words(60) for _ in range(3)]
+    base = [(i, t + " " + words(30), y) for i, t, y in made(700, 5)]
+    rows = [(i, t) for i, t, _ in base]
+    rows += [(1000 + i, words(40) + " " + shared[i % 3] + " " + words(10)) for i in range(12)] + [(1100 + i, words(30) + " " + items[i % 6][1]) for i in range(9)]
+    rows += [(2000 + i, rows[i * 5][1]) for i in range(40)] + [(2100 + i, rows[i * 7][1] + " more") for i in range(40)]
+    rows += [rows[3], rows[3], (None, words(50)), (None, words(50)), (None, None), (None, None), (3000, None), (3001, ""), (3002, " \n "), (3, words(40)), (3003, words(9000)), (3004, "word " * 9000), (3005, "y" * 50000)]
+    source = {x: r.choice(["a", "b", "c", None]) for x in set(rows)}
+    docs = spark.createDataFrame([(i, t, source[i, t], len(t or "")) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    clash = ["_key", "_row", "_score", "key", "marks", "h", "fp", "spans", "_t", "size", "left"]
+    docs = docs.withColumns({c: F.lit(c) for c in clash}).repartition(3)
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in base] + [(None, 1)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    left, docs = [(x.doc_id, x.text) for x in docs.collect()], spark.read.parquet(f"{sf}/documents.parquet")
+    tops = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = scratch(spark)
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns[:4] == ["doc_id", "text", "source", "n_chars"] and docs.columns[4:] == clash
+        now = [(x.doc_id, x.text) for x in docs.collect()]
+        if name == "toxicity":
+            first = {}
+            for i, t in keyed(spark, left):  # of repeated ids the text with the least hash is learned from
+                first.setdefault(i, t)
+            y = {i: y for i, _, y in base}
+            score = dict(zip(left, brute_toxicity([t for _, t in left], [(i, first[i], y[i]) for i in y if zlib.crc32(str(i).encode()) % 5])))
+            assert sorted(now, key=str) == sorted((x for x in left if score[x] < 0.5), key=str)
+        if name == "simhash":
+            order = keyed(spark, left)
+            fp = [brute_fp(t) for _, t in order]
+            kept = set(classes(range(len(order)), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3).values())
+            assert sorted(now, key=str) == sorted((order[k] for k in kept), key=str)
+        if name == "substrings":
+            order = keyed(spark, left)
+            want = []
+            for (i, t), (w, gone) in zip(order, brute_removed([t for _, t in order])):
+                kept = b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+                if not gone or kept:
+                    want.append((i, kept if gone else t))
+            assert sorted(now, key=str) == sorted(want, key=str)
+        if name == "decontamination":
+            assert sorted(now, key=str) == sorted((x for x, h in zip(left, brute_hits(left, items)) if not h[5]), key=str)
+        tops.append(len(left) - len(now))
+        left = now
+    assert min(tops[0], tops[1], tops[3]) > 0
+    last = corpus_pipeline.run(spark, sf).collect()
+    sizes = {}
+    for x in docs.collect():
+        sizes[x.source] = sizes.get(x.source, 0) + len((x.text or "").split())
+    assert sorted((str(x.doc_id), x.size) for x in last) == sorted((str(i), len((t or "").split())) for i, t in left)
+    for s, want in fill(sizes).items():
+        assert sum(x.taken for x in last if x.source == s) == pytest.approx(want, abs=1)
+    assert all(0 <= x.taken <= 2 * x.size for x in last)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
