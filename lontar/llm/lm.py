@@ -35,7 +35,9 @@ from .common import in_training, same_scan, spread, stored
 
 PROBES, BITS_PER_ITEM = 4, 8
 PRIOR = {2: 500.0, 3: 10.0}  # how often a context must be seen to count as much as what is known without it
-BATCH = 2 << 20
+BATCH = 1 << 20
+#: Bits that tell pairs and triples of one block apart. A block holds about a million of them, however many blocks there are.
+NARROW = 40
 FINE = {1: 2, 2: 1, 3: 1}  # levels for each doubling of a count: words, pairs, triples
 U = np.uint64
 END = U(0x5851F42D4C957F2D)
@@ -63,11 +65,13 @@ def pairs(h, new):
 
 def items(h, new):
     """(kind, hashes): words, pairs and triples that end at each token; ends stand before a text's first token."""
+    yield 1, h
     two = pairs(h, new)
+    yield 2, two
     before = np.empty_like(two)
     before[1:] = two[:-1]
     before[new] = END
-    return (1, h), (2, two), (3, K.mix(before * U(0xA0761D6478BD642F) + h + _PAIR))
+    yield 3, K.mix(before * U(0xA0761D6478BD642F) + h + _PAIR)
 
 
 def summed(h, counts):
@@ -124,10 +128,22 @@ def digest(ids, size, u) -> bytes:
     return hashlib.blake2b(repr(ids).encode() + size.astype("<i8").tobytes() + u.tobytes(), digest_size=16).digest()
 
 
+def narrow(u, shift):
+    """Ascending hashes of one block, the block's bits left out and cut to NARROW bits, as five bytes each."""
+    low = (u << (U(64) - shift)) >> U(64 - NARROW)
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NARROW // 8]).tobytes()
+
+
+def wide(b):
+    out = np.zeros((len(b) // (NARROW // 8), 8), np.uint8)
+    out[:, : NARROW // 8] = np.frombuffer(b, np.uint8).reshape(-1, NARROW // 8)
+    return out.view("<u8").ravel()
+
+
 def messages(docs: DataFrame, blocks: int) -> DataFrame:
     """(kind, block, msg, a, b): packed messages; kinds 1, 2, 3: words, pairs, triples of a block; kind 5: the batch's digest.
 
-    a = distinct hashes, b = how often each is in training documents. Blocks without an entry get no message, so there
+    a = hashes, ascending, distinct but for narrowed ones that meet, b = how often each is in training documents. Blocks without an entry get no message, so there
     are no more messages than entries, however many blocks there are.
     """
     shift = U(64 - int(math.log2(blocks)))
@@ -136,15 +152,15 @@ def messages(docs: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches):
         for msg, ids, held, h, d, new in turns(batches):
-            train, rows = ~held[d], []
+            train = ~held[d]
             for kind, x in items(h, new):
                 u, c, _ = summed(x, train)
-                if kind == 1:
-                    rows.append((5, msg % blocks, msg, digest(ids, np.bincount(d, minlength=len(ids)), u), None))
+                rows = [(5, msg % blocks, msg, digest(ids, np.bincount(d, minlength=len(ids)), u), None)] if kind == 1 else []
                 for k, lo, hi in runs(u >> shift):
                     c8 = c[lo:hi]
-                    rows.append((kind, k, msg, u[lo:hi].tobytes(), (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes()))
-            yield packed(rows, names, types)
+                    a = u[lo:hi].tobytes() if kind == 1 else narrow(u[lo:hi], shift)
+                    rows.append((kind, k, msg, a, (c8.astype(np.uint8) if c8.max() < 256 else c8.astype(np.uint32)).tobytes()))
+                yield packed(rows, names, types)
 
     return docs.mapInArrow(run, "kind int, block int, msg long, a binary, b binary")
 
@@ -198,8 +214,8 @@ def owners(sent: DataFrame, blocks: int) -> DataFrame:
             made = [x for x in held if x[0] == kind]
             if not made:
                 continue
-            hs = [np.frombuffer(x[2], U) for x in made]
-            cs = [np.frombuffer(x[3], np.uint8 if x[3].size * 8 == x[2].size else np.uint32).astype(np.int64) for x in made]
+            hs = [np.frombuffer(x[2], U) if kind == 1 else wide(x[2]) for x in made]
+            cs = [np.frombuffer(x[3], np.uint8 if x[3].size == len(h) else np.uint32).astype(np.int64) for x, h in zip(made, hs)]
             u, c, at = summed(np.concatenate(hs), np.concatenate(cs))
             groups.append((u[c > 0], c[c > 0], FINE[kind]))
             asked.append((kind, [x[1] for x in made], [len(x) for x in hs], u, c, at))
