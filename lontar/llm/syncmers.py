@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,38 +131,37 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def numbers(values: list[int]):
+    """An array of whole numbers, written in the plan as one text."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def rank(values: list[int], k):
+    """How many of ascending values are not above k, by halving."""
+    a, steps = numbers(values), F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(values).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(a, lo + s - 1) <= k, lo + s).otherwise(lo))
+
+
 def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     """(bucket, tail, doc_id, text): doc_id's ranges, each followed by a row with tail set: the first of the next.
 
     A range is one partition, in order, so each row's successor is the row after it. The ranges' limits come from a scan
-    of doc_id alone; only a range's first row travels twice. The driver and the workers hold two numbers for each range.
+    of doc_id alone; only a range's first row travels twice. The driver and the plan hold two numbers for each range.
     """
-    spark = docs.sparkSession
     plain = integral(docs) and unique_ids(docs)
     base = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_key")) if plain else row_keys(docs.select("doc_id", "text"), "doc_id", "text")
     base = base.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_key").alias("k"))
-    cuts = np.array(sorted(set(base.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [], np.float64).astype(np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
-
-    heads = sorted((r.k, r.bucket) for r in base.select(bucket("k").alias("bucket"), "k").groupBy("bucket").agg(F.min("k").alias("k")).collect())
-    first = np.array([k for k, _ in heads], np.int64)
-    before = np.array([heads[i - 1][1] for i in range(len(heads))], np.int32)
-
-    @F.pandas_udf("int")
-    def follows(k: pd.Series) -> pd.Series:
-        """The range that ends where this row begins the next one; -1 for other rows."""
-        k = k.to_numpy()
-        if not len(first):
-            return pd.Series(np.full(len(k), -1, np.int32))
-        i = np.minimum(np.searchsorted(first, k), len(first) - 1)
-        return pd.Series(np.where(first[i] == k, before[i], -1).astype(np.int32))
-
-    rows = base.withColumn("own", bucket("k")).withColumn("to", follows("k"))
+    cuts = sorted({int(x) for x in base.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+
+    bucket = rank(cuts, F.col("k"))
+    heads = sorted((r.k, r.bucket) for r in base.select(bucket.alias("bucket"), "k").groupBy("bucket").agg(F.min("k").alias("k")).collect())
+    first, before = [k for k, _ in heads], [heads[i - 1][1] for i in range(len(heads))]
+    at = rank(first, F.col("k")) - 1
+    # the range that ends where this row begins the next one; null for other rows
+    follows = F.when(F.get(numbers(first), at) == F.col("k"), F.get(numbers(before), at).cast("int"))
+    rows = base.withColumn("own", bucket).withColumn("to", follows)
     place = lambda b, tail: F.struct(b.alias("bucket"), F.lit(tail).alias("tail"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("to") >= 0, F.array(place(F.col("own"), 0), place(F.col("to"), 1))).otherwise(F.array(place(F.col("own"), 0)))))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("to").isNotNull(), F.array(place(F.col("own"), 0), place(F.col("to"), 1))).otherwise(F.array(place(F.col("own"), 0)))))
     rows = rows.select("at.bucket", "at.tail", "k", "doc_id", "text")
     return rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "tail", "k", "text")
 
