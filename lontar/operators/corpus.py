@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
+
 URL = r"(https?://|www\.)[^ \t\r\n]+"
 HTML = r"<[^<>]+>"
 WIKI = r"\[\[|\]\]|\{\{[^{}]*\}\}"
@@ -61,10 +63,30 @@ def normalise(c):
     return F.trim(F.regexp_replace(t, r"\.{4,}", "..."))
 
 
+def numbered(df: DataFrame, text: str, order: str) -> tuple[DataFrame, bool]:
+    """(df with _id, whether rows share one): a number in the order of rows: by `order`, null last, then by the text's hash.
+
+    Fully equal rows share a number. Where `order` is whole numbers that are neither null nor repeated, it is the number.
+    """
+    from .storage import ranked
+
+    whole = df.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    twice = df.groupBy(order).agg(F.count(F.lit(1)).alias("n")).where(F.col(order).isNull() | (F.col("n") > 1))
+    if whole and twice.isEmpty():
+        return df.withColumn("_id", F.col(order).cast("long")), False
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")
+    keys = ranked(df.select(F.col(order).alias("_o"), th).distinct(), "_id", F.col("_o").asc_nulls_last(), F.col("_th"))
+    d = df.withColumn("_h", th)
+    return d.join(keys, F.col(order).eqNullSafe(F.col("_o")) & (F.col("_h") == F.col("_th"))).drop("_o", "_th", "_h"), True
+
+
 def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row of each text. Keys are digests, so texts do not travel for the comparison."""
-    first = df.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("_d")).agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    """The first row of each text: by `order`, rows without it last. Keys are digests, so texts do not travel for the
+    comparison. Null texts are one text; of fully equal rows one is kept."""
+    d, shared = numbered(df, text, order)
+    first = d.groupBy(F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("null")).alias("_d")).agg(F.min("_id").alias("_id"))
+    out = d.join(first.select("_id"), "_id", "left_semi")
+    return (out.dropDuplicates(["_id"]) if shared else out).drop("_id")
 
 
 def near_key(c, length: int):
@@ -84,10 +106,13 @@ def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", orde
     In each round the first row left of each key is kept and all others of the key are held against it alone; those
     similar to it go. That is the rule itself: no pairs are formed, and a key's rows meet one row in each round. When a
     round settles less than a tenth of the rows left, or after `rounds` of them, keys with many kept rows remain, and
-    settled() applies the same rule to what is left.
+    settled() applies the same rule to what is left. Rows without `order` come last, those that share it are in the order of
+    their texts' hashes, and of fully equal rows one is kept. A round's table is deleted once the next is written.
     """
-    from .storage import stored
+    from .storage import release, stored
 
+    whole, shared_ids = numbered(df, text, order)
+    df, order = whole, "_id"
     key = F.xxhash64(near_key(F.col(text), s.key_length)).alias("key")
     keys = stored(df.select(F.col(order).alias("id"), key).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     # a row that is alone with its key is kept, and its words do not travel
@@ -99,7 +124,9 @@ def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", orde
         first = rest.groupBy("key").agg(F.min("id").alias("fid"))
         lead = rest.join(first, "key").where("id = fid").select("key", "fid", F.col("words").alias("lw"))
         kept.append(lead.select(F.col("fid").alias("id")))
-        rest = stored(rest.join(lead, "key").where((F.col("id") > F.col("fid")) & (likeness("words", "lw") < s.near_threshold)).select("id", "key", "words"))
+        kept[-1] = stored(kept[-1])
+        last, rest = rest, stored(rest.join(lead, "key").where((F.col("id") > F.col("fid")) & (likeness("words", "lw") < s.near_threshold)).select("id", "key", "words"))
+        release(last)
         before, n = n, rest.count()
         if n > 0.9 * before or not n:
             break
@@ -108,7 +135,8 @@ def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", orde
     ids = kept[0]
     for k in kept[1:]:
         ids = ids.unionByName(k)
-    return df.join(ids.withColumnRenamed("id", order), order, "left_semi")
+    out = df.join(ids.withColumnRenamed("id", order), order, "left_semi")
+    return (out.dropDuplicates(["_id"]) if shared_ids else out).drop("_id")
 
 
 def settled(rest: DataFrame, least: float) -> list[DataFrame]:
@@ -164,7 +192,7 @@ def settled(rest: DataFrame, least: float) -> list[DataFrame]:
 
 def stage_counts(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row: rows that came in, were cleaned, were distinct; the rejection rate (0 for no rows)."""
-    c = df.select(normalise(clean(F.col("text"), s)).alias("t"))
+    c = composed(df.select("text"), form="NFKC").select(normalise(clean(F.col("text"), s)).alias("t"))
     out = c.agg(F.count(F.lit(1)).alias("n_input"), F.count("t").alias("n_clean"), F.count_distinct("t").alias("n_final"))
     return out.withColumn("rejection_rate", F.when(F.col("n_input") > 0, 1 - F.col("n_final") / F.col("n_input")).otherwise(0.0))
 
@@ -176,8 +204,23 @@ def structured(df: DataFrame, source) -> DataFrame:
 
 def run(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, text: cleaned, normalised, without exact and near copies."""
-    c = df.select("doc_id", normalise(clean(F.col("text"), s)).alias("text")).where("text IS NOT NULL")
-    return near_dedup(exact_dedup(c), s)
+    return near_dedup(exact_dedup(cleaned(df, s).select("doc_id", "text").where("text IS NOT NULL")), s)
+
+
+def cleaned(df: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """df with text in compatible composition (NFKC), cleaned and normalised; null where it does not pass."""
+    return composed(df, form="NFKC").withColumn("text", normalise(clean(F.col("text"), s)))
+
+
+def run_file(spark: SparkSession, path: str, out: str, s: Settings = Settings(), source: str = "corpus") -> DataFrame:
+    """Runs over a text file of one sentence a line, writes {text, meta: {source}} lines of JSON to `out`, and gives the
+    counts. Lines are numbered as they are read."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    from .storage import stored
+
+    lines = stored(lines)
+    structured(run(lines, s).orderBy("doc_id"), F.lit(source)).write.json(out)
+    return stage_counts(lines, s)
 
 
 # ---- validation -------------------------------------------------------------------------------------------------------

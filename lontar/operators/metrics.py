@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_list
+from ..plans import rules as R
 
 # ---- outputs -----------------------------------------------------------------------------------------------------------
 
@@ -68,17 +69,15 @@ def relation(df: DataFrame, vectors: DataFrame, verbs: list, key: str = "doc_id"
 
 
 # ---- morphology, structure, drift -----------------------------------------------------------------------------------------
-PARTICLES = "di ke dari dan atau yang ini itu".split()
-ACTIVE = "me mem men meng meny ber".split()
-STEPS = [("S", "P"), ("P", "O"), ("P", "K"), ("S", "K"), ("O", "K"), ("K", "K"), ("?", "S"), ("?", "P"), ("?", "O"), ("?", "K"), ("?", "?"), ("S", "?"), ("P", "?"), ("O", "?"), ("K", "?")]
-
-
-def morphological(df: DataFrame, valid_affixes: list) -> DataFrame:
-    """One row from (root, affix): validity, coherence, consistency of the affix by root, and their mean."""
-    valid = F.col("affix").isin(valid_affixes)
-    bad = (F.col("affix").isin(ACTIVE) & (F.char_length("root") < 3)) | (F.lower("root").isin(PARTICLES) & (F.col("affix") != "<NONE>"))
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.avg(valid.cast("double")).alias("affix_validity"), F.avg((~bad).cast("double")).alias("root_affix_coherence"))
-    by = df.groupBy("root", "affix").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg((F.max("k") / F.sum("k")).alias("share"), F.sum("k").alias("n")).where("n >= 2")
+def morphological(df: DataFrame, valid_affixes: list, weight: str | None = None) -> DataFrame:
+    """One row from (root, affix): validity, coherence, consistency of the affix by root, and their mean; rows count
+    once, or as often as the column `weight` says."""
+    n = F.col(weight) if weight else F.lit(1)
+    d = df.select("root", "affix", n.alias("_w"))
+    bad = (F.col("affix").isin(R.ACTIVE_PREFIXES) & (F.char_length("root") < 3)) | (F.lower("root").isin(R.UNDERIVED) & (F.col("affix") != "<NONE>"))
+    mean = lambda ok: F.sum(F.when(ok, F.col("_w")).otherwise(0)) / F.sum("_w")
+    a = d.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), mean(F.col("affix").isin(valid_affixes)).alias("affix_validity"), mean(~bad).alias("root_affix_coherence"))
+    by = d.groupBy("root", "affix").agg(F.sum("_w").alias("k")).groupBy("root").agg((F.max("k") / F.sum("k")).alias("share"), F.sum("k").alias("n")).where("n >= 2")
     c = by.agg(F.coalesce(F.avg("share"), F.lit(1.0)).alias("transform_consistency"))
     j = a.crossJoin(c)  # one row each
     part = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(0.0).alias(x)
@@ -92,7 +91,7 @@ def structural(parsed: DataFrame) -> DataFrame:
     r = F.transform(F.col("tokens"), lambda t: F.when(t["peran"].isin("S", "P", "O", "K"), t["peran"]).otherwise("?"))
     df = parsed.withColumn("_r", r)
     steps = F.zip_with(F.slice("_r", 1, F.greatest(F.size("_r") - 1, F.lit(0))), F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    good = F.size(F.filter(steps, lambda s: s.isin([a + b for a, b in STEPS])))
+    good = F.size(F.filter(steps, lambda s: s.isin([a + b for a, b in R.ROLE_STEPS])))
     both = F.array_contains("_r", "S") & F.array_contains("_r", "P")
     linked = F.size(F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["i"], e["j"])))))
     a = df.agg(F.count(F.lit(1)).alias("n_sentences"), F.avg(both.cast("double")).alias("spok"), F.sum(good).alias("g"), F.sum(F.size(steps)).alias("s"), F.avg(F.when(F.size("tokens") > 0, linked / F.size("tokens")).otherwise(0.0)).alias("dep"))

@@ -6,13 +6,13 @@ one expression. Sentences then get their words' analyses back, and roles are a f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chosen, in_list, normalise, segments
+from ..functions.text import chosen, composed, in_list, normalise, segments
 from ..plans import rules as R
 from . import lexicon as L
-from .storage import held
+from .storage import held, stored
 
 AFFIX = "struct<bentuk:string,tipe:string,fungsi:string,valid:boolean>"
 NOMINAL = ["N", "Pron", "N_proper", "N_serapan"]
@@ -148,8 +148,8 @@ def _cases(step, cases: dict, other):
 
 
 def words_of(sentences: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., idx, teks) of the words of text."""
-    return sentences.select(*key, F.posexplode(segments(normalise(F.col("text")))).alias("idx", "teks"))
+    """(key..., idx, teks) of the words of text, in canonical composition."""
+    return composed(sentences.select(*key, "text")).select(*key, F.posexplode(segments(normalise(F.col("text")))).alias("idx", "teks"))
 
 
 def roles(tokens):
@@ -176,14 +176,34 @@ def roles(tokens):
 FIELDS = ["idx", "teks", "root", "kelas", "peran", "afiks", "redup", "serapan", "proper", "ada", "domain", "pos"]
 
 
+#: Up to so many analysed words (some hundred bytes each) are broadcast.
+FEW = 200_000
+PIECES = 64
+
+
+def with_analyses(t: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
+    """Tokens (key..., idx, teks, lanjut) with their words' analyses."""
+    on = ["teks", "lanjut"]
+    if words.limit(FEW + 1).count() <= FEW:
+        return t.join(F.broadcast(words), on)
+    # a word with more than a thousandth of the tokens is dealt in pieces: there are not more than a thousand of them
+    n = t.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = t.count()
+    often = stored(n.where(F.col("n") > max(total / 1000, 1)).select(*on, F.lit(PIECES).alias("_pieces")))
+    dealt = t.join(F.broadcast(often), on, "left").withColumn("_piece", F.pmod(F.xxhash64(*key, "idx"), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    copies = words.join(F.broadcast(often), on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copies, [*on, "_piece"]).drop("_piece")
+
+
 def parse(sentences: DataFrame, lexicon: DataFrame, key: tuple = ("doc_id", "sent_idx")) -> DataFrame:
     """sentences (key..., text) -> key..., text, tokens: an array of FIELDS in order; empty where there are no words.
 
-    Shuffles: distinct words, the analyses' way back (a broadcast, if few words), a sentence's tokens.
+    Each distinct word is analysed once and stored. The analyses are broadcast where a count shows that they are few;
+    else tokens meet them by a shuffle in which frequent words are dealt in pieces. Then a sentence's tokens meet.
     """
     key = list(key)
     t = words_of(sentences, key).withColumn("lanjut", F.col("idx") > 0)
-    done = t.join(analyse_words(t, lexicon), ["teks", "lanjut"])
+    done = with_analyses(t, stored(analyse_words(t, lexicon)), key)
     wide = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("tokens"))
     empty = F.array().cast(wide.schema["tokens"].dataType)
     wide = wide.withColumn("tokens", F.zip_with("tokens", roles(F.col("tokens")), lambda t, r: t.withField("peran", r)))
@@ -225,37 +245,53 @@ def best(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return c.select("word", "b.root", "b.affix")
 
 
-def pos_tags(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(word, tag): closed list, digits, dictionary, prefix hint, suffix hints, N."""
-    w = words.select(F.trim(F.lower("word")).alias("word")).distinct()
-    word = F.col("word")
-    tag = chosen(word, R.FUNCTION_WORDS)
+def tag_of(word, entry=None):
+    """The tag of a lower-cased word: closed list, digits, dictionary, prefix hint, suffix hints, N.
+
+    entry: what gives the dictionary class of a word or root (null: not there); without it prefixes need no known root.
+    """
     number = F.regexp_replace(word, "[.,]", "").rlike("^[0-9]+$")
-    hint = [(p, F.substr(word, F.lit(len(p) + 1))) for p in R.PREFIXES2]
-    if known is not None:
-        roots = F.filter(F.array(word, *[F.when(word.startswith(p) & (F.char_length(r) >= 3), r) for p, r in hint]), lambda x: x.isNotNull())
-        k = L.small(known.select(F.col("kata").alias("r"), F.col("kelas").alias("k")))
-        hit = w.select("word", F.explode(F.array_distinct(roots)).alias("r")).join(k, "r").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m"))
-        w = w.join(hit, "word", "left")
-        entry = lambda x: F.when(F.col("m").isNotNull(), F.nullif(F.try_element_at("m", x), F.lit("ref")))
-        from_dictionary = chosen(entry(word), R.DICTIONARY_POS)
-        prefixed = F.coalesce(*[F.when(word.startswith(p) & (F.char_length(r) >= 3) & entry(r).isNotNull(), R.PREFIX_POS[p]) for p, r in hint])
-    else:
-        from_dictionary = F.lit(None).cast("string")
-        prefixed = F.coalesce(*[F.when(word.startswith(p) & (F.char_length(r) >= 3), R.PREFIX_POS[p]) for p, r in hint])
     n = F.char_length(word)
+    hint = [(p, F.substr(word, F.lit(len(p) + 1))) for p in R.PREFIXES2]
+    known = lambda r: entry(r).isNotNull() if entry else F.lit(True)
+    prefixed = F.coalesce(*[F.when(word.startswith(p) & (F.char_length(r) >= 3) & known(r), R.PREFIX_POS[p]) for p, r in hint])
+    listed = chosen(entry(word), R.DICTIONARY_POS) if entry else F.lit(None).cast("string")
     ending = F.when(word.endswith("an") & (n > 4), "N").when(word.endswith("kan") & (n > 5), "V").when(word.endswith("i") & (n > 4), "V").when(word.endswith("nya") & (n > 5), "N").otherwise("N")
-    return w.select("word", F.coalesce(tag, F.when(number, "NUM"), from_dictionary, prefixed, ending).alias("tag"))
+    return F.coalesce(chosen(word, R.FUNCTION_WORDS), F.when(number, "NUM"), listed, prefixed, ending)
+
+
+def pos_tags(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(word, tag) of each distinct word; known: (kata, kelas) of a dictionary."""
+    w = words.select(F.trim(F.lower("word")).alias("word")).distinct()
+    word = F.col("word")
+    if known is None:
+        return w.select("word", tag_of(word).alias("tag"))
+    roots = F.filter(F.array(word, *[F.when(word.startswith(p) & (F.char_length(word) >= len(p) + 3), F.substr(word, F.lit(len(p) + 1))) for p in R.PREFIXES2]), lambda x: x.isNotNull())
+    k = L.small(known.select(F.col("kata").alias("r"), F.col("kelas").alias("k")))
+    hit = w.select("word", F.explode(F.array_distinct(roots)).alias("r")).join(k, "r").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m"))
+    w = w.join(hit, "word", "left")
+    entry = lambda x: F.when(F.col("m").isNotNull(), F.nullif(F.try_element_at("m", x), F.lit("ref")))
+    return w.select("word", tag_of(word, entry).alias("tag"))
 
 
 def root_vocabulary(texts: DataFrame, min_freq: int = 2) -> DataFrame:
     """(token, id, freq): specials, then roots and words by frequency. Ties are in code point order."""
     from ..functions.text import tokens
+    from .storage import ranked
 
     words = texts.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     both = words.join(best(words), "word")
     freq = both.select(F.col("word").alias("token"), "n").unionByName(both.select(F.col("root").alias("token"), "n")).groupBy("token").agg(F.sum("n").alias("freq"))
-    ranked = freq.where(F.col("freq") >= min_freq).withColumn("id", F.row_number().over(Window.orderBy(F.desc("freq"), "token")) + len(R.SPECIALS) - 1)
+    rows = ranked(freq.where(F.col("freq") >= min_freq), "id", F.desc("freq"), F.col("token"))
     spark = texts.sparkSession
     special = spark.createDataFrame([(t, i, 0) for i, t in enumerate(R.SPECIALS)], "token string, id int, freq long")
-    return special.unionByName(ranked.select("token", "id", "freq"))
+    return special.unionByName(rows.select("token", (F.col("id") + len(R.SPECIALS) - 1).cast("int").alias("id"), "freq"))
+
+
+def load_vocabulary(spark, path: str) -> DataFrame:
+    """(token, id) of a JSON file {token: id} or {meta, vocab: {token: id}}; missing specials get their ids."""
+    raw = spark.read.text(path, wholetext=True)
+    flat = F.coalesce(F.from_json(F.get_json_object("value", "$.vocab"), "map<string,int>"), F.from_json("value", "map<string,int>"))
+    v = raw.select(F.explode(flat).alias("token", "id")).where("id IS NOT NULL")
+    special = spark.createDataFrame([(t, i) for i, t in enumerate(R.SPECIALS)], "token string, id int")
+    return v.unionByName(special.join(v, "token", "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,13 @@ def held(df: DataFrame, name: str, value) -> DataFrame:
     """df with a column, as a generator's output: the optimizer then keeps it as a value and does not repeat its
     expression at each use. One row stays one row."""
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with its rows' numbers from 1 in the given order, which must be total. No task sees more than one range of it."""
+    parts = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sizes = sizes.select("_p", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn(name, inside).join(F.broadcast(sizes), "_p").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_p", "_before")

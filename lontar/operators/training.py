@@ -6,28 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_list
-
-ACTION_VERBS = """makan memakan minum meminum membaca baca membacakan bekerja kerja mengerjakan pergi berangkat menuju pulang
-memasak masak menggoreng merebus menumis memanggang belajar mempelajari mengajar memeriksa mengecek mendiagnosis menetapkan
-mengeluarkan mengumumkan mengesahkan""".split()
-DOMAIN_WORDS = {
-    "makan": "makan memakan nasi roti mie sayur ikan daging makanan lauk minum lapar kenyang",
-    "membaca": "membaca baca buku artikel novel koran teks halaman cerita bacaan",
-    "bekerja": "bekerja kerja kantor laporan tugas proyek rapat karyawan pekerjaan",
-    "pergi": "pergi berangkat menuju pulang naik pasar toko sekolah",
-    "memasak": "memasak menggoreng merebus menumis memanggang masak dapur bumbu",
-    "belajar": "belajar pelajaran ujian sekolah guru murid siswa tugas matematika",
-    "memeriksa": "memeriksa mengecek pasien dokter perawat kesehatan obat klinik",
-    "formal": "pemerintah kebijakan peraturan menteri undang negara aturan keputusan",
-}
-OBJECTS = {
-    "makan": "nasi roti mie sayur ikan daging makanan lauk", "memakan": "nasi roti buah makanan", "minum": "air susu teh kopi jus", "membaca": "buku artikel novel koran teks cerita",
-    "baca": "buku artikel koran", "bekerja": "laporan proyek tugas", "mengerjakan": "tugas laporan pekerjaan", "pergi": "sekolah pasar kantor toko", "menuju": "sekolah pasar kantor",
-    "memasak": "nasi sayur ikan sup mie", "menggoreng": "ikan ayam tempe tahu", "merebus": "air sayur mie", "belajar": "matematika bahasa sains pelajaran", "mempelajari": "materi pelajaran buku",
-    "memeriksa": "pasien kesehatan kondisi", "mengecek": "laporan kondisi pasien", "menetapkan": "kebijakan peraturan keputusan", "mengeluarkan": "kebijakan peraturan aturan",
-}
-TEMPLATES = ["{s} {v} {o}"] * 3 + ["{s} sedang {v} {o}", "{s} akan {v} {o}", "{s} sudah {v} {o}", "{s} mulai {v} {o}", "{s} ingin {v} {o}", "{v} {o}", "{v} {o} itu", "{v} {o} setiap hari"]
-SUBJECTS = "saya dia mereka kami kita ibu ayah anak guru dokter murid siswa pasien pemerintah".split()
+from ..plans.rules import ACTION_VERBS, DOMAIN_WORDS, OBJECTS, SUBJECTS, TEMPLATES
 
 
 def words(c):

@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
+from ..plans.rules import FIELD_SEEDS
 
 MIN_VOCAB, MAX_VOCAB, MIN_COVERAGE, MAX_OOV = 5_000, 15_000, 0.75, 0.15
-#: Words that a vocabulary should have, by field.
-FIELD_SEEDS = {
-    "makan": "makan minum nasi makanan", "membaca": "baca buku kata teks", "berjalan": "jalan kaki gerak pergi", "bekerja": "kerja kantor tugas laporan",
-    "pemerintah": "pemerintah hukum negara kebijakan", "pendidikan": "sekolah belajar guru ilmu", "sejarah": "sejarah tahun masa perang", "sains": "penelitian data hasil ilmu",
-}
 TIERS = ["EXPERIMENTAL", "DEGRADED", "VALID", "OPTIMAL"]
 
 

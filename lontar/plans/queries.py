@@ -81,8 +81,8 @@ def token_frequencies(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CASE WHEN {GOOD} THEN md5({NORMAL.replace('{c}', 't')}) END AS clean_md5 FROM {CLEAN}""")
 def corpus_clean(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(corpus.normalise(corpus.clean(F.col("text"))).cast("binary")).alias("clean_md5"))
+    d = corpus.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("clean_md5"))
 
 
 @query(f"""SELECT doc_id, {share_sql('t', '[0-9]')} AS digits, {share_sql('t', GARBAGE)} AS garbage FROM {CLEAN}""")
@@ -166,11 +166,16 @@ def affix_candidates(spark, sf_dir):
     return morphology.candidates(_words(spark, sf_dir)).groupBy("affix").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("conf").alias("sum_conf"))
 
 
-@query("WITH " + values("fw", "word, t", R.FUNCTION_WORDS.items()) + ", " + values("pre", "p, hint, ord", [(p, R.PREFIX_POS[p], i) for i, p in enumerate(R.PREFIXES2)]) + f""",
-w AS (SELECT DISTINCT unnest({TOKENS}) AS word FROM documents),
-h AS (SELECT word, arg_min(hint, ord) AS hint FROM w JOIN pre ON starts_with(word, p) AND length(word) - length(p) >= 3 GROUP BY word)
-SELECT word, coalesce(t, CASE WHEN regexp_matches(word, '^[0-9]+$') THEN 'NUM' END, hint, CASE WHEN ends_with(word, 'an') AND length(word) > 4 THEN 'N' WHEN ends_with(word, 'kan') AND length(word) > 5 THEN 'V'
- WHEN ends_with(word, 'i') AND length(word) > 4 THEN 'V' ELSE 'N' END) AS tag FROM w LEFT JOIN fw USING (word) LEFT JOIN h USING (word)""")
+HINT_SQL = "CASE " + " ".join(f"WHEN starts_with({{w}}, {lit(p)}) AND length({{w}}) >= {len(p) + 3} THEN {lit(R.PREFIX_POS[p])}" for p in R.PREFIXES2) + " END"
+
+
+def tag_sql(w: str) -> str:
+    closed = "CASE " + " ".join(f"WHEN {w} IN ({', '.join(lit(x) for x, t in R.FUNCTION_WORDS.items() if t == tag)}) THEN {lit(tag)}" for tag in dict.fromkeys(R.FUNCTION_WORDS.values())) + " END"
+    return f"""coalesce({closed}, CASE WHEN regexp_full_match(regexp_replace({w}, '[.,]', '', 'g'), '[0-9]+') THEN 'NUM' END, {HINT_SQL.format(w=w)}, CASE WHEN ends_with({w}, 'an') AND length({w}) > 4 THEN 'N'
+ WHEN ends_with({w}, 'kan') AND length({w}) > 5 THEN 'V' WHEN ends_with({w}, 'i') AND length({w}) > 4 THEN 'V' ELSE 'N' END)"""
+
+
+@query(f"SELECT word, {tag_sql('word')} AS tag FROM (SELECT DISTINCT unnest({TOKENS}) AS word FROM documents)")
 def pos_tags(spark, sf_dir):
     return morphology.pos_tags(_words(spark, sf_dir))
 
@@ -361,8 +366,7 @@ k AS (SELECT root, affix, sum(n) AS k FROM best GROUP BY ALL), s AS (SELECT root
 SELECT n_tokens, affix_validity, root_affix_coherence, transform_consistency, (affix_validity + root_affix_coherence + transform_consistency) / 3 AS overall FROM a, c""")
 def morphological_consistency(spark, sf_dir):
     f = vocabulary.frequencies(table(spark, sf_dir, "documents")).withColumnRenamed("token", "word")
-    b = morphology.best(f.select("word")).join(f, "word")
-    return metrics.morphological(b.select("root", "affix", F.explode(F.sequence(F.lit(1), F.col("freq"))).alias("_i")), VALID_AFFIXES)
+    return metrics.morphological(morphology.best(f.select("word")).join(f, "word"), VALID_AFFIXES, "freq")
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS antecedent FROM conversations""")
@@ -685,7 +689,7 @@ def subtype_closure(spark, sf_dir):
     return semantics.subtype_closure(spark)
 
 
-STEPS_SQL = listed([a + b for a, b in metrics.STEPS])
+STEPS_SQL = listed([a + b for a, b in R.ROLE_STEPS])
 
 
 @query(EDGES + f""", rr AS (SELECT doc_id, sent_idx, idx, CASE WHEN peran IN ('S', 'P', 'O', 'K') THEN peran ELSE '?' END AS r FROM hasil), xs AS (SELECT *, r || lead(r) OVER (PARTITION BY doc_id, sent_idx ORDER BY idx) AS s FROM rr),

@@ -227,3 +227,48 @@ FUNCTION_WORDS = {w: t for t, ws in {
     "NUM": "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh seratus seribu pertama kedua ketiga"}.items() for w in ws.split()}
 DICTIONARY_POS = {"v": "V", "vi": "V", "vt": "V", "n": "N", "adj": "ADJ", "adv": "ADV", "p": "P", "pron": "PRON", "num": "NUM", "cak": "N", "ki": "ADJ", "ark": "N", "ref": "N", "bt": "N", "konjung": "CONJ", "konj": "CONJ"}
 SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]
+
+# ---- metrics ----------------------------------------------------------------------------------------------------------
+UNDERIVED = "di ke dari dan atau yang ini itu".split()
+ACTIVE_PREFIXES = "me mem men meng meny ber".split()
+#: Roles that may follow each other.
+ROLE_STEPS = [("S", "P"), ("P", "O"), ("P", "K"), ("S", "K"), ("O", "K"), ("K", "K"), ("?", "S"), ("?", "P"), ("?", "O"), ("?", "K"), ("?", "?"), ("S", "?"), ("P", "?"), ("O", "?"), ("K", "?")]
+
+# ---- dependency heads -----------------------------------------------------------------------------------------------
+COPULAS = "adalah merupakan ialah yakni yaitu".split()
+BEHIND_NOUN = "ini itu tersebut".split()
+#: Tags that go with a dictionary class (by its first letter) of a neighbour.
+COMPATIBLE_POS = {"v": "n adj adv", "n": "v adj p", "adj": "n v adv", "p": "n pron"}
+AFFIXES2 = ["<PAD>", "<NONE>", *PREFIXES2, *SUFFIXES2, *[f"{p}+{s}" for p, s in CONFIXES2]]
+
+# ---- training data and noise ------------------------------------------------------------------------------------------
+ACTION_VERBS = """makan memakan minum meminum membaca baca membacakan bekerja kerja mengerjakan pergi berangkat menuju pulang
+memasak masak menggoreng merebus menumis memanggang belajar mempelajari mengajar memeriksa mengecek mendiagnosis menetapkan
+mengeluarkan mengumumkan mengesahkan""".split()
+DOMAIN_WORDS = {
+    "makan": "makan memakan nasi roti mie sayur ikan daging makanan lauk minum lapar kenyang",
+    "membaca": "membaca baca buku artikel novel koran teks halaman cerita bacaan",
+    "bekerja": "bekerja kerja kantor laporan tugas proyek rapat karyawan pekerjaan",
+    "pergi": "pergi berangkat menuju pulang naik pasar toko sekolah",
+    "memasak": "memasak menggoreng merebus menumis memanggang masak dapur bumbu",
+    "belajar": "belajar pelajaran ujian sekolah guru murid siswa tugas matematika",
+    "memeriksa": "memeriksa mengecek pasien dokter perawat kesehatan obat klinik",
+    "formal": "pemerintah kebijakan peraturan menteri undang negara aturan keputusan",
+}
+OBJECTS = {
+    "makan": "nasi roti mie sayur ikan daging makanan lauk", "memakan": "nasi roti buah makanan", "minum": "air susu teh kopi jus", "membaca": "buku artikel novel koran teks cerita",
+    "baca": "buku artikel koran", "bekerja": "laporan proyek tugas", "mengerjakan": "tugas laporan pekerjaan", "pergi": "sekolah pasar kantor toko", "menuju": "sekolah pasar kantor",
+    "memasak": "nasi sayur ikan sup mie", "menggoreng": "ikan ayam tempe tahu", "merebus": "air sayur mie", "belajar": "matematika bahasa sains pelajaran", "mempelajari": "materi pelajaran buku",
+    "memeriksa": "pasien kesehatan kondisi", "mengecek": "laporan kondisi pasien", "menetapkan": "kebijakan peraturan keputusan", "mengeluarkan": "kebijakan peraturan aturan",
+}
+TEMPLATES = ["{s} {v} {o}"] * 3 + ["{s} sedang {v} {o}", "{s} akan {v} {o}", "{s} sudah {v} {o}", "{s} mulai {v} {o}", "{s} ingin {v} {o}", "{v} {o}", "{v} {o} itu", "{v} {o} setiap hari"]
+SUBJECTS = "saya dia mereka kami kita ibu ayah anak guru dokter murid siswa pasien pemerintah".split()
+NOISE_PREFIXES = "meng mem ber ter di ke se per".split()
+NOISE_SUFFIXES = "kan an i nya".split()
+
+# ---- vocabulary ---------------------------------------------------------------------------------------------------------
+#: Words that a vocabulary should have, by field.
+FIELD_SEEDS = {
+    "makan": "makan minum nasi makanan", "membaca": "baca buku kata teks", "berjalan": "jalan kaki gerak pergi", "bekerja": "kerja kantor tugas laporan",
+    "pemerintah": "pemerintah hukum negara kebijakan", "pendidikan": "sekolah belajar guru ilmu", "sejarah": "sejarah tahun masa perang", "sains": "penelitian data hasil ilmu",
+}

@@ -200,3 +200,40 @@ def test_entry_works_without_the_training_subpackage(spark):
         builtins.__import__ = real
         sys.modules.pop("__spark_entry__", None)
         sys.modules.update(kept)
+
+
+def test_dedup_with_null_and_repeated_ids(spark):
+    rows = [(None, "only here one two three"), (None, "shared text of four"), (5, "shared text of four"), (5, "another text of four"), (7, "another text of four"),
+            (7, "another text of four"), (None, None), (8, None), (None, "only here one two three"), (9, "")]
+    for kind, make in (("long", lambda i: i), ("string", lambda i: i if i is None else str(i))):
+        d = spark.createDataFrame([(make(i), t) for i, t in rows], f"doc_id {kind}, text string").repartition(3)
+        want = sorted([(None, "only here one two three"), (make(5), "shared text of four"), (make(5), "another text of four"), (make(8), None), (make(9), "")], key=str)
+        assert sorted(map(tuple, corpus.exact_dedup(d).collect()), key=str) == want
+        near = corpus.near_dedup(d.unionByName(spark.createDataFrame([(None, "Only here one two three")], f"doc_id {kind}, text string")))
+        # case does not count, nor does a null text match an empty one
+        assert sorted(((i, t and t.lower()) for i, t in map(tuple, near.collect()) if i is not None), key=str) == sorted(((i, t) for i, t in want if i is not None), key=str)
+        assert [t.lower() for i, t in map(tuple, near.collect()) if i is None] == ["only here one two three"]
+
+
+def test_composition(spark):
+    from lontar.functions.text import composed
+
+    rows = ["Café", "Café", "plain", None, "ﬁsh Ａ b 한", "", "x²"]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    import unicodedata
+
+    for form in ("NFC", "NFKC"):
+        assert {r.i: r.text for r in composed(d, form=form).collect()} == {i: t if t is None else unicodedata.normalize(form, t) for i, t in enumerate(rows)}
+    got = corpus.cleaned(spark.createDataFrame([(1, "ＴＨＥ ﬁsh swims fast")], "doc_id int, text string")).first()
+    assert got.text == "THE fish swims fast"
+
+
+def test_run_file(spark, tmp_path):
+    import json
+    import pathlib
+
+    (tmp_path / "in.txt").write_text("Anak membaca buku di sekolah\nya\nAnak membaca buku di sekolah\nGuru mengajar siswa baru hari ini\n")
+    counts = corpus.run_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out")).first()
+    rows = [json.loads(x) for p in sorted(pathlib.Path(tmp_path / "out").glob("*.json")) for x in p.read_text().splitlines()]
+    assert [r["text"] for r in rows] == ["Anak membaca buku di sekolah", "Guru mengajar siswa baru hari ini"] and rows[0]["meta"] == {"source": "corpus"}
+    assert (counts.n_input, counts.n_clean, counts.n_final) == (4, 3, 2)
