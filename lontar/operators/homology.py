@@ -1,6 +1,6 @@
-"""Topology of a sentence at any threshold: persistent components, fuzzy look-ups, seeded noise.
+"""Topology of a sentence at any threshold: persistent components, fuzzy look-ups.
 
-These have no form in built-in expressions (union-find, sequence matching, text edits), so they run as Arrow UDFs on
+These have no form in built-in expressions (union-find, sequence matching), so they run as Arrow UDFs on
 rows that hold all they need.
 """
 
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import difflib
 import math
-import random
 from collections import Counter
 
 import pandas as pd
@@ -110,37 +109,3 @@ def fuzzy(words: DataFrame, lexicon: DataFrame, least: float = 0.75) -> DataFram
     r = near.withColumn("ratio", F.pandas_udf(run, "double")("word", "kata")).where(F.col("ratio") >= least)
     best = r.groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "kata")).alias("b"))
     return best.select("word", "b.kata", (-F.col("b.r")).alias("ratio"))
-
-
-def noise(df: DataFrame, kind: str, intensity: float, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with a noisy text: typo (swapped letters), affix (wrong prefixes) or chaos (shuffled words); seeded by key."""
-    wrong = ["me", "ber", "ter", "di", "pe"]
-
-    def one(k, t):
-        r = random.Random(f"{seed}:{k}")
-        w = (t or "").split()
-        if kind == "chaos":
-            at = [i for i in range(len(w)) if r.random() < intensity]
-            to = at[:]
-            r.shuffle(to)
-            out = w[:]
-            for a, b in zip(at, to):
-                out[a] = w[b]
-            return " ".join(out)
-        for i, x in enumerate(w):
-            if r.random() < intensity and len(x) > 3:
-                if kind == "typo":
-                    p = r.randrange(len(x) - 1)
-                    w[i] = x[:p] + x[p + 1] + x[p] + x[p + 2 :]
-                else:
-                    w[i] = r.choice(wrong) + x
-        return " ".join(w)
-
-    if kind not in ("typo", "affix", "chaos"):
-        raise ValueError(kind)
-
-    def run(k: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(k, t)], dtype=object)
-
-    run.__annotations__ = {"k": pd.Series, "t": pd.Series, "return": pd.Series}
-    return df.withColumn(text, F.pandas_udf(run, "string")(F.col(key), F.col(text)))

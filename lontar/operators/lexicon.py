@@ -85,6 +85,29 @@ def distance(ra, da, pa, rb, db, pb):
             .otherwise(F.lit(R.BOTH_UNKNOWN) - bonus * 0.3))
 
 
+def compatible(ra, da, pa, rb, db, pb, threshold: float = R.THRESHOLD):
+    """Whether two words' distance is within the threshold."""
+    return distance(ra, da, pa, rb, db, pb) <= threshold
+
+
+def path(ra, da, rb, db):
+    """The words between two words, by their domains: one word, if they are the same."""
+    a, b = F.lower(ra), F.lower(rb)
+    box = lambda d: F.concat(F.lit("["), d, F.lit("]"))
+    return (F.when(a == b, F.array(a)).when(da == db, F.array(a, box(da), b)).when(da.isNotNull() & db.isNotNull(), F.array(a, box(da), F.lit("↔"), box(db), b))
+            .when(da.isNotNull(), F.array(a, box(da), F.lit("→?"), b)).when(db.isNotNull(), F.array(a, F.lit("?→"), box(db), b)).otherwise(F.array(a, F.lit("[?]"), b)))
+
+
+def looked_up(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (word) with ada, kelas, domain of their entries, whatever their case."""
+    e = small(lexicon.select(F.col("kata").alias("_k"), "kelas", "domain"))
+    return words.join(e, F.lower("word") == F.col("_k"), "left").withColumn("ada", F.col("_k").isNotNull()).drop("_k")
+
+
+def words_of_domain(lexicon: DataFrame, domain: str) -> DataFrame:
+    return lexicon.where(F.col("domain") == domain).select("kata")
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a dictionary file in any of its shapes: {entries: [..]}, a list, or {lemma: {pos, domain} or pos}.
 

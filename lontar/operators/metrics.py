@@ -57,15 +57,29 @@ def cosine(a, b):
     return F.when(n > 1e-8, dot(a, b) / n).otherwise(0.0)
 
 
-def relation(df: DataFrame, vectors: DataFrame, verbs: list, key: str = "doc_id") -> DataFrame:
-    """One row: mean over outputs with a verb of the mean cosine of the verb's vector and those of later tokens."""
+def relation_by(df: DataFrame, vectors: DataFrame, verbs: list, key: str = "doc_id") -> DataFrame:
+    """(key, s): for outputs with a verb that is not the last token, the mean cosine of the first verb's vector and those of later tokens."""
     at = F.array_min(F.filter(F.transform("ids", lambda x, i: F.when(x.isin(verbs), i)), lambda i: i.isNotNull()))
     p = df.withColumn("_at", at).where(F.col("_at") < F.size("ids") - 1).select(key, F.get("ids", F.col("_at")).alias("verb"), F.explode(F.slice("ids", F.col("_at") + 2, F.size("ids"))).alias("token"))
     p = p.groupBy(key, "verb", "token").agg(F.count(F.lit(1)).alias("n"))
     v = vectors.select("token", "vector")
     j = p.join(v, "token").join(v.select(F.col("token").alias("verb"), F.col("vector").alias("verb_vector")), "verb")
-    by = j.groupBy(key).agg((F.sum(cosine(F.col("vector"), F.col("verb_vector")) * F.col("n")) / F.sum("n")).alias("s"))
-    return by.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("relation_score"))
+    return j.groupBy(key).agg((F.sum(cosine(F.col("vector"), F.col("verb_vector")) * F.col("n")) / F.sum("n")).alias("s"))
+
+
+def relation(df: DataFrame, vectors: DataFrame, verbs: list, key: str = "doc_id") -> DataFrame:
+    """One row: the mean of relation_by over outputs that have one."""
+    return relation_by(df, vectors, verbs, key).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("relation_score"))
+
+
+def bundle(df: DataFrame, verbs: list, pmi: DataFrame, vectors: DataFrame | None = None, subjects: list | None = None, key: str = "doc_id") -> DataFrame:
+    """One row: all metrics of outputs (key, ids): verb hits, structure, coherence, diversity and, with vectors, relation."""
+    parts = [verb_hit_rate(df, verbs), structure(df, verbs, subjects), coherence(df, pmi, key), diversity(df)]
+    parts += [relation(df, vectors, verbs, key)] if vectors is not None else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
 
 
 # ---- morphology, structure, drift -----------------------------------------------------------------------------------------
@@ -136,10 +150,33 @@ def accuracy(df: DataFrame, predicted: str, true: str, ignore=0) -> DataFrame:
     return df.agg(F.coalesce(F.avg(ok), F.lit(0.0)).alias("accuracy"))
 
 
-def degradation(df: DataFrame, by: list[str], intensity: str, loss: str, base: str) -> DataFrame:
-    """By group: slope of the loss's change against the noise's intensity, and recovery 1 - largest change / base."""
+def degradation(df: DataFrame, by: list[str], intensity: str, loss: str, base: str, mcs: str | None = None, base_mcs: str | None = None) -> DataFrame:
+    """By group: slope of the loss's change against the noise's intensity, worst change, recovery 1 - worst / base (not
+    below 0) and, with mcs, stability: the least score over the base's."""
     change = F.col(loss) - F.col(base)
-    return df.groupBy(*by).agg(F.regr_slope(change, F.col(intensity)).alias("slope"), F.greatest(F.lit(0.0), 1 - F.max(change) / F.max(base)).alias("recovery"))
+    out = [F.regr_slope(change, F.col(intensity)).alias("slope"), F.max(change).alias("worst"), F.greatest(F.lit(0.0), 1 - F.max(change) / F.greatest(F.max(base), F.lit(1e-6))).alias("recovery")]
+    out += [(F.min(mcs) / F.greatest(F.max(base_mcs), F.lit(1e-6))).alias("stability")] if mcs else []
+    return df.groupBy(*by).agg(*out)
+
+
+def transfer(df: DataFrame, name: str, value: str, pairs: dict[str, str]) -> DataFrame:
+    """(name, baseline, ratio) of runs (name, value): each run's score over that of the run it is held against; 0 if that is 0."""
+    m = df.select(F.col(name).alias("name"), F.col(value).alias("v"))
+    told = df.sparkSession.createDataFrame(list(pairs.items()), "name string, baseline string")
+    j = told.join(m, "name").join(m.withColumnsRenamed({"name": "baseline", "v": "b"}), "baseline")
+    return j.select("name", "baseline", F.when(F.col("b") != 0, F.col("v") / F.col("b")).otherwise(0.0).alias("ratio"))
+
+
+def loop_verdict(history: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """One row from epochs (epoch, loss, mcs, svs, sds, velocity, root_ppl, grad_ok): seven criteria and how many hold."""
+    row = F.struct(*[c for c in history.columns if c != epoch])
+    first, last = F.min_by(row, epoch), F.max_by(row, epoch)
+    later = history.join(F.broadcast(history.agg(F.min(epoch).alias("_first"))), F.col(epoch) > F.col("_first")).agg(F.coalesce(F.avg((F.col("sds") < 0.001).cast("double")), F.lit(0.0)).alias("_c"))  # one row
+    a = history.agg(first.alias("f"), last.alias("l"), F.bool_and("grad_ok").alias("grad_ok")).crossJoin(later)  # one row each
+    c = {"loss_falls": F.col("l.loss") < F.col("f.loss") * 0.85, "mcs_holds": F.col("l.mcs") >= F.col("f.mcs") - 0.05, "svs_holds": F.col("l.svs") >= F.col("f.svs") - 0.10,
+         "drift_small": F.abs("l.velocity") < 0.20, "no_collapse": F.col("_c") < 0.70, "perplexity_falls": F.col("l.root_ppl") < F.col("f.root_ppl") * 0.95, "gradients_sound": F.col("grad_ok")}
+    a = a.select(*[v.alias(k) for k, v in c.items()])
+    return a.withColumn("passed", sum((F.col(k).cast("int") for k in c), F.lit(0)))
 
 
 def ablation(df: DataFrame, config: str, value: str, full: str = "FULL") -> DataFrame:

@@ -47,10 +47,73 @@ def domain_label(c):
     return F.when(best["n"] > 0, best["d"]).otherwise("other")
 
 
-def filter_actions(texts: DataFrame, other_limit: float = 0.1, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """All rows with an action, and a seeded sample of the others of about other_limit of their number."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1e6)
-    return texts.where(has_action(F.col("text")) | (u < other_limit))
+def _seeded(df: DataFrame, name: str, seed: int, text: str = "text") -> DataFrame:
+    """df with its rows' places, from 1, in a seeded order: that of digests of their texts. Equal rows stand together."""
+    from .storage import ranked
+
+    u = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    others = [F.col(c) for c in df.columns if c != text and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    return ranked(df.withColumn("_u", u), name, F.col("_u"), *others).drop("_u")
+
+
+def sampled(df: DataFrame, n, seed: int, text: str = "text") -> DataFrame:
+    """n rows (all, if there are fewer) in a seeded order; n: a number, or a one-row table with the column n."""
+    r = _seeded(df, "_at", seed, text)
+    if isinstance(n, DataFrame):
+        return r.crossJoin(F.broadcast(n.select(F.col("n").alias("_n")))).where("_at <= _n").drop("_at", "_n")  # one row
+    return r.where(F.col("_at") <= int(n)).drop("_at")
+
+
+def filter_actions(texts: DataFrame, other_limit: float = 0.15, seed: int = 42) -> DataFrame:
+    """All rows with an action, and of the others, in a seeded order, so many that they are other_limit of the result."""
+    t = texts.withColumn("_action", F.coalesce(has_action(F.col("text")), F.lit(False)))
+    n = t.agg(F.floor(F.count_if("_action") * other_limit / max(1 - other_limit, 1e-6)).alias("n"))
+    return t.where("_action").drop("_action").unionByName(sampled(t.where("NOT _action").drop("_action"), n, seed))
+
+
+def _drawn(name: str, seed: int, i, n):
+    """The i-th of a run of seeded draws from 0 up to n."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
+def phase_mix(actions: DataFrame, others: DataFrame, action_ratio: float = 0.4, seed: int = 42) -> DataFrame:
+    """(part, text): all of `others`, and actions drawn with replacement up to action_ratio of the whole, three times each at most on average."""
+    from .storage import stored
+
+    a = stored(_seeded(actions.select("text"), "_at", seed))
+    m, k = a.count(), int(others.count() * action_ratio / max(1 - action_ratio, 1e-6))
+    draws = actions.sparkSession.range(1, min(k, 3 * m) + 1).select((_drawn("mix", seed, F.col("id"), max(m, 1)) + 1).alias("_at"))
+    # equal draws are counted first, so that no row is joined with many
+    draws = draws.groupBy("_at").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    drawn = a.join(draws, "_at").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(F.lit("action").alias("part"), "text")
+    return drawn.unionByName(others.select(F.lit("other").alias("part"), "text"))
+
+
+def relations(spark: SparkSession, n: int = 6000, seed: int = 42) -> DataFrame:
+    """(id, text): n sentences of seeded verb-object pairs, subjects and templates, with replacement."""
+    pairs = [(v, o) for v, os in OBJECTS.items() for o in os.split()]
+    pick = lambda name, xs: F.get(F.array(*[F.lit(x) for x in xs]), _drawn(name, seed, F.col("id"), len(xs)).cast("int"))
+    r = spark.range(1, n + 1).select("id", pick("pair", [f"{v} {o}" for v, o in pairs]).alias("p"), pick("subject", SUBJECTS).alias("s"), pick("template", TEMPLATES).alias("t"))
+    verb, obj = F.split_part("p", F.lit(" "), F.lit(1)), F.split_part("p", F.lit(" "), F.lit(2))
+    return r.select("id", F.replace(F.replace(F.replace("t", F.lit("{subj}"), F.col("s")), F.lit("{verb}"), verb), F.lit("{obj}"), obj).alias("text"))
+
+
+def curriculum(actions: DataFrame, others: DataFrame, replay: float = 0.3, n_relations: int = 6000, most_others: int = 5000, seed: int = 42) -> DataFrame:
+    """(phase, part, text). 1: the actions, filtered; 2: relations and a replay of phase 1; 3: at most most_others of the
+    others, half a replay of phase 1 and a replay of phase 2."""
+    from .storage import stored
+
+    spark = actions.sparkSession
+    one = stored(filter_actions(actions.select("text"), seed=seed))
+    n1 = one.count()
+    two = relations(spark, n_relations, seed).select(F.lit("relation").alias("part"), "text").unionByName(sampled(one, int(n1 * replay), seed + 1).select(F.lit("replay 1").alias("part"), "text"))
+    two = stored(two)
+    n2 = two.count()
+    three = sampled(others.select("text"), most_others, seed + 2).select(F.lit("other").alias("part"), "text")
+    three = three.unionByName(sampled(one, int(n1 * replay * 0.5), seed + 3).select(F.lit("replay 1").alias("part"), "text"))
+    three = three.unionByName(sampled(two.select("text"), int(n2 * replay), seed + 4).select(F.lit("replay 2").alias("part"), "text"))
+    phase = lambda k, df: df.select(F.lit(k).alias("phase"), "part", "text")
+    return phase(1, one.withColumn("part", F.lit("action"))).unionByName(phase(2, two)).unionByName(phase(3, three))
 
 
 def relation_corpus(spark: SparkSession) -> DataFrame:
@@ -59,7 +122,7 @@ def relation_corpus(spark: SparkSession) -> DataFrame:
     s = F.explode(F.array(*[F.lit(x) for x in SUBJECTS])).alias("subject")
     t = F.explode(F.array(*[F.lit(x) for x in TEMPLATES])).alias("template")
     r = vo.select("verb", "object", s).select("*", t)
-    text = F.replace(F.replace(F.replace("template", F.lit("{s}"), F.col("subject")), F.lit("{v}"), F.col("verb")), F.lit("{o}"), F.col("object"))
+    text = F.replace(F.replace(F.replace("template", F.lit("{subj}"), F.col("subject")), F.lit("{verb}"), F.col("verb")), F.lit("{obj}"), F.col("object"))
     return r.select("verb", "object", text.alias("text"))
 
 
@@ -84,14 +147,78 @@ def curve(df: DataFrame, key: str, step: str, loss: str, history: int = 50, rece
     return df.withColumn("trend", slope).withColumn("stagnant", F.abs(F.col("trend")) < 1e-4).withColumn("recent", F.avg(loss).over(r)).drop("_x")
 
 
-def ema(df: DataFrame, key: str, step: str, loss: str, alpha: float = 0.9, span: int = 400) -> DataFrame:
-    """Adds ema: alpha * before + (1 - alpha) * loss, from the first value.
+#: Steps whose weights are summed in one go; weights stay far inside a double's range.
+BLOCK = 64
+
+
+def ema(df: DataFrame, key: str, step: str, loss: str, alpha: float = 0.9) -> DataFrame:
+    """Adds ema: alpha * before + (1 - alpha) * loss, from the first value; exact for any alpha from 0 to 1.
 
-    A closed form over a window: the weight of a value `span` steps back is below 1e-18 and the rest is the first's.
+    Steps go in blocks of BLOCK: inside a block the average is a running sum of weighted values, and a block adds to the
+    one before it by its last step alone, so what is folded in order is one number for each block.
     """
+    if not 0 <= alpha <= 1:
+        raise ValueError(alpha)
+    if alpha < 1e-4:  # weights of a block would leave a double's range; what is older than four steps is below 1e-16
+        w = Window.partitionBy(key).orderBy(step)
+        past = F.collect_list(loss).over(w.rowsBetween(-5, 0))
+        return df.withColumn("ema", F.aggregate(F.slice(past, 2, 5), F.get(past, 0), lambda a, x: a * alpha + x * (1 - alpha)))
     w = Window.partitionBy(key).orderBy(step)
-    past = F.collect_list(loss).over(w.rowsBetween(-span, 0))
-    return df.withColumn("ema", F.aggregate(F.slice(past, 2, span), F.get(past, 0), lambda a, x: a * alpha + x * (1 - alpha)))
+    d = df.withColumn("_n", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_n") / BLOCK)).withColumn("_i", F.col("_n") % BLOCK)
+    inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.when(F.col("_n") == 0, 1.0).otherwise(1.0 - alpha)  # the first value counts whole
+    d = d.withColumn("_s", F.pow(F.lit(alpha), F.col("_i")) * F.sum(share * F.col(loss) * F.pow(F.lit(alpha), -F.col("_i"))).over(inside))
+    ends = d.groupBy(key, "_b").agg(F.max_by("_s", "_i").alias("s")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "s"))).alias("e"))
+    whole = alpha ** BLOCK
+    # the average at the end of each block, in order: what the next block starts from
+    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
+    run = F.aggregate("e", start, lambda acc, x: F.struct((acc["a"] * whole + x["s"]).alias("a"), F.concat(acc["out"], F.array(acc["a"])).alias("out")), lambda acc: acc["out"])
+    ends = ends.select(F.col(key).alias("_k"), F.posexplode(run).alias("_eb", "_before"))
+    j = d.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_eb")))
+    return j.withColumn("ema", F.col("_s") + F.pow(F.lit(alpha), F.col("_i") + 1) * F.col("_before")).drop("_n", "_b", "_i", "_s", "_k", "_eb", "_before")
+
+
+def relation_loss(by: DataFrame, least: float = 0.3) -> DataFrame:
+    """One row: mean shortfall of outputs' mean similarity (s, as metrics.relation_by gives it) below `least`; 0 for none."""
+    return by.agg(F.coalesce(F.avg(F.greatest(F.lit(0.0), least - F.col("s"))), F.lit(0.0)).alias("relation_loss"))
+
+
+def cooccurrence_loss(df: DataFrame, pmi: DataFrame, window: int = 3) -> DataFrame:
+    """One row: minus the mean PMI of all known pairs of ids within a window; 0 for none. 0 and null are padding."""
+    at = lambda x, i: F.when(x.isNotNull() & (x.cast("string") != "0"), x)
+    ids = F.transform("ids", at)
+    pairs = lambda k: F.zip_with(F.slice("_x", 1, F.greatest(F.size("_x") - k, F.lit(0))), F.slice("_x", k + 1, F.greatest(F.size("_x") - k, F.lit(0))), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
+    p = df.select(ids.alias("_x")).select(F.explode(F.concat(*[pairs(k) for k in range(1, window + 1)])).alias("p")).where("p IS NOT NULL")
+    n = p.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).join(pmi.select("a", "b", "pmi"), ["a", "b"])
+    return n.agg(F.coalesce(-F.sum(F.col("n") * F.col("pmi")) / F.sum("n"), F.lit(0.0)).alias("cooccurrence_loss"))
+
+
+def negatives(df: DataFrame, n: int = 1, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """(key, copy, ids): n versions of each row with its ids in a seeded order; two or fewer stay. Padding (0) is at the end."""
+    real = F.filter("ids", lambda x: x.cast("string") != "0")
+    d = df.select(key, "ids", real.alias("_r"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("copy"))
+    u = lambda i: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col("copy").cast("string"), F.lit(":"), i.cast("string")).cast("binary"))
+    mixed = F.transform(F.array_sort(F.transform("_r", lambda x, i: F.struct(u(i).alias("u"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
+    out = F.concat(mixed, F.slice("ids", F.size("_r") + 1, F.size("ids")))
+    return d.select(key, "copy", F.when(F.size("_r") > 2, out).otherwise(F.col("ids")).alias("ids"))
+
+
+def correctness_loss(df: DataFrame, binary: float = 1.0, margin: float = 0.3, consist: float = 0.1) -> DataFrame:
+    """One row from (score, label, morph, struct, semantic, lexical): cross-entropy, how far wrong rows score above right
+    ones, mean variance of the four parts, and their weighted sum."""
+    floor = lambda x: F.greatest(F.when(x > 0, F.log(x)).otherwise(-100.0), F.lit(-100.0))
+    bce = -(F.col("label") * floor(F.col("score")) + (1 - F.col("label")) * floor(1 - F.col("score")))
+    parts = [F.col(c) for c in ("morph", "struct", "semantic", "lexical")]
+    mean = sum(parts, F.lit(0.0)) / 4
+    spread = sum(((p - mean) * (p - mean) for p in parts), F.lit(0.0)) / 3
+    good, bad = F.avg(F.when(F.col("label") > 0.5, F.col("score"))), F.avg(F.when(F.col("label") <= 0.5, F.col("score")))
+    a = df.agg(F.coalesce(F.avg(bce), F.lit(0.0)).alias("l_binary"), F.when(good.isNotNull() & bad.isNotNull(), F.greatest(F.lit(0.0), bad - good)).otherwise(0.0).alias("l_margin"), F.coalesce(F.avg(spread), F.lit(0.0)).alias("l_consist"))
+    return a.withColumn("total", binary * F.col("l_binary") + margin * F.col("l_margin") + consist * F.col("l_consist"))
+
+
+def averaged(df: DataFrame, by: list[str], losses: list[str]) -> DataFrame:
+    """By group: the mean of each loss, NaN left out."""
+    return df.groupBy(*by).agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in losses])
 
 
 def adapted(lam, loss, threshold: float, rate: float, low: float, high: float):

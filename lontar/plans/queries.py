@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import segments, sentences, normalise, tokens
-from ..operators import checks, corpus, homology, lexicon, metrics, morphology, semantics, training, vocabulary
+from ..operators import checks, corpus, dependency, dictionary, homology, lexicon, metrics, morphology, noise, semantics, training, vocabulary
 from ..sources import seeds
 from . import rules as R
 
@@ -102,7 +102,10 @@ def exact_dedup(spark, sf_dir):
     return corpus.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, left(lower(trim(text, ' ')), 60) AS k, list_distinct(list_filter(string_split_regex(lower(text), '[ \t\r\n]+'), lambda x: x <> '')) AS w FROM documents),
+g AS (SELECT list([{'i': doc_id, 'w': w}] ORDER BY doc_id) AS rows FROM d GROUP BY k),
+f AS (SELECT list_reduce(rows, lambda a, x: CASE WHEN len(list_filter(a, lambda y: CASE WHEN len(y.w) + len(x[1].w) = 0 THEN TRUE ELSE len(list_intersect(y.w, x[1].w))::DOUBLE / (len(y.w) + len(x[1].w) - len(list_intersect(y.w, x[1].w))) >= 0.8 END)) > 0 THEN a ELSE a || x END) AS kept FROM g)
+SELECT unnest(kept).i AS doc_id FROM f""")
 def near_dedup(spark, sf_dir):
     return corpus.near_dedup(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -230,7 +233,13 @@ def vocab_target(spark, sf_dir):
     return s.select("n", "target", c.alias("corpus"), d.alias("dictionary"))
 
 
-@query()
+@query(f"""WITH {VOCAB_SQL}, {TOP}, m AS (SELECT n AS median FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM w) WHERE r = c // 2 + 1),
+nv AS (SELECT count(*) AS n FROM top WHERE token NOT IN ('<PAD>', '<UNK>', '<BOS>', '<EOS>')), ns AS (SELECT count(*) AS k, CAST(round_even(greatest(5000, least(15000, floor(50 * sqrt(count(*))))) / 1000, 0) * 1000 AS INT) AS goal FROM documents),
+cv AS (SELECT coalesce(sum(n) FILTER (word IN (SELECT token FROM top)), 0)::DOUBLE / sum(n) AS v FROM w), ov AS (SELECT count(*) FILTER (word NOT IN (SELECT token FROM top))::DOUBLE / count(*) AS v FROM w, m WHERE n >= greatest(3, least(median, 10))),
+fs AS (SELECT field, avg(CASE WHEN token IN (SELECT token FROM top) THEN 1.0::DOUBLE ELSE 0 END) AS s FROM (VALUES """ + ", ".join(f"({lit(f)}, {lit(w)})" for f, ws in vocabulary.FIELD_SEEDS.items() for w in ws.split()) + f""") x(field, token) GROUP BY field),
+st4 AS (SELECT CASE WHEN n BETWEEN 5000 AND 15000 THEN CASE WHEN n BETWEEN greatest(5000, floor(goal * 0.85)) AND least(15000, floor(goal * 1.15)) THEN 'PASS' ELSE 'WARN' END WHEN n < 5000 THEN CASE WHEN k > 0 AND k < 20000 THEN 'WARN' ELSE 'FAIL' END ELSE 'WARN' END AS size, n,
+ CASE WHEN cv.v >= 0.75 THEN 'PASS' WHEN cv.v >= 0.675 THEN 'WARN' ELSE 'FAIL' END AS coverage, CASE WHEN ov.v <= 0.15 THEN 'PASS' WHEN ov.v <= 0.225 THEN 'WARN' ELSE 'FAIL' END AS oov, (SELECT CASE WHEN min(s) < 0.25 THEN 'FAIL' WHEN min(s) < 0.5 THEN 'WARN' ELSE 'PASS' END FROM fs) AS fields FROM nv, ns, cv, ov)
+SELECT *, CASE len(list_filter([size, coverage, oov, fields], lambda x: x = 'FAIL')) WHEN 0 THEN CASE WHEN list_contains([size, coverage, oov, fields], 'WARN') THEN 'VALID' ELSE 'OPTIMAL' END WHEN 1 THEN 'DEGRADED' ELSE 'EXPERIMENTAL' END AS tier FROM st4""")
 def vocab_validate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return vocabulary.validate(_top(spark, sf_dir), vocabulary.frequencies(d), d.count())
@@ -276,12 +285,8 @@ def structure_score(spark, sf_dir):
     return metrics.structure(table(spark, sf_dir, "documents").select(tokens(F.col("text")).alias("ids")), COPULAS, AUX)
 
 
-def _relation_rows():
-    return [(t.replace("{s}", s).replace("{v}", v).replace("{o}", o),) for v, os in training.OBJECTS.items() for o in os.split() for s in training.SUBJECTS for t in training.TEMPLATES]
-
-
 REL = ("WITH " + values("vo", "verb, object", [(v, o) for v, os in training.OBJECTS.items() for o in os.split()]) + ", " + values("su", "s", [(s,) for s in training.SUBJECTS]) + ", " + values("te", "t", [(t,) for t in training.TEMPLATES])
-       + ", rel AS (SELECT verb, object, replace(replace(replace(t, '{s}', s), '{v}', verb), '{o}', object) AS text FROM vo, su, te)")
+       + ", rel AS (SELECT verb, object, replace(replace(replace(t, '{subj}', s), '{verb}', verb), '{obj}', object) AS text FROM vo, su, te)")
 
 
 @query(REL + " SELECT verb, object, text FROM rel")
@@ -308,9 +313,110 @@ def vo_pairs(spark, sf_dir):
     return training.vo_pairs(training.relation_corpus(spark))
 
 
-@query()
+ACTIONS_SQL = f"""act AS (SELECT doc_id, lang, text, coalesce(list_has_any({WORDS}, {listed(training.ACTION_VERBS)}), FALSE) AS aksi FROM documents),
+oth AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY md5('42:' || coalesce(text, '')), doc_id) AS k FROM act WHERE NOT aksi),
+p1 AS (SELECT doc_id, lang, text FROM act WHERE aksi UNION ALL SELECT doc_id, lang, text FROM oth WHERE k <= (SELECT floor(count(*) FILTER (aksi) * 0.15::DOUBLE / 0.85::DOUBLE) FROM act))"""
+
+
+def _more_actions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+
+@query(f"WITH {ACTIONS_SQL} SELECT doc_id, lang FROM p1")
 def action_filter(spark, sf_dir):
-    return training.filter_actions(table(spark, sf_dir, "documents")).select("doc_id", "lang")
+    return training.filter_actions(_more_actions(spark, sf_dir)).select("doc_id", "lang")
+
+
+def drawn_sql(name: str, i: str, n: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}:{name}:' || {i}), 1, 8))::BIGINT % {n})"
+
+
+def seeded_sql(seed: int, rest: str = "") -> str:
+    return f"row_number() OVER (ORDER BY md5('{seed}:' || coalesce(text, '')){rest})"
+
+
+RELATIONS_SQL = ("vopair AS (SELECT " + listed([f"{v} {o}" for v, os in training.OBJECTS.items() for o in os.split()]) + " AS vo, " + listed(training.SUBJECTS) + " AS su, " + listed(training.TEMPLATES) + " AS te), "
+                 + f"rl0 AS (SELECT i, vo[{drawn_sql('pair', 'i', 'len(vo)')} + 1] AS p, su[{drawn_sql('subject', 'i', 'len(su)')} + 1] AS s, te[{drawn_sql('template', 'i', 'len(te)')} + 1] AS t FROM vopair, range(1, 6001) r(i)), "
+                 + "rl AS (SELECT i AS id, replace(replace(replace(t, '{subj}', s), '{verb}', split_part(p, ' ', 1)), '{obj}', split_part(p, ' ', 2)) AS text FROM rl0)")
+
+
+@query(f"WITH {RELATIONS_SQL} SELECT id, text FROM rl")
+def relation_samples(spark, sf_dir):
+    return training.relations(spark)
+
+
+MD5 = "md5(coalesce(text, ''))"
+
+
+@query(f"""WITH a AS (SELECT text, {seeded_sql(42)} AS k FROM conversations WHERE role = 'user'), o AS (SELECT text FROM documents), n AS (SELECT (SELECT count(*) FROM a) AS m, CAST(floor((SELECT count(*) FROM o) * 0.4::DOUBLE / 0.6::DOUBLE) AS BIGINT) AS k),
+d AS (SELECT {drawn_sql('mix', 'i', 'greatest(m, 1)')} + 1 AS k FROM n, unnest(range(1, least(n.k, 3 * m) + 1)) r(i))
+SELECT part, text_md5, count(*) AS n FROM (SELECT 'action' AS part, {MD5} AS text_md5 FROM d JOIN a USING (k) UNION ALL SELECT 'other', {MD5} FROM o) GROUP BY part, text_md5""")
+def phase_mix(spark, sf_dir):
+    m = training.phase_mix(table(spark, sf_dir, "conversations").where("role = 'user'").select("text"), table(spark, sf_dir, "documents").select("text"))
+    return m.groupBy("part", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# texts may repeat with one text: rows then are interchangeable
+@query(f"""WITH src AS (SELECT text FROM conversations), {ACTIONS_SQL.replace('SELECT doc_id, lang, text, coalesce', 'SELECT text, coalesce').replace('FROM documents', 'FROM src').replace('SELECT doc_id, lang, text', 'SELECT text').replace(', doc_id) AS k', ') AS k')}, {RELATIONS_SQL},
+r1 AS (SELECT text FROM (SELECT text, {seeded_sql(43)} AS k FROM p1) WHERE k <= floor((SELECT count(*) FROM p1) * 0.3::DOUBLE)), p2 AS (SELECT 'relation' AS part, text FROM rl UNION ALL SELECT 'replay 1', text FROM r1),
+r0 AS (SELECT text FROM (SELECT text, {seeded_sql(44)} AS k FROM documents) WHERE k <= 5000), r3 AS (SELECT text FROM (SELECT text, {seeded_sql(45)} AS k FROM p1) WHERE k <= floor((SELECT count(*) FROM p1) * 0.3::DOUBLE * 0.5)),
+r2 AS (SELECT text FROM (SELECT text, {seeded_sql(46)} AS k FROM p2) WHERE k <= floor((SELECT count(*) FROM p2) * 0.3::DOUBLE)),
+al3 AS (SELECT 1 AS phase, 'action' AS part, text FROM p1 UNION ALL SELECT 2, part, text FROM p2 UNION ALL SELECT 3, 'other', text FROM r0 UNION ALL SELECT 3, 'replay 1', text FROM r3 UNION ALL SELECT 3, 'replay 2', text FROM r2)
+SELECT CAST(phase AS INT) AS phase, part, {MD5} AS text_md5, count(*) AS n FROM al3 GROUP BY ALL""")
+def curriculum(spark, sf_dir):
+    c = training.curriculum(table(spark, sf_dir, "conversations").select("text"), table(spark, sf_dir, "documents").select("text"))
+    return c.groupBy("phase", "part", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {PMI_SQL} SELECT round(coalesce(-avg(pmi), 0), 8) AS cooccurrence_loss FROM pr JOIN (SELECT * FROM pmi WHERE pmi > 0) q USING (a, b) WHERE k <= 3""")
+def cooccurrence_loss(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return training.cooccurrence_loss(d.select(training.words(F.col("text")).alias("ids")), training.pmi(d)).withColumn("cooccurrence_loss", F.round("cooccurrence_loss", 8))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS} AS w, unnest([1, 2]) AS copy FROM documents), p AS (SELECT doc_id, copy, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM d),
+s AS (SELECT doc_id, copy, string_agg(x, ' ' ORDER BY CASE WHEN n > 2 THEN md5('42:' || doc_id || ':' || copy || ':' || i) ELSE '' END, i) AS t FROM p GROUP BY doc_id, copy)
+SELECT d.doc_id, CAST(d.copy AS INT) AS copy, md5(coalesce(t, '')) AS ids_md5 FROM d LEFT JOIN s ON s.doc_id = d.doc_id AND s.copy = d.copy""")
+def negative_batch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", training.words(F.col("text")).alias("ids"))
+    return training.negatives(d, 2).select("doc_id", "copy", F.md5(F.array_join("ids", " ").cast("binary")).alias("ids_md5"))
+
+
+#: Ids of words for the vector metrics: a number from 0 to 499 that follows from a word's first letter and length.
+VERB_IDS = [100, 150, 200, 250, 300, 350, 400, 450]
+VECTOR_SQL = f"""cv AS (SELECT conv_id, turn, list_transform({WS}, lambda w: (ascii(w) * 31 + length(w) * 7) % 500) AS ids FROM conversations),
+vb AS (SELECT *, list_min(list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains({VERB_IDS}, ids[i]) THEN i END), lambda i: i IS NOT NULL)) AS v FROM cv),
+vt AS (SELECT conv_id, turn, ids[v] AS verb, unnest(ids[v + 1 : len(ids)]) AS token FROM vb WHERE v < len(ids)),
+vs AS (SELECT conv_id, turn, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM vt JOIN embeddings a ON a.vec_id = vt.token JOIN embeddings b ON b.vec_id = vt.verb GROUP BY conv_id, turn)"""
+
+
+def _vector_ids(spark, sf_dir):
+    ids = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+"), lambda w: w != ""), lambda w: ((F.ascii(w) * 31 + F.char_length(w) * 7) % 500).cast("long"))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), ids.alias("ids")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {VECTOR_SQL} SELECT round(coalesce(avg(s), 0), 6) AS relation_score FROM vs")
+def relation_score(spark, sf_dir):
+    ids, vectors = _vector_ids(spark, sf_dir)
+    return metrics.relation(ids, vectors, VERB_IDS, "key").withColumn("relation_score", F.round("relation_score", 6))
+
+
+@query(f"WITH {VECTOR_SQL} SELECT round(coalesce(avg(greatest(0, 0.3::DOUBLE - s)), 0), 6) AS relation_loss FROM vs")
+def relation_loss(spark, sf_dir):
+    ids, vectors = _vector_ids(spark, sf_dir)
+    return training.relation_loss(metrics.relation_by(ids, vectors, VERB_IDS, "key")).withColumn("relation_loss", F.round("relation_loss", 6))
+
+
+@query("""WITH l AS (SELECT least(1, greatest(0, l_discount * 10)) AS score, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS label, l_tax * 10 AS a, l_quantity / 50 AS b, l_discount * 5 AS c, l_linenumber / 7.0::DOUBLE AS d FROM lineitem),
+t AS (SELECT *, (a + b + c + d) / 4 AS m FROM l),
+x AS (SELECT avg(-(label * CASE WHEN score > 0 THEN greatest(ln(CASE WHEN score > 0 THEN score ELSE 1 END), -100) ELSE -100 END + (1 - label) * CASE WHEN score < 1 THEN greatest(ln(CASE WHEN score < 1 THEN 1 - score ELSE 1 END), -100) ELSE -100 END)) AS l_binary,
+ greatest(0, avg(score) FILTER (label <= 0.5) - avg(score) FILTER (label > 0.5)) AS l_margin, avg(((a - m) ** 2 + (b - m) ** 2 + (c - m) ** 2 + (d - m) ** 2) / 3) AS l_consist FROM t)
+SELECT round(l_binary, 6) AS l_binary, round(l_margin, 6) AS l_margin, round(l_consist, 6) AS l_consist, round(l_binary + 0.3::DOUBLE * l_margin + 0.1::DOUBLE * l_consist, 6) AS total FROM x""")
+def correctness_loss(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("l_discount") * 10))
+    d = t.select(score.alias("score"), (F.col("l_returnflag") == "R").cast("double").alias("label"), (F.col("l_tax") * 10).alias("morph"), (F.col("l_quantity") / 50).alias("struct"), (F.col("l_discount") * 5).alias("semantic"), (F.col("l_linenumber") / 7.0).alias("lexical"))
+    return training.correctness_loss(d).select(*[F.round(c, 6).alias(c) for c in ("l_binary", "l_margin", "l_consist", "total")])
 
 
 # ---- curves, vectors, labels ----------------------------------------------------------------------------------------------
@@ -325,7 +431,7 @@ def loss_trend(spark, sf_dir):
     return c.select("event_id", "event_type", F.round("trend", 6).alias("trend"), F.round("recent", 6).alias("recent"))
 
 
-@query("""WITH e AS (SELECT event_id, event_type, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 400 PRECEDING AND CURRENT ROW) AS v FROM events)
+@query("""WITH e AS (SELECT event_id, event_type, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events)
 SELECT event_id, event_type, round(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 6) AS ema FROM e""")
 def loss_ema(spark, sf_dir):
     return training.ema(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", "event_id", "value").select("event_id", "event_type", F.round("ema", 6).alias("ema"))
@@ -416,13 +522,25 @@ def _distance_case() -> str:
  WHEN a.domain IS NOT NULL OR b.domain IS NOT NULL THEN 1.2 ELSE 1.0 - 0.3::DOUBLE * {bonus} END"""
 
 
-@query(LEX + f" SELECT a.kata AS a, b.kata AS b, round(CAST({_distance_case()} AS DOUBLE), 9) AS distance FROM lex a, lex b WHERE left(a.kata, 1) = left(b.kata, 1)")
+@query(LEX + f" SELECT a.kata AS a, b.kata AS b, round(CAST({_distance_case()} AS DOUBLE), 9) AS distance FROM lex a, lex b")
 def semantic_distance(spark, sf_dir):
+    a, b = _lexicon_pair(spark)
+    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", F.round(lexicon.distance(F.col("a"), F.col("da"), F.col("pa"), F.col("b"), F.col("db"), F.col("pb")), 9).alias("distance"))
+
+
+def _lexicon_pair(spark):
+    """The seed lexicon twice: fixed and small."""
     x = seeds.lexicon(spark)
-    a = x.select(F.col("kata").alias("a"), F.col("domain").alias("da"), F.col("kelas").alias("pa"), F.substr("kata", F.lit(1), F.lit(1)).alias("k"))
-    b = x.select(F.col("kata").alias("b"), F.col("domain").alias("db"), F.col("kelas").alias("pb"), F.substr("kata", F.lit(1), F.lit(1)).alias("k"))
-    d = lexicon.distance(F.col("a"), F.col("da"), F.col("pa"), F.col("b"), F.col("db"), F.col("pb"))
-    return a.join(b, "k").select("a", "b", F.round(d, 9).alias("distance"))
+    return [x.select(F.col("kata").alias(c), F.col("domain").alias(f"d{c}"), F.col("kelas").alias(f"p{c}")) for c in "ab"]
+
+
+@query(LEX + f""", ds AS (SELECT a.kata AS a, b.kata AS b, a.domain AS da, b.domain AS db, CAST({_distance_case()} AS DOUBLE) AS d FROM lex a, lex b)
+SELECT a, b, d <= 1.5 AS compatible, CASE WHEN a = b THEN a WHEN da IS NOT NULL AND db IS NOT NULL THEN CASE WHEN da = db THEN a || ' → [' || da || '] → ' || b ELSE a || ' → [' || da || '] → ↔ → [' || db || '] → ' || b END
+ WHEN da IS NOT NULL THEN a || ' → [' || da || '] → →? → ' || b WHEN db IS NOT NULL THEN a || ' → ?→ → [' || db || '] → ' || b ELSE a || ' → [?] → ' || b END AS path FROM ds""")
+def semantic_paths(spark, sf_dir):
+    a, b = _lexicon_pair(spark)
+    args = [F.col(c) for c in ("a", "da", "pa", "b", "db", "pb")]
+    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", lexicon.compatible(*args).alias("compatible"), F.array_join(lexicon.path(F.col("a"), F.col("da"), F.col("b"), F.col("db")), " → ").alias("path"))
 
 
 # ---- sentences ---------------------------------------------------------------------------------------------------------------
@@ -534,13 +652,14 @@ def dependency_edges(spark, sf_dir):
     return checks.edges(parsed(spark)).select("doc_id", "sent_idx", F.explode("edges").alias("e")).select("doc_id", "sent_idx", "e.*")
 
 
-def _checks_sql() -> str:
+def _checks_sql(config: Config = Config()) -> str:
     mods = " OR ".join(f"(m.kelas = {lit(k)} AND h.kelas NOT IN ({', '.join(lit(x) for x in to.split())}))" for k, to in R.MODIFIES.items()).replace("m.", "{m}.").replace("h.", "{h}.")
     bad = f"CASE WHEN a.peran = 'Mod' THEN ({mods.format(m='a', h='b')}) ELSE ({mods.format(m='b', h='a')}) END"
     dim = "CASE lower(kelas) " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in R.CLASS_DIMENSION.items()) + " END"
     bare = "CASE " + " ".join(f"WHEN starts_with(lower(b.root), {lit(x)}) AND length(b.root) > {len(x) + 2} THEN substr(lower(b.root), {len(x) + 1})" for x in R.ANIMATE_PREFIXES) + " ELSE lower(b.root) END"
     dist = _distance_case().replace("a.kelas", "a.pos").replace("b.kelas", "b.pos")
-    neutral = listed(R.NEUTRAL_VERBS)
+    neutral = listed(sorted(config.neutral))
+    thr = float(config.threshold)
     verbs = listed(R.ANIMATE_VERBS)
     return EDGES + f""",
 f0 AS (SELECT hasil.*, lower(root) AS kata, lex.kelas AS pos FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
@@ -551,8 +670,8 @@ ck0 AS (SELECT e.*, a.root AS ra, b.root AS rb, CAST({dist} AS DOUBLE) AS d, a.k
  CASE WHEN a.pinjam = b.pinjam THEN 0 ELSE 0.15::DOUBLE END AS leksikal, rel = 'subj-pred' AND NOT a.hidup AND (list_contains({verbs}, lower(b.root)) OR list_contains({verbs}, {bare}) OR list_contains({verbs}, lower(b.teks))) AS mati,
  ((CASE WHEN a.di = b.di THEN 1 ELSE 0 END) + (CASE WHEN a.ck = b.ck THEN a.cv * b.cv ELSE 0 END) + a.rg * b.rg + a.su * b.su) / (sqrt((CASE WHEN a.di IS NULL THEN 0 ELSE 1 END) + a.cv * a.cv + a.rg * a.rg + a.su * a.su) * sqrt((CASE WHEN b.di IS NULL THEN 0 ELSE 1 END) + b.cv * b.cv + b.rg * b.rg + b.su * b.su)) AS cs
  FROM edges e JOIN ft a ON a.doc_id = e.doc_id AND a.sent_idx = e.sent_idx AND a.idx = e.i JOIN ft b ON b.doc_id = e.doc_id AND b.sent_idx = e.sent_idx AND b.idx = e.j),
-cek AS (SELECT doc_id, sent_idx, i, j, rel, ra, rb, CASE WHEN rusak THEN 1.0::DOUBLE ELSE 0 END AS morfologis, CASE WHEN salah THEN 0.7::DOUBLE ELSE 0 END AS sintaktis, CASE WHEN bebas2 THEN 0 WHEN d <= 1.5 THEN d / 1.5::DOUBLE * 0.3::DOUBLE ELSE least(1, (d - 1.5) / 2) END AS semantik,
- leksikal, CASE WHEN mati THEN 0.85::DOUBLE ELSE 0 END AS animasi, greatest(0, (1 - cs) / 2) * 0.05::DOUBLE AS geometrik, NOT bebas2 AND d > 1.5 AS jauh FROM ck0)"""
+cek AS (SELECT doc_id, sent_idx, i, j, rel, ra, rb, CASE WHEN rusak THEN 1.0::DOUBLE ELSE 0 END AS morfologis, CASE WHEN salah THEN 0.7::DOUBLE ELSE 0 END AS sintaktis, CASE WHEN bebas2 THEN 0 WHEN d <= {thr} THEN d / {thr}::DOUBLE * 0.3::DOUBLE ELSE least(1, (d - {thr}) / 2) END AS semantik,
+ leksikal, CASE WHEN mati THEN 0.85::DOUBLE ELSE 0 END AS animasi, greatest(0, (1 - cs) / 2) * 0.05::DOUBLE AS geometrik, NOT bebas2 AND d > {thr} AS jauh FROM ck0)"""
 
 
 CHECKS = _checks_sql()
@@ -580,10 +699,10 @@ al AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT)
 be AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, e - n + b0) END AS b1 FROM al), xc AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, b1 - greatest(0, e - n)) END AS ex FROM be)"""
 
 
-def _score_sql() -> str:
-    topo = TOPOLOGY[TOPOLOGY.index("tk AS (SELECT") :]
+def _score_sql(config: Config = Config()) -> str:
+    topo = TOPOLOGY[TOPOLOGY.index("tk AS (SELECT") :].replace("FROM gap WHERE d <= 1.5", f"FROM gap WHERE d <= {float(config.threshold)}")
     nouns = "('N', 'N_proper', 'N_serapan')"
-    clash = " OR ".join(f"(v.domain = {lit(k)} AND o.domain IN ({', '.join(lit(x) for x in w.split())}))" for k, w in R.INCOMPATIBLE.items())
+    clash = " OR ".join(f"(v.domain = {lit(k)} AND o.domain IN ({', '.join(lit(x) for x in sorted(w))}))" for k, w in config.incompatible.items())
     phrases = values("frasa", "a, b, ord", [(*ph.split(), i) for i, ph in enumerate(R.COMPLEMENT_PHRASES)])
     single = values("kunci", "w, ord", [(w, i + 10) for i, w in enumerate(["yaitu", "yakni", "adalah", *[x for x in R.COMPLEMENT_WORDS if x not in ("yaitu", "yakni", "adalah")]])])
     same = "a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx"
@@ -591,7 +710,7 @@ def _score_sql() -> str:
     base = " + ".join(f"coalesce({d}, 0) * {2.718281828459045 ** w / top}::DOUBLE" for d, w in R.WEIGHTS.items())
     sat = lambda d, e: f"greatest(0, least(1, 1 - {e} - 0.1::DOUBLE * coalesce(h_{d}, 0) / greatest(coalesce(k, 0), 1)))"
     sats = " + ".join(sat(d, f"coalesce({d}, 0)" if d != "topologis" else "e_topo") for d in R.DIMENSIONS)
-    return CHECKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + topo + ", " + phrases + ", " + single + f""",
+    return _checks_sql(config).replace("WITH ", "WITH RECURSIVE ", 1) + ", " + topo + ", " + phrases + ", " + single + f""",
 ul AS (SELECT doc_id, sent_idx, max(idx) AS akhir_idx, count(*) AS nn FROM hasil GROUP BY ALL),
 nx AS (SELECT a.*, b.idx AS bi, b.root AS broot, b.kelas AS bkelas, b.hidup AS bhidup FROM ft a JOIN ft b ON {same} AND b.idx = a.idx + 1),
 hd AS (SELECT a.doc_id, a.sent_idx, a.kelas AS k1, a.root AS r1, b.kelas AS k2, b.root AS r2 FROM hasil a JOIN ul USING (doc_id, sent_idx) JOIN hasil b ON {same} AND b.idx = akhir_idx WHERE a.idx = 0),
@@ -628,7 +747,34 @@ def composition_checks(spark, sf_dir):
     return checks.composition(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
 
 
-@query()
+def _violations_sql() -> str:
+    """Rows of all violations from the tables of SCORE: type, tokens, dimension, severity, origin."""
+    nouns = "('N', 'N_proper', 'N_serapan')"
+    same = "a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx"
+    clash = " OR ".join(f"(v.domain = {lit(k)} AND o.domain IN ({', '.join(lit(x) for x in w.split())}))" for k, w in R.INCOMPATIBLE.items())
+    mark = "CASE ord " + " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(R.COMPLEMENT_PHRASES)) + " " + " ".join(f"WHEN {i + 10} THEN {lit(w)}" for i, w in enumerate(["yaitu", "yakni", "adalah", *[x for x in R.COMPLEMENT_WORDS if x not in ("yaitu", "yakni", "adalah")]])) + " END"
+    return SCORE + f""", subj AS (SELECT e.doc_id, e.sent_idx, e.i, e.j, CASE WHEN b.peran = 'S' THEN b.root WHEN a.peran = 'S' THEN a.root ELSE a.root END AS s, CASE WHEN a.peran = 'P' THEN a.root WHEN b.peran = 'P' THEN b.root ELSE b.root END AS p
+ FROM edges e JOIN hasil a ON a.doc_id = e.doc_id AND a.sent_idx = e.sent_idx AND a.idx = e.i JOIN hasil b ON b.doc_id = e.doc_id AND b.sent_idx = e.sent_idx AND b.idx = e.j WHERE rel = 'subj-pred'),
+urt AS (SELECT doc_id, sent_idx, 'topologis' AS tipe, r2 AS tokens, 0.8 AS sev FROM hd WHERE k2 = 'Prep' UNION ALL SELECT doc_id, sent_idx, 'topologis', root || ' ' || broot, 0.7 FROM nx WHERE kelas = 'Prep' AND bkelas = 'Prep'
+ UNION ALL SELECT doc_id, sent_idx, 'topologis', r1, 0.9 FROM hd WHERE k1 = 'Prep' AND k2 = 'Prep' AND r1 = r2 UNION ALL SELECT doc_id, sent_idx, 'semantik', root || ' ' || broot, 0.75 FROM nx WHERE kelas = 'Prep' AND lower(root) IN ('kepada', 'terhadap') AND bkelas IN ('N', 'N_serapan') AND NOT bhidup
+ UNION ALL SELECT hd.doc_id, hd.sent_idx, 'sintaktis', 'oleh ' || coalesce(t.root, '?'), 0.8 FROM hd JOIN ps USING (doc_id, sent_idx) LEFT JOIN hasil t ON t.doc_id = hd.doc_id AND t.sent_idx = hd.sent_idx AND t.idx = 1 WHERE pasif AND k1 = 'Prep' AND lower(r1) = 'oleh'
+  AND NOT EXISTS (SELECT 1 FROM hasil h WHERE h.doc_id = hd.doc_id AND h.sent_idx = hd.sent_idx AND h.idx < vp AND h.peran = 'S' AND h.idx <> 1 AND h.kelas NOT IN ('Prep', 'Konj'))),
+psg AS (SELECT DISTINCT doc_id, sent_idx, 'morfologis' AS tipe, ra || ' ' || rb AS tokens, 1.0::DOUBLE AS sev FROM cek WHERE morfologis > 0 UNION ALL SELECT DISTINCT doc_id, sent_idx, 'sintaktis', ra || ' ' || rb, 0.7 FROM cek WHERE sintaktis > 0
+ UNION ALL SELECT doc_id, sent_idx, 'semantik', ra || ' ' || rb, arg_min(semantik, i * 1000 + j) FROM cek WHERE jauh GROUP BY doc_id, sent_idx, ra, rb UNION ALL SELECT DISTINCT doc_id, sent_idx, 'animasi', s || ' ' || p, 0.85 FROM cek JOIN subj USING (doc_id, sent_idx, i, j) WHERE animasi > 0 AND rel = 'subj-pred'),
+kmp AS (SELECT a.doc_id, a.sent_idx, a.root || ' ' || b.root AS tokens, 'sintaktis' AS dim, 0.65 AS sev FROM hasil a JOIN hasil b ON {same} AND b.idx BETWEEN a.idx + 1 AND a.idx + 2 WHERE a.kelas = 'Adj' AND b.kelas IN {nouns} AND a.domain <> b.domain
+ UNION ALL SELECT doc_id, sent_idx, tanda, 'semantik', 0.9 FROM gt JOIN (SELECT doc_id, sent_idx, arg_min({mark}, ord * 1000 + tempat) AS tanda FROM tg GROUP BY doc_id, sent_idx) USING (doc_id, sent_idx) WHERE gantung = 1
+ UNION ALL SELECT v.doc_id, v.sent_idx, v.root || ' ' || arg_min(o.root, o.idx), 'semantik', 0.7 FROM ft v JOIN hasil o ON o.doc_id = v.doc_id AND o.sent_idx = v.sent_idx AND o.idx BETWEEN v.idx + 1 AND v.idx + 3 WHERE v.kelas IN ('V', 'V_serapan') AND NOT v.netral AND o.kelas IN {nouns} AND ({clash}) GROUP BY v.doc_id, v.sent_idx, v.idx, v.root),
+akar AS (SELECT doc_id, sent_idx, root, min(idx) AS fk FROM hasil GROUP BY ALL),
+tpl AS (SELECT r.doc_id, r.sent_idx, root AS tokens, 0.7 AS sev FROM akar r JOIN al USING (doc_id, sent_idx) WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM sisi e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND (e.x = r.root OR e.y = r.root))
+ UNION ALL SELECT doc_id, sent_idx, string_agg(root, ' ' ORDER BY fk), 0.8 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY fk) AS k FROM akar) JOIN al USING (doc_id, sent_idx) WHERE n > 1 AND b0 > 1 AND k <= 4 GROUP BY doc_id, sent_idx
+ UNION ALL SELECT doc_id, sent_idx, string_agg(root, ' ' ORDER BY idx), 0.5 FROM hasil JOIN xc USING (doc_id, sent_idx) WHERE ex > 0 AND idx < 3 GROUP BY doc_id, sent_idx),
+vio AS (SELECT doc_id, sent_idx, tipe, tokens, tipe AS dimensi, sev, 'pasangan' AS asal FROM psg UNION ALL SELECT doc_id, sent_idx, tipe, tokens, tipe, sev, 'urutan' FROM urt UNION ALL SELECT doc_id, sent_idx, 'komposisi', tokens, dim, sev, 'komposisi' FROM kmp UNION ALL SELECT doc_id, sent_idx, 'topologis', tokens, 'topologis', sev, 'topologi' FROM tpl)"""
+
+
+VIOLATIONS = _violations_sql()
+
+
+@query(VIOLATIONS + " SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, tipe, tokens, dimensi, round(CAST(sev AS DOUBLE), 6) AS severitas, asal FROM vio")
 def violations(spark, sf_dir):
     a = checks.analyse(parsed(spark)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
     return a.select("doc_id", "sent_idx", "v.tipe", F.concat_ws(" ", "v.tokens").alias("tokens"), "v.dimensi", F.round("v.severitas", 6).alias("severitas"), "v.asal")
@@ -702,13 +848,14 @@ def structure_validity(spark, sf_dir):
     return m.select("n_sentences", *[F.round(c, 6).alias(c) for c in ("spok_completeness", "order_validity", "dep_coherence", "overall")])
 
 
-@query()
+@query(SCORE + """, rb AS (SELECT kategori, least(1, skor) AS skor, energi < 0.5 AND NOT anomali AS valid FROM sk JOIN sent ON sent.doc_id = sk.doc_id AND sent.sent_idx = sk.sent_idx)
+SELECT kategori, count(*) AS run_size, count(*) FILTER (valid) AS valid_count, round(count(*) FILTER (valid)::DOUBLE / count(*), 6) AS valid_rate, round(avg(skor), 6) AS average_score FROM rb GROUP BY ROLLUP (kategori)""")
 def robustness_report(spark, sf_dir):
     a = checks.analyse(parsed(spark).join(seeds.sentences(spark).select("doc_id", "sent_idx", "kategori"), ["doc_id", "sent_idx"]))
     return metrics.robustness(a).select("kategori", "run_size", "valid_count", F.round("valid_rate", 6).alias("valid_rate"), F.round("average_score", 6).alias("average_score"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({_score_sql(Config.preset(x))} SELECT {lit(x)} AS preset, count(*) FILTER (energi < 0.5 AND NOT anomali) AS n_valid, round(avg(least(1, skor)), 6) AS skor FROM sk)" for x in PRESETS))
 def preset_scores(spark, sf_dir):
     p = parsed(spark)
     out = None
@@ -720,14 +867,17 @@ def preset_scores(spark, sf_dir):
 
 @query()
 def document_scores(spark, sf_dir):
-    """The whole analysis over the sentences of documents, summed by language."""
+    """Words, dependency edges and word-order violations of the sentences of documents, summed by document: not the whole analysis."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
     a = checks.word_order(checks.edges(morphology.parse(d, seeds.lexicon(spark)))).select("doc_id", F.size("edges").alias("e"), F.size("tokens").alias("t"), F.size("order").alias("o"))
     by = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("t").alias("n_tokens"), F.sum("e").alias("n_edges"), F.sum("o").alias("n_order"))
     return by
 
 
-@query()
+@query(TOPOLOGY + """, ak AS (SELECT doc_id, sent_idx, root, min(idx) AS f FROM tk GROUP BY ALL), jr AS (SELECT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y, min(d) AS d FROM gap WHERE ra <> rb GROUP BY ALL),
+th AS (SELECT DISTINCT doc_id, sent_idx, d AS t FROM jr), rr AS (SELECT ak.doc_id, ak.sent_idx, t, root AS r, root AS z FROM ak JOIN th USING (doc_id, sent_idx) UNION SELECT rr.doc_id, rr.sent_idx, t, r, CASE WHEN jr.x = z THEN jr.y ELSE jr.x END FROM rr JOIN jr ON jr.doc_id = rr.doc_id AND jr.sent_idx = rr.sent_idx AND jr.d <= t AND (jr.x = z OR jr.y = z)),
+mt AS (SELECT a.doc_id, a.sent_idx, a.root, min(t) AS death FROM ak a JOIN rr ON rr.doc_id = a.doc_id AND rr.sent_idx = a.sent_idx AND rr.r = a.root JOIN ak b ON b.doc_id = a.doc_id AND b.sent_idx = a.sent_idx AND b.root = rr.z AND b.f < a.f GROUP BY a.doc_id, a.sent_idx, a.root)
+SELECT CAST(ak.doc_id AS BIGINT) AS doc_id, CAST(ak.sent_idx AS INT) AS sent_idx, round(coalesce(CAST(death AS DOUBLE), 'inf'::DOUBLE), 6) AS death, root FROM ak LEFT JOIN mt USING (doc_id, sent_idx, root)""")
 def barcodes(spark, sf_dir):
     b = homology.barcode(parsed(spark)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
     return b.select("doc_id", "sent_idx", F.round("b.death", 6).alias("death"), "b.root")
@@ -739,18 +889,87 @@ def fuzzy_lookup(spark, sf_dir):
     return homology.fuzzy(w, seeds.lexicon(spark)).select("word", "kata", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
-def noisy_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return homology.noise(d, "typo", 0.3).select("doc_id", F.char_length("text").alias("n_chars"))
+def _noise_draw(name: str, i: str) -> str:
+    return f"(('0x' || substr(md5('42:{name}:' || doc_id || ':' || {i}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _noise_sql(kind: str) -> str:
+    d = _noise_draw
+    pick = lambda words, u: f"{listed(words)}[CAST(floor({u} * {len(words)}) AS INT) + 1]"
+    rows = f"nw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, {WS} AS w FROM documents))"
+    whole = "nt AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM nx GROUP BY doc_id)"
+    if kind == "typo":
+        at = f"CAST(floor({d('place', 'i')} * length(w)) AS INT)"
+        return f"""{rows}, np AS (SELECT *, {at} AS p, CAST(floor({d('edit', 'i')} * 4) AS INT) AS op, {d('typo', 'i')} AS hit FROM nw),
+ne AS (SELECT doc_id, i, CASE WHEN length(w) >= 3 AND hit <= 0.3::DOUBLE THEN CASE op WHEN 0 THEN CASE WHEN p < length(w) - 1 THEN left(w, p) || substr(w, p + 2, 1) || substr(w, p + 1, 1) || substr(w, p + 3) ELSE w END WHEN 1 THEN left(w, p) || substr(w, p + 1, 1) || substr(w, p + 1, 1) || substr(w, p + 2)
+ WHEN 2 THEN left(w, p) || substr(w, p + 2) ELSE left(w, p) || {pick('abcdefghijklmnopqrstuvwxyz', d('letter', 'i'))} || substr(w, p + 1) END ELSE w END AS w FROM np),
+nx AS (SELECT doc_id, i, CASE WHEN {d('fragment', 'i')} < 0.3::DOUBLE * 0.3::DOUBLE THEN w || ' ' || left(w, 2) ELSE w END AS x FROM ne), {whole},
+ng AS (SELECT doc_id, t, CAST(floor({d('gap', '0')} * (greatest(length(t) - 5, 0) + 1)) AS INT) AS p FROM nt), nz AS (SELECT doc_id, CASE WHEN {d('close', '0')} < 0.3::DOUBLE * 0.2::DOUBLE AND instr(substr(t, p + 1), ' ') > 0 THEN left(t, p + instr(substr(t, p + 1), ' ') - 1) || substr(t, p + instr(substr(t, p + 1), ' ') + 1) ELSE t END AS t FROM ng)"""
+    if kind == "affix":
+        bare = "CASE " + " ".join(f"WHEN starts_with(w, {lit(x)}) AND length(w) > {len(x) + 2} THEN substr(w, {len(x) + 1})" for x in R.NOISE_PREFIXES) + " ELSE w END"
+        pre, suf = pick(R.NOISE_PREFIXES, d("prefix", "i")), pick(R.NOISE_SUFFIXES, d("suffix", "i"))
+        return f"""{rows}, nx AS (SELECT doc_id, i, CASE WHEN length(w) >= 4 AND {d('affix', 'i')} <= 0.3::DOUBLE THEN CASE CAST(floor({d('edit', 'i')} * 4) AS INT) WHEN 0 THEN {pre} || w WHEN 1 THEN {pre} || w || {suf} WHEN 2 THEN {bare} ELSE w || {suf} END ELSE w END AS x FROM nw), {whole}, nz AS (SELECT doc_id, t FROM nt)"""
+    key = lambda name, i: f"md5('42:{name}:' || doc_id || ':' || {i})"
+    hit = {x: f"{d(x, '0')} < 0.3::DOUBLE" for x in ("shuffle", "drop", "repeat")}
+    flags = ", ".join(f"({h}) OR (NOT ({' OR '.join(hit.values())}) AND floor({d('else', '0')} * 3) = {k}) AS {x}" for k, (x, h) in enumerate(hit.items()))
+    return f"""{rows}, nf AS (SELECT doc_id, count(*) AS n, {flags.replace(' AS shuffle', ' AS f_shuffle').replace(' AS drop', ' AS f_drop').replace(' AS repeat', ' AS f_repeat')} FROM nw GROUP BY doc_id),
+nc AS (SELECT nw.*, n, f_shuffle, f_drop, f_repeat, row_number() OVER (PARTITION BY doc_id ORDER BY {key('which', 'i')}, i) AS k FROM nw JOIN nf USING (doc_id)),
+nm AS (SELECT *, f_shuffle AND k <= least(n, greatest(2, floor(n * 0.3::DOUBLE))) AS mv FROM nc),
+nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mv ORDER BY {key('where', 'i')}, i) AS kw FROM nm),
+ns AS (SELECT a.doc_id, a.i, a.n, a.f_drop, a.f_repeat, coalesce(b.w, a.w) AS w FROM nn a LEFT JOIN nn b ON a.mv AND b.mv AND a.doc_id = b.doc_id AND a.k = b.kw),
+nd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {key('lost', 'i')}, i) AS kl FROM ns), nk AS (SELECT * FROM nd WHERE NOT (f_drop AND kl <= greatest(0, least(n - 2, greatest(1, floor(n * 0.3::DOUBLE * 0.5)))))),
+nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS m FROM nk),
+nx AS (SELECT doc_id, i, CASE WHEN f_repeat AND j = floor({d('again', '0')} * m) THEN w || ' ' || w ELSE w END AS x FROM nr), {whole}, nz AS (SELECT doc_id, t FROM nt)"""
+
+
+def _noisy(kind: str):
+    @query(f"WITH {_noise_sql(kind)} SELECT doc_id, md5(coalesce(t, '')) AS text_md5 FROM documents LEFT JOIN nz USING (doc_id)")
+    def run(spark, sf_dir):
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return noise.noise(d, kind).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+    name = f"noise_{kind}"
+    Q[name], SQL[name] = Q.pop("run"), SQL.pop("run")
+
+
+for _kind in noise.KINDS:
+    _noisy(_kind)
+
+
+@query("""WITH e AS (SELECT event_type, event_id::DOUBLE AS i, value, abs(value) + 1 AS m, max(abs(value)) OVER (PARTITION BY event_type) AS b FROM events)
+SELECT event_type, round(regr_slope(value - b, i), 9) AS slope, round(max(value - b), 6) AS worst, greatest(0, 1 - max(value - b) / greatest(max(b), 1e-6)) AS recovery, round(min(m) / greatest(max(b), 1e-6), 6) AS stability FROM e GROUP BY event_type""")
+def degradation(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("double").alias("i"), "value", (F.abs("value") + 1).alias("m"))
+    e = e.join(e.groupBy("event_type").agg(F.max(F.abs("value")).alias("b")), "event_type")
+    a = metrics.degradation(e, ["event_type"], "i", "value", "b", "m", "b")
+    return a.select("event_type", F.round("slope", 9).alias("slope"), F.round("worst", 6).alias("worst"), "recovery", F.round("stability", 6).alias("stability"))
 
 
-@query("SELECT event_type, round(regr_slope(value, event_id::DOUBLE), 9) AS slope, greatest(0, 1 - max(value) / max(abs(value))) AS recovery FROM events GROUP BY event_type")
-def degradation(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("double").alias("i"), "value").withColumn("base", F.lit(0.0))
-    a = metrics.degradation(e, ["event_type"], "i", "value", "base").select("event_type", F.round("slope", 9).alias("slope"))
-    b = e.groupBy("event_type").agg(F.greatest(F.lit(0.0), 1 - F.max("value") / F.max(F.abs("value"))).alias("recovery"))
-    return a.join(b, "event_type")
+RUNS = {"formal_to_informal": "informal_in", "informal_to_formal": "formal_in", "low_50": "full_100", "low_25": "full_100", "low_10": "full_100"}
+
+
+@query("WITH " + values("runs", "name, baseline", RUNS.items()) + """, m AS (SELECT 'full_100' AS name, avg(value) AS v FROM events UNION ALL SELECT 'low_50', avg(value) FROM events WHERE user_id % 2 = 0 UNION ALL SELECT 'low_25', avg(value) FROM events WHERE user_id % 4 = 0 UNION ALL SELECT 'low_10', avg(value) FROM events WHERE user_id % 10 = 0
+ UNION ALL SELECT 'formal_in', avg(value) FROM events WHERE user_id % 3 = 0 UNION ALL SELECT 'informal_in', avg(value) FROM events WHERE user_id % 3 = 1 UNION ALL SELECT 'formal_to_informal', avg(value) FROM events WHERE user_id % 3 = 2 UNION ALL SELECT 'informal_to_formal', 0.0)
+SELECT name, baseline, round(CASE WHEN b.v <> 0 THEN a.v / b.v ELSE 0 END, 8) AS ratio FROM runs JOIN m a USING (name) JOIN m b ON b.name = baseline""")
+def transfer_ratios(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    part = lambda name, test: e.where(test).agg(F.avg("value").alias("v")).select(F.lit(name).alias("name"), "v")
+    m = part("full_100", "true")
+    for name, test in (("low_50", "user_id % 2 = 0"), ("low_25", "user_id % 4 = 0"), ("low_10", "user_id % 10 = 0"), ("formal_in", "user_id % 3 = 0"), ("informal_in", "user_id % 3 = 1"), ("formal_to_informal", "user_id % 3 = 2")):
+        m = m.unionByName(part(name, test))
+    m = m.unionByName(spark.createDataFrame([("informal_to_formal", 0.0)], "name string, v double"))
+    return metrics.transfer(m, "name", "v", RUNS).withColumn("ratio", F.round("ratio", 8))
+
+
+@query("""WITH h AS (SELECT l_linenumber AS epoch, 1.0::DOUBLE / l_linenumber + avg(l_discount) AS loss, avg(l_tax) AS mcs, avg(l_discount) AS svs, min(l_quantity) / 1000 AS sds, avg(l_tax) / 10 AS velocity, 100.0::DOUBLE / l_linenumber AS root_ppl, min(l_quantity) > 0 AS grad_ok FROM lineitem GROUP BY l_linenumber),
+x AS (SELECT arg_min(loss, epoch) AS l0, arg_max(loss, epoch) AS l1, arg_min(mcs, epoch) AS m0, arg_max(mcs, epoch) AS m1, arg_min(svs, epoch) AS s0, arg_max(svs, epoch) AS s1, arg_max(velocity, epoch) AS v1, arg_min(root_ppl, epoch) AS p0, arg_max(root_ppl, epoch) AS p1, bool_and(grad_ok) AS g FROM h),
+c AS (SELECT coalesce(avg(CASE WHEN sds < 0.001 THEN 1.0::DOUBLE ELSE 0 END), 0) AS c FROM h WHERE epoch > (SELECT min(epoch) FROM h)),
+y AS (SELECT l1 < l0 * 0.85 AS loss_falls, m1 >= m0 - 0.05 AS mcs_holds, s1 >= s0 - 0.10 AS svs_holds, abs(v1) < 0.2 AS drift_small, c < 0.7 AS no_collapse, p1 < p0 * 0.95 AS perplexity_falls, g AS gradients_sound FROM x, c)
+SELECT *, CAST(loss_falls::INT + mcs_holds::INT + svs_holds::INT + drift_small::INT + no_collapse::INT + perplexity_falls::INT + gradients_sound::INT AS INT) AS passed FROM y""")
+def loop_verdict(spark, sf_dir):
+    k = F.col("l_linenumber")
+    h = table(spark, sf_dir, "lineitem").groupBy(k.alias("epoch")).agg(F.avg("l_discount").alias("svs"), F.avg("l_tax").alias("mcs"), (F.min("l_quantity") / 1000).alias("sds"), (F.min("l_quantity") > 0).alias("grad_ok"))
+    return metrics.loop_verdict(h.withColumn("loss", 1.0 / F.col("epoch") + F.col("svs")).withColumn("velocity", F.col("mcs") / 10).withColumn("root_ppl", 100.0 / F.col("epoch")))
 
 
 @query(f"""WITH d AS (SELECT source, len({TOKENS})::DOUBLE AS v FROM documents), a AS (SELECT source AS config, avg(v) AS mean, stddev_pop(v) AS std FROM d GROUP BY source), f AS (SELECT mean AS m FROM a WHERE config = 'src0')
@@ -766,6 +985,130 @@ def convergence_epoch(spark, sf_dir):
     return metrics.convergence(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
+# ---- tags, heads, ids, dictionary ------------------------------------------------------------------------------------------
+TOK2 = r"""list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.,!?;:"])', ' \1 ', 'g'), '[\s\p{Z}\x{85}]+'), lambda x: x <> '')"""
+SENT_ROWS = f"st AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sent_idx, unnest(s) AS text FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))"
+KEY = ["doc_id", "sent_idx"]
+
+
+def heads_sql(tagged: str, key: str = "doc_id, sent_idx") -> str:
+    """Heads of (key, idx, token, tag), in the table hs."""
+    at = lambda *t: f"CASE WHEN tag IN ({', '.join(lit(x) for x in t)}) THEN idx END"
+    left = lambda *t: f"last_value({at(*t)} IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    right = lambda *t: f"first_value({at(*t)} IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    whole = f"OVER (PARTITION BY {key})"
+    return f"""h0 AS (SELECT *, coalesce(min(CASE WHEN tag = 'V' AND NOT list_contains({listed(R.COPULAS)}, lower(token)) THEN idx END) {whole}, min({at('V')}) {whole}, min({at('N', 'PRON')}) {whole}, 0) AS root, count(*) {whole} AS n,
+ {left('V')} AS lv, {right('V')} AS rv, {left('N', 'PRON')} AS ln, {right('N')} AS rn, {right('P')} AS rp, {left('N')} AS lnn, {right('N', 'PRON')} AS rnp, {left('N', 'PRON', 'ADJ')} AS la FROM {tagged}),
+h1 AS (SELECT *, min(CASE WHEN tag = 'P' AND idx > root THEN idx END) {whole} AS p1 FROM h0),
+hs AS (SELECT *, CAST(CASE WHEN idx = root THEN -1 WHEN tag IN ('N', 'PRON') THEN coalesce(CASE WHEN idx < root THEN CASE WHEN rp < root THEN rp END WHEN p1 < idx THEN p1 END, root) WHEN tag = 'V' THEN root WHEN tag = 'ADJ' THEN coalesce(ln, rn, root)
+ WHEN tag = 'ADV' THEN coalesce(CASE WHEN lv IS NOT NULL AND (rv IS NULL OR idx - lv <= rv - idx) THEN lv ELSE rv END, root) WHEN tag = 'P' THEN coalesce(lv, root) WHEN tag = 'DET' THEN coalesce(CASE WHEN lower(token) IN ('ini', 'itu', 'tersebut') THEN la ELSE rnp END, root)
+ WHEN tag = 'NUM' THEN coalesce(rn, lnn, root) WHEN tag = 'CONJ' THEN CASE WHEN idx + 1 < n THEN idx + 1 ELSE root END WHEN tag = 'REL' THEN coalesce(ln, root) WHEN idx > 0 THEN idx - 1 ELSE root END AS INT) AS head FROM h1)"""
+
+
+TAGGED_SQL = f"{SENT_ROWS}, tr AS (SELECT doc_id, sent_idx, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INT) AS idx FROM (SELECT doc_id, sent_idx, {TOK2} AS t FROM st)), tg2 AS (SELECT *, {tag_sql('lower(token)')} AS tag FROM tr)"
+
+
+def _sentence_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
+    return dependency.token_rows(d, KEY)
+
+
+@query(f"WITH {TAGGED_SQL}, {heads_sql('tg2')} SELECT doc_id, sent_idx, idx, tag, head FROM hs")
+def sentence_heads(spark, sf_dir):
+    return dependency.heads(dependency.tags(_sentence_tokens(spark, sf_dir), KEY), KEY).select(*KEY, "idx", "tag", "head")
+
+
+MASK_WIDTH = 32  # the length of an encoded sequence
+
+
+@query(f"""WITH {TAGGED_SQL}, cut2 AS (SELECT * FROM tg2 WHERE idx < {MASK_WIDTH}), {heads_sql('cut2')}, up AS (SELECT doc_id, sent_idx, idx, head FROM hs WHERE head >= 0),
+mk AS (SELECT doc_id, sent_idx, idx AS i, idx AS j FROM hs UNION SELECT doc_id, sent_idx, idx, head FROM up UNION SELECT doc_id, sent_idx, head, idx FROM up UNION SELECT a.doc_id, a.sent_idx, a.idx, b.idx FROM up a JOIN up b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.head = b.head AND a.idx <> b.idx)
+SELECT doc_id, sent_idx, count(*) AS n_pairs, CAST(sum((i + 1) * 37 + (j + 1) * 101) AS BIGINT) AS places FROM mk GROUP BY doc_id, sent_idx""")
+def dependency_mask(spark, sf_dir):
+    m = dependency.mask(_sentence_tokens(spark, sf_dir), KEY, MASK_WIDTH)
+    return m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum((F.col("i") + 1) * 37 + (F.col("j") + 1) * 101).alias("places"))
+
+
+@query(f"""WITH {VOCAB_SQL}, tk2 AS (SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS idx FROM (SELECT conv_id, turn, {TOK2} AS t FROM conversations)),
+cw AS (SELECT DISTINCT trim(lower(token)) AS word FROM tk2), cc AS (SELECT word, substr(word, length(p) + 1, length(word) - length(p) - length(s)) AS root, affix, conf, ord FROM cw JOIN rules ON starts_with(word, p) AND ends_with(word, s) AND (affix = '<NONE>' OR length(word) - length(p) - length(s) >= 3)),
+cb AS (SELECT word, arg_max(root, conf * 1000 - ord) AS root, arg_max(affix, conf * 1000 - ord) AS affix, max(conf) AS conf FROM cc GROUP BY word), av AS (SELECT unnest({listed(R.AFFIXES2)}) AS affix, generate_subscripts({listed(R.AFFIXES2)}, 1) - 1 AS aid),
+en2 AS (SELECT conv_id, turn, idx, coalesce(v.id, o.id, 1) AS id, aid, cb.conf FROM tk2 JOIN cb ON cb.word = trim(lower(tk2.token)) JOIN av USING (affix) LEFT JOIN vocab v ON v.token = cb.root LEFT JOIN vocab o ON o.token = tk2.token WHERE idx < {MASK_WIDTH}),
+ag2 AS (SELECT conv_id, turn, string_agg(id, ' ' ORDER BY idx) AS ids, string_agg(aid, ' ' ORDER BY idx) AS aids, count(*) AS k, sum(conf) AS s FROM en2 GROUP BY conv_id, turn)
+SELECT conv_id, turn, ids || repeat(' 0', CAST({MASK_WIDTH} - k AS INT)) AS morpheme_ids, aids || repeat(' 0', CAST({MASK_WIDTH} - k AS INT)) AS affix_ids, round(CAST(s AS DOUBLE), 6) AS confidence FROM ag2""")
+def encoded_sequences(spark, sf_dir):
+    rows = dependency.token_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    e = dependency.encode(rows, ["conv_id", "turn"], root_vocabulary(spark, sf_dir).select("token", "id"), MASK_WIDTH)
+    return e.select("conv_id", "turn", F.array_join("morpheme_ids", " ").alias("morpheme_ids"), F.array_join("affix_ids", " ").alias("affix_ids"), F.round(F.aggregate("affix_confidences", F.lit(0.0), lambda a, x: a + x), 6).alias("confidence"))
+
+
+#: Entries of a dictionary made of documents: each distinct token is a lemma, the languages of its documents are its classes.
+CLASS_OF = {"en": "n", "fr": "v", "de": "adj", "es": "adv"}
+CLASS_SQL = "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in CLASS_OF.items()) + " END"
+DICT_SQL = f"""en3 AS (SELECT token AS lemma, {CLASS_SQL} AS pos, min(doc_id) AS seq, count(*) AS freq FROM (SELECT doc_id, lang, unnest({TOKENS}) AS token FROM documents) GROUP BY token, lang),
+di3 AS (SELECT lemma, min(seq) AS seq, arg_min(pos, seq) AS pos, count(*) AS n_entries FROM en3 GROUP BY lemma), dl3 AS (SELECT lemma, row_number() OVER (ORDER BY seq, lemma) AS id, pos, n_entries FROM di3)"""
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    from ..functions.text import chosen
+
+    t = table(spark, sf_dir, "documents").select("doc_id", chosen(F.col("lang"), CLASS_OF).alias("pos"), F.explode(tokens(F.col("text"))).alias("lemma"))
+    return t.groupBy("lemma", "pos").agg(F.min("doc_id").alias("seq"), F.count(F.lit(1)).alias("freq")).withColumn("definition", F.lit(None).cast("string"))
+
+
+@query(f"WITH {DICT_SQL} SELECT lemma, id, pos, n_entries FROM dl3 WHERE id < 20000")
+def dictionary_load(spark, sf_dir):
+    return dictionary.load(_entries(spark, sf_dir), 20_000).select("lemma", "id", "pos", "n_entries")
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    """(lemma, pos, freq, first) with the tokens' numbers as frequencies."""
+    return _entries(spark, sf_dir).select("lemma", "pos", "freq", F.col("seq").alias("first"))
+
+
+@query(f"WITH {DICT_SQL} SELECT lemma, string_agg(pos, ',' ORDER BY freq DESC, seq) AS pos_list FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY freq DESC, seq) AS k FROM en3) WHERE k <= 2 GROUP BY lemma")
+def dictionary_classes(spark, sf_dir):
+    return dictionary.top_classes(_counts(spark, sf_dir), 2).select("lemma", F.concat_ws(",", "pos_list").alias("pos_list"))
+
+
+@query(f"""WITH {DICT_SQL}, q3 AS (SELECT DISTINCT unnest({WS}) AS word FROM conversations), l3 AS (SELECT word, trim(lower(word)) AS c, CASE WHEN trim(lower(word)) = 'the' THEN 'a' ELSE trim(lower(word)) END AS f FROM q3)
+SELECT word, CASE WHEN a.id IS NOT NULL THEN f WHEN b.id IS NOT NULL THEN c END AS lemma, coalesce(a.id, b.id, 0) AS id, CASE WHEN coalesce(a.id, b.id) IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS confidence FROM l3 LEFT JOIN dl3 a ON a.lemma = f LEFT JOIN dl3 b ON b.lemma = c""")
+def dictionary_lookup(spark, sf_dir):
+    w = table(spark, sf_dir, "conversations").select(F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+"), lambda x: x != "")).alias("word"))
+    slang = spark.createDataFrame([("the", "a")], "informal string, formal string")
+    return dictionary.lookup(w, dictionary.load(_entries(spark, sf_dir)), slang, 1.0)
+
+
+@query(f"""WITH {VOCAB_SQL}, {DICT_SQL}, m3 AS (SELECT token, id AS vid FROM vocab WHERE id > 3), j3 AS (SELECT token, coalesce(l.id, 0) AS lid FROM m3 LEFT JOIN (SELECT * FROM dl3 WHERE id < 20000) l ON l.lemma = trim(lower(m3.token))),
+f3 AS (SELECT unnest({TOKENS}) AS token FROM documents), g3 AS (SELECT count(*) AS total_tokens_seen, count(*) FILTER (lid > 0) AS dictionary_hits FROM f3 LEFT JOIN j3 USING (token))
+SELECT count(*) AS vocab_size, count(*) FILTER (lid > 0) AS hits, count(*) FILTER (lid > 0)::DOUBLE / count(*) AS initial_coverage, any_value(total_tokens_seen) AS total_tokens_seen, any_value(dictionary_hits) AS dictionary_hits, any_value(dictionary_hits)::DOUBLE / any_value(total_tokens_seen) AS runtime_coverage FROM j3, g3""")
+def dictionary_coverage(spark, sf_dir):
+    m = dictionary.vocabulary_map(root_vocabulary(spark, sf_dir), dictionary.load(_entries(spark, sf_dir), 20_000))
+    return dictionary.coverage(m, vocabulary.frequencies(table(spark, sf_dir, "documents")))
+
+
+COMPAT_SQL = "CASE left(pos, 1) " + " ".join(f"WHEN {lit(k)} THEN {listed(v.split())}" for k, v in R.COMPATIBLE_POS.items() if len(k) == 1) + " ELSE [] END"
+MAPPED = "CASE {c} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in R.DICTIONARY_POS.items()) + " END"
+
+
+def _context_sql() -> str:
+    roots = " UNION ALL ".join(f"SELECT word, {i} AS o, substr(word, {len(p) + 1}) AS r, {lit(R.PREFIX_POS[p])} AS hint FROM cw3 WHERE starts_with(word, {lit(p)}) AND length(word) >= {len(p) + 3}" for i, p in enumerate(R.PREFIXES2))
+    closed = "CASE " + " ".join(f"WHEN word IN ({', '.join(lit(x) for x, t in R.FUNCTION_WORDS.items() if t == tag)}) THEN {lit(tag)}" for tag in dict.fromkeys(R.FUNCTION_WORDS.values())) + " END"
+    return f"""{DICT_SQL}, top3 AS (SELECT lemma, arg_min(pos, -freq * 100000000 + seq) AS pos, count(*) AS k FROM en3 GROUP BY lemma),
+tk3 AS (SELECT conv_id, turn, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INT) AS idx FROM (SELECT conv_id, turn, {TOK2} AS t FROM conversations)), cw3 AS (SELECT DISTINCT trim(lower(token)) AS word FROM tk3),
+pr3 AS ({roots}), ph3 AS (SELECT word, arg_min(hint, o) AS hint FROM pr3 JOIN top3 ON lemma = r GROUP BY word),
+ft3 AS (SELECT word, k, coalesce({closed}, CASE WHEN regexp_full_match(regexp_replace(word, '[.,]', '', 'g'), '[0-9]+') THEN 'NUM' END, {MAPPED.format(c='top3.pos')}, hint, CASE WHEN ends_with(word, 'an') AND length(word) > 4 THEN 'N' WHEN ends_with(word, 'kan') AND length(word) > 5 THEN 'V' WHEN ends_with(word, 'i') AND length(word) > 4 THEN 'V' ELSE 'N' END) AS t1, {closed} IS NOT NULL AS tutup3
+ FROM cw3 LEFT JOIN top3 ON lemma = word LEFT JOIN ph3 USING (word)),
+nb3 AS (SELECT tk3.*, word, k, t1, tutup3, list_filter([lag(t1, 2) OVER s, lag(t1) OVER s, lead(t1) OVER s, lead(t1, 2) OVER s], lambda x: x IS NOT NULL) AS near FROM tk3 JOIN ft3 ON word = trim(lower(token)) WINDOW s AS (PARTITION BY conv_id, turn ORDER BY idx)),
+sc3 AS (SELECT conv_id, turn, idx, arg_max(pos, (freq + 0.5 * len(list_filter(near, lambda x: list_contains({COMPAT_SQL}, x)))) * 1000 - o3) AS best FROM nb3 JOIN (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY freq DESC, seq) AS o3 FROM en3) e ON e.lemma = word WHERE k > 1 AND NOT tutup3 GROUP BY conv_id, turn, idx)
+SELECT nb3.conv_id, nb3.turn, nb3.idx, coalesce({MAPPED.format(c='best')}, t1) AS tag FROM nb3 LEFT JOIN sc3 ON sc3.conv_id = nb3.conv_id AND sc3.turn = nb3.turn AND sc3.idx = nb3.idx"""
+
+
+@query("WITH " + _context_sql())
+def context_tags(spark, sf_dir):
+    rows = dependency.token_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    return dependency.tags(rows, ["conv_id", "turn"], _counts(spark, sf_dir)).select("conv_id", "turn", "idx", "tag")
+
+
 def queries() -> dict:
     return dict(Q)
 

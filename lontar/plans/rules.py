@@ -166,35 +166,48 @@ SLOT_TO_FRAME = [
     ("ATRIBUT", "atribut entitas"),
 ]
 SLOTS = [s for s, _ in SLOT_TO_FRAME] + ["SYARAT"]
-SUPERTYPES = {t: p for p, ts in {
-    "ENTITAS": "PERSONA ORGANISASI LOKASI BENDA ABSTRAK WAKTU",
-    "PERSONA": "PROFESI_MEDIS PROFESI_HUKUM PROFESI_DIDIK PEJABAT WARGA",
-    "ORGANISASI": "INSTITUSI_HUKUM INSTITUSI_MEDIS INSTITUSI_DIDIK INSTITUSI_PEMERINTAH PERUSAHAAN",
-    "LOKASI": "LOKASI_EKONOMI LOKASI_ALAM",
-    "ABSTRAK": "HUKUM_NORMA PENYAKIT PENGETAHUAN HAK"}.items() for t in ts.split()}
-ENTITY_TYPES = {w: t for t, ws in {
-    "PROFESI_MEDIS": "dokter perawat bidan apoteker",
-    "PROFESI_HUKUM": "hakim jaksa pengacara notaris polisi penyidik",
-    "PROFESI_DIDIK": "guru dosen pengajar profesor",
-    "PEJABAT": "presiden menteri gubernur bupati direktur",
-    "WARGA": "siswa mahasiswa pasien terdakwa tersangka korban warga murid",
-    "INSTITUSI_HUKUM": "pengadilan kejaksaan kepolisian kpk mahkamah",
-    "INSTITUSI_MEDIS": "rumah_sakit puskesmas klinik apotek",
-    "INSTITUSI_DIDIK": "sekolah universitas kampus pesantren",
-    "INSTITUSI_PEMERINTAH": "pemerintah kementerian dpr",
-    "LOKASI_EKONOMI": "pasar toko bank",
-    "LOKASI_ALAM": "sungai gunung hutan pantai sawah",
-    "HUKUM_NORMA": "hukuman putusan vonis peraturan dakwaan tuntutan",
-    "PENYAKIT": "covid diabetes hipertensi kanker demam"}.items() for w in ws.split()}
-ACTION_TYPES = {w: t for t, ws in {
-    "transfer": "beri berikan jual beli serahkan kirim bayar hibah membeli menjual memberi menyerahkan mengirim membayar serah",
-    "perjalanan": "pergi berangkat pulang tiba datang menuju pindah bawa berpindah membawa",
-    "komunikasi": "bicara katakan sampaikan beritahu lapor umumkan nyatakan tulis berbicara melaporkan menyampaikan memberitahu",
-    "hukum": "jatuhkan vonis dakwa tuntut tangkap tahan bebaskan hukum putuskan adili menangkap menahan mendakwa menuntut memvonis mengadili memutuskan menjatuhkan membebaskan mengeluarkan menerbitkan mengesahkan memberlakukan mencabut mengumumkan melantik memecat meresmikan lantik pecat resmikan jatuh voniskan dakwakan tuntutkan adil bebas",
-    "medis": "periksa diagnosa obati rawat operasi bedah suntik terapi vaksinasi memeriksa mendiagnosis mengobati merawat mengoperasi menyuntik meresepkan memvaksinasi merehabilitasi diagnos obat",
-    "didik": "ajar didik latih bimbing belajar lulus mengajar mendidik melatih membimbing mempelajari",
-    "buat": "buat bangun ciptakan produksi rancang masak",
-    "rusak": "hancur rusak bakar bunuh serang"}.items() for w in ws.split()}
+SUPERTYPES = {
+    "PERSONA": "ENTITAS", "ORGANISASI": "ENTITAS", "LOKASI": "ENTITAS", "BENDA": "ENTITAS", "ABSTRAK": "ENTITAS", "WAKTU": "ENTITAS",
+    "PROFESI_MEDIS": "PERSONA", "PROFESI_HUKUM": "PERSONA", "PROFESI_DIDIK": "PERSONA", "PEJABAT": "PERSONA", "WARGA": "PERSONA",
+    "INSTITUSI_HUKUM": "ORGANISASI", "INSTITUSI_MEDIS": "ORGANISASI", "INSTITUSI_DIDIK": "ORGANISASI", "INSTITUSI_PEMERINTAH": "ORGANISASI",
+    "PERUSAHAAN": "ORGANISASI", "LOKASI_EKONOMI": "LOKASI", "LOKASI_ALAM": "LOKASI", "HUKUM_NORMA": "ABSTRAK", "PENYAKIT": "ABSTRAK",
+    "PENGETAHUAN": "ABSTRAK", "HAK": "ABSTRAK",
+}
+ENTITY_TYPES = {
+    "dokter": "PROFESI_MEDIS", "perawat": "PROFESI_MEDIS", "bidan": "PROFESI_MEDIS", "apoteker": "PROFESI_MEDIS", "hakim": "PROFESI_HUKUM",
+    "jaksa": "PROFESI_HUKUM", "pengacara": "PROFESI_HUKUM", "notaris": "PROFESI_HUKUM", "polisi": "PROFESI_HUKUM", "penyidik": "PROFESI_HUKUM",
+    "guru": "PROFESI_DIDIK", "dosen": "PROFESI_DIDIK", "pengajar": "PROFESI_DIDIK", "profesor": "PROFESI_DIDIK", "presiden": "PEJABAT",
+    "menteri": "PEJABAT", "gubernur": "PEJABAT", "bupati": "PEJABAT", "direktur": "PEJABAT", "siswa": "WARGA", "mahasiswa": "WARGA", "pasien": "WARGA",
+    "terdakwa": "WARGA", "tersangka": "WARGA", "korban": "WARGA", "warga": "WARGA", "murid": "WARGA", "pengadilan": "INSTITUSI_HUKUM",
+    "kejaksaan": "INSTITUSI_HUKUM", "kepolisian": "INSTITUSI_HUKUM", "kpk": "INSTITUSI_HUKUM", "mahkamah": "INSTITUSI_HUKUM",
+    "rumah_sakit": "INSTITUSI_MEDIS", "puskesmas": "INSTITUSI_MEDIS", "klinik": "INSTITUSI_MEDIS", "apotek": "INSTITUSI_MEDIS",
+    "sekolah": "INSTITUSI_DIDIK", "universitas": "INSTITUSI_DIDIK", "kampus": "INSTITUSI_DIDIK", "pesantren": "INSTITUSI_DIDIK",
+    "pemerintah": "INSTITUSI_PEMERINTAH", "kementerian": "INSTITUSI_PEMERINTAH", "dpr": "INSTITUSI_PEMERINTAH", "pasar": "LOKASI_EKONOMI",
+    "toko": "LOKASI_EKONOMI", "bank": "LOKASI_EKONOMI", "sungai": "LOKASI_ALAM", "gunung": "LOKASI_ALAM", "hutan": "LOKASI_ALAM", "pantai": "LOKASI_ALAM",
+    "sawah": "LOKASI_ALAM", "hukuman": "HUKUM_NORMA", "putusan": "HUKUM_NORMA", "vonis": "HUKUM_NORMA", "peraturan": "HUKUM_NORMA",
+    "dakwaan": "HUKUM_NORMA", "tuntutan": "HUKUM_NORMA", "covid": "PENYAKIT", "diabetes": "PENYAKIT", "hipertensi": "PENYAKIT", "kanker": "PENYAKIT",
+    "demam": "PENYAKIT",
+}
+ACTION_TYPES = {
+    "beri": "transfer", "berikan": "transfer", "jual": "transfer", "beli": "transfer", "serahkan": "transfer", "kirim": "transfer", "bayar": "transfer",
+    "hibah": "transfer", "membeli": "transfer", "menjual": "transfer", "memberi": "transfer", "menyerahkan": "transfer", "mengirim": "transfer",
+    "membayar": "transfer", "serah": "transfer", "pergi": "perjalanan", "berangkat": "perjalanan", "pulang": "perjalanan", "tiba": "perjalanan",
+    "datang": "perjalanan", "menuju": "perjalanan", "pindah": "perjalanan", "bawa": "perjalanan", "berpindah": "perjalanan", "membawa": "perjalanan",
+    "bicara": "komunikasi", "katakan": "komunikasi", "sampaikan": "komunikasi", "beritahu": "komunikasi", "lapor": "komunikasi", "umumkan": "komunikasi",
+    "nyatakan": "komunikasi", "tulis": "komunikasi", "berbicara": "komunikasi", "melaporkan": "komunikasi", "menyampaikan": "komunikasi",
+    "memberitahu": "komunikasi", "jatuhkan": "hukum", "vonis": "hukum", "dakwa": "hukum", "tuntut": "hukum", "tangkap": "hukum", "tahan": "hukum",
+    "bebaskan": "hukum", "hukum": "hukum", "putuskan": "hukum", "adili": "hukum", "menangkap": "hukum", "menahan": "hukum", "mendakwa": "hukum",
+    "menuntut": "hukum", "memvonis": "hukum", "mengadili": "hukum", "memutuskan": "hukum", "menjatuhkan": "hukum", "membebaskan": "hukum",
+    "mengeluarkan": "hukum", "menerbitkan": "hukum", "mengesahkan": "hukum", "memberlakukan": "hukum", "mencabut": "hukum", "mengumumkan": "hukum",
+    "melantik": "hukum", "memecat": "hukum", "meresmikan": "hukum", "lantik": "hukum", "pecat": "hukum", "resmikan": "hukum", "jatuh": "hukum",
+    "voniskan": "hukum", "dakwakan": "hukum", "tuntutkan": "hukum", "adil": "hukum", "bebas": "hukum", "periksa": "medis", "diagnosa": "medis",
+    "obati": "medis", "rawat": "medis", "operasi": "medis", "bedah": "medis", "suntik": "medis", "terapi": "medis", "vaksinasi": "medis",
+    "memeriksa": "medis", "mendiagnosis": "medis", "mengobati": "medis", "merawat": "medis", "mengoperasi": "medis", "menyuntik": "medis",
+    "meresepkan": "medis", "memvaksinasi": "medis", "merehabilitasi": "medis", "diagnos": "medis", "obat": "medis", "ajar": "didik", "didik": "didik",
+    "latih": "didik", "bimbing": "didik", "belajar": "didik", "lulus": "didik", "mengajar": "didik", "mendidik": "didik", "melatih": "didik",
+    "membimbing": "didik", "mempelajari": "didik", "buat": "buat", "bangun": "buat", "ciptakan": "buat", "produksi": "buat", "rancang": "buat",
+    "masak": "buat", "hancur": "rusak", "rusak": "rusak", "bakar": "rusak", "bunuh": "rusak", "serang": "rusak",
+}
 ACTION_PREFIXES = ("memper", "diper", "meng", "meny", "mem", "men", "me", "ber", "ter", "per", "di")
 #: name, action, agent type, patient type, conclusions, domain, priority
 WORLD_RULES = [
@@ -217,14 +230,17 @@ PREFIXES2 = "me meng mem men meny ber be ter di ke pe peng pem pen peny per se m
 SUFFIXES2 = "kan an i nya ku mu lah kah tah pun".split()
 CONFIXES2 = [("ke", "an"), ("per", "an"), ("pe", "an"), ("ber", "an"), ("se", "nya")]
 PREFIX_POS = dict.fromkeys("me meng mem men meny ber be ter di mempel memper diper".split(), "V") | dict.fromkeys("pe peng pem pen peny per ke".split(), "N") | {"se": "ADV"}
-FUNCTION_WORDS = {w: t for t, ws in {
-    "PRON": "saya aku kamu kau dia ia kami kita mereka anda",
-    "P": "di ke dari dengan untuk pada oleh tentang dalam atas bagi antara sekitar melalui",
-    "CONJ": "dan atau tetapi namun karena sehingga agar jika bahwa meskipun walaupun",
-    "REL": "yang",
-    "ADV": "sudah telah akan sedang belum tidak bukan juga hanya sangat lebih paling masih selalu lagi pun",
-    "DET": "ini itu tersebut para semua setiap beberapa suatu sebuah seorang segala",
-    "NUM": "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh seratus seribu pertama kedua ketiga"}.items() for w in ws.split()}
+FUNCTION_WORDS = {
+    "saya": "PRON", "aku": "PRON", "kamu": "PRON", "kau": "PRON", "dia": "PRON", "ia": "PRON", "kami": "PRON", "kita": "PRON", "mereka": "PRON",
+    "anda": "PRON", "di": "P", "ke": "P", "dari": "P", "dengan": "P", "untuk": "P", "pada": "P", "oleh": "P", "tentang": "P", "dalam": "P", "atas": "P",
+    "bagi": "P", "antara": "P", "sekitar": "P", "melalui": "P", "dan": "CONJ", "atau": "CONJ", "tetapi": "CONJ", "namun": "CONJ", "karena": "CONJ",
+    "sehingga": "CONJ", "agar": "CONJ", "jika": "CONJ", "bahwa": "CONJ", "meskipun": "CONJ", "walaupun": "CONJ", "yang": "REL", "sudah": "ADV",
+    "telah": "ADV", "akan": "ADV", "sedang": "ADV", "belum": "ADV", "tidak": "ADV", "bukan": "ADV", "juga": "ADV", "hanya": "ADV", "sangat": "ADV",
+    "lebih": "ADV", "paling": "ADV", "masih": "ADV", "selalu": "ADV", "lagi": "ADV", "pun": "ADV", "ini": "DET", "itu": "DET", "tersebut": "DET",
+    "para": "DET", "semua": "DET", "setiap": "DET", "beberapa": "DET", "suatu": "DET", "sebuah": "DET", "seorang": "DET", "segala": "DET", "satu": "NUM",
+    "dua": "NUM", "tiga": "NUM", "empat": "NUM", "lima": "NUM", "enam": "NUM", "tujuh": "NUM", "delapan": "NUM", "sembilan": "NUM", "sepuluh": "NUM",
+    "seratus": "NUM", "seribu": "NUM", "pertama": "NUM", "kedua": "NUM", "ketiga": "NUM",
+}
 DICTIONARY_POS = {"v": "V", "vi": "V", "vt": "V", "n": "N", "adj": "ADJ", "adv": "ADV", "p": "P", "pron": "PRON", "num": "NUM", "cak": "N", "ki": "ADJ", "ark": "N", "ref": "N", "bt": "N", "konjung": "CONJ", "konj": "CONJ"}
 SPECIALS = ["<PAD>", "<UNK>", "<BOS>", "<EOS>"]
 
@@ -261,7 +277,9 @@ OBJECTS = {
     "memasak": "nasi sayur ikan sup mie", "menggoreng": "ikan ayam tempe tahu", "merebus": "air sayur mie", "belajar": "matematika bahasa sains pelajaran", "mempelajari": "materi pelajaran buku",
     "memeriksa": "pasien kesehatan kondisi", "mengecek": "laporan kondisi pasien", "menetapkan": "kebijakan peraturan keputusan", "mengeluarkan": "kebijakan peraturan aturan",
 }
-TEMPLATES = ["{s} {v} {o}"] * 3 + ["{s} sedang {v} {o}", "{s} akan {v} {o}", "{s} sudah {v} {o}", "{s} mulai {v} {o}", "{s} ingin {v} {o}", "{v} {o}", "{v} {o} itu", "{v} {o} setiap hari"]
+#: The first form stands three times: it weighs three times as much.
+TEMPLATES = ["{subj} {verb} {obj}", "{subj} {verb} {obj}", "{subj} {verb} {obj}", "{subj} sedang {verb} {obj}", "{subj} akan {verb} {obj}", "{subj} sudah {verb} {obj}",
+             "{subj} mulai {verb} {obj}", "{subj} ingin {verb} {obj}", "{verb} {obj}", "{verb} {obj} itu", "{verb} {obj} setiap hari"]
 SUBJECTS = "saya dia mereka kami kita ibu ayah anak guru dokter murid siswa pasien pemerintah".split()
 NOISE_PREFIXES = "meng mem ber ter di ke se per".split()
 NOISE_SUFFIXES = "kan an i nya".split()
