@@ -43,7 +43,9 @@ def composed(df: DataFrame, name: str = "text", form: str = "NFC") -> DataFrame:
         return s.map(lambda x: unicodedata.normalize(form, x) if x is not None else None)
 
     normal.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    marked = F.coalesce(F.col(name).rlike(unstable(form)), F.lit(False))
+    t = F.col(name)
+    # ASCII texts need no look
+    marked = F.when(F.octet_length(t) > F.char_length(t), t.rlike(unstable(form))).otherwise(False)
     rest = df.where(~marked)
     return rest.unionByName(df.where(marked).withColumn(name, F.pandas_udf(normal, "string")(F.col(name))))
 

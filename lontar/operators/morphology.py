@@ -1,12 +1,13 @@
 """Words to morphemes: affixes, roots, classes and roles.
 
 Each distinct word is analysed once: its candidate roots are looked up in the lexicon by a join, and the decision is
-one expression. Sentences then get their words' analyses back, and roles are a fold over the sentence's array.
+one expression. Tokens then get their words' analyses back, and roles by windows over their sentence: linear in its
+length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chosen, composed, in_list, normalise, segments
@@ -152,25 +153,25 @@ def words_of(sentences: DataFrame, key: list[str]) -> DataFrame:
     return composed(sentences.select(*key, "text")).select(*key, F.posexplode(segments(normalise(F.col("text")))).alias("idx", "teks"))
 
 
-def roles(tokens):
-    """The role of each token of an array (idx, kelas, peran), by a fold from left to right."""
-    verb = F.array_min(F.transform(F.filter(tokens, lambda t: t["kelas"] == "V"), lambda t: t["idx"]))
-    start = F.struct(F.lit(False).alias("prep"), F.lit(False).alias("subj"), F.lit(False).alias("obj"), F.array().cast("array<string>").alias("out"))
+def with_roles(done: DataFrame, key: list[str]) -> DataFrame:
+    """Analysed tokens (key..., idx, kelas, peran) with their roles in the sentence.
 
-    def step(acc, t):
-        nominal = t["kelas"].isin(NOMINAL)
-        before, after = verb.isNull() | (t["idx"] < verb), t["idx"] > verb
-        open_ = (t["peran"] == "?") & ~F.coalesce(t["idx"] == verb, F.lit(False))
-        prep, behind = open_ & (t["kelas"] == "Prep"), open_ & (t["kelas"] != "Prep") & acc["prep"]
-        free = open_ & (t["kelas"] != "Prep") & ~acc["prep"]
-        subj = free & nominal & before & ~acc["subj"]
-        obj = free & nominal & F.coalesce(after, F.lit(False)) & ~acc["obj"]
-        role = (F.when(F.coalesce(t["idx"] == verb, F.lit(False)), "P").when(~open_, t["peran"]).when(behind, "K").when(subj, "S").when(obj, "O")
-                .when(free & nominal & F.coalesce(after, F.lit(False)), "Pel").when(free & (t["kelas"] == "Adj"), "Mod").otherwise("?"))
-        return F.struct(F.when(prep, True).when(behind, False).otherwise(acc["prep"]).alias("prep"), (acc["subj"] | subj).alias("subj"), (acc["obj"] | obj).alias("obj"),
-                        F.concat(acc["out"], F.array(role)).alias("out"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    The first verb is the predicate. Of the tokens without a role, the one behind a preposition is K; of the other
+    nominals the first before the verb is S, the first after it O and the rest Pel; adjectives are Mod.
+    """
+    whole = Window.partitionBy(*key)
+    d = done.withColumn("_v", F.min(F.when(F.col("kelas") == "V", F.col("idx"))).over(whole))
+    verb = F.coalesce(F.col("idx") == F.col("_v"), F.lit(False))
+    d = d.withColumn("_open", (F.col("peran") == "?") & ~verb)
+    last = F.lag("kelas").over(Window.partitionBy(*key, "_open").orderBy("idx"))
+    d = d.withColumn("_behind", F.col("_open") & (F.col("kelas") != "Prep") & F.coalesce(last == "Prep", F.lit(False)))
+    d = d.withColumn("_free", F.col("_open") & (F.col("kelas") != "Prep") & ~F.col("_behind")).withColumn("_noun", F.col("_free") & F.col("kelas").isin(NOMINAL)).withColumn("_after", F.coalesce(F.col("idx") > F.col("_v"), F.lit(False)))
+    first = F.row_number().over(Window.partitionBy(*key, "_noun", "_after").orderBy("idx")) == 1
+    d = d.withColumn("_first", first)
+    noun, after = F.col("_noun"), F.col("_after")
+    role = (F.when(verb, "P").when(~F.col("_open"), F.col("peran")).when(F.col("_behind"), "K").when(noun & ~after & F.col("_first"), "S").when(noun & after & F.col("_first"), "O")
+            .when(noun & after, "Pel").when(F.col("_free") & (F.col("kelas") == "Adj"), "Mod").otherwise("?"))
+    return d.withColumn("peran", role).drop("_v", "_open", "_behind", "_free", "_noun", "_after", "_first")
 
 
 FIELDS = ["idx", "teks", "root", "kelas", "peran", "afiks", "redup", "serapan", "proper", "ada", "domain", "pos"]
@@ -203,10 +204,9 @@ def parse(sentences: DataFrame, lexicon: DataFrame, key: tuple = ("doc_id", "sen
     """
     key = list(key)
     t = words_of(sentences, key).withColumn("lanjut", F.col("idx") > 0)
-    done = with_analyses(t, stored(analyse_words(t, lexicon)), key)
+    done = with_roles(with_analyses(t, stored(analyse_words(t, lexicon)), key), key)
     wide = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("tokens"))
     empty = F.array().cast(wide.schema["tokens"].dataType)
-    wide = wide.withColumn("tokens", F.zip_with("tokens", roles(F.col("tokens")), lambda t, r: t.withField("peran", r)))
     return sentences.select(*key, "text").join(wide, key, "left").withColumn("tokens", F.coalesce("tokens", empty))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import segments, sentences, normalise, tokens
-from ..operators import checks, corpus, dependency, dictionary, homology, lexicon, metrics, morphology, noise, semantics, training, vocabulary
+from ..operators import checks, corpus, dependency, dictionary, homology, lexicon, metrics, morphology, noise, reports, semantics, training, vocabulary
+from ..operators.storage import stored
 from ..sources import seeds
 from . import rules as R
 
@@ -45,6 +46,7 @@ TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 WS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda x: x <> '')"
 WORDS = f"list_transform({WS}, lambda x: lower(x))"
 SENTENCES = r"list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+[ \t\r]+|\n+'), lambda s: trim(s, ' ')), lambda s: s <> '')"
+SENT_ROWS = f"sents AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sent_idx, unnest(s) AS text FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))"
 URL, HTML, WIKI, NOTE = r"(https?://|www\.)[^ \t\r\n]+", r"<[^<>]+>", r"\[\[|\]\]|\{\{[^{}]*\}\}", r"\[[0-9]+\]"
 
 
@@ -627,8 +629,6 @@ PARSE = _parse_sql()
 
 
 def parsed(spark) -> DataFrame:
-    from ..operators.storage import stored
-
     return stored(morphology.parse(seeds.sentences(spark), seeds.lexicon(spark)))
 
 
@@ -785,6 +785,59 @@ def violation_spans(spark, sf_dir):
     return checks.spans(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
 
 
+@query(VIOLATIONS + " SELECT dimensi, asal, count(*) AS n, round(max(CAST(sev AS DOUBLE)), 6) AS terberat FROM vio GROUP BY dimensi, asal")
+def violations_by_dimension(spark, sf_dir):
+    a = checks.analyse(parsed(spark))
+    out = None
+    for d in R.DIMENSIONS:
+        x = reports.of_dimension(a, d).select(F.explode("pelanggaran").alias("v")).groupBy("v.dimensi", "v.asal").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v.severitas"), 6).alias("terberat"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(VIOLATIONS + """, tv AS (SELECT h.doc_id, h.sent_idx, h.idx, h.teks, count(v.tipe) AS n FROM hasil h LEFT JOIN vio v ON v.doc_id = h.doc_id AND v.sent_idx = h.sent_idx AND list_contains(string_split(v.tokens, ' '), h.root) AND v.tokens NOT IN ('antara lain', 'terdiri dari', 'terdiri atas', 'sebagai berikut') GROUP BY ALL)
+SELECT doc_id, sent_idx, idx, teks, CAST(n AS INT) AS n FROM tv""")
+def token_states(spark, sf_dir):
+    a = reports.token_states(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("keadaan").alias("k"))
+    return a.select("doc_id", "sent_idx", "k.idx", "k.teks", F.size("k.pelanggaran").alias("n"))
+
+
+@query(EDGES + """, ne4 AS (SELECT doc_id, sent_idx, count(*) AS e FROM edges GROUP BY ALL), nt4 AS (SELECT doc_id, sent_idx, count(*) AS n FROM hasil GROUP BY ALL)
+SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, CAST(coalesce(n, 0) AS INT) AS n_morfem, CAST(coalesce(e, 0) AS INT) AS n_edge, CASE WHEN n > 0 THEN 2.0::DOUBLE * coalesce(e, 0) / n ELSE 0 END AS avg_degree, CASE WHEN n > 0 THEN 3 ELSE 0 END AS n_iterasi
+FROM sent LEFT JOIN nt4 USING (doc_id, sent_idx) LEFT JOIN ne4 USING (doc_id, sent_idx)""")
+def sentence_metadata(spark, sf_dir):
+    return reports.metadata(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfem", "n_edge", "avg_degree", "n_iterasi")
+
+
+@query(CHECKS + " SELECT doc_id, sent_idx, i, j, rel, round(least(1, " + " + ".join(f"{w} * {d}" for d, w in R.WEIGHTS.items()) + "), 6) AS bobot FROM cek")
+def weighted_tensions(spark, sf_dir):
+    w = reports.weighted(checks.tensions(checks.edges(parsed(spark)))).select("doc_id", "sent_idx", F.explode("tegangan").alias("t"))
+    return w.select("doc_id", "sent_idx", "t.i", "t.j", "t.rel", F.round("t.bobot", 6).alias("bobot"))
+
+
+MORPHISMS = PARSE + """, mor AS (SELECT doc_id, sent_idx, 'identitas' AS jenis, idx AS i, idx AS j, kelas AS k1, domain AS d1, kelas AS k2, domain AS d2, TRUE AS valid FROM hasil
+ UNION ALL SELECT a.doc_id, a.sent_idx, 'modifikasi', a.idx, b.idx, a.kelas, a.domain, b.kelas, b.domain, coalesce(a.domain = b.domain, TRUE) FROM hasil a JOIN hasil b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.idx BETWEEN a.idx + 1 AND a.idx + 2 WHERE a.kelas = 'Adj' AND b.kelas IN ('N', 'N_proper', 'N_serapan')
+ UNION ALL SELECT a.doc_id, a.sent_idx, CASE WHEN a.peran = 'S' THEN 'subjek' ELSE 'objek' END, a.idx, b.idx, a.kelas, a.domain, 'klausa', NULL, TRUE FROM hasil a JOIN hasil b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.idx BETWEEN a.idx + 1 AND a.idx + 2
+  WHERE ((a.peran = 'S' AND b.peran = 'P') OR (a.peran = 'P' AND b.peran = 'O')) AND NOT (a.kelas = 'Adj' AND b.kelas IN ('N', 'N_proper', 'N_serapan')))"""
+
+
+@query(MORPHISMS + " SELECT doc_id, sent_idx, jenis, i, j, k1, d1, k2, d2, valid FROM mor")
+def sentence_morphisms(spark, sf_dir):
+    m = reports.morphisms(parsed(spark), ["doc_id", "sent_idx"])
+    return m.select("doc_id", "sent_idx", "jenis", "i", "j", F.col("dari.kelas").alias("k1"), F.col("dari.domain").alias("d1"), F.col("ke.kelas").alias("k2"), F.col("ke.domain").alias("d2"), "valid")
+
+
+@query(MORPHISMS + """ SELECT f.doc_id, f.sent_idx, f.i AS f_i, f.j AS f_j, g.i AS g_i, g.j AS g_j, f.valid AND g.valid AS valid FROM mor f JOIN mor g ON f.doc_id = g.doc_id AND f.sent_idx = g.sent_idx AND f.k2 = g.k1 AND f.d2 IS NOT DISTINCT FROM g.d1 WHERE f.jenis <> 'identitas' AND g.jenis <> 'identitas'""")
+def composed_morphisms(spark, sf_dir):
+    return reports.composed(reports.morphisms(parsed(spark), ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "f_i", "f_j", "g_i", "g_j", "valid")
+
+
+@query(PARSE + f""", tk AS (SELECT doc_id, sent_idx, idx, root, lower(root) AS kata, hasil.domain, lex.kelas FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
+gp AS (SELECT a.doc_id, a.sent_idx, a.idx AS i, b.idx AS j, CAST({_distance_case()} AS DOUBLE) AS d FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx) SELECT doc_id, sent_idx, i, j, round(1 - d / 1.5, 6) AS bobot FROM gp WHERE d <= 1.5""")
+def adjacency(spark, sf_dir):
+    return reports.adjacency(parsed(spark), ["doc_id", "sent_idx"]).withColumn("bobot", F.round("bobot", 6))
+
+
 @query(SCORE + """ SELECT doc_id, sent_idx, round(least(1, skor), 6) AS skor, round(energi, 6) AS energi, energi < 0.5 AND NOT anomali AS valid, round(lengkap, 6) AS lengkap, CASE WHEN coalesce(pj, 0) > 0.3 THEN 'mixed' ELSE 'formal' END AS register, round(puas, 6) AS kepuasan, CAST(np AS INT) AS n_pelanggaran FROM sk""")
 def sentence_scores(spark, sf_dir):
     a = checks.analyse(parsed(spark))
@@ -798,33 +851,92 @@ def topology_numbers(spark, sf_dir):
     return t.select("doc_id", "sent_idx", "betti0", "betti1", "euler", "n_sisi", "n_segitiga", F.size("terpencil").alias("n_terpencil"), "anomali", F.round("e_topologis", 6).alias("energi"))
 
 
-@query()
+def _knowledge_sql() -> str:
+    """Propositions (pr), their slots (sl), frames (fr), inferences (inf) of the parsed sentences."""
+    nominal = "('N', 'Pron', 'N_proper', 'N_serapan', 'Num')"
+    like = " OR ".join(f"(starts_with(lt, {lit(p)}) AND length(lt) > {len(p) + 3})" for p in R.VERB_PREFIXES)
+    bare = lambda c, ps: "CASE " + " ".join(f"WHEN starts_with({c}, {lit(p)}) AND length({c}) > {len(p) + 2} THEN substr({c}, {len(p) + 1})" for p in ps) + f" ELSE {c} END"
+    slot = lambda kind, idx: f"SELECT doc_id, sent_idx, {lit(kind)} AS kind, {idx} AS idx FROM pb"
+    verbal = " UNION ALL ".join([slot("AGEN", "coalesce(CASE WHEN pasif THEN o ELSE s END, kiri)") + " WHERE v IS NOT NULL", slot("PASIEN", "coalesce(CASE WHEN pasif THEN s ELSE o END, kanan)") + " WHERE v IS NOT NULL",
+                                 "SELECT doc_id, sent_idx, 'TEMA', pel FROM pb WHERE v IS NOT NULL", "SELECT doc_id, sent_idx, kind, idx FROM bh JOIN pb USING (doc_id, sent_idx) WHERE v IS NOT NULL",
+                                 "SELECT doc_id, sent_idx, 'ATRIBUT', nn[1] FROM pb WHERE v IS NULL", "SELECT doc_id, sent_idx, 'TEMA', coalesce(nn[2], adj) FROM pb WHERE v IS NULL"])
+    frames, need, fill = [], [], []
+    for i, (name, triggers, slots, domain) in enumerate(R.FRAMES):
+        frames.append((i, name, triggers, domain))
+        there, seen = [x.rstrip("*") for x in slots.split()], set()
+        need += [(i, x[:-1]) for x in slots.split() if x.endswith("*")]
+        for kind, options in R.SLOT_TO_FRAME:
+            x = next((o for o in options.split() if o in there), None)
+            if x and x not in seen:
+                seen.add(x)
+                fill.append((i, x, kind))
+    rules = [(k * 10 + t, name, act, ag, pa, says, 1.0 if ag else 0.9) for k, (name, act, ag, pa, texts, _, _) in enumerate(sorted(R.WORLD_RULES, key=lambda r: -r[6])) for t, says in enumerate(texts)]
+    below = [(k, t) for k in dict.fromkeys([*R.SUPERTYPES.values(), *R.SUPERTYPES]) for t in semantics.subtypes(k)]
+    return PARSE + ", " + values("fm", "fi, nama, pemicu, fdom", frames) + ", " + values("nd5", "fi, perlu", need) + ", " + values("fl", "fi, perlu, kind", fill) + ", " + values("wr", "urut, aturan, aksi_tipe, ag, pa, says, faktor", rules) + ", " + values("sb5", "atas, tipe", below) + ", " + \
+        values("ps5", "prep, kind", R.PREPOSITION_SLOTS.items()) + ", " + values("md5x", "kata, modal", R.MODALS.items()) + ", " + values("et", "kata, tipe", R.ENTITY_TYPES.items()) + ", " + values("at5", "kata, tipe", R.ACTION_TYPES.items()) + ", " + values("so", "kind, ord", [(x, i) for i, x in enumerate(R.SLOTS)]) + f""",
+kn AS (SELECT *, lower(teks) AS lt, lower(root) AS lr, kelas IN {nominal} AS nomi, list_contains({listed(R.NEGATIONS)}, lower(root)) AS neg FROM hasil),
+vc AS (SELECT *, (kelas IN ('V', 'V_serapan') OR (kelas = '?' AND ({like}))) AND NOT list_contains({listed(R.MODALS)}, lr) AS cv FROM kn),
+pa5 AS (SELECT doc_id, sent_idx, coalesce(min(idx) FILTER (cv AND peran = 'P'), min(idx) FILTER (cv)) AS v, min(idx) FILTER (peran = 'S') AS s, min(idx) FILTER (peran = 'O') AS o, min(idx) FILTER (peran = 'Pel') AS pel, bool_or(neg) AS negasi, list(idx ORDER BY idx) FILTER (nomi) AS nn, min(idx) FILTER (kelas = 'Adj') AS adj,
+ arg_max(modal, idx) FILTER (modal IS NOT NULL) AS modalitas FROM vc LEFT JOIN md5x ON md5x.kata = lr GROUP BY doc_id, sent_idx),
+pb AS (SELECT pa5.*, k.lr AS vroot, k.domain AS vdom, starts_with(k.lr, 'di') OR len(list_filter(string_split(k.afiks, ','), lambda x: starts_with(x, 'di'))) > 0 AS pasif,
+ (SELECT max(idx) FROM kn l WHERE l.doc_id = pa5.doc_id AND l.sent_idx = pa5.sent_idx AND l.nomi AND l.idx < v) AS kiri, (SELECT min(idx) FROM kn r WHERE r.doc_id = pa5.doc_id AND r.sent_idx = pa5.sent_idx AND r.nomi AND NOT r.neg AND r.idx > v) AS kanan
+ FROM pa5 LEFT JOIN kn k ON k.doc_id = pa5.doc_id AND k.sent_idx = pa5.sent_idx AND k.idx = v WHERE v IS NOT NULL OR len(nn) > 0),
+bh AS (SELECT a.doc_id, a.sent_idx, kind, arg_min(b.idx, a.idx) AS idx FROM kn a JOIN ps5 ON prep = a.lr JOIN kn b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.idx = a.idx + 1 WHERE a.kelas = 'Prep' AND b.nomi GROUP BY a.doc_id, a.sent_idx, kind),
+sl AS (SELECT x.doc_id, x.sent_idx, x.kind, ord, k.teks, k.lr, k.domain FROM ({verbal}) x JOIN so USING (kind) JOIN kn k ON k.doc_id = x.doc_id AND k.sent_idx = x.sent_idx AND k.idx = x.idx),
+sg AS (SELECT doc_id, sent_idx, string_agg(lower(kind) || '=' || teks, ', ' ORDER BY ord) AS isi, list(kind) AS kinds, max(CASE WHEN kind = 'AGEN' THEN teks END) AS agen, max(CASE WHEN kind = 'AGEN' THEN lr END) AS agen_r, max(CASE WHEN kind = 'PASIEN' THEN teks END) AS pasien, max(CASE WHEN kind = 'PASIEN' THEN lr END) AS pasien_r, max(CASE WHEN kind = 'PENERIMA' THEN lr END) AS penerima_r FROM sl GROUP BY ALL),
+pr AS (SELECT pb.doc_id, pb.sent_idx, CASE WHEN v IS NOT NULL THEN vroot ELSE 'adalah' END AS aksi, CASE WHEN v IS NOT NULL THEN vdom ELSE 'deskriptif' END AS pdom, NOT negasi AS polaritas, modalitas, coalesce(isi, '') AS isi, coalesce(kinds, []) AS kinds, agen, agen_r, pasien, pasien_r, penerima_r,
+ 0.25::DOUBLE + CASE WHEN list_contains(kinds, 'AGEN') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN list_has_any(kinds, ['PASIEN', 'TEMA']) THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN list_has_any(kinds, ['LOKASI', 'WAKTU', 'TUJUAN', 'CARA', 'SEBAB']) THEN 0.25::DOUBLE ELSE 0 END AS kelengkapan FROM pb LEFT JOIN sg USING (doc_id, sent_idx)),
+pc AS (SELECT *, {bare('aksi', R.FRAME_PREFIXES)} AS b FROM pr),
+fc AS (SELECT doc_id, sent_idx, fi, nama, len(list_filter(string_split(pemicu, ' '), lambda w: aksi = w OR b = w OR (ends_with(aksi, w) AND length(aksi) > length(w)) OR (ends_with(b, w) AND length(b) > length(w)))) > 0 AS cocok, coalesce(pdom = fdom, FALSE) AS sama, kinds FROM pc, fm),
+fk AS (SELECT fc.doc_id, fc.sent_idx, fc.fi, nama, cocok, sama, count(*) AS butuh, count(*) FILTER (kind IS NOT NULL AND list_contains(kinds, kind)) AS ada, coalesce(string_agg(CASE WHEN kind IS NULL OR NOT list_contains(kinds, kind) THEN nd5.perlu END, ',' ORDER BY nd5.perlu), '') AS kosong FROM fc JOIN nd5 USING (fi) LEFT JOIN fl ON fl.fi = nd5.fi AND fl.perlu = nd5.perlu GROUP BY ALL),
+fs5 AS (SELECT *, ada::DOUBLE / butuh AS cakupan, least(1, 0.6::DOUBLE * cocok::INT + 0.4::DOUBLE * (ada::DOUBLE / butuh) + 0.1::DOUBLE * sama::INT) AS skor FROM fk),
+fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY skor DESC, cocok DESC, fi) - 1 AS urutan FROM fs5 WHERE skor >= 0.25 QUALIFY urutan < 3),
+ty AS (SELECT pr.*, CASE WHEN agen IS NOT NULL THEN coalesce(a.tipe, CASE WHEN regexp_matches(agen, '^\\p{{Lu}}') THEN 'PERSONA' END, 'ENTITAS') END AS ta, CASE WHEN pasien IS NOT NULL THEN coalesce(p.tipe, CASE WHEN regexp_matches(pasien, '^\\p{{Lu}}') THEN 'PERSONA' END, 'ENTITAS') END AS tp,
+ coalesce(x.tipe, y.tipe) AS tx FROM pr LEFT JOIN et a ON a.kata = lower(agen) LEFT JOIN et p ON p.kata = lower(pasien) LEFT JOIN at5 x ON x.kata = lower(aksi) LEFT JOIN at5 y ON y.kata = {bare('lower(aksi)', R.ACTION_PREFIXES)}),
+iw5 AS (SELECT ty.*, urut, aturan, faktor, replace(replace(replace(says, 'agen', coalesce(agen_r, 'agen_tidak_diketahui')), 'pasien', coalesce(pasien_r, 'pasien_tidak_diketahui')), 'penerima', coalesce(penerima_r, pasien_r, 'penerima_tidak_diketahui')) AS pernyataan FROM ty JOIN wr ON aksi_tipe = tx
+ WHERE polaritas AND (ag IS NULL OR EXISTS (SELECT 1 FROM sb5 WHERE atas = ag AND tipe = ta)) AND (pa IS NULL OR EXISTS (SELECT 1 FROM sb5 WHERE atas = pa AND tipe = tp))),
+ix5 AS (SELECT *, split_part(pernyataan, ' ', 1) AS subjek, split_part(pernyataan, ' ', 2) AS relasi, array_to_string(list_slice(string_split(pernyataan, ' '), 3, 99), ' ') AS objek FROM iw5 WHERE len(string_split(pernyataan, ' ')) >= 3),
+inf AS (SELECT doc_id, sent_idx, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY urut) - 1 AS urutan, pernyataan, subjek, relasi, objek, round(kelengkapan * faktor, 3) AS keyakinan, aturan FROM ix5 WHERE NOT contains(subjek, 'tidak_diketahui') AND NOT contains(objek, 'tidak_diketahui'))"""
+
+
+KNOWLEDGE = _knowledge_sql()
+
+
+@query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CASE WHEN modalitas IS NOT NULL THEN '[' || modalitas || '] ' ELSE '' END || CASE WHEN polaritas THEN '' ELSE 'TIDAK_' END || upper(aksi) || '(' || isi || ')' AS teks, polaritas, modalitas, kelengkapan FROM pr""")
 def propositions(spark, sf_dir):
     return semantics.proposition(parsed(spark)).where("prop IS NOT NULL").select("doc_id", "sent_idx", semantics.rendered(F.col("prop")).alias("teks"), "prop.polaritas", "prop.modalitas", "prop.kelengkapan")
 
 
-@query()
+@query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CAST(urutan AS INT) AS urutan, nama, round(skor, 6) AS skor, cocok AS pemicu, kosong FROM fr""")
 def frame_match(spark, sf_dir):
     f = semantics.frames(semantics.proposition(parsed(spark))).select("doc_id", "sent_idx", F.posexplode("frames").alias("urutan", "f"))
     return f.select("doc_id", "sent_idx", "urutan", "f.nama", F.round("f.skor", 6).alias("skor"), "f.pemicu", F.concat_ws(",", "f.kosong").alias("kosong"))
 
 
-@query()
+@query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CAST(urutan AS INT) AS urutan, pernyataan, relasi, CAST(keyakinan AS DOUBLE) AS keyakinan, aturan FROM inf""")
 def inference_chain(spark, sf_dir):
     i = semantics.inferences(semantics.proposition(parsed(spark))).select("doc_id", "sent_idx", F.posexplode("inferensi").alias("urutan", "x"))
     return i.select("doc_id", "sent_idx", "urutan", "x.pernyataan", "x.relasi", "x.keyakinan", "x.aturan")
 
 
-@query()
+@query(KNOWLEDGE + """ SELECT doc_id, sent_idx, subjek, objek FROM inf WHERE relasi = 'MEMILIKI' """)
 def ask_relation(spark, sf_dir):
     return semantics.ask(semantics.inferences(semantics.proposition(parsed(spark))), "MEMILIKI").select("doc_id", "sent_idx", "subjek", "objek")
 
 
-@query()
+@query(KNOWLEDGE + """, un AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, aksi, kelengkapan, cakupan, nama, (SELECT count(*) FROM inf WHERE inf.doc_id = sent.doc_id AND inf.sent_idx = sent.sent_idx) AS k FROM sent LEFT JOIN pr ON pr.doc_id = sent.doc_id AND pr.sent_idx = sent.sent_idx LEFT JOIN fr ON fr.doc_id = sent.doc_id AND fr.sent_idx = sent.sent_idx AND urutan = 0)
+SELECT doc_id, sent_idx, round(least(1, CASE WHEN aksi IS NOT NULL THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN kelengkapan >= 0.75 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN nama IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN cakupan >= 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN k > 0 THEN 0.15::DOUBLE ELSE 0 END), 6) AS pemahaman FROM un""")
 def understanding_scores(spark, sf_dir):
     return semantics.understand(parsed(spark)).select("doc_id", "sent_idx", F.round("pemahaman", 6).alias("pemahaman"))
 
 
+@query(KNOWLEDGE + """ SELECT pr.doc_id, pr.sent_idx, fr.nama AS frame_nama, round(coalesce(fr.skor, 0), 6) AS frame_skor, agen, aksi, pasien, coalesce(kosong, '') AS slot_kosong, CAST((SELECT count(*) FROM inf WHERE inf.doc_id = pr.doc_id AND inf.sent_idx = pr.sent_idx) AS INT) AS n_inferensi
+ FROM pr LEFT JOIN fr ON fr.doc_id = pr.doc_id AND fr.sent_idx = pr.sent_idx AND urutan = 0""")
+def knowledge_parts(spark, sf_dir):
+    k = reports.knowledge(stored(semantics.understand(parsed(spark)))).where("aksi IS NOT NULL")
+    return k.select("doc_id", "sent_idx", "frame_nama", F.round("frame_skor", 6).alias("frame_skor"), "agen", "aksi", "pasien", F.concat_ws(",", "slot_kosong").alias("slot_kosong"), "n_inferensi")
+
+
 @query()
 def anaphora(spark, sf_dir):
     return semantics.references(semantics.understand(parsed(spark)))
@@ -865,7 +977,14 @@ def preset_scores(spark, sf_dir):
     return out
 
 
-@query()
+def _documents_sql() -> str:
+    """The tables of SCORE over the sentences of documents in place of the seeds."""
+    text = r"trim(regexp_replace(translate(text, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '[\s\p{Z}]+', ' ', 'g'))"
+    return SCORE.replace(values("sent", "doc_id, sent_idx, text, kategori", _seed_rows()), f"{SENT_ROWS}, sent AS (SELECT doc_id, sent_idx, {text} AS text, '' AS kategori FROM sents)", 1)
+
+
+@query(_documents_sql() + """, dn AS (SELECT doc_id, count(*) AS n_sentences FROM sent GROUP BY doc_id), dt AS (SELECT doc_id, count(*) AS n FROM hasil GROUP BY doc_id), de AS (SELECT doc_id, count(*) AS e FROM edges GROUP BY doc_id), dox AS (SELECT doc_id, count(*) AS o FROM ur GROUP BY doc_id)
+SELECT doc_id, n_sentences, coalesce(n, 0) AS n_tokens, coalesce(e, 0) AS n_edges, coalesce(o, 0) AS n_order FROM dn LEFT JOIN dt USING (doc_id) LEFT JOIN de USING (doc_id) LEFT JOIN dox USING (doc_id)""")
 def document_scores(spark, sf_dir):
     """Words, dependency edges and word-order violations of the sentences of documents, summed by document: not the whole analysis."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
@@ -883,6 +1002,13 @@ def barcodes(spark, sf_dir):
     return b.select("doc_id", "sent_idx", F.round("b.death", 6).alias("death"), "b.root")
 
 
+@query("WITH b5 AS (" + SQL["barcodes"] + """), s5 AS (SELECT doc_id, sent_idx, count(*) AS n_batang, count(*) FILTER (death = 'inf'::DOUBLE) AS n_abadi, coalesce(max(death) FILTER (death < 'inf'::DOUBLE), 0) AS terlama, coalesce(avg(death) FILTER (death < 'inf'::DOUBLE), 0) AS rata_rata FROM b5 GROUP BY ALL)
+SELECT doc_id, sent_idx, CAST(n_batang AS INT) AS n_batang, CAST(n_abadi AS INT) AS n_abadi, round(terlama, 6) AS terlama, round(rata_rata, 6) AS rata_rata FROM s5""")
+def barcode_summary(spark, sf_dir):
+    b = reports.barcode_summary(homology.barcode(parsed(spark))).where("n_batang > 0")
+    return b.select("doc_id", "sent_idx", "n_batang", "n_abadi", F.round("terlama", 6).alias("terlama"), F.round("rata_rata", 6).alias("rata_rata"))
+
+
 @query()
 def fuzzy_lookup(spark, sf_dir):
     w = morphology.words_of(seeds.sentences(spark), ["doc_id", "sent_idx"]).select(F.col("teks").alias("word"))
@@ -987,7 +1113,6 @@ def convergence_epoch(spark, sf_dir):
 
 # ---- tags, heads, ids, dictionary ------------------------------------------------------------------------------------------
 TOK2 = r"""list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.,!?;:"])', ' \1 ', 'g'), '[\s\p{Z}\x{85}]+'), lambda x: x <> '')"""
-SENT_ROWS = f"st AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sent_idx, unnest(s) AS text FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))"
 KEY = ["doc_id", "sent_idx"]
 
 
@@ -1005,7 +1130,7 @@ hs AS (SELECT *, CAST(CASE WHEN idx = root THEN -1 WHEN tag IN ('N', 'PRON') THE
  WHEN tag = 'NUM' THEN coalesce(rn, lnn, root) WHEN tag = 'CONJ' THEN CASE WHEN idx + 1 < n THEN idx + 1 ELSE root END WHEN tag = 'REL' THEN coalesce(ln, root) WHEN idx > 0 THEN idx - 1 ELSE root END AS INT) AS head FROM h1)"""
 
 
-TAGGED_SQL = f"{SENT_ROWS}, tr AS (SELECT doc_id, sent_idx, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INT) AS idx FROM (SELECT doc_id, sent_idx, {TOK2} AS t FROM st)), tg2 AS (SELECT *, {tag_sql('lower(token)')} AS tag FROM tr)"
+TAGGED_SQL = f"{SENT_ROWS}, tr AS (SELECT doc_id, sent_idx, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INT) AS idx FROM (SELECT doc_id, sent_idx, {TOK2} AS t FROM sents)), tg2 AS (SELECT *, {tag_sql('lower(token)')} AS tag FROM tr)"
 
 
 def _sentence_tokens(spark, sf_dir):
