@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lontar.operators import checks, homology, morphology
+from lontar.operators import checks, homology, morphology, noise
 from lontar.sources import seeds
 
 
@@ -37,12 +37,20 @@ def test_fuzzy_compares_with_the_whole_lexicon(spark):
     assert {x.word: round(x.ratio, 2) for x in one.collect()} == {"nakan": 0.8, "akan": 0.89, "emakan": 0.91}
 
 
-def test_fuzzy_and_noise(spark):
+def test_fuzzy(spark):
     w = spark.createDataFrame([("berass",), ("beras",), ("zzz",)], "word string")
     assert [(r.word, r.kata) for r in homology.fuzzy(w, seeds.lexicon(spark)).collect()] == [("berass", "beras")]
-    d = spark.createDataFrame([(1, "satu dua tiga empat lima enam tujuh"), (2, None)], "doc_id long, text string")
-    for kind in ("typo", "affix", "chaos"):
-        a = [r.text for r in homology.noise(d, kind, 0.9).orderBy("doc_id").collect()]
-        assert a == [r.text for r in homology.noise(d.repartition(3), kind, 0.9).orderBy("doc_id").collect()] and a[1] == "" and a[0] != "satu dua tiga empat lima enam tujuh"
-    c = homology.noise(d, "chaos", 1.0).select(F.array_sort(F.split("text", " ")).alias("w")).first().w
-    assert sorted("satu dua tiga empat lima enam tujuh".split()) == c
+
+
+def test_noise(spark):
+    text = "satu dua tiga empat lima enam tujuh"
+    d = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, "a  b")], "doc_id long, text string")
+    key = lambda rows: sorted((str(r.doc_id), r.text) for r in rows)
+    for kind in noise.KINDS:
+        a = key(noise.noise(d, kind, 0.9).collect())
+        assert a == key(noise.noise(d.repartition(3), kind, 0.9).collect())
+        assert dict(a)["2"] == dict(a)["3"] == "" and dict(a)["1"] != text
+    c = noise.noise(spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string"), "chaos", 0.5).collect()
+    assert all(set(r.text.split()) <= set(text.split()) for r in c) and len({r.text for r in c}) > 30
+    still = {r.text for r in noise.noise(d.where("doc_id = 1"), "typo", 0.0).collect()}
+    assert still == {text}
