@@ -7,6 +7,8 @@ hashes agree on all workers and in all runs.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,14 +25,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_KEPT: dict = {}
-
-
 def kept(name: str, make):
-    """A value that a worker process makes once."""
-    if name not in _KEPT:
-        _KEPT[name] = make()
-    return _KEPT[name]
+    """A value that a worker process makes once.
+
+    A worker forgets the modules it has imported when a task ends, and with them all that they hold; what is to outlast a
+    task is kept by the interpreter's own module.
+    """
+    store = sys.__dict__.setdefault("_lontar_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
 
 
 def _tables():
