@@ -320,15 +320,6 @@ oth AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY md5('42:' || coal
 p1 AS (SELECT doc_id, lang, text FROM act WHERE aksi UNION ALL SELECT doc_id, lang, text FROM oth WHERE k <= (SELECT floor(count(*) FILTER (aksi) * 0.15::DOUBLE / 0.85::DOUBLE) FROM act))"""
 
 
-def _more_actions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-
-
-@query(f"WITH {ACTIONS_SQL} SELECT doc_id, lang FROM p1")
-def action_filter(spark, sf_dir):
-    return training.filter_actions(_more_actions(spark, sf_dir)).select("doc_id", "lang")
-
-
 def drawn_sql(name: str, i: str, n: str, seed: int = 42) -> str:
     return f"(('0x' || substr(md5('{seed}:{name}:' || {i}), 1, 8))::BIGINT % {n})"
 
@@ -342,6 +333,16 @@ RELATIONS_SQL = ("vopair AS (SELECT " + listed([f"{v} {o}" for v, os in training
                  + "rl AS (SELECT i AS id, replace(replace(replace(t, '{subj}', s), '{verb}', split_part(p, ' ', 1)), '{obj}', split_part(p, ' ', 2)) AS text FROM rl0)")
 
 
+ALL_SQL = "semua AS (SELECT doc_id, lang, text FROM documents UNION ALL SELECT -id, 'id', text FROM rl WHERE id <= 600)"
+
+
+@query(f"WITH {RELATIONS_SQL}, {ALL_SQL}, {ACTIONS_SQL.replace('FROM documents', 'FROM semua')} SELECT doc_id, lang FROM p1")
+def action_filter(spark, sf_dir):
+    """Documents have no action words, so 600 sentences with some stand among them, with negative ids."""
+    made = training.relations(spark).where("id <= 600").select((-F.col("id")).alias("doc_id"), F.lit("id").alias("lang"), "text")
+    return training.filter_actions(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").unionByName(made)).select("doc_id", "lang")
+
+
 @query(f"WITH {RELATIONS_SQL} SELECT id, text FROM rl")
 def relation_samples(spark, sf_dir):
     return training.relations(spark)
