@@ -220,40 +220,98 @@ def _clash(verb, noun, incompatible: dict):
     return F.coalesce(out, F.lit(False))
 
 
+LAW = ("hukum", "pendidikan")
+
+
+def _choose2(k):
+    return (k * (k - 1) / 2).cast("long")
+
+
+def _choose3(k):
+    return (k * (k - 1) * (k - 2) / 6).cast("long")
+
+
+def _total(rows, count):
+    return F.aggregate(F.transform(rows, count), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def _roots(df: DataFrame) -> DataFrame:
+    """Adds _k: (first, root, last, domain, group, twice, thrice) of the distinct roots, in order: places of the first and the last, whether it stands twice, three times."""
+    df = held(df, "_s", F.array_sort(F.transform("tokens", lambda x: F.struct(x["root"].alias("root"), x["idx"].alias("idx"), x["domain"].alias("domain")))))
+    s = F.col("_s")
+    same = lambda x, i: F.coalesce(F.get(s, i)["root"] == x["root"], F.lit(False))
+    group = lambda x: F.coalesce(chosen(x["domain"], R.DOMAIN_GROUPS), x["domain"])
+    runs = F.transform(s, lambda x, i: F.struct(x["idx"].alias("first"), x["root"].alias("root"), ((i > 0) & same(x, i - 1)).alias("again"), x["domain"].alias("domain"), group(x).alias("group"), same(x, i + 1).alias("twice"), same(x, i + 2).alias("thrice")))
+    starts = F.filter(runs, lambda x: ~x["again"])
+    last = F.transform(F.filter(runs, lambda x: ~x["twice"]), lambda x: x["first"])
+    return held(df, "_k", F.array_sort(F.zip_with(starts, last, lambda x, y: F.struct(x["first"].alias("first"), x["root"].alias("root"), y.alias("last"), x["domain"].alias("domain"), x["group"].alias("group"), x["twice"].alias("twice"), x["thrice"].alias("thrice"))))).drop("_s")
+
+
+def _law(k):
+    return F.filter(k, lambda x: F.coalesce(x["domain"].isin(*LAW), F.lit(False)))
+
+
+def _trade(k):
+    return F.filter(k, lambda x: F.coalesce(x["domain"] == "ekonomi", F.lit(False)))
+
+
+def _before(trade, b):
+    """How many of `trade` stand somewhere before b."""
+    return F.size(F.filter(trade, lambda a: a["first"] < b["last"])).cast("long")
+
+
+def _behind(law, a):
+    return F.size(F.filter(law, lambda b: a["first"] < b["last"])).cast("long")
+
+
+def _joined(df: DataFrame, name: str, roots: str) -> DataFrame:
+    """Adds (cross, known, all): joined pairs of roots between ekonomi and law, of roots with domains, of all roots."""
+    k = F.col(roots)
+    df = held(held(held(df, "_law", _law(k)), "_trade", _trade(k)), "_bound", F.filter(k, lambda x: x["domain"].isNotNull()))
+    groups = F.array_distinct(F.transform("_bound", lambda x: x["group"]))
+    cross = _total("_law", lambda b: _before("_trade", b))
+    inside = _total(groups, lambda g: _choose2(F.size(F.filter("_bound", lambda x: x["group"] == g)).cast("long")))
+    df = held(df, name, F.struct(cross.alias("cross"), inside.alias("inside")))
+    known = F.col(name)["inside"] + F.col(name)["cross"]
+    whole = _choose2(F.size(k).cast("long")) - _choose2(F.size("_bound").cast("long")) + known
+    return held(df, name, F.struct(F.col(name)["cross"].alias("cross"), known.alias("known"), whole.alias("all"))).drop("_law", "_trade", "_bound")
+
+
 def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     """Adds n_sisi, n_segitiga, betti0, betti1, euler, terpencil, anomali, e_topologis and topologi (violations).
 
     A sentence's roots are points, joined if their distance is within the threshold. For thresholds from 1.5 to 2.3,
     as all presets have, a root without a domain joins all, so components are those of the sentence's domains; beyond
-    that range use topology_any.
+    that range use topology_any. Likewise two roots with domains are joined if their domains are of one group, or one is
+    of ekonomi and stands somewhere before the other, of hukum or pendidikan. So edges and triangles are counted from
+    how many roots each group has; pairs are not formed, and the work grows with the sentence's length.
     """
     config = config or Config()
     thr = float(config.threshold)
     if not 1.5 <= thr < 2.3:
         raise ValueError("topology: thresholds from 1.5 up to 2.3; see topology_any")
     t, n = F.col("tokens"), F.col("n")
-    df = df.withColumn("_pairs", F.transform(_pairs(n, None), lambda p: F.struct(F.get(t, p["i"]).alias("a"), F.get(t, p["j"]).alias("b"))))
-    near = F.filter("_pairs", lambda p: _gap(p["a"], p["b"]) <= thr)
-    df = held(df, "_sisi", F.array_distinct(F.transform(near, lambda p: F.array_sort(F.array_distinct(F.array(p["a"]["root"], p["b"]["root"])))))).drop("_pairs")
-    roots = F.array_distinct(F.transform(t, lambda x: x["root"]))
-    joined = F.array_distinct(F.flatten("_sisi"))
-    lonely = F.array_except(roots, joined)
-    dom = F.array_distinct(F.transform(F.filter(t, lambda x: x["domain"].isNotNull()), lambda x: F.coalesce(chosen(x["domain"], R.DOMAIN_GROUPS), x["domain"])))
-    open_ = F.exists(t, lambda x: x["domain"].isNull())
-    eco = _first(t, lambda x: x["domain"] == "ekonomi")
-    linked = F.exists(t, lambda x: x["domain"].isin("hukum", "pendidikan") & (x["idx"] > eco))
-    parts = F.size(dom) - F.when(F.coalesce(linked, F.lit(False)), 1).otherwise(0)
-    b0 = F.when(n == 0, 0).when((n == 1) | open_, 1).otherwise(parts)
-    has = lambda a, b: F.array_contains("_sisi", F.array_sort(F.array_distinct(F.array(a, b))))
-    df = df.withColumn("_r", roots)
-    tri = F.flatten(F.transform("_sisi", lambda e: F.transform(F.filter("_r", lambda c: (c > F.element_at(e, -1)) & has(F.element_at(e, 1), c) & has(F.element_at(e, -1), c) & (F.size(e) == 2)), lambda c: F.concat(e, F.array(c)))))
+    df = _roots(df)
+    k = F.col("_k")
+    known = F.filter(k, lambda x: x["domain"].isNotNull())
+    df = held(df, "_a", F.filter(k, lambda x: ~x["twice"]))
+    df = held(held(_joined(_joined(df, "_e", "_k"), "_e1", "_a"), "_law", _law(k)), "_trade", _trade(k))
+    groups = F.transform(F.array_distinct(F.transform(known, lambda x: x["group"])), lambda g: F.struct(g.alias("g"), F.size(F.filter(k, lambda x: x["group"] == g)).cast("long").alias("k")))
+    df = held(df, "_g", groups)
+    free, bound = F.size(F.filter(k, lambda x: x["domain"].isNull())).cast("long"), F.size(known).cast("long")
+    law, trade = "_law", "_trade"
+    inside = _total("_g", lambda x: _choose3(x["k"])) + _total(law, lambda b: _choose2(_before(trade, b))) + _total(trade, lambda a: _choose2(_behind(law, a)))
+    triangles = _choose3(free) + _choose2(free) * bound + free * F.col("_e.known") + inside
     # three tokens of which two or all share a root give sets of two or one
-    times = lambda r: F.size(F.filter(t, lambda x: x["root"] == r))
-    twice = F.size(F.filter("_sisi", lambda e: (F.size(e) == 2) & F.exists(e, lambda r: times(r) >= 2)))
-    thrice = F.size(F.filter("_r", lambda r: times(r) >= 3))
-    df = held(df.withColumn("n_sisi", F.size("_sisi")).withColumn("n_segitiga", F.size(F.array_distinct(tri)) + twice + thrice), "betti0", b0.cast("int"))
+    twice, thrice = F.col("_e.all") - F.col("_e1.all"), F.size(F.filter(k, lambda x: x["thrice"]))
+    single = lambda x: F.exists("_g", lambda y: (y["g"] == x["group"]) & (y["k"] == 1))
+    lonely = F.filter(k, lambda x: ~x["twice"] & single(x) & ~(F.coalesce(x["domain"] == "ekonomi", F.lit(False)) & (_behind(law, x) > 0)) & ~(F.coalesce(x["domain"].isin(*LAW), F.lit(False)) & (_before(trade, x) > 0)))
+    b0 = F.when(n == 0, 0).when((n == 1) | (free > 0), 1).otherwise(F.size("_g") - F.when(F.col("_e.cross") > 0, 1).otherwise(0))
+    df = held(df, "n_sisi", F.col("_e.all") + F.size(F.filter(k, lambda x: x["twice"])))
+    df = held(df.withColumn("n_segitiga", triangles + twice + thrice).withColumn("_lonely", F.when(free > 0, _none("string")).otherwise(F.transform(lonely, lambda x: x["root"]))), "betti0", b0.cast("int"))
+    df = df.withColumn("_r", F.transform(k, lambda x: x["root"]))
     df = df.withColumn("betti1", F.greatest(F.lit(0), F.col("n_sisi") - n + F.col("betti0"))).withColumn("euler", n - F.col("n_sisi") + F.col("n_segitiga"))
-    df = df.withColumn("terpencil", F.when(n >= 2, lonely).otherwise(_none("string")))
+    df = df.withColumn("terpencil", F.when(n >= 2, F.col("_lonely")).otherwise(_none("string")))
     trivial = n <= 1
     excess = F.when(trivial, 0).otherwise(F.greatest(F.lit(0), F.col("betti1") - F.greatest(F.lit(0), F.col("n_sisi") - n)))
     df = held(df.withColumn("betti1", F.when(trivial, 0).otherwise(F.col("betti1"))), "_x", excess)
@@ -262,7 +320,7 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     v = lambda words, sev: F.struct(F.lit("topologis").alias("tipe"), words.alias("tokens"), F.lit("topologis").alias("dimensi"), F.lit(sev).alias("severitas"), F.lit("topologi").alias("asal"))
     apart = F.when(~trivial & (F.col("betti0") > 1), F.array(v(F.slice("_r", 1, 4), 0.8))).otherwise(_none(VIOLATION))
     cycle = F.when(F.col("_x") > 0, F.array(v(F.transform(F.slice(t, 1, 3), lambda x: x["root"]), 0.5))).otherwise(_none(VIOLATION))
-    return held(df, "topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_sisi", "_r", "_x")
+    return held(df, "topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_k", "_a", "_law", "_trade", "_e", "_e1", "_g", "_lonely", "_r", "_x")
 
 
 def score(df: DataFrame) -> DataFrame:

@@ -845,7 +845,7 @@ def sentence_scores(spark, sf_dir):
     return a.select("doc_id", "sent_idx", F.round("skor", 6).alias("skor"), F.round("energi", 6).alias("energi"), "valid", F.round("lengkap", 6).alias("lengkap"), "register", F.round("rata_kepuasan", 6).alias("kepuasan"), F.size("pelanggaran").alias("n_pelanggaran"))
 
 
-@query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS INT) AS betti1, CAST(n - e + f AS INT) AS euler, CAST(e AS INT) AS n_sisi, CAST(f AS INT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
+@query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS BIGINT) AS betti1, CAST(n - e + f AS BIGINT) AS euler, CAST(e AS BIGINT) AS n_sisi, CAST(f AS BIGINT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
  n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, round(ex * 0.2::DOUBLE + i * 0.3::DOUBLE, 6) AS energi FROM xc""")
 def topology_numbers(spark, sf_dir):
     t = checks.topology(checks.edges(parsed(spark)))

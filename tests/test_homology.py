@@ -54,3 +54,29 @@ def test_noise(spark):
     assert all(set(r.text.split()) <= set(text.split()) for r in c) and len({r.text for r in c}) > 30
     still = {r.text for r in noise.noise(d.where("doc_id = 1"), "typo", 0.0).collect()}
     assert still == {text}
+
+
+def test_topology_counts_what_pairs_give(spark):
+    import itertools
+    import random
+
+    r = random.Random(7)
+    kinds = [("n1", "ekonomi"), ("n2", "ekonomi"), ("N2", "ekonomi"), ("n3", "hukum"), ("n4", "pendidikan"), ("n5", "kuliner"), ("n6", "senjata"), ("n7", "alam"), ("n8", "alam"), ("n9", None), ("m1", None)]
+    rows = [(d, 0, "", [dict(idx=i, root=x, domain=g, pos=None) for i, (x, g) in enumerate(r.choices(kinds[: r.choice([7, 9, 11])], k=r.randint(0, 9)))]) for d in range(150)]
+    token = "struct<idx:int,root:string,domain:string,pos:string>"
+    df = spark.createDataFrame(rows, f"doc_id long, sent_idx int, text string, tokens array<{token}>").withColumn("n", F.size("tokens"))
+    got = {x.doc_id: x for x in checks.topology(df).collect()}
+    gaps = df.select("doc_id", F.transform(checks._pairs(F.col("n"), None), lambda p: F.struct(p["i"], p["j"], checks._gap(F.get("tokens", p["i"]), F.get("tokens", p["j"])).alias("d"))).alias("g"))
+    near = {x.doc_id: {(i, j) for i, j, d in x.g if d <= 1.5} for x in gaps.collect()}
+    for d, _, _, tokens in rows:
+        roots, n = [t["root"] for t in tokens], len(tokens)
+        sides = {frozenset((roots[i], roots[j])) for i, j in near[d]}
+        ok = lambda *p: all(frozenset(q) in sides for q in itertools.combinations(p, 2))
+        faces = {frozenset(p) for p in itertools.combinations(roots, 3) if ok(*p)}
+        part = {x: x for x in roots}
+        for e in sides:
+            a, b = part[min(e)], part[max(e)]
+            part = {x: a if y == b else y for x, y in part.items()}
+        lonely = [x for x in dict.fromkeys(roots) if not any(x in e for e in sides)] if n > 1 else []
+        x = got[d]
+        assert (x.n_sisi, x.n_segitiga, x.betti0, x.euler, x.terpencil) == (len(sides), len(faces), len(set(part.values())), n - len(sides) + len(faces), lonely), tokens
