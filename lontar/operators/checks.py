@@ -81,9 +81,35 @@ def cosine(a, b):
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def _features(t):
+    """A token's vector by its parts: place of its domain (0: none), class and its weight, register, certainty."""
+    d = F.lower(t["domain"])
+    which = F.array_position(F.transform(F.array(*[F.lit(x) for x in R.DOMAINS]), lambda c: F.contains(d, c) | F.contains(c, d)), True)
+    parsed, listed = (chosen(F.lower(t[c]), R.CLASS_DIMENSION) for c in ("kelas", "pos"))
+    kind = F.when(F.coalesce(parsed, listed).isin(*R.VECTOR_CLASSES), F.coalesce(parsed, listed))
+    known = t["pos"].isNotNull()
+    return F.struct(F.when(d.isNull(), F.lit(0).cast("long")).otherwise(which).alias("domain"), kind.alias("kelas"), F.when(parsed.isNotNull(), 1.0).otherwise(0.8).alias("bobot"),
+                    F.when(t["serapan"], 0.5).when(t["proper"] | known, 1.0).otherwise(0.5).alias("register"), F.when(known, 0.8).otherwise(0.2).alias("yakin"))
+
+
+def _likeness(a, b):
+    """Cosine of two tokens' vectors, from their features: of domains and classes one entry each is not zero."""
+    def dot(x, y):
+        same = F.when((x["domain"] > 0) & (x["domain"] == y["domain"]), 1.0).otherwise(0.0) + F.when(x["kelas"] == y["kelas"], x["bobot"] * y["bobot"]).otherwise(0.0)
+        return same + x["register"] * y["register"] + x["yakin"] * y["yakin"]
+
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def _neutral(root, verbs):
-    r = F.lower(root)
-    return F.exists(F.array(*[F.lit(v) for v in sorted(verbs)]), lambda v: (r == v) | (r.endswith(v) & (F.char_length(r) > F.char_length(v))))
+    """Whether a root is one of the verbs or ends in one."""
+    r, by = F.lower(root), {}
+    for v in sorted(verbs):
+        by.setdefault(len(v), []).append(v)
+    out = F.lit(False)
+    for n, some in sorted(by.items()):
+        out = out | F.right(r, F.lit(n)).isin(*some)
+    return out
 
 
 def _gap(a, b):
@@ -94,7 +120,7 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
     """Adds checks (one for each edge: five tensions, which are violated), energi (by dimension) and violations."""
     config = config or Config()
     thr = float(config.threshold)
-    df = held(df, "_f", F.transform("tokens", lambda t: F.struct(vector(t).alias("v"), _neutral(t["root"], config.neutral).alias("netral"), F.exists(t["afiks"], lambda a: ~a["valid"]).alias("rusak"),
+    df = held(df, "_f", F.transform("tokens", lambda t: F.struct(_features(t).alias("v"), _neutral(t["root"], config.neutral).alias("netral"), F.exists(t["afiks"], lambda a: ~a["valid"]).alias("rusak"),
                                                                     (t["kelas"].isin("N_proper", "Pron") | L.animate(F.lower(t["root"]), t["pos"])).alias("hidup"))))
 
     def check(e):
@@ -120,7 +146,7 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
             bare = F.when(verb.startswith(p) & (F.char_length(verb) > len(p) + 2), F.substr(verb, F.lit(len(p) + 1))).otherwise(bare)
         needs = in_list(verb, R.ANIMATE_VERBS) | in_list(bare, R.ANIMATE_VERBS) | in_list(F.lower(pred["teks"]), R.ANIMATE_VERBS)
         anim = F.when((e["rel"] == "subj-pred") & subj.isNotNull() & pred.isNotNull() & needs & ~alive, 0.85).otherwise(0.0)
-        geo = F.greatest(F.lit(0.0), (1 - cosine(fa["v"], fb["v"])) / 2) * 0.05
+        geo = F.greatest(F.lit(0.0), (1 - _likeness(fa["v"], fb["v"])) / 2) * 0.05
         return F.struct(e["i"].alias("i"), e["j"].alias("j"), e["rel"].alias("rel"), a["root"].alias("a"), b["root"].alias("b"), morph.alias("morfologis"), synt.alias("sintaktis"), sem.alias("semantik"), lex.alias("leksikal"), anim.alias("animasi"),
                         geo.alias("geometrik"), (~free & (d > thr)).alias("jauh"), (diff > 0.5).alias("campur"), F.coalesce(subj["root"], a["root"]).alias("subj"), F.coalesce(pred["root"], b["root"]).alias("pred"))
 
@@ -139,8 +165,11 @@ def tensions(df: DataFrame, config: Config | None = None) -> DataFrame:
     found = F.concat(told("morfologis", lambda c: c["morfologis"] > 0, lambda c: c["morfologis"]), told("sintaktis", lambda c: c["sintaktis"] > 0, lambda c: c["sintaktis"]),
                      told("semantik", lambda c: c["jauh"], lambda c: c["semantik"]), told("leksikal", lambda c: c["campur"], lambda c: c["leksikal"]),
                      told("animasi", lambda c: c["animasi"] > 0, lambda c: c["animasi"], "subj", "pred"))
-    once = F.aggregate(found, _none(VIOLATION), lambda acc, v: F.when(F.exists(acc, lambda x: (x["tipe"] == v["tipe"]) & (x["tokens"] == v["tokens"])), acc).otherwise(F.concat(acc, F.array(v))))
-    return held(df, "violations", once).drop("_f")
+    df = held(df, "_v", F.array_sort(F.transform(found, lambda v, i: F.struct(v["tipe"].alias("tipe"), v["tokens"].alias("tokens"), i.alias("i"), v.alias("v")))))
+    again = lambda x, y: F.coalesce((x["tipe"] == y["tipe"]) & (x["tokens"] == y["tokens"]), F.lit(False))
+    once = F.filter("_v", lambda x, i: (i == 0) | ~again(x, F.get("_v", i - 1)))
+    once = F.transform(F.array_sort(F.transform(once, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
+    return held(df, "violations", once).drop("_f", "_v")
 
 
 def word_order(df: DataFrame) -> DataFrame:

@@ -979,19 +979,35 @@ def preset_scores(spark, sf_dir):
 
 
 def _documents_sql() -> str:
-    """The tables of SCORE over the sentences of documents in place of the seeds."""
-    text = r"trim(regexp_replace(translate(text, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '[\s\p{Z}]+', ' ', 'g'))"
-    return SCORE.replace(values("sent", "doc_id, sent_idx, text, kategori", _seed_rows()), f"{SENT_ROWS}, sent AS (SELECT doc_id, sent_idx, {text} AS text, '' AS kategori FROM sents)", 1)
-
+    """The tables of SCORE over the sentences of documents in place of the seeds.
 
-@query(_documents_sql() + """, dn AS (SELECT doc_id, count(*) AS n_sentences FROM sent GROUP BY doc_id), dt AS (SELECT doc_id, count(*) AS n FROM hasil GROUP BY doc_id), de AS (SELECT doc_id, count(*) AS e FROM edges GROUP BY doc_id), dox AS (SELECT doc_id, count(*) AS o FROM ur GROUP BY doc_id)
-SELECT doc_id, n_sentences, coalesce(n, 0) AS n_tokens, coalesce(e, 0) AS n_edges, coalesce(o, 0) AS n_order FROM dn LEFT JOIN dt USING (doc_id) LEFT JOIN de USING (doc_id) LEFT JOIN dox USING (doc_id)""")
+    Sentences may be long there, so edges are counted by roots: one without a domain is joined with all others, pairs are
+    formed of roots with domains alone. Triangles are no part of a score.
+    """
+    text = r"trim(regexp_replace(translate(text, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '[\s\p{Z}]+', ' ', 'g'))"
+    sql = SCORE.replace(values("sent", "doc_id, sent_idx, text, kategori", _seed_rows()), f"{SENT_ROWS}, sent AS (SELECT doc_id, sent_idx, {text} AS text, '' AS kategori FROM sents)", 1)
+    from_, to = sql.index("gap AS (SELECT"), sql.index("al AS (SELECT CAST(sent.doc_id")
+    return sql[:from_] + f"""ro AS (SELECT doc_id, sent_idx, root, any_value(kata) AS kata, any_value(domain) AS domain, any_value(kelas) AS kelas, count(*) AS c, min(idx) AS f, max(idx) AS l FROM tk GROUP BY doc_id, sent_idx, root),
+sisi AS (SELECT DISTINCT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y FROM (SELECT a.doc_id, a.sent_idx, a.root AS ra, b.root AS rb, {_distance_case()} AS d FROM ro a JOIN ro b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.root <> b.root AND a.f < b.l WHERE a.domain IS NOT NULL AND b.domain IS NOT NULL) WHERE d <= 1.5),
+us AS (SELECT doc_id, sent_idx, count(*) AS v, count(domain) AS k, count(*) FILTER (c > 1) AS m, sum(c) AS n FROM ro GROUP BY ALL),
+rc AS (SELECT doc_id, sent_idx, root AS r, root AS z FROM ro JOIN us USING (doc_id, sent_idx) WHERE us.v = us.k UNION SELECT rc.doc_id, rc.sent_idx, rc.r, CASE WHEN e.x = rc.z THEN e.y ELSE e.x END FROM rc JOIN sisi e ON e.doc_id = rc.doc_id AND e.sent_idx = rc.sent_idx AND (e.x = rc.z OR e.y = rc.z)),
+b0 AS (SELECT doc_id, sent_idx, count(DISTINCT m) AS b0 FROM (SELECT doc_id, sent_idx, r, min(z) AS m FROM rc GROUP BY ALL) GROUP BY ALL UNION ALL SELECT doc_id, sent_idx, 1 FROM us WHERE v > k),
+n1 AS (SELECT doc_id, sent_idx, n FROM us), e1 AS (SELECT doc_id, sent_idx, v * (v - 1) // 2 - k * (k - 1) // 2 + coalesce(s, 0) + m AS e FROM us LEFT JOIN (SELECT doc_id, sent_idx, count(*) AS s FROM sisi GROUP BY ALL) USING (doc_id, sent_idx)),
+tri AS (SELECT doc_id, sent_idx, 0 AS f FROM us),
+iso AS (SELECT doc_id, sent_idx, count(*) AS i FROM ro JOIN us USING (doc_id, sent_idx) WHERE us.v = us.k AND c = 1 AND NOT EXISTS (SELECT 1 FROM sisi e WHERE e.doc_id = ro.doc_id AND e.sent_idx = ro.sent_idx AND (e.x = ro.root OR e.y = ro.root)) GROUP BY ALL),
+""" + sql[to:]
+
+
+@query(_documents_sql() + """, dt AS (SELECT doc_id, count(*) AS t FROM hasil GROUP BY doc_id), de AS (SELECT doc_id, count(*) AS e FROM edges GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_sentences, CAST(coalesce(any_value(dt.t), 0) AS BIGINT) AS n_tokens, CAST(coalesce(any_value(de.e), 0) AS BIGINT) AS n_edges, CAST(sum(nu) AS BIGINT) AS n_order, CAST(sum(np) AS BIGINT) AS n_violations, count(*) FILTER (energi < 0.5 AND NOT anomali) AS n_valid,
+ round(avg(least(1, skor)) + 1e-9, 6) AS skor, round(avg(energi) + 1e-9, 6) AS energi FROM sk LEFT JOIN dt USING (doc_id) LEFT JOIN de USING (doc_id) GROUP BY doc_id""")
 def document_scores(spark, sf_dir):
-    """Words, dependency edges and word-order violations of the sentences of documents, summed by document: not the whole analysis."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
-    a = checks.word_order(checks.edges(morphology.parse(d, seeds.lexicon(spark)))).select("doc_id", F.size("edges").alias("e"), F.size("tokens").alias("t"), F.size("order").alias("o"))
-    by = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("t").alias("n_tokens"), F.sum("e").alias("n_edges"), F.sum("o").alias("n_order"))
-    return by
+    """The whole analysis of the sentences of documents, summed by document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
+    a = checks.analyse(morphology.parse(d, seeds.lexicon(spark)))
+    rows = a.select("doc_id", "valid", "skor", "energi", *[F.size(c).alias(f"n_{c}") for c in ("tokens", "edges", "order", "pelanggaran")])
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_edges").alias("n_edges"), F.sum("n_order").alias("n_order"), F.sum("n_pelanggaran").alias("n_violations"),
+                                      F.count_if("valid").alias("n_valid"), F.round(F.avg("skor") + 1e-9, 6).alias("skor"), F.round(F.avg("energi") + 1e-9, 6).alias("energi"))  # halves go up, whatever a sum's last bits are
 
 
 @query(TOPOLOGY + """, ak AS (SELECT doc_id, sent_idx, root, min(idx) AS f FROM tk GROUP BY ALL), jr AS (SELECT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y, min(d) AS d FROM gap WHERE ra <> rb GROUP BY ALL),

@@ -151,3 +151,12 @@ def test_repartitioning_changes_nothing(spark, lexicon, parsed):
     a = {(r.doc_id, r.sent_idx): brief(r) for r in parsed.collect()}
     b = {(r.doc_id, r.sent_idx): brief(r) for r in morphology.parse(s.repartition(5, F.rand(3)), lexicon).collect()}
     assert a == b
+
+
+def test_likeness_is_the_cosine_of_vectors(parsed):
+    t = parsed.select(F.explode("tokens").alias("t")).distinct()
+    pairs = t.crossJoin(t.select(F.col("t").alias("u")))
+    r = pairs.agg(F.max(F.abs(checks.cosine(checks.vector(F.col("t")), checks.vector(F.col("u"))) - checks._likeness(checks._features(F.col("t")), checks._features(F.col("u"))))), F.count("*")).first()
+    assert r[0] < 1e-12 and r[1] > 1000
+    w = parsed.sparkSession.createDataFrame([(x,) for x in ["beli", "membeli", "eli", "", None, "belian", "Membeli"]], "w string")
+    assert [x[0] for x in w.select(checks._neutral(F.col("w"), {"beli", "jual"})).collect()] == [True, True, False, False, None, False, True]
