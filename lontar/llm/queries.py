@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, mixing, quality, simhash, substrings, syncmers, tokens, toxicity, warc
+from . import collocations, decontaminate, lm, mixing, quality, resampling, simhash, substrings, syncmers, tokens, toxicity, warc
 from .common import table, tune
 
 
@@ -26,8 +26,11 @@ def queries() -> dict:
         "op8_lm_scoring": _over(lm.report, "documents"),
         "op9_simhash": _over(simhash.report, "documents"),
         "op10_substring_dedup": _over(substrings.report, "documents"),
+        "op11_resampling": _over(resampling.report, "documents", "benchmark"),
+        "op13_collocations": _over(collocations.report, "documents"),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": decontaminate.SQL, "op4_mixing": mixing.SQL, "op7_warc": warc.SQL, "op10_substring_dedup": substrings.SQL}
+    return {"op3_decontamination": decontaminate.SQL, "op4_mixing": mixing.SQL, "op7_warc": warc.SQL, "op10_substring_dedup": substrings.SQL,
+            "op11_resampling": resampling.SQL, "op13_collocations": collocations.SQL}
