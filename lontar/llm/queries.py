@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, lm, mixing, quality, resampling, simhash, substrings, syncmers, tokens, toxicity, warc
+from . import collocations, decontaminate, lm, mixing, quality, resampling, setjoin, simhash, substrings, syncmers, tokens, toxicity, warc
 from .common import table, tune
 
 
@@ -27,6 +27,7 @@ def queries() -> dict:
         "op9_simhash": _over(simhash.report, "documents"),
         "op10_substring_dedup": _over(substrings.report, "documents"),
         "op11_resampling": _over(resampling.report, "documents", "benchmark"),
+        "op12_jaccard_join": _over(setjoin.report, "documents"),
         "op13_collocations": _over(collocations.report, "documents"),
     }
 
