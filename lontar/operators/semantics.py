@@ -63,7 +63,7 @@ def rendered(p):
     return F.when(p.isNotNull(), F.concat(head, F.lit("("), F.concat_ws(", ", parts), F.lit(")")))
 
 
-def _bare(v, prefixes):
+def bare(v, prefixes):
     out = v
     for p in reversed(prefixes):
         out = F.when(v.startswith(p) & (F.char_length(v) > len(p) + 2), F.substr(v, F.lit(len(p) + 1))).otherwise(out)
@@ -72,7 +72,7 @@ def _bare(v, prefixes):
 
 def frames(df: DataFrame) -> DataFrame:
     """Adds frames: those that score 0.25 or more, best first, three at most: nama, skor, pemicu, cakupan, kosong."""
-    df = held(held(df, "_a", F.col("prop.aksi")), "_b", _bare(F.col("prop.aksi"), R.FRAME_PREFIXES))
+    df = held(held(df, "_a", F.col("prop.aksi")), "_b", bare(F.col("prop.aksi"), R.FRAME_PREFIXES))
     a, b = F.col("_a"), F.col("_b")
     rows = []
     for i, (name, triggers, slots, domain) in enumerate(R.FRAMES):
@@ -100,7 +100,7 @@ def entity_type(value):
 
 
 def action_type(verb):
-    return F.coalesce(chosen(F.lower(verb), R.ACTION_TYPES), chosen(_bare(F.lower(verb), R.ACTION_PREFIXES), R.ACTION_TYPES))
+    return F.coalesce(chosen(F.lower(verb), R.ACTION_TYPES), chosen(bare(F.lower(verb), R.ACTION_PREFIXES), R.ACTION_TYPES))
 
 
 def subtypes(kind: str) -> list[str]:

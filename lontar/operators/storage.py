@@ -59,3 +59,26 @@ def ranked(df: DataFrame, name: str, *order) -> DataFrame:
     sizes = sizes.select("_p", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return parts.withColumn(name, inside).join(F.broadcast(sizes), "_p").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_p", "_before")
+
+
+#: Up to so many rows of a look-up table are broadcast; a key with more than one HOT-th of the rows is dealt in PIECES.
+FEW, HOT, PIECES = 200_000, 1000, 64
+
+
+def looked_up(left: DataFrame, key: str, right: DataFrame) -> DataFrame:
+    """left with the other columns of right, which has one row a key; null where right has no such key.
+
+    right is broadcast where a count shows that it is small. Else rows without a key are kept out of the shuffle, and a key
+    with more than a thousandth of left's rows is dealt in pieces by a hash of the row: there can be no more than a thousand.
+    """
+    if right.limit(FEW + 1).count() <= FEW:
+        return left.join(F.broadcast(right), key, "left")
+    more = [c for c in right.columns if c != key]
+    n = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    often = stored(n.where(F.col("n") > max(total / HOT, 1)).select(key, F.lit(PIECES).alias("_pieces")))
+    by = [c for c, t in left.dtypes if not t.startswith("map")]
+    dealt = left.where(F.col(key).isNotNull()).join(F.broadcast(often), key, "left").withColumn("_piece", F.pmod(F.xxhash64(*by), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    copies = right.join(F.broadcast(often), key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    met = dealt.join(copies, [key, "_piece"], "left").drop("_piece").select(*left.columns, *more)
+    return met.unionByName(left.where(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in more]))

@@ -116,9 +116,11 @@ def curriculum(actions: DataFrame, others: DataFrame, replay: float = 0.3, n_rel
     return phase(1, one.withColumn("part", F.lit("action"))).unionByName(phase(2, two)).unionByName(phase(3, three))
 
 
-def relation_corpus(spark: SparkSession) -> DataFrame:
-    """(verb, object, text): all templates with all subjects and valid verb-object pairs."""
+def relation_corpus(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(verb, object, text): all templates with all subjects and valid verb-object pairs; more: further pairs (verb, object)."""
     vo = spark.createDataFrame([(v, o) for v, os in OBJECTS.items() for o in os.split()], "verb string, object string")
+    if more is not None:
+        vo = vo.unionByName(more.select("verb", "object")).distinct()
     s = F.explode(F.array(*[F.lit(x) for x in SUBJECTS])).alias("subject")
     t = F.explode(F.array(*[F.lit(x) for x in TEMPLATES])).alias("template")
     r = vo.select("verb", "object", s).select("*", t)
@@ -126,14 +128,19 @@ def relation_corpus(spark: SparkSession) -> DataFrame:
     return r.select("verb", "object", text.alias("text"))
 
 
-def vo_pairs(texts: DataFrame) -> DataFrame:
-    """(verb, object, n): valid verb-object neighbours found in texts."""
+def vo_pairs(texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(verb, object, n): valid verb-object neighbours found in texts; more: pairs (verb, object) that are valid too."""
     w = texts.select(words(F.col("text")).alias("w"))
     p = w.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("verb"), b.alias("object")))).alias("p")).select("p.*")
     known = F.lit(False)
     for v, os in OBJECTS.items():
         known = known | ((F.col("verb") == v) & in_list(F.col("object"), os.split()))
-    return p.where(known).groupBy("verb", "object").agg(F.count(F.lit(1)).alias("n"))
+    n = (p.where(known) if more is None else p).groupBy("verb", "object").agg(F.count(F.lit(1)).alias("n"))
+    if more is None:
+        return n
+    # neighbours are counted before they meet the pairs, so no pair is hot
+    fixed = texts.sparkSession.createDataFrame([(v, o) for v, os in OBJECTS.items() for o in os.split()], "verb string, object string")
+    return n.join(fixed.unionByName(more.select("verb", "object")).distinct(), ["verb", "object"], "left_semi")
 
 
 # ---- loss curves: (key, step, loss) ---------------------------------------------------------------------------------

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
-from ..functions.text import segments, sentences, normalise, tokens
-from ..operators import checks, corpus, dependency, dictionary, homology, lexicon, metrics, morphology, noise, reports, semantics, training, vocabulary
-from ..operators.storage import stored
+from ..functions.text import chosen, segments, sentences, normalise, tokens
+from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, reports, semantics, training, vocabulary
+from ..operators.storage import looked_up, stored
 from ..sources import seeds
 from . import rules as R
 
@@ -61,6 +61,9 @@ def share_sql(t: str, p: str) -> str:
     return f"(CASE WHEN length({t}) > 0 THEN (length({t}) - length(regexp_replace({t}, '{p}', '', 'g')))::DOUBLE / length({t}) ELSE 0 END)"
 
 
+#: Word classes that stand for the languages of documents where a dictionary is made of them.
+CLASS_OF = {"en": "n", "fr": "v", "de": "adj", "es": "adv"}
+CLASS_SQL = "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in CLASS_OF.items()) + " END"
 GARBAGE = r"[{}\[\]|<>\\^~*_=#@]"
 CLEAN = f"(SELECT doc_id, lang, source, text, {stripped('text')} AS t FROM documents)"
 GOOD = rf"len(list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '')) >= 3 AND {share_sql('t', '[0-9]')} <= 0.3 AND {share_sql('t', GARBAGE)} <= 0.1"
@@ -227,6 +230,37 @@ def vocab_fields(spark, sf_dir):
 SIZES = [0, 1, 100, 9_000, 10_000, 12_250, 50_000, 62_500, 1_000_000, 999_999_999]
 
 
+@query("WITH " + values("fixed", "n", [(n,) for n in SIZES]) + f""", s AS (SELECT CAST(n AS BIGINT) AS n FROM fixed UNION SELECT sum(len({SENTENCES})) FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))),
+t AS (SELECT CAST(n AS BIGINT) AS n, greatest(5000, least(15000, floor(50 * sqrt(n)))) / 1000 AS k FROM s)
+SELECT n, CAST(round_even(k, 0) * 1000 AS INT) AS target, CAST(floor(round_even(k, 0) * 750) AS INT) AS corpus, CAST(round_even(k, 0) * 1000 - floor(round_even(k, 0) * 750) AS INT) AS dictionary FROM t""")
+def vocab_target(spark, sf_dir):
+    """Targets of the sentences of all documents, of each language, source, and both; and of sizes at the bounds."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", F.size(sentences(F.col("text"))).alias("n"))
+    n = d.cube("lang", "source").agg(F.sum("n").alias("n")).select("n").unionByName(spark.createDataFrame([(n,) for n in SIZES], "n long")).distinct()
+    s = n.withColumn("target", vocabulary.target(F.col("n")))
+    c, d = vocabulary.corpus_slots(F.col("target"))
+    return s.select("n", "target", c.alias("corpus"), d.alias("dictionary"))
+
+
+@query(f"""WITH {VOCAB_SQL}, {TOP}, m AS (SELECT n AS median FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM w) WHERE r = c // 2 + 1),
+s AS (SELECT word, word IN (SELECT token FROM top) AS has FROM w, m WHERE n >= greatest(3, least(median, 10))),
+a AS (SELECT count(*) AS significant, count(*) FILTER (NOT has) AS missing FROM s)
+SELECT significant, missing, missing::DOUBLE / significant AS value, CASE WHEN missing::DOUBLE / significant <= 0.15 THEN 'PASS' WHEN missing::DOUBLE / significant <= 0.225 THEN 'WARN' ELSE 'FAIL' END AS status FROM a""")
+def vocab_oov(spark, sf_dir):
+    return vocabulary.oov(_top(spark, sf_dir), vocabulary.frequencies(table(spark, sf_dir, "documents")))
+
+
+@query("WITH " + values("seeds", "field, token", [(f, w) for f, ws in vocabulary.FIELD_SEEDS.items() for w in ws.split()]) + f""", v AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM documents UNION SELECT unnest(['makan', 'nasi', 'baca', 'guru', 'perang'])),
+g AS (SELECT field, count(*) AS seeds, count(v.token) AS present FROM seeds LEFT JOIN v USING (token) GROUP BY field)
+SELECT *, present::DOUBLE / seeds AS share, CASE WHEN present::DOUBLE / seeds < 0.25 THEN 'FAIL' WHEN present::DOUBLE / seeds < 0.5 THEN 'WARN' ELSE 'PASS' END AS status FROM g""")
+def vocab_fields(spark, sf_dir):
+    more = spark.createDataFrame([(w,) for w in "makan nasi baca guru perang".split()], "token string")
+    return vocabulary.fields(vocabulary.frequencies(table(spark, sf_dir, "documents")).select("token").unionByName(more))
+
+
+SIZES = [0, 1, 100, 9_000, 10_000, 12_250, 50_000, 62_500, 1_000_000, 999_999_999]
+
+
 @query("WITH " + values("s", "n", [(n,) for n in SIZES]) + """, t AS (SELECT CAST(n AS BIGINT) AS n, greatest(5000, least(15000, floor(50 * sqrt(n)))) / 1000 AS k FROM s)
 SELECT n, CAST(round_even(k, 0) * 1000 AS INT) AS target, CAST(floor(round_even(k, 0) * 750) AS INT) AS corpus, CAST(round_even(k, 0) * 1000 - floor(round_even(k, 0) * 750) AS INT) AS dictionary FROM t""")
 def vocab_target(spark, sf_dir):
@@ -287,32 +321,59 @@ def structure_score(spark, sf_dir):
     return metrics.structure(table(spark, sf_dir, "documents").select(tokens(F.col("text")).alias("ids")), COPULAS, AUX)
 
 
-REL = ("WITH " + values("vo", "verb, object", [(v, o) for v, os in training.OBJECTS.items() for o in os.split()]) + ", " + values("su", "s", [(s,) for s in training.SUBJECTS]) + ", " + values("te", "t", [(t,) for t in training.TEMPLATES])
-       + ", rel AS (SELECT verb, object, replace(replace(replace(t, '{subj}', s), '{verb}', verb), '{obj}', object) AS text FROM vo, su, te)")
+PAIRS_SQL = f"""nb AS (SELECT kelompok, w[i] AS a, w[i + 1] AS b, count(*) AS n FROM (SELECT lang AS kelompok, w, unnest(range(1, len(w))) AS i FROM (SELECT role AS lang, {TOKENS} AS w FROM conversations)) GROUP BY ALL)"""
+
+
+def neighbours(spark, sf_dir) -> DataFrame:
+    """(kelompok, a, b, n): how often b stands behind a in the turns of each role."""
+    w = table(spark, sf_dir, "conversations").select(F.col("role").alias("kelompok"), tokens(F.col("text")).alias("w"))
+    size = F.greatest(F.size("w") - 1, F.lit(0))
+    p = w.select("kelompok", F.explode(F.zip_with(F.slice("w", 1, size), F.slice("w", 2, size), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    return p.groupBy("kelompok", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Pairs of a verb and a noun behind it that user turns have three times or more stand beside the fixed ones.
+REL = ("WITH " + values("vo", "verb, object", [(v, o) for v, os in training.OBJECTS.items() for o in os.split()]) + ", " + values("su", "s", [(s,) for s in training.SUBJECTS]) + ", " + values("te", "t", [(t,) for t in training.TEMPLATES]) + ", " + PAIRS_SQL + f""",
+kl AS (SELECT DISTINCT token, {CLASS_SQL} AS k FROM (SELECT lang, unnest({TOKENS}) AS token FROM documents)),
+von AS (SELECT verb, object FROM vo UNION SELECT a, b FROM nb JOIN kl x ON x.token = a AND x.k = 'v' JOIN kl y ON y.token = b AND y.k = 'n' WHERE kelompok = 'user' AND n >= 3),
+rel AS (SELECT verb, object, replace(replace(replace(t, '{{subj}}', s), '{{verb}}', verb), '{{obj}}', object) AS text FROM von, su, te)""")
+
+
+def _relations(spark, sf_dir) -> DataFrame:
+    k = table(spark, sf_dir, "documents").select(chosen(F.col("lang"), CLASS_OF).alias("k"), F.explode(tokens(F.col("text"))).alias("t")).distinct()
+    n = neighbours(spark, sf_dir).where("kelompok = 'user' AND n >= 3").select(F.col("a").alias("verb"), F.col("b").alias("object"))
+    n = n.join(k.where("k = 'v'").select(F.col("t").alias("verb")), "verb", "left_semi").join(k.where("k = 'n'").select(F.col("t").alias("object")), "object", "left_semi")
+    return training.relation_corpus(spark, n.select("verb", "object"))
 
 
 @query(REL + " SELECT verb, object, text FROM rel")
 def relation_corpus(spark, sf_dir):
-    return training.relation_corpus(spark)
+    return _relations(spark, sf_dir)
 
 
-@query(REL + ", dw AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(d)}, {i}, {lit(w)})" for i, (d, ws) in enumerate(training.DOMAIN_WORDS.items()) for w in ws.split()) + ") x(d, i, w)), " + """
-t AS (SELECT DISTINCT text FROM rel), h AS (SELECT text, d, i, count(*) AS n FROM t JOIN dw ON contains(text, w) GROUP BY text, d, i), b AS (SELECT text, d FROM h QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, i) = 1)
+@query(REL + ", dw AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(d)}, {i}, {lit(w)})" for i, (d, ws) in enumerate(training.DOMAIN_WORDS.items()) for w in ws.split()) + f") x(d, i, w)), " + f"""
+t AS (SELECT text FROM rel UNION SELECT lower(unnest({SENTENCES})) FROM documents), h AS (SELECT text, d, i, count(*) AS n FROM t JOIN dw ON contains(text, w) GROUP BY text, d, i), b AS (SELECT text, d FROM h QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, i) = 1)
 SELECT coalesce(d, 'other') AS domain, count(*) AS n_texts FROM t LEFT JOIN b USING (text) GROUP BY ALL""")
 def domain_label(spark, sf_dir):
-    t = training.relation_corpus(spark).select("text").distinct()
+    """Different sentences of documents (lower-cased) and of the relation corpus by domain."""
+    t = table(spark, sf_dir, "documents").select(F.explode(sentences(F.col("text"))).alias("text")).select(F.lower("text").alias("text"))
+    t = t.unionByName(_relations(spark, sf_dir).select("text")).distinct()
     return t.groupBy(training.domain_label(F.col("text")).alias("domain")).agg(F.count(F.lit(1)).alias("n_texts"))
 
 
-@query(REL + f" SELECT count(*) AS n_texts, count(*) FILTER (list_has_any({WORDS}, {listed(training.ACTION_VERBS)})) AS n_action FROM rel")
+@query(REL + f", al AS (SELECT text FROM rel UNION ALL SELECT text FROM documents UNION ALL SELECT text FROM conversations) SELECT count(*) AS n_texts, count(*) FILTER (list_has_any({WORDS}, {listed(training.ACTION_VERBS)})) AS n_action FROM al")
 def action_signal(spark, sf_dir):
-    return training.relation_corpus(spark).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(training.has_action(F.col("text"))).alias("n_action"))
+    t = _relations(spark, sf_dir).select("text")
+    for name in ("documents", "conversations"):
+        t = t.unionByName(table(spark, sf_dir, name).select("text"))
+    return t.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(training.has_action(F.col("text"))).alias("n_action"))
 
 
-@query(REL + """, w AS (SELECT string_split(text, ' ') AS w FROM rel), p AS (SELECT w[i] AS verb, w[i + 1] AS object FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
-SELECT verb, object, count(*) AS n FROM p JOIN vo USING (verb, object) GROUP BY verb, object""")
+@query(REL + f""", w AS (SELECT string_split(text, ' ') AS w FROM rel UNION ALL SELECT {WORDS} FROM conversations), p AS (SELECT w[i] AS verb, w[i + 1] AS object FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+SELECT verb, object, count(*) AS n FROM p JOIN von USING (verb, object) GROUP BY verb, object""")
 def vo_pairs(spark, sf_dir):
-    return training.vo_pairs(training.relation_corpus(spark))
+    r = stored(_relations(spark, sf_dir))
+    return training.vo_pairs(r.select("text").unionByName(table(spark, sf_dir, "conversations").select("text")), r.select("verb", "object"))
 
 
 ACTIONS_SQL = f"""act AS (SELECT doc_id, lang, text, coalesce(list_has_any({WORDS}, {listed(training.ACTION_VERBS)}), FALSE) AS aksi FROM documents),
@@ -343,9 +404,10 @@ def action_filter(spark, sf_dir):
     return training.filter_actions(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").unionByName(made)).select("doc_id", "lang")
 
 
-@query(f"WITH {RELATIONS_SQL} SELECT id, text FROM rl")
+@query(f"WITH {RELATIONS_SQL.replace('range(1, 6001) r(i)', '(SELECT unnest(range(1, (SELECT count(*) FROM documents) * 10 + 1)) AS i) r')} SELECT id, text FROM rl")
 def relation_samples(spark, sf_dir):
-    return training.relations(spark)
+    """Ten sentences for each document."""
+    return training.relations(spark, table(spark, sf_dir, "documents").count() * 10)
 
 
 MD5 = "md5(coalesce(text, ''))"
@@ -491,10 +553,37 @@ def paired_filter(spark, sf_dir):
 
 
 # ---- lexicon -----------------------------------------------------------------------------------------------------------------
+#: Lemmas that the tables give: each token of documents, its language's class, and as its domain that of the source it comes from first.
+SEED_RAW_SQL = values("raw", "lemma, pos, domain, definition, seq", [(*e, i) for i, e in enumerate(seeds.LEXICON)])
+RAW_SQL = values("benih", "lemma, pos, domain, definition, seq", [(*e, i) for i, e in enumerate(seeds.LEXICON)]) + f""",
+raw AS (SELECT * FROM benih UNION ALL SELECT token, {CLASS_SQL}, {listed(R.DOMAINS)}[coalesce(TRY_CAST(regexp_extract(arg_min(source, doc_id), '[0-9]+') AS INT), 0) % {len(R.DOMAINS)} + 1], NULL, 1000 + min(doc_id)
+ FROM (SELECT doc_id, lang, source, unnest({TOKENS}) AS token FROM documents) GROUP BY token, lang)"""
+
+
+def dictionary_rows(spark, sf_dir) -> DataFrame:
+    """(lemma, pos, domain, definition, seq): the seed lexicon's entries and those of documents."""
+    t = table(spark, sf_dir, "documents").select("doc_id", "source", chosen(F.col("lang"), CLASS_OF).alias("pos"), F.explode(tokens(F.col("text"))).alias("lemma"))
+    t = t.groupBy("lemma", "pos").agg(F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("seq"))
+    place = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0)) % len(R.DOMAINS)
+    t = t.select("lemma", "pos", F.get(F.array(*[F.lit(x) for x in R.DOMAINS]), place).alias("domain"), F.lit(None).cast("string").alias("definition"), (F.col("seq") + 1000).alias("seq"))
+    return seeds.lexicon_entries(spark).unionByName(t)
+
+
+def dictionary_lexicon(spark, sf_dir) -> DataFrame:
+    return stored(lexicon.build(dictionary_rows(spark, sf_dir)))
+
+
+def sentence_rows(spark, sf_dir) -> DataFrame:
+    """(doc_id, sent_idx, text, kategori): the seed sentences, and those of conversations, turn by turn."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") + 1000).alias("doc_id"), "turn", "role", F.posexplode(sentences(F.col("text"))).alias("i", "text"))
+    c = c.select("doc_id", (F.col("turn") * 10000 + F.col("i")).cast("int").alias("sent_idx"), "text", F.col("role").alias("kategori"))
+    return seeds.sentences(spark).unionByName(c)
+
+
 def _lexicon_sql() -> str:
     order = [*R.STRONG_WORDS]
     kw = [(d, i, w, 1) for i, d in enumerate(order) for w in R.STRONG_WORDS[d].split(",")] + [(d, order.index(d), w, 0) for d in R.WEAK_WORDS for w in R.WEAK_WORDS[d].split(",")]
-    return ("WITH " + values("raw", "lemma, pos, domain, definition, seq", [(*e, i) for i, e in enumerate(seeds.LEXICON)]) + ", " + values("kw", "d, ord, w, strong", kw) + ", "
+    return ("WITH " + RAW_SQL + ", " + values("kw", "d, ord, w, strong", kw) + ", "
             + values("fix", "kata, fixed", [(k, v or "") for k, v in R.DOMAIN_OVERRIDES.items()]) + """,
 e AS (SELECT lower(lemma) AS kata, pos AS kelas, domain, split_part(split_part(coalesce(definition, ''), ';', 1), '(2)', 1) AS def, seq FROM raw),
 h AS (SELECT seq, d, ord, sum(strong) AS s, sum(1 - strong) AS k FROM e JOIN kw ON contains(lower(def), w) WHERE length(def) < 200 GROUP BY seq, d, ord),
@@ -509,12 +598,12 @@ LEX = _lexicon_sql()
 
 @query(LEX + " SELECT kata, kelas, domain, seq FROM lex")
 def lexicon_build(spark, sf_dir):
-    return seeds.lexicon(spark)
+    return lexicon.build(dictionary_rows(spark, sf_dir))
 
 
 @query(LEX + " SELECT domain, count(*) AS n_words FROM lex WHERE domain IS NOT NULL GROUP BY domain")
 def lexicon_domains(spark, sf_dir):
-    return lexicon.domain_sizes(seeds.lexicon(spark))
+    return lexicon.domain_sizes(lexicon.build(dictionary_rows(spark, sf_dir)))
 
 
 def _distance_case() -> str:
@@ -525,25 +614,32 @@ def _distance_case() -> str:
  WHEN a.domain IS NOT NULL OR b.domain IS NOT NULL THEN 1.2 ELSE 1.0 - 0.3::DOUBLE * {bonus} END"""
 
 
-@query(LEX + f" SELECT a.kata AS a, b.kata AS b, round(CAST({_distance_case()} AS DOUBLE), 9) AS distance FROM lex a, lex b")
+#: Words of the lexicon that stand beside each other in conversations, and all pairs of the seeds.
+NEAR_SQL = LEX + ", " + PAIRS_SQL + """, pr AS (SELECT a, b FROM nb UNION SELECT lower(x.lemma), lower(y.lemma) FROM benih x, benih y)"""
+
+
+@query(NEAR_SQL + f" SELECT a.kata AS a, b.kata AS b, round(CAST({_distance_case()} AS DOUBLE), 9) AS distance FROM pr JOIN lex a ON a.kata = pr.a JOIN lex b ON b.kata = pr.b")
 def semantic_distance(spark, sf_dir):
-    a, b = _lexicon_pair(spark)
-    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", F.round(lexicon.distance(F.col("a"), F.col("da"), F.col("pa"), F.col("b"), F.col("db"), F.col("pb")), 9).alias("distance"))
+    p = _lexicon_pairs(spark, sf_dir)
+    return p.select("a", "b", F.round(lexicon.distance(F.col("a"), F.col("da"), F.col("pa"), F.col("b"), F.col("db"), F.col("pb")), 9).alias("distance"))
 
 
-def _lexicon_pair(spark):
-    """The seed lexicon twice: fixed and small."""
-    x = seeds.lexicon(spark)
-    return [x.select(F.col("kata").alias(c), F.col("domain").alias(f"d{c}"), F.col("kelas").alias(f"p{c}")) for c in "ab"]
+def _lexicon_pairs(spark, sf_dir) -> DataFrame:
+    """(a, b, da, pa, db, pb) of neighbours of conversations and pairs of seeds that are both in the lexicon."""
+    s = seeds.lexicon_entries(spark).select(F.lower("lemma").alias("a"))
+    pairs = neighbours(spark, sf_dir).select("a", "b").unionByName(s.crossJoin(F.broadcast(s.select(F.col("a").alias("b"))))).distinct()  # the seeds are fixed and few
+    lex = dictionary_lexicon(spark, sf_dir)
+    for c in "ab":
+        pairs = looked_up(pairs, c, lex.select(F.col("kata").alias(c), F.col("domain").alias(f"d{c}"), F.col("kelas").alias(f"p{c}"), F.lit(True).alias(f"ada_{c}")))
+    return pairs.where("ada_a AND ada_b").drop("ada_a", "ada_b")
 
 
-@query(LEX + f""", ds AS (SELECT a.kata AS a, b.kata AS b, a.domain AS da, b.domain AS db, CAST({_distance_case()} AS DOUBLE) AS d FROM lex a, lex b)
+@query(NEAR_SQL + f""", ds AS (SELECT a.kata AS a, b.kata AS b, a.domain AS da, b.domain AS db, CAST({_distance_case()} AS DOUBLE) AS d FROM pr JOIN lex a ON a.kata = pr.a JOIN lex b ON b.kata = pr.b)
 SELECT a, b, d <= 1.5 AS compatible, CASE WHEN a = b THEN a WHEN da IS NOT NULL AND db IS NOT NULL THEN CASE WHEN da = db THEN a || ' → [' || da || '] → ' || b ELSE a || ' → [' || da || '] → ↔ → [' || db || '] → ' || b END
  WHEN da IS NOT NULL THEN a || ' → [' || da || '] → →? → ' || b WHEN db IS NOT NULL THEN a || ' → ?→ → [' || db || '] → ' || b ELSE a || ' → [?] → ' || b END AS path FROM ds""")
 def semantic_paths(spark, sf_dir):
-    a, b = _lexicon_pair(spark)
     args = [F.col(c) for c in ("a", "da", "pa", "b", "db", "pb")]
-    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", lexicon.compatible(*args).alias("compatible"), F.array_join(lexicon.path(F.col("a"), F.col("da"), F.col("b"), F.col("db")), " → ").alias("path"))
+    return _lexicon_pairs(spark, sf_dir).select("a", "b", lexicon.compatible(*args).alias("compatible"), F.array_join(lexicon.path(F.col("a"), F.col("da"), F.col("b"), F.col("db")), " → ").alias("path"))
 
 
 # ---- sentences ---------------------------------------------------------------------------------------------------------------
@@ -554,7 +650,10 @@ def _seed_rows():
         n[d] = n.get(d, 0) + 1
 
 
-SEED = "WITH " + values("sent", "doc_id, sent_idx, text, kategori", _seed_rows()) + r""",
+SPACED = r"trim(regexp_replace(translate(text, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '[\s\p{Z}]+', ' ', 'g'))"
+SENT_SQL = values("contoh", "doc_id, sent_idx, text, kategori", _seed_rows()) + f""",
+sent AS (SELECT * FROM contoh UNION ALL SELECT doc_id, CAST(turn * 10000 + i AS INT), {SPACED}, role FROM (SELECT conv_id + 1000 AS doc_id, turn, role, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS text FROM (SELECT conv_id, turn, role, {SENTENCES} AS s FROM conversations)))"""
+SEED = "WITH " + SENT_SQL + r""",
 cut AS (SELECT doc_id, sent_idx, list_filter(list_transform(string_split_regex(regexp_replace(text, '[.,!?;:"()\[\]{}]', ' ', 'g'), ' +'), lambda w: CASE WHEN regexp_full_match(w, '[\p{L}\p{N}_]+-[\p{L}\p{N}_]+') THEN w ELSE regexp_replace(w, '[^a-zA-Z0-9\-'']', '', 'g') END), lambda w: w <> '') AS w FROM sent),
 tok AS (SELECT doc_id, sent_idx, unnest(range(0, len(w))) AS idx, unnest(w) AS teks FROM cut)"""
 CLOSED = "CASE " + " ".join(f"WHEN list_contains({listed(ws)}, lower(teks)) THEN {lit(k)}" for ws, k, _ in R.CLOSED) + " END"
@@ -562,12 +661,12 @@ CLOSED = "CASE " + " ".join(f"WHEN list_contains({listed(ws)}, lower(teks)) THEN
 
 @query(SEED + " SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, CAST(idx AS INT) AS idx, teks FROM tok")
 def segment_words(spark, sf_dir):
-    return morphology.words_of(seeds.sentences(spark), ["doc_id", "sent_idx"])
+    return morphology.words_of(sentence_rows(spark, sf_dir), ["doc_id", "sent_idx"])
 
 
 @query(SEED + f" SELECT DISTINCT teks, {CLOSED} AS kelas FROM tok WHERE {CLOSED} IS NOT NULL AND NOT regexp_matches(teks, '-')")
 def function_words(spark, sf_dir):
-    t = morphology.words_of(seeds.sentences(spark), ["doc_id", "sent_idx"])
+    t = morphology.words_of(sentence_rows(spark, sf_dir), ["doc_id", "sent_idx"])
     k = F.lit(None).cast("string")
     from ..functions.text import in_list
 
@@ -629,13 +728,13 @@ hasil AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent
 PARSE = _parse_sql()
 
 
-def parsed(spark) -> DataFrame:
-    return stored(morphology.parse(seeds.sentences(spark), seeds.lexicon(spark)))
+def parsed(spark, sf_dir) -> DataFrame:
+    return stored(morphology.parse(sentence_rows(spark, sf_dir), dictionary_lexicon(spark, sf_dir)))
 
 
 @query(PARSE + " SELECT * FROM hasil")
 def parse_tokens(spark, sf_dir):
-    p = parsed(spark).select("doc_id", "sent_idx", F.explode("tokens").alias("t"))
+    p = parsed(spark, sf_dir).select("doc_id", "sent_idx", F.explode("tokens").alias("t"))
     return p.select("doc_id", "sent_idx", "t.idx", "t.teks", "t.root", "t.kelas", "t.peran", F.concat_ws(",", F.transform("t.afiks", lambda a: a["bentuk"])).alias("afiks"), F.forall("t.afiks", lambda a: a["valid"]).alias("afiks_valid"), "t.ada", "t.domain")
 
 
@@ -650,7 +749,7 @@ edges AS (SELECT a.doc_id, a.sent_idx, a.idx AS i, b.idx AS j, 'adjacent' AS rel
 
 @query(EDGES + " SELECT doc_id, sent_idx, i, j, rel FROM edges")
 def dependency_edges(spark, sf_dir):
-    return checks.edges(parsed(spark)).select("doc_id", "sent_idx", F.explode("edges").alias("e")).select("doc_id", "sent_idx", "e.*")
+    return checks.edges(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("edges").alias("e")).select("doc_id", "sent_idx", "e.*")
 
 
 def _checks_sql(config: Config = Config()) -> str:
@@ -680,7 +779,7 @@ CHECKS = _checks_sql()
 
 @query(CHECKS + " SELECT doc_id, sent_idx, i, j, rel, morfologis, sintaktis, round(semantik, 6) AS semantik, leksikal, animasi, round(geometrik, 6) AS geometrik FROM cek")
 def edge_checks(spark, sf_dir):
-    e = checks.tensions(checks.edges(parsed(spark))).select("doc_id", "sent_idx", F.explode("checks").alias("c"))
+    e = checks.tensions(checks.edges(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("checks").alias("c"))
     return e.select("doc_id", "sent_idx", "c.i", "c.j", "c.rel", *[F.round(f"c.{d}", 6).alias(d) for d in (*R.WEIGHTS, "geometrik")])
 
 
@@ -745,7 +844,7 @@ SCORE = _score_sql()
 
 @query(SCORE + """ SELECT doc_id, sent_idx, n_morfisme, n_rusak, round(e_kom, 6) AS energi FROM (SELECT *, CAST(n + pas + gantung + nvo AS INT) AS n_morfisme, CAST(beda + gantung + nvo AS INT) AS n_rusak FROM pn)""")
 def composition_checks(spark, sf_dir):
-    return checks.composition(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
+    return checks.composition(checks.edges(parsed(spark, sf_dir))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
 
 
 def _violations_sql() -> str:
@@ -777,18 +876,18 @@ VIOLATIONS = _violations_sql()
 
 @query(VIOLATIONS + " SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, tipe, tokens, dimensi, round(CAST(sev AS DOUBLE), 6) AS severitas, asal FROM vio")
 def violations(spark, sf_dir):
-    a = checks.analyse(parsed(spark)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
+    a = checks.analyse(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
     return a.select("doc_id", "sent_idx", "v.tipe", F.concat_ws(" ", "v.tokens").alias("tokens"), "v.dimensi", F.round("v.severitas", 6).alias("severitas"), "v.asal")
 
 
 @query()
 def violation_spans(spark, sf_dir):
-    return checks.spans(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
+    return checks.spans(checks.analyse(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
 
 
 @query(VIOLATIONS + " SELECT dimensi, asal, count(*) AS n, round(max(CAST(sev AS DOUBLE)), 6) AS terberat FROM vio GROUP BY dimensi, asal")
 def violations_by_dimension(spark, sf_dir):
-    a = checks.analyse(parsed(spark))
+    a = checks.analyse(parsed(spark, sf_dir))
     out = None
     for d in R.DIMENSIONS:
         x = reports.of_dimension(a, d).select(F.explode("pelanggaran").alias("v")).groupBy("v.dimensi", "v.asal").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v.severitas"), 6).alias("terberat"))
@@ -799,7 +898,7 @@ def violations_by_dimension(spark, sf_dir):
 @query(VIOLATIONS + """, tv AS (SELECT h.doc_id, h.sent_idx, h.idx, h.teks, count(v.tipe) AS n FROM hasil h LEFT JOIN vio v ON v.doc_id = h.doc_id AND v.sent_idx = h.sent_idx AND list_contains(string_split(v.tokens, ' '), h.root) AND v.tokens NOT IN ('antara lain', 'terdiri dari', 'terdiri atas', 'sebagai berikut') GROUP BY ALL)
 SELECT doc_id, sent_idx, idx, teks, CAST(n AS INT) AS n FROM tv""")
 def token_states(spark, sf_dir):
-    a = reports.token_states(checks.analyse(parsed(spark))).select("doc_id", "sent_idx", F.explode("keadaan").alias("k"))
+    a = reports.token_states(checks.analyse(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("keadaan").alias("k"))
     return a.select("doc_id", "sent_idx", "k.idx", "k.teks", F.size("k.pelanggaran").alias("n"))
 
 
@@ -807,12 +906,12 @@ def token_states(spark, sf_dir):
 SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, CAST(coalesce(n, 0) AS INT) AS n_morfem, CAST(coalesce(e, 0) AS INT) AS n_edge, CASE WHEN n > 0 THEN 2.0::DOUBLE * coalesce(e, 0) / n ELSE 0 END AS avg_degree, CASE WHEN n > 0 THEN 3 ELSE 0 END AS n_iterasi
 FROM sent LEFT JOIN nt4 USING (doc_id, sent_idx) LEFT JOIN ne4 USING (doc_id, sent_idx)""")
 def sentence_metadata(spark, sf_dir):
-    return reports.metadata(checks.edges(parsed(spark))).select("doc_id", "sent_idx", "n_morfem", "n_edge", "avg_degree", "n_iterasi")
+    return reports.metadata(checks.edges(parsed(spark, sf_dir))).select("doc_id", "sent_idx", "n_morfem", "n_edge", "avg_degree", "n_iterasi")
 
 
 @query(CHECKS + " SELECT doc_id, sent_idx, i, j, rel, round(least(1, " + " + ".join(f"{w} * {d}" for d, w in R.WEIGHTS.items()) + "), 6) AS bobot FROM cek")
 def weighted_tensions(spark, sf_dir):
-    w = reports.weighted(checks.tensions(checks.edges(parsed(spark)))).select("doc_id", "sent_idx", F.explode("tegangan").alias("t"))
+    w = reports.weighted(checks.tensions(checks.edges(parsed(spark, sf_dir)))).select("doc_id", "sent_idx", F.explode("tegangan").alias("t"))
     return w.select("doc_id", "sent_idx", "t.i", "t.j", "t.rel", F.round("t.bobot", 6).alias("bobot"))
 
 
@@ -824,36 +923,45 @@ MORPHISMS = PARSE + """, mor AS (SELECT doc_id, sent_idx, 'identitas' AS jenis,
 
 @query(MORPHISMS + " SELECT doc_id, sent_idx, jenis, i, j, k1, d1, k2, d2, valid FROM mor")
 def sentence_morphisms(spark, sf_dir):
-    m = reports.morphisms(parsed(spark), ["doc_id", "sent_idx"])
+    m = reports.morphisms(parsed(spark, sf_dir), ["doc_id", "sent_idx"])
     return m.select("doc_id", "sent_idx", "jenis", "i", "j", F.col("dari.kelas").alias("k1"), F.col("dari.domain").alias("d1"), F.col("ke.kelas").alias("k2"), F.col("ke.domain").alias("d2"), "valid")
 
 
 @query(MORPHISMS + """ SELECT f.doc_id, f.sent_idx, f.i AS f_i, f.j AS f_j, g.i AS g_i, g.j AS g_j, f.valid AND g.valid AS valid FROM mor f JOIN mor g ON f.doc_id = g.doc_id AND f.sent_idx = g.sent_idx AND f.k2 = g.k1 AND f.d2 IS NOT DISTINCT FROM g.d1 WHERE f.jenis <> 'identitas' AND g.jenis <> 'identitas'""")
 def composed_morphisms(spark, sf_dir):
-    return reports.composed(reports.morphisms(parsed(spark), ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "f_i", "f_j", "g_i", "g_j", "valid")
+    return reports.composed(reports.morphisms(parsed(spark, sf_dir), ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "f_i", "f_j", "g_i", "g_j", "valid")
 
 
 @query(PARSE + f""", tk AS (SELECT doc_id, sent_idx, idx, root, lower(root) AS kata, hasil.domain, lex.kelas FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
 gp AS (SELECT a.doc_id, a.sent_idx, a.idx AS i, b.idx AS j, CAST({_distance_case()} AS DOUBLE) AS d FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx) SELECT doc_id, sent_idx, i, j, round(1 - d / 1.5, 6) AS bobot FROM gp WHERE d <= 1.5""")
 def adjacency(spark, sf_dir):
-    return reports.adjacency(parsed(spark), ["doc_id", "sent_idx"]).withColumn("bobot", F.round("bobot", 6))
+    return reports.adjacency(parsed(spark, sf_dir), ["doc_id", "sent_idx"]).withColumn("bobot", F.round("bobot", 6))
 
 
 @query(SCORE + """ SELECT doc_id, sent_idx, round(least(1, skor), 6) AS skor, round(energi, 6) AS energi, energi < 0.5 AND NOT anomali AS valid, round(lengkap, 6) AS lengkap, CASE WHEN coalesce(pj, 0) > 0.3 THEN 'mixed' ELSE 'formal' END AS register, round(puas, 6) AS kepuasan, CAST(np AS INT) AS n_pelanggaran FROM sk""")
 def sentence_scores(spark, sf_dir):
-    a = checks.analyse(parsed(spark))
+    a = checks.analyse(parsed(spark, sf_dir))
     return a.select("doc_id", "sent_idx", F.round("skor", 6).alias("skor"), F.round("energi", 6).alias("energi"), "valid", F.round("lengkap", 6).alias("lengkap"), "register", F.round("rata_kepuasan", 6).alias("kepuasan"), F.size("pelanggaran").alias("n_pelanggaran"))
 
 
 @query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS BIGINT) AS betti1, CAST(n - e + f AS BIGINT) AS euler, CAST(e AS BIGINT) AS n_sisi, CAST(f AS BIGINT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
  n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, round(ex * 0.2::DOUBLE + i * 0.3::DOUBLE, 6) AS energi FROM xc""")
 def topology_numbers(spark, sf_dir):
-    t = checks.topology(checks.edges(parsed(spark)))
+    t = checks.topology(checks.edges(parsed(spark, sf_dir)))
     return t.select("doc_id", "sent_idx", "betti0", "betti1", "euler", "n_sisi", "n_segitiga", F.size("terpencil").alias("n_terpencil"), "anomali", F.round("e_topologis", 6).alias("energi"))
 
 
-def _knowledge_sql() -> str:
-    """Propositions (pr), their slots (sl), frames (fr), inferences (inf) of the parsed sentences."""
+RULE_COLUMNS = "urut, aturan, aksi_tipe, ag, pa, says, faktor"
+
+
+def rule_rows(rules) -> list:
+    """A row for each conclusion, in the order of priority."""
+    return [(k * 10 + t, name, act, ag, pa, says, 1.0 if ag else 0.9) for k, (name, act, ag, pa, texts, _, _) in enumerate(sorted(rules, key=lambda r: -r[6])) for t, says in enumerate(texts)]
+
+
+def _knowledge_sql(other: dict | None = None) -> str:
+    """Propositions (pr), their slots (sl), frames (fr), inferences (inf) of the parsed sentences; other: tables of rules, words and types in place of the fixed ones."""
+    part = lambda name, sql: (other or {}).get(name, sql)
     nominal = "('N', 'Pron', 'N_proper', 'N_serapan', 'Num')"
     like = " OR ".join(f"(starts_with(lt, {lit(p)}) AND length(lt) > {len(p) + 3})" for p in R.VERB_PREFIXES)
     bare = lambda c, ps: "CASE " + " ".join(f"WHEN starts_with({c}, {lit(p)}) AND length({c}) > {len(p) + 2} THEN substr({c}, {len(p) + 1})" for p in ps) + f" ELSE {c} END"
@@ -871,10 +979,10 @@ def _knowledge_sql() -> str:
             if x and x not in seen:
                 seen.add(x)
                 fill.append((i, x, kind))
-    rules = [(k * 10 + t, name, act, ag, pa, says, 1.0 if ag else 0.9) for k, (name, act, ag, pa, texts, _, _) in enumerate(sorted(R.WORLD_RULES, key=lambda r: -r[6])) for t, says in enumerate(texts)]
+    rules = rule_rows(R.WORLD_RULES)
     below = [(k, t) for k in dict.fromkeys([*R.SUPERTYPES.values(), *R.SUPERTYPES]) for t in semantics.subtypes(k)]
-    return PARSE + ", " + values("fm", "fi, nama, pemicu, fdom", frames) + ", " + values("nd5", "fi, perlu", need) + ", " + values("fl", "fi, perlu, kind", fill) + ", " + values("wr", "urut, aturan, aksi_tipe, ag, pa, says, faktor", rules) + ", " + values("sb5", "atas, tipe", below) + ", " + \
-        values("ps5", "prep, kind", R.PREPOSITION_SLOTS.items()) + ", " + values("md5x", "kata, modal", R.MODALS.items()) + ", " + values("et", "kata, tipe", R.ENTITY_TYPES.items()) + ", " + values("at5", "kata, tipe", R.ACTION_TYPES.items()) + ", " + values("so", "kind, ord", [(x, i) for i, x in enumerate(R.SLOTS)]) + f""",
+    return PARSE + ", " + values("fm", "fi, nama, pemicu, fdom", frames) + ", " + values("nd5", "fi, perlu", need) + ", " + values("fl", "fi, perlu, kind", fill) + ", " + part("wr", values("wr", RULE_COLUMNS, rules)) + ", " + part("sb5", values("sb5", "atas, tipe", below)) + ", " + \
+        values("ps5", "prep, kind", R.PREPOSITION_SLOTS.items()) + ", " + values("md5x", "kata, modal", R.MODALS.items()) + ", " + part("et", values("et", "kata, tipe", R.ENTITY_TYPES.items())) + ", " + part("at5", values("at5", "kata, tipe", R.ACTION_TYPES.items())) + ", " + values("so", "kind, ord", [(x, i) for i, x in enumerate(R.SLOTS)]) + f""",
 kn AS (SELECT *, lower(teks) AS lt, lower(root) AS lr, kelas IN {nominal} AS nomi, list_contains({listed(R.NEGATIONS)}, lower(root)) AS neg FROM hasil),
 vc AS (SELECT *, (kelas IN ('V', 'V_serapan') OR (kelas = '?' AND ({like}))) AND NOT list_contains({listed(R.MODALS)}, lr) AS cv FROM kn),
 pa5 AS (SELECT doc_id, sent_idx, coalesce(min(idx) FILTER (cv AND peran = 'P'), min(idx) FILTER (cv)) AS v, min(idx) FILTER (peran = 'S') AS s, min(idx) FILTER (peran = 'O') AS o, min(idx) FILTER (peran = 'Pel') AS pel, bool_or(neg) AS negasi, list(idx ORDER BY idx) FILTER (nomi) AS nn, min(idx) FILTER (kelas = 'Adj') AS adj,
@@ -905,47 +1013,110 @@ KNOWLEDGE = _knowledge_sql()
 
 @query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CASE WHEN modalitas IS NOT NULL THEN '[' || modalitas || '] ' ELSE '' END || CASE WHEN polaritas THEN '' ELSE 'TIDAK_' END || upper(aksi) || '(' || isi || ')' AS teks, polaritas, modalitas, kelengkapan FROM pr""")
 def propositions(spark, sf_dir):
-    return semantics.proposition(parsed(spark)).where("prop IS NOT NULL").select("doc_id", "sent_idx", semantics.rendered(F.col("prop")).alias("teks"), "prop.polaritas", "prop.modalitas", "prop.kelengkapan")
+    return semantics.proposition(parsed(spark, sf_dir)).where("prop IS NOT NULL").select("doc_id", "sent_idx", semantics.rendered(F.col("prop")).alias("teks"), "prop.polaritas", "prop.modalitas", "prop.kelengkapan")
 
 
 @query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CAST(urutan AS INT) AS urutan, nama, round(skor, 6) AS skor, cocok AS pemicu, kosong FROM fr""")
 def frame_match(spark, sf_dir):
-    f = semantics.frames(semantics.proposition(parsed(spark))).select("doc_id", "sent_idx", F.posexplode("frames").alias("urutan", "f"))
+    f = semantics.frames(semantics.proposition(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.posexplode("frames").alias("urutan", "f"))
     return f.select("doc_id", "sent_idx", "urutan", "f.nama", F.round("f.skor", 6).alias("skor"), "f.pemicu", F.concat_ws(",", "f.kosong").alias("kosong"))
 
 
 @query(KNOWLEDGE + """ SELECT doc_id, sent_idx, CAST(urutan AS INT) AS urutan, pernyataan, relasi, CAST(keyakinan AS DOUBLE) AS keyakinan, aturan FROM inf""")
 def inference_chain(spark, sf_dir):
-    i = semantics.inferences(semantics.proposition(parsed(spark))).select("doc_id", "sent_idx", F.posexplode("inferensi").alias("urutan", "x"))
+    i = semantics.inferences(semantics.proposition(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.posexplode("inferensi").alias("urutan", "x"))
     return i.select("doc_id", "sent_idx", "urutan", "x.pernyataan", "x.relasi", "x.keyakinan", "x.aturan")
 
 
 @query(KNOWLEDGE + """ SELECT doc_id, sent_idx, subjek, objek FROM inf WHERE relasi = 'MEMILIKI' """)
 def ask_relation(spark, sf_dir):
-    return semantics.ask(semantics.inferences(semantics.proposition(parsed(spark))), "MEMILIKI").select("doc_id", "sent_idx", "subjek", "objek")
+    return semantics.ask(semantics.inferences(semantics.proposition(parsed(spark, sf_dir))), "MEMILIKI").select("doc_id", "sent_idx", "subjek", "objek")
 
 
 @query(KNOWLEDGE + """, un AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, aksi, kelengkapan, cakupan, nama, (SELECT count(*) FROM inf WHERE inf.doc_id = sent.doc_id AND inf.sent_idx = sent.sent_idx) AS k FROM sent LEFT JOIN pr ON pr.doc_id = sent.doc_id AND pr.sent_idx = sent.sent_idx LEFT JOIN fr ON fr.doc_id = sent.doc_id AND fr.sent_idx = sent.sent_idx AND urutan = 0)
 SELECT doc_id, sent_idx, round(least(1, CASE WHEN aksi IS NOT NULL THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN kelengkapan >= 0.75 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN nama IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN cakupan >= 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN k > 0 THEN 0.15::DOUBLE ELSE 0 END), 6) AS pemahaman FROM un""")
 def understanding_scores(spark, sf_dir):
-    return semantics.understand(parsed(spark)).select("doc_id", "sent_idx", F.round("pemahaman", 6).alias("pemahaman"))
+    return semantics.understand(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.round("pemahaman", 6).alias("pemahaman"))
 
 
 @query(KNOWLEDGE + """ SELECT pr.doc_id, pr.sent_idx, fr.nama AS frame_nama, round(coalesce(fr.skor, 0), 6) AS frame_skor, agen, aksi, pasien, coalesce(kosong, '') AS slot_kosong, CAST((SELECT count(*) FROM inf WHERE inf.doc_id = pr.doc_id AND inf.sent_idx = pr.sent_idx) AS INT) AS n_inferensi
  FROM pr LEFT JOIN fr ON fr.doc_id = pr.doc_id AND fr.sent_idx = pr.sent_idx AND urutan = 0""")
 def knowledge_parts(spark, sf_dir):
-    k = reports.knowledge(stored(semantics.understand(parsed(spark)))).where("aksi IS NOT NULL")
+    k = reports.knowledge(stored(semantics.understand(parsed(spark, sf_dir)))).where("aksi IS NOT NULL")
     return k.select("doc_id", "sent_idx", "frame_nama", F.round("frame_skor", 6).alias("frame_skor"), "agen", "aksi", "pasien", F.concat_ws(",", "slot_kosong").alias("slot_kosong"), "n_inferensi")
 
 
 @query()
 def anaphora(spark, sf_dir):
-    return semantics.references(semantics.understand(parsed(spark)))
+    return semantics.references(semantics.understand(parsed(spark, sf_dir)))
+
 
+#: Types that the tables give: a source is an organisation, and the languages of its documents are kinds of it.
+TYPES_SQL = values("sup0", "t, p", R.SUPERTYPES.items()) + """, sup AS (SELECT * FROM sup0 UNION SELECT upper(source), 'ORGANISASI' FROM documents UNION SELECT upper(lang) || '@' || upper(source), upper(source) FROM documents)"""
 
-@query("WITH RECURSIVE " + values("sup", "t, p", R.SUPERTYPES.items()) + ", kinds AS (SELECT t FROM sup UNION SELECT p FROM sup), c AS (SELECT t AS tipe, t AS supertipe FROM kinds UNION ALL SELECT c.tipe, sup.p FROM c JOIN sup ON c.supertipe = sup.t) SELECT tipe, supertipe FROM c")
+
+@query("WITH RECURSIVE " + TYPES_SQL + ", c AS (SELECT t AS tipe, t AS supertipe FROM (SELECT t FROM sup UNION SELECT p FROM sup) UNION SELECT c.tipe, sup.p FROM c JOIN sup ON c.supertipe = sup.t) SELECT tipe, supertipe FROM c")
 def subtype_closure(spark, sf_dir):
-    return semantics.subtype_closure(spark)
+    return knowledge.closure(knowledge.add_types(knowledge.base(spark), _types(spark, sf_dir)).supertypes)
+
+
+def _types(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.upper("source").alias("s"), F.upper("lang").alias("l")).distinct()
+    return d.select(F.col("s").alias("tipe"), F.lit("ORGANISASI").alias("induk")).unionByName(d.select(F.concat("l", F.lit("@"), "s").alias("tipe"), F.col("s").alias("induk"))).distinct()
+
+
+#: Rules added at run time. Each noun that documents have is an entity of the kind of the source and language it comes from
+#: first; each verb is an action 'ucap', but those of odd length 'gerak'.
+NEW_RULES = [("UCAPAN_MENYEBUT", "ucap", "ORGANISASI", None, ["agen MENYEBUT pasien", "pasien DISEBUT_OLEH agen"], "universal", 4), ("UCAPAN_SUMBER", "ucap", "SRC1", "ORGANISASI", ["agen MENGENAL pasien"], "universal", 2),
+             ("GERAK_MENCAPAI", "gerak", None, "SRC3", ["agen MENCAPAI pasien", "penerima MENERIMA pasien"], "universal", 3), ("GERAK_ORANG", "gerak", "PERSONA", None, ["agen BERGERAK menuju pasien"], "universal", 3)]
+
+
+def _added_base(spark, sf_dir) -> knowledge.Base:
+    t = table(spark, sf_dir, "documents").where("lang IN ('en', 'fr')").select("doc_id", "lang", "source", F.explode(tokens(F.col("text"))).alias("kata"))
+    t = t.groupBy("kata", "lang").agg(F.min_by(F.upper("source"), "doc_id").alias("s"))
+    nouns = t.where("lang = 'en'").select("kata", F.concat(F.lit("EN@"), "s").alias("tipe"))
+    verbs = t.where("lang = 'fr'").select("kata", F.when(F.char_length("kata") % 2 == 1, "gerak").otherwise("ucap").alias("tipe"))
+    new = spark.createDataFrame(NEW_RULES, "aturan string, aksi string, agen string, pasien string, kesimpulan array<string>, domain string, prioritas int")
+    kb = knowledge.add_types(knowledge.base(spark), _types(spark, sf_dir))
+    return knowledge.add_rules(knowledge.add_actions(knowledge.add_words(kb, nouns), verbs), new)
+
+
+def _added_sql() -> str:
+    words = f"kt AS (SELECT kata, lang, upper(arg_min(source, doc_id)) AS s FROM (SELECT doc_id, lang, source, unnest({TOKENS}) AS kata FROM documents WHERE lang IN ('en', 'fr')) GROUP BY kata, lang)"
+    return "WITH RECURSIVE " + _knowledge_sql({
+        "wr": values("wr", RULE_COLUMNS, rule_rows([*R.WORLD_RULES, *sorted(NEW_RULES, key=lambda r: r[0])])),
+        "sb5": TYPES_SQL + ", sb5 AS (SELECT t AS atas, t AS tipe FROM (SELECT t FROM sup UNION SELECT p FROM sup) UNION SELECT sup.p, sb5.tipe FROM sb5 JOIN sup ON sb5.atas = sup.t)",
+        "et": words + ", " + values("et0", "kata, tipe", R.ENTITY_TYPES.items()) + ", et AS (SELECT kata, 'EN@' || s AS tipe FROM kt WHERE lang = 'en' UNION ALL SELECT * FROM et0 WHERE kata NOT IN (SELECT kata FROM kt WHERE lang = 'en'))",
+        "at5": values("at0", "kata, tipe", R.ACTION_TYPES.items()) + ", at5 AS (SELECT kata, CASE WHEN length(kata) % 2 = 1 THEN 'gerak' ELSE 'ucap' END AS tipe FROM kt WHERE lang = 'fr' UNION ALL SELECT * FROM at0 WHERE kata NOT IN (SELECT kata FROM kt WHERE lang = 'fr'))",
+    }).removeprefix("WITH ")
+
+
+ADDED = _added_sql()
+
+
+@query(ADDED + " SELECT doc_id, sent_idx, CAST(urutan AS INT) AS urutan, pernyataan, relasi, CAST(keyakinan AS DOUBLE) AS keyakinan, aturan FROM inf")
+def knowledge_inferences(spark, sf_dir):
+    """What the base with words, types and rules added at run time concludes from the sentences."""
+    i = knowledge.inferences(semantics.proposition(parsed(spark, sf_dir)), _added_base(spark, sf_dir)).select("doc_id", "sent_idx", F.posexplode("inferensi").alias("urutan", "x"))
+    return i.select("doc_id", "sent_idx", "urutan", "x.pernyataan", "x.relasi", "x.keyakinan", "x.aturan")
+
+
+@query(ADDED + " SELECT doc_id, subjek, relasi, objek, count(*) AS n, max(CAST(keyakinan AS DOUBLE)) AS keyakinan FROM inf GROUP BY ALL")
+def knowledge_facts(spark, sf_dir):
+    return knowledge.facts(knowledge.inferences(semantics.proposition(parsed(spark, sf_dir)), _added_base(spark, sf_dir)))
+
+
+@query(ADDED + """ SELECT (SELECT count(DISTINCT aturan) FROM wr) AS n_aturan, (SELECT count(*) FROM et) AS n_entitas, (SELECT count(*) FROM at5) AS n_aksi, (SELECT count(DISTINCT tipe) FROM sb5) AS n_tipe""")
+def knowledge_sizes(spark, sf_dir):
+    return knowledge.sizes(_added_base(spark, sf_dir))
+
+
+@query(ADDED + """, ps AS (SELECT DISTINCT x.tipe AS tipe, y.tipe AS supertipe FROM (SELECT DISTINCT tipe FROM et) x, (SELECT tipe FROM (VALUES ('ORGANISASI'), ('SRC1'), ('PERSONA')) v(tipe)) y)
+SELECT ps.tipe, ps.supertipe, sb5.tipe IS NOT NULL AS adalah FROM ps LEFT JOIN sb5 ON sb5.tipe = ps.tipe AND sb5.atas = ps.supertipe""")
+def knowledge_subtypes(spark, sf_dir):
+    kb = _added_base(spark, sf_dir)
+    pairs = kb.entities.select("tipe").distinct().select("tipe", F.explode(F.array(*[F.lit(x) for x in ("ORGANISASI", "SRC1", "PERSONA")])).alias("supertipe"))
+    return knowledge.is_subtype(pairs, knowledge.closure(kb.supertypes))
 
 
 STEPS_SQL = listed([a + b for a, b in R.ROLE_STEPS])
@@ -957,20 +1128,20 @@ ln AS (SELECT doc_id, sent_idx, count(DISTINCT v) AS k FROM (SELECT doc_id, sent
 ag AS (SELECT count(*) AS n_sentences, sum(coalesce(sp, 0))::DOUBLE / count(*) AS spok_completeness, sum(coalesce(k::DOUBLE / n, 0)) / count(*) AS dep_coherence FROM sent LEFT JOIN qs USING (doc_id, sent_idx) LEFT JOIN ln USING (doc_id, sent_idx))
 SELECT n_sentences, round(spok_completeness, 6) AS spok_completeness, round(order_validity, 6) AS order_validity, round(dep_coherence, 6) AS dep_coherence, round((spok_completeness + order_validity + dep_coherence) / 3, 6) AS overall FROM ag, ov""")
 def structure_validity(spark, sf_dir):
-    m = metrics.structural(checks.edges(parsed(spark)))
+    m = metrics.structural(checks.edges(parsed(spark, sf_dir)))
     return m.select("n_sentences", *[F.round(c, 6).alias(c) for c in ("spok_completeness", "order_validity", "dep_coherence", "overall")])
 
 
 @query(SCORE + """, rb AS (SELECT kategori, least(1, skor) AS skor, energi < 0.5 AND NOT anomali AS valid FROM sk JOIN sent ON sent.doc_id = sk.doc_id AND sent.sent_idx = sk.sent_idx)
 SELECT kategori, count(*) AS run_size, count(*) FILTER (valid) AS valid_count, round(count(*) FILTER (valid)::DOUBLE / count(*), 6) AS valid_rate, round(avg(skor), 6) AS average_score FROM rb GROUP BY ROLLUP (kategori)""")
 def robustness_report(spark, sf_dir):
-    a = checks.analyse(parsed(spark).join(seeds.sentences(spark).select("doc_id", "sent_idx", "kategori"), ["doc_id", "sent_idx"]))
+    a = checks.analyse(parsed(spark, sf_dir).join(sentence_rows(spark, sf_dir).select("doc_id", "sent_idx", "kategori"), ["doc_id", "sent_idx"]))
     return metrics.robustness(a).select("kategori", "run_size", "valid_count", F.round("valid_rate", 6).alias("valid_rate"), F.round("average_score", 6).alias("average_score"))
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_score_sql(Config.preset(x))} SELECT {lit(x)} AS preset, count(*) FILTER (energi < 0.5 AND NOT anomali) AS n_valid, round(avg(least(1, skor)), 6) AS skor FROM sk)" for x in PRESETS))
 def preset_scores(spark, sf_dir):
-    p = parsed(spark)
+    p = parsed(spark, sf_dir)
     out = None
     for name in PRESETS:
         a = checks.analyse(p, Config.preset(name)).agg(F.lit(name).alias("preset"), F.count_if("valid").alias("n_valid"), F.round(F.avg("skor"), 6).alias("skor"))
@@ -984,8 +1155,7 @@ def _documents_sql() -> str:
     Sentences may be long there, so edges are counted by roots: one without a domain is joined with all others, pairs are
     formed of roots with domains alone. Triangles are no part of a score.
     """
-    text = r"trim(regexp_replace(translate(text, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '[\s\p{Z}]+', ' ', 'g'))"
-    sql = SCORE.replace(values("sent", "doc_id, sent_idx, text, kategori", _seed_rows()), f"{SENT_ROWS}, sent AS (SELECT doc_id, sent_idx, {text} AS text, '' AS kategori FROM sents)", 1)
+    sql = SCORE.replace(SENT_SQL, f"{SENT_ROWS}, sent AS (SELECT doc_id, sent_idx, {SPACED} AS text, '' AS kategori FROM sents)", 1).replace(RAW_SQL, SEED_RAW_SQL, 1)
     from_, to = sql.index("gap AS (SELECT"), sql.index("al AS (SELECT CAST(sent.doc_id")
     return sql[:from_] + f"""ro AS (SELECT doc_id, sent_idx, root, any_value(kata) AS kata, any_value(domain) AS domain, any_value(kelas) AS kelas, count(*) AS c, min(idx) AS f, max(idx) AS l FROM tk GROUP BY doc_id, sent_idx, root),
 sisi AS (SELECT DISTINCT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y FROM (SELECT a.doc_id, a.sent_idx, a.root AS ra, b.root AS rb, {_distance_case()} AS d FROM ro a JOIN ro b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.root <> b.root AND a.f < b.l WHERE a.domain IS NOT NULL AND b.domain IS NOT NULL) WHERE d <= 1.5),
@@ -1015,20 +1185,20 @@ th AS (SELECT DISTINCT doc_id, sent_idx, d AS t FROM jr), rr AS (SELECT ak.doc_i
 mt AS (SELECT a.doc_id, a.sent_idx, a.root, min(t) AS death FROM ak a JOIN rr ON rr.doc_id = a.doc_id AND rr.sent_idx = a.sent_idx AND rr.r = a.root JOIN ak b ON b.doc_id = a.doc_id AND b.sent_idx = a.sent_idx AND b.root = rr.z AND b.f < a.f GROUP BY a.doc_id, a.sent_idx, a.root)
 SELECT CAST(ak.doc_id AS BIGINT) AS doc_id, CAST(ak.sent_idx AS INT) AS sent_idx, round(coalesce(CAST(death AS DOUBLE), 'inf'::DOUBLE), 6) AS death, root FROM ak LEFT JOIN mt USING (doc_id, sent_idx, root)""")
 def barcodes(spark, sf_dir):
-    b = homology.barcode(parsed(spark)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
+    b = homology.barcode(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
     return b.select("doc_id", "sent_idx", F.round("b.death", 6).alias("death"), "b.root")
 
 
 @query("WITH b5 AS (" + SQL["barcodes"] + """), s5 AS (SELECT doc_id, sent_idx, count(*) AS n_batang, count(*) FILTER (death = 'inf'::DOUBLE) AS n_abadi, coalesce(max(death) FILTER (death < 'inf'::DOUBLE), 0) AS terlama, coalesce(avg(death) FILTER (death < 'inf'::DOUBLE), 0) AS rata_rata FROM b5 GROUP BY ALL)
 SELECT doc_id, sent_idx, CAST(n_batang AS INT) AS n_batang, CAST(n_abadi AS INT) AS n_abadi, round(terlama, 6) AS terlama, round(rata_rata, 6) AS rata_rata FROM s5""")
 def barcode_summary(spark, sf_dir):
-    b = reports.barcode_summary(homology.barcode(parsed(spark))).where("n_batang > 0")
+    b = reports.barcode_summary(homology.barcode(parsed(spark, sf_dir))).where("n_batang > 0")
     return b.select("doc_id", "sent_idx", "n_batang", "n_abadi", F.round("terlama", 6).alias("terlama"), F.round("rata_rata", 6).alias("rata_rata"))
 
 
 @query()
 def fuzzy_lookup(spark, sf_dir):
-    w = morphology.words_of(seeds.sentences(spark), ["doc_id", "sent_idx"]).select(F.col("teks").alias("word"))
+    w = morphology.words_of(sentence_rows(spark, sf_dir), ["doc_id", "sent_idx"]).select(F.col("teks").alias("word"))
     return homology.fuzzy(w, seeds.lexicon(spark)).select("word", "kata", F.round("ratio", 6).alias("ratio"))
 
 
@@ -1184,15 +1354,11 @@ def encoded_sequences(spark, sf_dir):
 
 
 #: Entries of a dictionary made of documents: each distinct token is a lemma, the languages of its documents are its classes.
-CLASS_OF = {"en": "n", "fr": "v", "de": "adj", "es": "adv"}
-CLASS_SQL = "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in CLASS_OF.items()) + " END"
 DICT_SQL = f"""en3 AS (SELECT token AS lemma, {CLASS_SQL} AS pos, min(doc_id) AS seq, count(*) AS freq FROM (SELECT doc_id, lang, unnest({TOKENS}) AS token FROM documents) GROUP BY token, lang),
 di3 AS (SELECT lemma, min(seq) AS seq, arg_min(pos, seq) AS pos, count(*) AS n_entries FROM en3 GROUP BY lemma), dl3 AS (SELECT lemma, row_number() OVER (ORDER BY seq, lemma) AS id, pos, n_entries FROM di3)"""
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    from ..functions.text import chosen
-
     t = table(spark, sf_dir, "documents").select("doc_id", chosen(F.col("lang"), CLASS_OF).alias("pos"), F.explode(tokens(F.col("text"))).alias("lemma"))
     return t.groupBy("lemma", "pos").agg(F.min("doc_id").alias("seq"), F.count(F.lit(1)).alias("freq")).withColumn("definition", F.lit(None).cast("string"))
 
