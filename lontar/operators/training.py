@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sequences
 from ..functions.text import in_list
 from ..plans.rules import ACTION_VERBS, DOMAIN_WORDS, OBJECTS, SUBJECTS, TEMPLATES
 
@@ -144,45 +145,7 @@ def vo_pairs(texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
 
 # ---- loss curves: (key, step, loss) ---------------------------------------------------------------------------------
-def curve(df: DataFrame, key: str, step: str, loss: str, history: int = 50, recent: int = 10) -> DataFrame:
-    """Adds trend (slope over the last 50 steps, 0 for under five), stagnant and recent (mean of the last 10)."""
-    w = Window.partitionBy(key).orderBy(step)
-    h, r = w.rowsBetween(-(history - 1), 0), w.rowsBetween(-(recent - 1), 0)
-    x = F.row_number().over(w).cast("double")
-    df = df.withColumn("_x", x)
-    slope = F.when(F.count(loss).over(h) >= 5, F.coalesce(F.regr_slope(F.col(loss), F.col("_x")).over(h), F.lit(0.0))).otherwise(0.0)
-    return df.withColumn("trend", slope).withColumn("stagnant", F.abs(F.col("trend")) < 1e-4).withColumn("recent", F.avg(loss).over(r)).drop("_x")
-
-
-#: Steps whose weights are summed in one go; weights stay far inside a double's range.
-BLOCK = 64
-
-
-def ema(df: DataFrame, key: str, step: str, loss: str, alpha: float = 0.9) -> DataFrame:
-    """Adds ema: alpha * before + (1 - alpha) * loss, from the first value; exact for any alpha from 0 to 1.
-
-    Steps go in blocks of BLOCK: inside a block the average is a running sum of weighted values, and a block adds to the
-    one before it by its last step alone, so what is folded in order is one number for each block.
-    """
-    if not 0 <= alpha <= 1:
-        raise ValueError(alpha)
-    if alpha < 1e-4:  # weights of a block would leave a double's range; what is older than four steps is below 1e-16
-        w = Window.partitionBy(key).orderBy(step)
-        past = F.collect_list(loss).over(w.rowsBetween(-5, 0))
-        return df.withColumn("ema", F.aggregate(F.slice(past, 2, 5), F.get(past, 0), lambda a, x: a * alpha + x * (1 - alpha)))
-    w = Window.partitionBy(key).orderBy(step)
-    d = df.withColumn("_n", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_n") / BLOCK)).withColumn("_i", F.col("_n") % BLOCK)
-    inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.when(F.col("_n") == 0, 1.0).otherwise(1.0 - alpha)  # the first value counts whole
-    d = d.withColumn("_s", F.pow(F.lit(alpha), F.col("_i")) * F.sum(share * F.col(loss) * F.pow(F.lit(alpha), -F.col("_i"))).over(inside))
-    ends = d.groupBy(key, "_b").agg(F.max_by("_s", "_i").alias("s")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "s"))).alias("e"))
-    whole = alpha ** BLOCK
-    # the average at the end of each block, in order: what the next block starts from
-    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
-    run = F.aggregate("e", start, lambda acc, x: F.struct((acc["a"] * whole + x["s"]).alias("a"), F.concat(acc["out"], F.array(acc["a"])).alias("out")), lambda acc: acc["out"])
-    ends = ends.select(F.col(key).alias("_k"), F.posexplode(run).alias("_eb", "_before"))
-    j = d.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_eb")))
-    return j.withColumn("ema", F.col("_s") + F.pow(F.lit(alpha), F.col("_i") + 1) * F.col("_before")).drop("_n", "_b", "_i", "_s", "_k", "_eb", "_before")
+curve, ema = sequences.curve, sequences.ema
 
 
 def relation_loss(by: DataFrame, least: float = 0.3) -> DataFrame:
@@ -238,3 +201,55 @@ def learning_rate(step, base: float, warmup: int, total: int):
     """Linear warm-up, then half a cosine."""
     p = (step - warmup) / float(max(1, total - warmup))
     return F.when(step < warmup, base * step / float(max(1, warmup))).otherwise(base * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * p)))
+
+
+# ---- loss weights that follow the losses -----------------------------------------------------------------------------
+#: Of each loss, its weight's first value, its bounds, and the loss's threshold.
+LOSS_WEIGHTS = {"morph": (1.0, 0.3, 2.0, 0.3), "struct": (0.8, 0.3, 1.5, 0.4), "sem": (0.6, 0.2, 1.2, 0.5), "ctx": (1.0, 0.5, 2.0, 0.3), "ar": (1.5, 0.5, 3.0, 0.5)}
+ADAPT_EVERY, ADAPT_RATE, MOST_WEIGHT = 10, 0.05, 8.0
+
+
+def next_weights(weights: list[float], recent: list[float], rate: float = ADAPT_RATE) -> list[float]:
+    """All weights' next values from their losses' recent means (adapted()'s rule), scaled down where they pass MOST_WEIGHT together."""
+    out = []
+    for w, loss, (_, low, high, threshold) in zip(weights, recent, LOSS_WEIGHTS.values()):
+        w *= 1 + 2 * rate if loss > threshold * 1.5 else 1 + rate if loss > threshold else 1 - rate * 0.5 if loss < threshold * 0.5 else 1.0
+        out.append(max(low, min(high, w)))
+    total = sum(out)
+    return [w * (MOST_WEIGHT / total) for w in out] if total > MOST_WEIGHT else out
+
+
+def controlled(df: DataFrame, key: str, step: str, rate: float = ADAPT_RATE) -> DataFrame:
+    """(key, step, l_<loss>..., w_<loss>...): the weights in force after each step of a run.
+
+    df has a column l_<loss> for each of LOSS_WEIGHTS; null: not measured at that step. Every ten steps the weights follow the
+    means of the losses measured in the last ten (none: 0). The means come from ranges of the run; the weights depend on each
+    other and on their own bounds, so they are a fold in order: one row of ten goes through it, in a stream that keeps five
+    numbers, and all other rows look up theirs.
+    """
+    import pandas as pd
+
+    names = list(LOSS_WEIGHTS)
+    rows, segments = sequences.laid_out(df.select(key, step, *[F.col(f"l_{x}").cast("double").alias(f"l_{x}") for x in names]), [key], [step])
+    d = sequences.with_halo(rows, segments, [key], ADAPT_EVERY - 1)
+    last = Window.partitionBy(key, "_p").orderBy("_n").rowsBetween(-(ADAPT_EVERY - 1), 0)
+    at = d.select(key, "_n", "_halo", *[F.coalesce(F.avg(f"l_{x}").over(last), F.lit(0.0)).alias(f"r_{x}") for x in names])
+    at = at.where(f"NOT _halo AND (_n + 1) % {ADAPT_EVERY} = 0").select(key, (F.col("_n") + 1).alias("_n"), *[f"r_{x}" for x in names])
+
+    def fold(batches):
+        now, weights = None, []
+        for p in batches:
+            out = []
+            for row in p.itertuples(index=False):
+                k = None if pd.isna(row[0]) else row[0]
+                if (k,) != now:
+                    now, weights = (k,), [x[0] for x in LOSS_WEIGHTS.values()]
+                weights = next_weights(weights, list(row[2:]), rate)
+                out.append((row[0], row[1], *weights))
+            yield pd.DataFrame(out, columns=[key, "_n", *[f"w_{x}" for x in names]])
+
+    kind = df.schema[key].dataType.simpleString()
+    done = at.repartition(key).sortWithinPartitions(key, "_n").mapInPandas(fold, f"{key} {kind}, _n long, " + ", ".join(f"w_{x} double" for x in names))
+    j = rows.withColumn("_m", F.floor((F.col("_n") + 1) / ADAPT_EVERY) * ADAPT_EVERY).alias("l")
+    j = j.join(done.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._m") == F.col("r._n")), "left")
+    return j.select(f"l.{key}", f"l.{step}", *[f"l.l_{x}" for x in names], *[F.coalesce(F.col(f"r.w_{x}"), F.lit(LOSS_WEIGHTS[x][0])).alias(f"w_{x}") for x in names])

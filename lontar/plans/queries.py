@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import chosen, segments, sentences, normalise, tokens
-from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, reports, semantics, training, vocabulary
+from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, relations, reports, semantics, sequences, training, vocabulary
 from ..operators.storage import looked_up, stored
 from ..sources import seeds
 from . import rules as R
@@ -1417,6 +1417,90 @@ def context_tags(spark, sf_dir):
     return dependency.tags(rows, ["conv_id", "turn"], _counts(spark, sf_dir)).select("conv_id", "turn", "idx", "tag")
 
 
+# ---- relations of entries ----------------------------------------------------------------------------------------------------
+#: Edges that the tables give: words that stand beside each other twice or more, in user turns as synonyms, in others as hyponyms.
+RELATED_SQL = PAIRS_SQL + """, rl2 AS (SELECT a AS kata, CASE kelompok WHEN 'user' THEN 'sinonim' ELSE 'hiponim' END AS jenis, b AS ke, CAST(row_number() OVER (PARTITION BY kelompok, a ORDER BY n DESC, b) - 1 AS INT) AS urut FROM nb WHERE n >= 2 AND a <> b),
+nr2 AS (SELECT kata, count(*) AS n FROM rl2 GROUP BY kata), tg2x AS (SELECT kata, ke FROM rl2 QUALIFY row_number() OVER (PARTITION BY kata ORDER BY CASE jenis WHEN 'sinonim' THEN 0 ELSE 1 END, urut, ke) <= 3)"""
+
+
+def _related(spark, sf_dir) -> DataFrame:
+    n = neighbours(spark, sf_dir).where("n >= 2 AND a <> b")
+    place = F.row_number().over(Window.partitionBy("kelompok", "a").orderBy(F.desc("n"), "b")) - 1
+    return n.select(F.col("a").alias("kata"), F.when(F.col("kelompok") == "user", "sinonim").otherwise("hiponim").alias("jenis"), F.col("b").alias("ke"), place.cast("int").alias("urut"))
+
+
+@query(f"WITH {RELATED_SQL} SELECT kata, jenis, count(*) AS n FROM rl2 GROUP BY kata, jenis")
+def relation_degrees(spark, sf_dir):
+    return relations.degrees(_related(spark, sf_dir))
+
+
+@query(PARSE + f""", {RELATED_SQL}, dm2(c, i) AS (VALUES {', '.join(f"({lit(x)}, {i})" for i, x in enumerate(R.DOMAINS))}), tt2 AS (SELECT DISTINCT teks, root, kelas, domain FROM hasil),
+ow2 AS (SELECT domain, min(i) AS i FROM (SELECT DISTINCT lower(domain) AS domain FROM tt2) JOIN dm2 ON contains(domain, c) OR contains(c, domain) GROUP BY domain),
+nb2 AS (SELECT t.kata, list(DISTINCT i) AS ns FROM tg2x t JOIN lex ON lex.kata = t.ke JOIN dm2 ON contains(lower(lex.domain), c) GROUP BY t.kata),
+rw2 AS (SELECT tt2.*, lex.kelas AS pos, [CASE WHEN tt2.domain IS NULL THEN 0 WHEN x = ow2.i THEN 1 WHEN list_contains(nb2.ns, x) THEN 0.3 ELSE 0 END::DOUBLE for x in range(0, {len(R.DOMAINS)})] AS v, coalesce(nr2.n, 0) AS k
+ FROM tt2 LEFT JOIN lex ON lex.kata = lower(tt2.root) LEFT JOIN ow2 ON ow2.domain = lower(tt2.domain) LEFT JOIN nb2 ON nb2.kata = lower(tt2.root) LEFT JOIN nr2 ON nr2.kata = lower(tt2.root))
+SELECT teks, root, kelas, array_to_string([CAST(round(CASE WHEN list_sum(v) > 0 THEN x / list_sum(v) ELSE 0 END * 1000000) AS BIGINT) for x in v], ' ') AS domain_vektor, CASE WHEN pos IS NULL THEN 0.2::DOUBLE WHEN k > 10 THEN 0.4 WHEN k > 5 THEN 0.6 ELSE 0.8 END AS yakin FROM rw2""")
+def relation_vectors(spark, sf_dir):
+    """Domain vectors (in millionths) and certainty of the analysed words, with what their relations add."""
+    t = parsed(spark, sf_dir).select(F.explode("tokens").alias("t")).select("t.teks", "t.root", "t.kelas", "t.pos", "t.domain", "t.serapan", "t.proper").distinct()
+    v = relations.vectors(t, dictionary_lexicon(spark, sf_dir), _related(spark, sf_dir))
+    part = F.transform(F.slice("vektor", 1, len(R.DOMAINS)), lambda x: F.round(x * 1000000).cast("long").cast("string"))
+    return v.select("teks", "root", "kelas", F.array_join(part, " ").alias("domain_vektor"), F.element_at("vektor", -1).alias("yakin")).distinct()
+
+
+# ---- runs and tables in time ---------------------------------------------------------------------------------------------------
+LOSS_OF = {"morph": "value / 100", "struct": "value / 60", "sem": "CASE WHEN event_id % 7 <> 0 THEN value / 40 END", "ctx": "value / 25", "ar": "1.0 / (1.0 + value)"}
+
+
+def _weights_sql() -> str:
+    n = list(training.LOSS_WEIGHTS)
+    new = {x: f"greatest({lo}::DOUBLE, least({hi}::DOUBLE, f.w_{x} * CASE WHEN r_{x} > {t}::DOUBLE * 1.5 THEN 1.1::DOUBLE WHEN r_{x} > {t}::DOUBLE THEN 1.05::DOUBLE WHEN r_{x} < {t}::DOUBLE * 0.5 THEN 0.975::DOUBLE ELSE 1 END))" for x, (_, lo, hi, t) in training.LOSS_WEIGHTS.items()}
+    total = " + ".join(f"x_{x}" for x in n)
+    return f"""WITH RECURSIVE ev AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, {', '.join(f"coalesce(avg({e.replace('1.0 /', '1.0::DOUBLE /')}) OVER w, 0) AS r_{x}" for x, e in LOSS_OF.items())} FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+f AS (SELECT DISTINCT event_type, 0::BIGINT AS i, {', '.join(f'{training.LOSS_WEIGHTS[x][0]}::DOUBLE AS w_{x}' for x in n)} FROM ev
+ UNION ALL SELECT event_type, i, {', '.join(f'CASE WHEN {total} > 8 THEN x_{x} * (8.0::DOUBLE / ({total})) ELSE x_{x} END' for x in n)} FROM (SELECT f.event_type, ev.i, {', '.join(f'{e} AS x_{x}' for x, e in new.items())} FROM f JOIN ev ON ev.event_type = f.event_type AND ev.i = f.i + 10))
+SELECT ev.event_type, event_id, {', '.join(f'round(w_{x}, 6) AS w_{x}' for x in n)} FROM ev JOIN f ON f.event_type = ev.event_type AND f.i = ev.i // 10 * 10"""
+
+
+@query(_weights_sql())
+def loss_weights(spark, sf_dir):
+    """The dynamic controller over the events of each type as a run."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", *[F.expr(x).cast("double").alias(f"l_{k}") for k, x in LOSS_OF.items()])
+    return training.controlled(e, "event_type", "event_id").select("event_type", "event_id", *[F.round(f"w_{x}", 6).alias(f"w_{x}") for x in training.LOSS_WEIGHTS])
+
+
+@query("""WITH RECURSIVE x AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS i FROM events), f AS (SELECT i, value::DOUBLE AS ema FROM x WHERE i = 1 UNION ALL SELECT x.i, 0.9::DOUBLE * ema + (1 - 0.9::DOUBLE) * value FROM f JOIN x ON x.i = f.i + 1)
+SELECT event_id, round(ema, 6) AS ema, round(CASE WHEN count(*) OVER h >= 5 THEN regr_slope(value, x.i) OVER h ELSE 0 END, 6) AS trend, round(avg(value) OVER r, 6) AS recent FROM x JOIN f USING (i) WINDOW h AS (ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), r AS (ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def whole_run(spark, sf_dir):
+    """All events as one run: average and trend, whose ranges no task passes."""
+    e = table(spark, sf_dir, "events").select(F.lit("semua").alias("run"), "event_id", "value")
+    c = sequences.curve(sequences.ema(e, "run", "event_id", "value"), "run", "event_id", "value")
+    return c.select("event_id", F.round("ema", 6).alias("ema"), F.round("trend", 6).alias("trend"), F.round("recent", 6).alias("recent"))
+
+
+AS_OF_SQL = """e AS (SELECT event_id, user_id, CAST(DATE '1992-01-01' + CAST(event_id % 2500 AS INT) AS DATE) AS hari FROM events), o AS (SELECT {key} AS user_id, CAST(o_orderdate AS DATE) AS sejak, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)"""
+
+
+def _dated(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2500).cast("int")).alias("hari"))
+    return e, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("sejak"), "o_orderkey")
+
+
+@query(f"WITH {AS_OF_SQL.format(key='o_custkey')} SELECT event_id, e.user_id, CAST(sejak AS VARCHAR) AS sejak, o_orderkey FROM e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.hari >= o.sejak")
+def events_as_of_orders(spark, sf_dir):
+    """Each event with its user's last order up to that day."""
+    e, o = _dated(spark, sf_dir)
+    return sequences.as_of(e, o, ["user_id"], "hari", "sejak").select("event_id", "user_id", F.col("sejak").cast("string").alias("sejak"), "o_orderkey")
+
+
+@query(f"WITH {AS_OF_SQL.format(key='1')} SELECT event_id, CAST(sejak AS VARCHAR) AS sejak, o_orderkey FROM e ASOF LEFT JOIN o ON o.user_id = 1 AND e.hari > o.sejak")
+def events_as_of_all(spark, sf_dir):
+    """Each event with the last order of all before that day: one key has all rows."""
+    e, o = _dated(spark, sf_dir)
+    one = lambda df: df.withColumn("user_id", F.lit(1))
+    return sequences.as_of(one(e), one(o), ["user_id"], "hari", "sejak", strictly=True).select("event_id", F.col("sejak").cast("string").alias("sejak"), "o_orderkey")
+
+
 def queries() -> dict:
     return dict(Q)
 
