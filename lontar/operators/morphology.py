@@ -63,15 +63,27 @@ def informal(w):
     return F.exists(F.array(*[F.lit(x.lower()) for x in R.INFORMAL_EXAMPLES]), lambda x: F.contains(x, F.lower(w)))
 
 
-def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """words (teks, lanjut: not a sentence's first) -> one row each: root, kelas, peran, afiks, redup, base, serapan,
-    proper, ada, and of the root's entry: domain, pos."""
+def _forms(words: DataFrame) -> DataFrame:
+    """words with lw and what its affixes leave: p, k, inner, s, and c: all forms that are looked up."""
     w = words.select("teks", "lanjut").distinct().withColumn("lw", F.lower("teks"))
     w = held(held(w, "p", prefix_of(F.col("lw"))), "k", F.array(*confix_roots(F.col("lw"))))
     w = held(held(w, "inner", F.coalesce("p.root", "lw")), "s", suffix_of(F.col("inner")))
-    cands = F.array_distinct(F.filter(F.concat(F.array("lw", "p.root", "inner", "s.root"), F.col("k")), lambda x: x.isNotNull()))
+    return w.withColumn("c", F.array_distinct(F.filter(F.concat(F.array("lw", "p.root", "inner", "s.root"), F.col("k")), lambda x: x.isNotNull())))
+
+
+def needs(words: DataFrame) -> DataFrame:
+    """(kata, teks, lanjut): the entries, there or not, on which each word's analysis depends."""
+    w = _forms(words)
+    halves = F.split("lw", "-")  # of a repeated word, either half may be the root
+    return w.select("teks", "lanjut", F.explode(F.array_distinct(F.concat("c", F.when(F.size(halves) == 2, halves).otherwise(F.array().cast("array<string>"))))).alias("kata")).select("kata", "teks", "lanjut")
+
+
+def analyse_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (teks, lanjut: not a sentence's first) -> one row each: root, kelas, peran, afiks, redup, base, serapan,
+    proper, ada, and of the root's entry: domain, pos."""
+    w = _forms(words)
     lex = L.small(lexicon.select("kata", "kelas"))
-    hits = w.select("teks", "lanjut", F.explode(cands).alias("kata")).join(lex, "kata")
+    hits = w.select("teks", "lanjut", F.explode("c").alias("kata")).join(lex, "kata")
     hits = hits.groupBy("teks", "lanjut").agg(F.map_from_entries(F.collect_list(F.struct("kata", "kelas"))).alias("m"))
     w = w.join(hits, ["teks", "lanjut"], "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>")))
 

@@ -12,12 +12,8 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a temporary folder only where that is unset on one machine) and read again.
-
-    The shuffles of the write are dropped as it ends: nothing reads them again.
-    """
-    spark = df.sparkSession
+def scratch(spark) -> str:
+    """A new folder name below spark.checkpoint.dir (below a temporary folder only where that is unset on one machine)."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -26,7 +22,16 @@ def stored(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="lontar-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/lontar-{uuid.uuid4().hex}.parquet"
+    return f"{root.rstrip('/')}/lontar-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in a scratch() folder and read again.
+
+    The shuffles of the write are dropped as it ends: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch(spark) + ".parquet"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import chosen, segments, sentences, normalise, tokens
-from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, relations, reports, semantics, sequences, training, vocabulary
-from ..operators.storage import looked_up, stored
+from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, relations, renewal, reports, semantics, sequences, training, vocabulary
+from ..operators.storage import looked_up, scratch, stored
 from ..sources import seeds
 from . import rules as R
 
@@ -1501,6 +1501,35 @@ def events_as_of_all(spark, sf_dir):
     return sequences.as_of(one(e), one(o), ["user_id"], "hari", "sejak", strictly=True).select("event_id", F.col("sejak").cast("string").alias("sejak"), "o_orderkey")
 
 
+# ---- a lexicon that changes ----------------------------------------------------------------------------------------------------
+#: Changes: of the entries that documents give, those of five letters that begin with t become verbs of law, those of four that end in n go.
+LAW_SQL = "length(kata) = 5 AND starts_with(kata, 't')"
+GONE_SQL = "length(kata) = 4 AND ends_with(kata, 'n')"
+
+
+def _renewed_sql() -> str:
+    begin = PARSE.index("lex AS (SELECT kata, kelas, domain, seq FROM x QUALIFY")
+    sql = PARSE[:begin] + "lex0" + PARSE[begin + len("lex"):]
+    end = sql.index(", pfx(")
+    return sql[:end] + f", lex AS (SELECT kata, CASE WHEN {LAW_SQL} THEN 'v' ELSE kelas END AS kelas, CASE WHEN {LAW_SQL} THEN 'hukum' ELSE domain END AS domain, seq FROM lex0 WHERE NOT ({GONE_SQL}))" + sql[end:]
+
+
+def _renewed(spark, sf_dir) -> str:
+    """A store of the sentences, twice renewed."""
+    path, lex = scratch(spark), dictionary_lexicon(spark, sf_dir)
+    renewal.create(sentence_rows(spark, sf_dir), lex, path)
+    renewal.renew(spark, path, lex.where(LAW_SQL.replace("starts_with", "startswith")).select("kata", F.lit("v").alias("kelas"), F.lit("hukum").alias("domain")))
+    renewal.renew(spark, path, lex.where(GONE_SQL.replace("ends_with", "endswith")).select("kata", F.lit(None).cast("string").alias("kelas"), F.lit(None).cast("string").alias("domain")))
+    return path
+
+
+@query(_renewed_sql() + " SELECT doc_id, sent_idx, idx, teks, root, kelas, peran, afiks, ada, domain FROM hasil")
+def renewed_tokens(spark, sf_dir):
+    """Tokens after two changes of the lexicon, of which each re-analysed only what it touched."""
+    p = renewal.read(spark, _renewed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("tokens").alias("t"))
+    return p.select("doc_id", "sent_idx", "t.idx", "t.teks", "t.root", "t.kelas", "t.peran", F.concat_ws(",", F.transform("t.afiks", lambda a: a["bentuk"])).alias("afiks"), "t.ada", "t.domain")
+
+
 def queries() -> dict:
     return dict(Q)
 
