@@ -4,9 +4,11 @@ Texts (A-Z lower-cased) are cut into pieces at punctuation and line ends, pieces
 words are counted only where both of their (k-1)-word parts were frequent. What the level before found frequent is
 broadcast as a bitmap of hashes: 16 bits a phrase, MOST_BITS (16 MB) at most however many there are. A phrase that the
 bitmap lets through by chance is counted like any other and dropped by its exact count, so results do not depend on the
-bitmap. The pass after pairs keeps the runs in which every pair may be frequent; longer phrases are counted in these runs
-alone, without reading the texts again. Tasks count FLUSH words at a time before anything is shuffled, so the most
-frequent phrase is a few rows. Counts and scores are exact (decimals of 38 digits, whole-number division).
+bitmap. Pairs of frequent words are first counted by hash, which says which may be frequent (two of one hash count
+together, so none is missed); a pass keeps the runs in which every pair may be, equal ones once with their number. Pairs
+and longer phrases are counted by their words in these runs alone, without reading the texts again. Tasks count FLUSH words at a time before anything is
+shuffled, so the most frequent phrase is a few rows. Counts and scores are exact (decimals of 38 digits, whole-number
+division).
 
 Everything is per lang (null: `und`). Null and empty texts have no words. Rows are counted each for itself, repeated or
 not; doc_id is not used, and extra columns are ignored. Very long texts are read whole, one at a time. An empty table gives
@@ -15,10 +17,11 @@ an empty result.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +29,46 @@ from .common import release, split_join, stored
 
 LONGEST, LEAST, TOP, MISSING = 5, 100, 2000, "und"
 MOST_BITS = 1 << 27
-FLUSH = 1 << 21
-_CUT = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
+FLUSH = 1 << 20
+_CUT = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 _U = np.uint64
 
 
 class _Words(dict):
-    """Numbers for words as they are first met; 0 is the end of a piece."""
+    """Numbers for words of a lang as they are first met; 0 is the end of a piece. known: their langs and the words."""
 
-    def __init__(self, lang: str, known: list):
+    def __init__(self, lang: str, known: tuple):
         super().__init__({b".": 0})
-        self.lang, self.known = lang, known
+        self.lang, (self.langs, self.words) = lang, known
 
     def __missing__(self, w: bytes) -> int:
-        self.known.append((self.lang, w))
-        self[w] = len(self.known) - 1
+        self.langs.append(self.lang)
+        self.words.append(w)
+        self[w] = len(self.words) - 1
         return self[w]
 
 
 def _blocks(batches):
-    """(known words, their numbers in order of text) of FLUSH words and more at a time; a text is never parted."""
-    known, ids, langs = [("", b"")], [], {}
+    """(known words, their numbers in order of text, how often each text stands) of FLUSH words and more at a time; a text is never parted."""
+    known, ids, langs, ends, times = ([""], [b""]), [], {}, [0], []
+
+    def block():
+        return known, np.array(ids, np.int64), np.repeat(np.array(times, np.int64), np.diff(ends))
+
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+        n = b.column("n").to_pylist() if "n" in b.schema.names else [1] * b.num_rows
+        for lang, text, k in zip(b.column("lang").to_pylist(), b.column("text"), n):
             if lang not in langs:
                 langs[lang] = _Words(lang, known)
-            ids.extend(map(langs[lang].__getitem__, _CUT.sub(b" . ", text.as_py().lower()).split()))
+            ids.extend(map(langs[lang].__getitem__, text.as_py().lower().translate(_CUT).replace(b".", b" . ").split()))
             ids.append(0)
+            ends.append(len(ids))
+            times.append(k)
             if len(ids) > FLUSH:
-                yield known, np.array(ids, np.int64)
-                known, ids, langs = [("", b"")], [], {}
+                yield block()
+                known, ids, langs, ends, times = ([""], [b""]), [], {}, [0], []
     if ids:
-        yield known, np.array(ids, np.int64)
+        yield block()
 
 
 def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -75,7 +86,7 @@ def _word_hash(lang: str, w: bytes) -> int:
 
 def _starts(known, ids, k: int) -> np.ndarray:
     """Hash of the k-word phrase that begins at each place (of no meaning where a piece ends before)."""
-    word = np.array([_word_hash(*x) for x in known], _U)[ids]
+    word = np.array(list(map(_word_hash, *known)), _U)[ids]
     h = word
     for j in range(1, k):
         h = _mixed(h[:-1], word[j:])
@@ -89,11 +100,12 @@ def _may(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _rows(known, ids, at: np.ndarray, k: int, n: np.ndarray):
     """Arrow rows (lang, phrase, f) of the phrases at the given places."""
+    langs, words = pa.array(known[0]), pa.array(known[1], pa.binary())
     for i in range(0, len(at), 1 << 16):
         some = at[i : i + (1 << 16)]
-        words = [[known[x][1] for x in ids[some + j].tolist()] for j in range(k)]
-        phrases = pa.array([b" ".join(x) for x in zip(*words)], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([known[x][0] for x in ids[some].tolist()]), phrases, pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["lang", "phrase", "f"])
+        phrases = [words.take(pa.array(ids[some + j])) for j in range(k)]
+        phrases = pc.binary_join_element_wise(*phrases, b" ") if k > 1 else phrases[0]
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[some])), phrases.cast(pa.string()), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["lang", "phrase", "f"])
 
 
 def _open(known, ids, k: int, bits: np.ndarray) -> np.ndarray:
@@ -110,9 +122,9 @@ def _open(known, ids, k: int, bits: np.ndarray) -> np.ndarray:
 
 def _words(texts: DataFrame) -> DataFrame:
     def run(batches):
-        for known, ids in _blocks(batches):
-            n = np.bincount(ids, minlength=len(known))
-            first = np.full(len(known), -1)
+        for known, ids, times in _blocks(batches):
+            n = np.bincount(ids, minlength=len(known[0]))
+            first = np.full(len(n), -1)
             first[ids[::-1]] = np.arange(len(ids))[::-1]
             first, n = first[1:], n[1:]
             yield from _rows(known, ids, first[n > 0], 1, n[n > 0])
@@ -124,42 +136,62 @@ def _phrases(texts: DataFrame, k: int, bitmap) -> DataFrame:
     """(lang, phrase, f) of each task's FLUSH words: phrases of k words with two parts that may be frequent."""
     def run(batches):
         bits = np.frombuffer(bitmap.value, _U)
-        for known, ids in _blocks(batches):
+        for known, ids, times in _blocks(batches):
             at = _open(known, ids, k, bits)
             h = _starts(known, ids, k)[at] if len(at) else np.zeros(0, _U)
-            _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
             if len(at) and any((ids[at + j] != ids[at[first][back] + j]).any() for j in range(k)):  # two phrases of one hash
                 whole = np.stack([ids[at + j] for j in range(k)], 1)
-                _, first, n = np.unique(whole, axis=0, return_index=True, return_counts=True)
+                _, first, back = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+                back = back.reshape(-1)
+            n = np.zeros(len(first), np.int64)
+            np.add.at(n, back, times[at])
             yield from _rows(known, ids, at[first], k, n)
 
     return texts.mapInArrow(run, "lang string, phrase string, f long")
 
 
+def _pairs(texts: DataFrame, bitmap) -> DataFrame:
+    """(h, f): hashes of pairs of frequent words, and how often each task met them."""
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, _U)
+        for known, ids, times in _blocks(batches):
+            h, n = np.unique(_starts(known, ids, 2)[_open(known, ids, 2, bits)], return_counts=True)
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["h", "f"])
+
+    return texts.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
 def _runs(texts: DataFrame, bitmap) -> DataFrame:
-    """(lang, text): the longest runs of three words and more in which every pair may be frequent."""
+    """(lang, text, n): the longest runs of two words and more in which every pair may be frequent, and how often each stands."""
     def run(batches):
         bits = np.frombuffer(bitmap.value, _U)
-        for known, ids in _blocks(batches):
-            if len(ids) < 3:
+        for known, ids, _ in _blocks(batches):
+            if len(ids) < 2:
                 continue
             pair = (ids[:-1] > 0) & (ids[1:] > 0) & _may(bits, _starts(known, ids, 2))
             edge = np.flatnonzero(np.diff(np.r_[False, pair, False].astype(np.int8)))
-            begin, end = edge[::2], edge[1::2]
-            long = end - begin >= 2
-            begin, end = begin[long].tolist(), (end[long] + 1).tolist()
-            for i in range(0, len(begin), 1 << 14):
-                some = list(zip(begin[i : i + (1 << 14)], end[i : i + (1 << 14)]))
-                yield pa.RecordBatch.from_arrays([pa.array([known[ids[a]][0] for a, _ in some]), pa.array([b" ".join([known[x][1] for x in ids[a:b].tolist()]) for a, b in some], pa.binary())], ["lang", "text"])
+            whole = ids.astype(np.int32).tobytes()
+            found = Counter(whole[a:b] for a, b in zip((edge[::2] * 4).tolist(), (edge[1::2] * 4 + 4).tolist()))
+            keys, n = list(found), list(found.values())
+            for i in range(0, len(keys), 1 << 14):
+                some = [np.frombuffer(x, np.int32).tolist() for x in keys[i : i + (1 << 14)]]
+                yield pa.RecordBatch.from_arrays([pa.array([known[0][x[0]] for x in some]), pa.array([b" ".join([known[1][w] for w in x]) for x in some], pa.binary()), pa.array(n[i : i + (1 << 14)], pa.int64())], ["lang", "text", "n"])
 
-    return texts.mapInArrow(run, "lang string, text binary")
+    return texts.mapInArrow(run, "lang string, text binary, n long").groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(level: DataFrame):
-    """A broadcast bitmap of the phrases' hashes: 16 bits for each, between 2^16 and MOST_BITS in all."""
+    """A broadcast bitmap of hashes (h), or of the phrases' hashes: 16 bits for each, between 2^16 and MOST_BITS in all."""
     size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (level.count() * 16).bit_length()))
 
     def run(batches):
+        for b in batches:
+            at = b.column("h").to_numpy().view(_U) % _U(size)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+
+    def run_phrases(batches):
         for b in batches:
             h = []
             for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
@@ -170,7 +202,8 @@ def _bitmap(level: DataFrame):
             at = np.concatenate(h).astype(_U) % _U(size) if h else np.zeros(0, _U)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
 
-    words = level.select("lang", "phrase").mapInArrow(run, "at long").selectExpr("at div 64 AS i", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit")
+    at = level.select("h").mapInArrow(run, "at long") if "h" in level.columns else level.select("lang", "phrase").mapInArrow(run_phrases, "at long")
+    words = at.selectExpr("at div 64 AS i", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit")
     got = words.groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
     bits = np.zeros(size // 64, np.int64)
     bits[got.column("i").to_numpy()] = got.column("bits").to_numpy()
@@ -188,13 +221,19 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")))
     found = [stored(words.where(F.col("f") >= least))]
     release(docs.sparkSession, words)
+    if longest > 1:
+        bitmap = _bitmap(found[0])
+        pairs = stored(_pairs(texts, bitmap).where(F.col("f") >= least))
+        likely = _bitmap(pairs)
+        texts = stored(_runs(texts, likely))
+        release(docs.sparkSession, pairs)
+        bitmap.unpersist()
+        likely.unpersist()
     for k in range(2, longest + 1):
         bitmap = _bitmap(found[-1])
-        if k == 3:
-            texts = stored(_runs(texts, bitmap))
         found.append(stored(_frequent(_phrases(texts, k, bitmap), least)))
         bitmap.unpersist()
-    if longest > 2:
+    if longest > 1:
         release(docs.sparkSession, texts)
     out = found[0].withColumn("m", F.lit(1))
     for m, level in enumerate(found[1:], 2):
