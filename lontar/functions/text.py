@@ -13,41 +13,18 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, "’‘“”", "''\"\""), r"(?U)\s+", " "))
 
 
-def unstable(form: str) -> str:
-    """A pattern that every text has that the normal form changes: marks, joining letters, and letters that change alone."""
-    import sys
-    import unicodedata
-
-    if form not in _UNSTABLE:
-        runs: list[list[int]] = []
-        for c in range(128, sys.maxunicode + 1):
-            if not 0xD800 <= c < 0xE000 and unicodedata.normalize(form, chr(c)) != chr(c):
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
-                else:
-                    runs.append([c, c])
-        _UNSTABLE[form] = r"[\p{M}\x{1160}-\x{11FF}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
-    return _UNSTABLE[form]
-
-
-_UNSTABLE: dict[str, str] = {}
-
-
 def composed(df: DataFrame, name: str = "text", form: str = "NFC") -> DataFrame:
-    """A normal form (NFC, NFKC) of a column; only rows that it may change leave the JVM. Null stays null."""
+    """A normal form (NFC, NFKC) of a column, in one pass; only texts with other than ASCII leave the JVM, and only those that change come back. Null stays null."""
     import unicodedata
 
     import pandas as pd
 
     def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize(form, x) if x is not None else None)
+        return s.map(lambda x: None if x is None or unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x))
 
     normal.__annotations__ = {"s": pd.Series, "return": pd.Series}
     t = F.col(name)
-    # ASCII texts need no look
-    marked = F.when(F.octet_length(t) > F.char_length(t), t.rlike(unstable(form))).otherwise(False)
-    rest = df.where(~marked)
-    return rest.unionByName(df.where(marked).withColumn(name, F.pandas_udf(normal, "string")(F.col(name))))
+    return df.withColumn(name, F.coalesce(F.pandas_udf(normal, "string")(F.when(F.octet_length(t) > F.char_length(t), t)), t))
 
 
 def segments(c: Column) -> Column:

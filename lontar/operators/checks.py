@@ -311,17 +311,22 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
 
     A sentence's roots are points, joined if their distance is within the threshold. For thresholds from 1.5 to 2.3,
     as all presets have, a root without a domain joins all, so components are those of the sentence's domains; beyond
-    that range use topology_any. Likewise two roots with domains are joined if their domains are of one group, or one is
+    that range kinds of words decide, and an Arrow function counts (homology.joined). Likewise two roots with domains are joined if their domains are of one group, or one is
     of ekonomi and stands somewhere before the other, of hukum or pendidikan. So edges and triangles are counted from
     how many roots each group has; pairs are not formed, and the work grows with the sentence's length.
     """
     config = config or Config()
     thr = float(config.threshold)
-    if not 1.5 <= thr < 2.3:
-        raise ValueError("topology: thresholds from 1.5 up to 2.3; see topology_any")
     t, n = F.col("tokens"), F.col("n")
     df = _roots(df)
     k = F.col("_k")
+    if not 1.5 <= thr < 2.3:
+        from .homology import counted
+
+        df = counted(held(df, "_a", F.filter(k, lambda x: ~x["twice"])), thr)
+        df = held(df, "n_sisi", F.col("hitung.sisi") + F.size(F.filter(k, lambda x: x["twice"])))
+        df = df.withColumn("n_segitiga", F.col("hitung.segitiga") + F.col("hitung.sisi") - F.col("hitung.sendiri") + F.size(F.filter(k, lambda x: x["thrice"])))
+        return _topological(df.withColumn("_lonely", F.col("hitung.terpencil")).withColumn("betti0", F.col("hitung.betti0")), t, n).drop("_a", "hitung")
     known = F.filter(k, lambda x: x["domain"].isNotNull())
     df = held(df, "_a", F.filter(k, lambda x: ~x["twice"]))
     df = held(held(_joined(_joined(df, "_e", "_k"), "_e1", "_a"), "_law", _law(k)), "_trade", _trade(k))
@@ -338,7 +343,12 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     b0 = F.when(n == 0, 0).when((n == 1) | (free > 0), 1).otherwise(F.size("_g") - F.when(F.col("_e.cross") > 0, 1).otherwise(0))
     df = held(df, "n_sisi", F.col("_e.all") + F.size(F.filter(k, lambda x: x["twice"])))
     df = held(df.withColumn("n_segitiga", triangles + twice + thrice).withColumn("_lonely", F.when(free > 0, _none("string")).otherwise(F.transform(lonely, lambda x: x["root"]))), "betti0", b0.cast("int"))
-    df = df.withColumn("_r", F.transform(k, lambda x: x["root"]))
+    return _topological(df, t, n).drop("_a", "_law", "_trade", "_e", "_e1", "_g")
+
+
+def _topological(df: DataFrame, t, n) -> DataFrame:
+    """What follows from n_sisi, n_segitiga, betti0 and _lonely."""
+    df = df.withColumn("_r", F.transform("_k", lambda x: x["root"]))
     df = df.withColumn("betti1", F.greatest(F.lit(0), F.col("n_sisi") - n + F.col("betti0"))).withColumn("euler", n - F.col("n_sisi") + F.col("n_segitiga"))
     df = df.withColumn("terpencil", F.when(n >= 2, F.col("_lonely")).otherwise(_none("string")))
     trivial = n <= 1
@@ -349,7 +359,7 @@ def topology(df: DataFrame, config: Config | None = None) -> DataFrame:
     v = lambda words, sev: F.struct(F.lit("topologis").alias("tipe"), words.alias("tokens"), F.lit("topologis").alias("dimensi"), F.lit(sev).alias("severitas"), F.lit("topologi").alias("asal"))
     apart = F.when(~trivial & (F.col("betti0") > 1), F.array(v(F.slice("_r", 1, 4), 0.8))).otherwise(_none(VIOLATION))
     cycle = F.when(F.col("_x") > 0, F.array(v(F.transform(F.slice(t, 1, 3), lambda x: x["root"]), 0.5))).otherwise(_none(VIOLATION))
-    return held(df, "topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_k", "_a", "_law", "_trade", "_e", "_e1", "_g", "_lonely", "_r", "_x")
+    return held(df, "topologi", F.concat(F.transform("terpencil", lambda r: v(F.array(r), 0.7)), apart, cycle)).drop("_k", "_lonely", "_r", "_x")
 
 
 def score(df: DataFrame) -> DataFrame:
