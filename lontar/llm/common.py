@@ -70,14 +70,15 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             delete(spark, path)
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, n: str, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, n: str, by: tuple[str, ...], how: str = "inner", total: int | None = None) -> DataFrame:
     """left joined with right on key, whatever share of left's rows a key has.
 
     right has one row a key; its column n, which is dropped, counts left's rows of that key. A key with more than one
     HOT-th of all rows is dealt in pieces by a hash of left's columns `by`, and its row of right goes to each piece.
-    There can be no more than HOT such keys, whatever the table's size; only their pieces are broadcast.
+    There can be no more than HOT such keys, whatever the table's size; only their pieces are broadcast. total: left's rows,
+    where they are known (about).
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
+    total = (right.agg(F.sum(n)).first()[0] or 0) if total is None else total
     share = max(total / HOT, 100.0)
     hot = right.where(F.col(n) > share).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / share).cast("int").alias("_pieces"))
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")

@@ -1,9 +1,10 @@
 """Connected components of a graph given as an edge table, by alternating large and small stars.
 
 Each round relinks every node to the least node it knows (large star: its larger neighbours; small star: its smaller
-ones and itself) until nothing changes; then each node's one neighbour is its component's least node. Rounds work by
-joins on (node, least neighbour) with partial aggregates before each shuffle, so a node of very high degree is never
-gathered in one task; each round's edges are written to the shared checkpoint folder, which cuts the lineage.
+ones and itself) until nothing changes; then each node's one neighbour is its component's least node. Least neighbours are
+partial minima before their shuffle, and edges meet them by a join in which a node with over a thousandth of all edges is
+dealt in pieces, so a hub is never gathered in one task; each round's edges are written to the shared checkpoint folder,
+which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import release, split_join, stored
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
+def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
+    """total: about how many edges there are."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else \
         e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    j = both.join(low, "u")
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    j = split_join(both, low, "u", "n", ("v",), total=total * 2 if large else total)
     if large:
         out = j.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -34,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, total = None, e.count()
     while True:
-        before, e = e, stored(_star(_star(e, True), False))
+        before, e = e, stored(_star(_star(e, True, total), False, total))
         release(spark, before)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        mark, total = now, now[0]

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-#: Up to so many windows of items (about 150 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many windows of items (about 150 bytes each), and as many names of items with them, are broadcast; more are joined by
+#: a shuffle in which grams that many documents have are dealt in pieces.
 SMALL = 1_000_000
 
 
@@ -64,10 +65,11 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each row of docs: rid, doc_id, n_words, spans (array of start and length of hit windows), items."""
-    from .common import stored
+    from .common import split_join, stored
 
     wins = stored(item_windows(items))
-    small = wins.limit(SMALL + 1).count() <= SMALL
+    size = wins.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("k")).first()
+    small = size.n <= SMALL and size.k <= SMALL
     lens = sorted(r[0] for r in wins.where(F.col("len") < WINDOW).select("len").distinct().collect())  # nine at most
     d = _with_grams(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")).drop("text")
     near = lambda p, size: F.slice(F.col("h"), F.greatest(p - SPAN + 1, F.lit(0)) + 1, size)
@@ -82,11 +84,17 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts += [short(k) for k in lens]
     e = d.select("rid", "doc_id", F.explode(F.concat(*parts)).alias("e")).select("rid", "doc_id", "e.*")
     w = wins.select(F.col("hash").alias("w_hash"), "off", F.col("len").alias("w_len"), "words", "items")
-    w = F.broadcast(w) if small else w
     start = F.col("p") - F.col("off")
     base = F.when(F.col("w_len") < WINDOW, F.col("p")).otherwise(F.greatest(F.col("p") - SPAN + 1, F.lit(0)))
     same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
-    m = e.join(w, same, "left").where(F.col("p").eqNullSafe(-1) | F.col("w_hash").isNotNull())
+    if small:
+        m = e.join(F.broadcast(w), same, "left").where(F.col("p").eqNullSafe(-1) | F.col("w_hash").isNotNull())
+    else:
+        e = stored(e)
+        counted = e.where(F.col("p") >= 0).groupBy("hash").agg(F.count(F.lit(1)).alias("met"))
+        of_hash = w.groupBy(F.col("w_hash").alias("hash")).agg(F.collect_list(F.struct("w_hash", "off", "w_len", "words", "items")).alias("w")).join(counted, "hash")
+        met = split_join(e.where(F.col("p") >= 0), of_hash, "hash", "met", ("rid", "p")).withColumn("w", F.explode("w")).select(*e.columns, "w.*").where(same)
+        m = met.unionByName(e.where(F.col("p") == -1), allowMissingColumns=True)
     equal = F.when(start >= 0, F.slice("near", F.greatest(start - base, F.lit(0)) + 1, F.col("w_len")) == F.col("words"))
     m = m.where((F.col("p") == -1) | equal)
     mark = F.when(F.col("p") >= 0, F.struct(start.alias("start"), F.col("w_len").alias("len")))

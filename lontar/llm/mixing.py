@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import split_join, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS, SEED = 1.5, 2, "mix-17"
-#: Above so many sources their table is joined by a shuffle.
+#: Above so many sources their table is joined by a shuffle, in which sources with many rows are dealt in pieces.
 SMALL = 50_000
 
 
@@ -75,10 +75,15 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights:
     same = ["_mix_source", "_source_size", "_target", "_mix_whole", "_mix_left"]
     cut = cut.groupBy(*same).agg(F.max(last).alias("e"))
     cut = stored(cut.select(*same, F.coalesce("e.b", F.lit(-1)).alias("_mix_edge"), F.coalesce("e.before", F.lit(0)).alias("_mix_before")))
-    cut = F.broadcast(cut) if cut.limit(SMALL + 1).count() <= SMALL else cut
+    small = cut.limit(SMALL + 1).count() <= SMALL
     # the size is worked out after the edge's filter, so that the edge's branch reads few texts' words
     j = docs.withColumn("_mix_dg", order_of(seed)).withColumn("_mix_b", bucket(F.col("_mix_dg")))
-    j = j.join(cut, F.col("source").eqNullSafe(F.col("_mix_source")))
+    if small:
+        j = j.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("_mix_source")))
+    else:
+        name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+        rows = docs.groupBy(name(F.col("source")).alias("_mix_k")).agg(F.count(F.lit(1)).alias("_mix_n"))
+        j = split_join(j.withColumn("_mix_k", name(F.col("source"))), cut.withColumn("_mix_k", name(F.col("_mix_source"))).join(rows, "_mix_k"), "_mix_k", "_mix_n", ("_mix_dg",)).drop("_mix_k")
     sized = lambda d: d.withColumn("_size", size_of(F.col("text")))
     far = sized(j.where("_mix_b <> _mix_edge")).withColumn("_mix_once", F.when(F.col("_mix_b") < F.col("_mix_edge"), F.col("_size")).otherwise(0))
     w = Window.partitionBy("_mix_source").orderBy("_mix_dg", "_size").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,9 @@ in one of their two 32-bit segments. So each distinct fingerprint enters a table
 within one bit of a segment (33 of them) is looked up; what meets there is verified on all 64 bits. Within a table
 entry only the links of a spanning forest leave the task: as many as members, never all pairs.
 
-Links join connected components. Work after the fingerprints is by distinct fingerprint, so copies cost nothing.
+Links join connected components. Work after the fingerprints is by distinct fingerprint, so copies cost nothing; a
+fingerprint with over a thousandth of the rows is dealt in pieces when rows meet their component. Very long texts are read
+whole; extra columns, whatever their names, are ignored.
 Null or empty text has no words: fingerprint zero, linked as any other. Rows that repeat a doc_id get each their own
 fingerprint; component_id is the least doc_id reachable (null ids are never that, unless all are null).
 """
@@ -119,15 +121,15 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id of each row."""
-    from .common import stored
+    from .common import split_join, stored
 
     f = stored(fingerprints(docs))
-    each = f.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    each = stored(f.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(each.select("fp"), bits))
     each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = each.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return f.join(ids, "fp").select("doc_id", "fp", "component_id")
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    ids = split_join(each.select("fp", "root", "n"), least, "root", "m", ("fp",)).select("fp", "n", "component_id")
+    return split_join(f, ids, "fp", "n", ("doc_id",)).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -39,8 +39,10 @@ def brute_hits(docs, items):
         yield d, len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_decontamination(spark, seed):
+@pytest.mark.parametrize("seed,small", [(0, None), (1, None), (2, None), (1, 0)])
+def test_decontamination(spark, monkeypatch, seed, small):
+    if small is not None:  # by a shuffle
+        monkeypatch.setattr(decontaminate, "SMALL", small)
     r = random.Random(seed)
     voc = [f"w{i}" for i in range(6 + 6 * seed)] + ["École", "été", "漢字"]
     text = lambda n: " ".join(r.choice(voc).upper() if r.random() < 0.2 else r.choice(voc) for _ in range(n))
@@ -129,6 +131,15 @@ def test_links_of_close_fingerprints(spark):
     assert classes(range(len(fps)), lambda a, b: frozenset((a, b)) in pairs) == classes(range(len(fps)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
 
 
+def test_simhash_of_a_hot_fingerprint(spark):
+    """Two thirds of all rows are one text; each row is answered, whatever its columns are called."""
+    docs = [(i, "one text that is in most of the rows") for i in range(4000)] + [(4000 + i, f"word{i} other{i} third{i} fourth{i}") for i in range(2000)] + [(9000, "a very long text " * 30000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("root", F.lit(2)).repartition(5)
+    got = {x.doc_id: x for x in simhash.report(d).collect()}
+    assert len(got) == 6001 and all(got[i].component_id == 0 for i in range(4000))
+    assert all(int(got[i].fingerprint, 16) == brute_fp(t) for i, t in docs[3990:4050] + docs[-1:])
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(r.randint(2000, 2200), r.randint(2000, 2200)) for _ in range(150)] + [(5, 5)]
@@ -137,6 +148,10 @@ def test_components(spark):
     nodes = sorted({n for e in edges for n in e})
     want = classes(nodes, lambda a, b: frozenset((a, b)) in pairs)
     assert got == {n: x for n, x in want.items() if n != x}
+    # a hub with most edges, a long chain, and both again
+    hub = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(7000, i) for i in range(7001, 7900)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(hub, "a long, b long").repartition(6)).collect()}
+    assert got == {**{i: 0 for i in range(1, 3000)}, **{5001 + i: 5000 for i in range(40)}, **{i: 7000 for i in range(7001, 7900)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
