@@ -100,38 +100,98 @@ def likeness(a, b):
     return F.when(union > 0, both / union).otherwise(1.0)
 
 
-def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", order: str = "doc_id", rounds: int = 200) -> DataFrame:
+#: Up to so many rows of a key are settled in one task, in order.
+TASK_ROWS = 2000
+#: Numbers of 64 bits in a row's signs.
+SIGNS = 16
+
+
+def in_order(sets, least: float) -> list[int]:
+    """Places of the sets (arrays of distinct numbers, in order) that are kept: those similar to no kept one before."""
+    import numpy as np
+
+    if not len(sets):
+        return []
+    size = np.array([len(x) for x in sets])
+    _, back = np.unique(np.concatenate(sets), return_inverse=True)
+    words = np.split(back, np.cumsum(size)[:-1])
+    holders: dict = {}  # of each word, the kept sets that have it
+    kept, empty = [], False
+    for i, w in enumerate(words):
+        if not len(w):
+            if not empty:
+                kept.append(i)
+            empty = True
+            continue
+        met = [holders[x] for x in w.tolist() if x in holders]
+        if met:
+            n = np.bincount(np.concatenate(met), minlength=len(kept))
+            both = size[kept]
+            if (n >= least * (size[i] + both - n) - 1e-12)[n > 0].any():
+                continue
+        for x in w.tolist():
+            holders.setdefault(x, []).append(len(kept))
+        kept.append(i)
+    return kept
+
+
+def _by_task(rest: DataFrame, least: float) -> DataFrame:
+    """(id) kept of (id, key, words): each key's rows in one task, in order of id."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        key, ids, sets = None, [], []
+        for b in batches:
+            words = b.column("words")
+            flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
+            for j, (k, i) in enumerate(zip(b.column("key").to_pylist(), b.column("id").to_pylist())):
+                if k != key and ids:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in in_order(sets, least)], pa.int64())], ["id"])
+                    ids, sets = [], []
+                key = k
+                ids.append(i)
+                sets.append(np.array(flat[ends[j] : ends[j + 1]]))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in in_order(sets, least)], pa.int64())], ["id"])
+
+    return rest.select("id", "key", "words").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "id long")
+
+
+def near_dedup(df: DataFrame, s: Settings = Settings(), text: str = "text", order: str = "doc_id") -> DataFrame:
     """Rows kept when, in order, a row goes if its word set is similar (Jaccard) to a kept one with the same key.
 
-    In each round the first row left of each key is kept and all others of the key are held against it alone; those
-    similar to it go. That is the rule itself: no pairs are formed, and a key's rows meet one row in each round. When a
-    round settles less than a tenth of the rows left, or after `rounds` of them, keys with many kept rows remain, and
-    settled() applies the same rule to what is left. Rows without `order` come last, those that share it are in the order of
-    their texts' hashes, and of fully equal rows one is kept. A round's table is deleted once the next is written.
+    A key of up to TASK_ROWS rows is settled in one task, row by row. Of larger keys the first row is kept and all others are
+    held against it alone, dealt in pieces; that goes on while each such round settles half of the rows left, as it does
+    with groups of copies. What is left then has many kept rows in a key, and settled() finds its similar pairs by rare words.
+    Rows without `order` come last, those that share it are in the order of their texts' hashes, and of fully equal rows one
+    is kept. Null texts are similar to each other, not to empty ones; rows without words are similar to each other.
     """
-    from .storage import release, stored
+    from .storage import looked_up, release, stored
 
     whole, shared_ids = numbered(df, text, order)
     df, order = whole, "_id"
-    key = F.xxhash64(near_key(F.col(text), s.key_length)).alias("key")
+    t = F.coalesce(F.col(text), F.lit(""))
+    key = F.xxhash64(near_key(F.col(text), s.key_length)).alias("key")  # null texts have a key of their own
     keys = stored(df.select(F.col(order).alias("id"), key).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     # a row that is alone with its key is kept, and its words do not travel
     kept = [keys.where("n = 1").select("id")]
-    shared = df.select(F.col(order).alias("id"), key, F.col(text).alias("t")).join(keys.where("n > 1").select("key"), "key", "left_semi")
-    rest = stored(shared.select("id", "key", F.array_distinct(F.transform(word_list(F.lower("t")), lambda w: F.xxhash64(w))).alias("words")))
-    n = rest.count()
-    for _ in range(rounds):
-        first = rest.groupBy("key").agg(F.min("id").alias("fid"))
-        lead = rest.join(first, "key").where("id = fid").select("key", "fid", F.col("words").alias("lw"))
-        kept.append(lead.select(F.col("fid").alias("id")))
-        kept[-1] = stored(kept[-1])
-        last, rest = rest, stored(rest.join(lead, "key").where((F.col("id") > F.col("fid")) & (likeness("words", "lw") < s.near_threshold)).select("id", "key", "words"))
-        release(last)
-        before, n = n, rest.count()
-        if n > 0.9 * before or not n:
-            break
-    if n:
-        kept += settled(rest, s.near_threshold)
+    words = F.array_distinct(F.transform(word_list(F.lower("t")), lambda w: F.xxhash64(w))).alias("words")
+    shared = looked_up(df.select(F.col(order).alias("id"), key, t.alias("t")), "key", keys.where("n > 1").select("key", "n")).where("n IS NOT NULL")
+    shared = shared.select("id", "key", "n", words)
+    kept.append(stored(_by_task(shared.where(F.col("n") <= TASK_ROWS), s.near_threshold)))
+    if not keys.where(F.col("n") > TASK_ROWS).isEmpty():
+        rest = stored(shared.where(F.col("n") > TASK_ROWS).select("id", "key", "words"))
+        n, before = rest.count(), None
+        while n and (before is None or n <= before / 2):
+            lead = rest.groupBy("key").agg(F.min("id").alias("fid"))
+            lead = stored(looked_up(rest, "key", lead).where("id = fid").select("key", "fid", F.col("words").alias("lw")))
+            kept.append(lead.select(F.col("fid").alias("id")))
+            last, rest = rest, stored(looked_up(rest, "key", lead).where((F.col("id") > F.col("fid")) & (likeness("words", "lw") < s.near_threshold)).select("id", "key", "words"))
+            release(last)
+            before, n = n, rest.count()
+        if n:
+            kept += settled(rest, s.near_threshold)
     ids = kept[0]
     for k in kept[1:]:
         ids = ids.unionByName(k)
@@ -157,10 +217,18 @@ def settled(rest: DataFrame, least: float) -> list[DataFrame]:
     rare = order.select("id", "key", size.alias("size"), F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("x"))
     rare = stored(rare.select("id", "key", "size", F.col("x.w").alias("w")))
 
+    # a bit of 1,024 for each word: words whose bit the other set lacks are not in it, which bounds what both share
+    one = lambda k: F.aggregate(F.filter("words", lambda w: F.pmod(w, F.lit(SIGNS)) == k), F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(w / SIGNS), F.lit(64)).cast("int"))))
+    signs = stored(rows.select("id", F.size("words").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(SIGNS - 1)), lambda k: one(k)).alias("s")))
+
     def similar(pairs):
-        """(a, b) of the pairs that are similar."""
+        """(a, b) of the pairs that are similar; their words meet only where signs and sizes allow it."""
+        a, b = (signs.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("s").alias(f"{c}s")) for c in "ab")
+        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, n: t + n)
+        both = F.least(F.col("an") - lacks("as", "bs"), F.col("bn") - lacks("bs", "as"))
+        near = pairs.distinct().join(a, "a").join(b, "b").where(both >= (F.col("an") + F.col("bn") - both) * least - 1e-9).select("a", "b")
         a, b = (rows.select(F.col("id").alias(c), F.col("words").alias(f"{c}w")) for c in "ab")
-        return pairs.distinct().join(a, "a").join(b, "b").where(likeness("aw", "bw") >= least).select("a", "b")
+        return near.join(a, "a").join(b, "b").where(likeness("aw", "bw") >= least).select("a", "b")
 
     kept, n = [], rows.count()
     ids = rows.select("id")

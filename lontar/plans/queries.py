@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config
 from ..functions.text import chosen, segments, sentences, normalise, tokens
-from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, relations, renewal, reports, semantics, sequences, training, vocabulary
+from ..operators import checks, corpus, dependency, dictionary, homology, knowledge, lexicon, metrics, morphology, noise, observed, projection, relations, renewal, reports, semantics, sequences, training, vocabulary
 from ..operators.storage import looked_up, scratch, stored
 from ..sources import seeds
 from . import rules as R
@@ -1530,6 +1530,58 @@ def renewed_tokens(spark, sf_dir):
     return p.select("doc_id", "sent_idx", "t.idx", "t.teks", "t.root", "t.kelas", "t.peran", F.concat_ws(",", F.transform("t.afiks", lambda a: a["bentuk"])).alias("afiks"), "t.ada", "t.domain")
 
 
+# ---- projections and observed runs ---------------------------------------------------------------------------------------------
+#: A fixed projection on 8 dimensions: entry (i, j) of the matrix, and of the bias.
+ENTRY, OUTPUTS = "((i * 7 + j * 13) % 11 - 5) / 10.0", 8
+
+
+@query(f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+p AS (SELECT vec_id, j, sum(x * ({ENTRY.replace('10.0', '10.0::DOUBLE')})) + j / 10.0::DOUBLE AS y FROM e, range({OUTPUTS}) r(j) GROUP BY vec_id, j)
+SELECT vec_id, array_to_string(list(CAST(round(y * 1000) AS BIGINT) ORDER BY j), ' ') AS proyeksi FROM p GROUP BY vec_id""")
+def embedding_projection(spark, sf_dir):
+    """Projected embeddings, in thousandths."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    m = [[((i * 7 + j * 13) % 11 - 5) / 10 for j in range(OUTPUTS)] for i in range(size)]
+    p = projection.projected(e, "embedding", m or [[0.0] * OUTPUTS], [j / 10 for j in range(OUTPUTS)])
+    return p.select("vec_id", F.array_join(F.transform("proyeksi", lambda y: F.round(y * 1000).cast("long").cast("string")), " ").alias("proyeksi"))
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v)::DOUBLE AS x FROM (SELECT vec_id, list_append(embedding, 1) AS v FROM embeddings))
+SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.x * b.x), 3) AS s FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
+def embedding_products(spark, sf_dir):
+    """The Gram matrix of all embeddings, with a constant behind their dimensions."""
+    e = table(spark, sf_dir, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return projection.products(e, "embedding", size).select("i", F.posexplode("s").alias("j", "s")).select("i", "j", F.round("s", 3).alias("s"))
+
+
+@query(_documents_sql() + """, rb AS (SELECT lang, least(1, skor) AS skor, energi < 0.5 AND NOT anomali AS valid FROM sk JOIN documents USING (doc_id))
+SELECT lang AS kategori, count(*) AS run_size, count(*) FILTER (valid) AS valid_count, round(count(*) FILTER (valid)::DOUBLE / count(*), 6) AS valid_rate, round(avg(skor) + 1e-9, 6) AS average_score, TRUE AS timed FROM rb GROUP BY ROLLUP (lang)""")
+def document_robustness(spark, sf_dir):
+    """The robustness report of all sentences of documents by language, observed in the pass that writes their scores."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
+    a = checks.analyse(morphology.parse(d.select("doc_id", "sent_idx", "text"), seeds.lexicon(spark))).select("doc_id", "sent_idx", "valid", "skor")
+    langs = [r[0] for r in d.select("lang").distinct().where("lang IS NOT NULL").limit(50).collect()]  # languages are few
+    r = observed.robustness(a.join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kategori")), "doc_id"), scratch(spark), langs)
+    return r.select("kategori", "run_size", "valid_count", F.round("valid_rate", 6).alias("valid_rate"), F.round(F.col("average_score") + 1e-9, 6).alias("average_score"), ((F.col("detik") > 0) & (F.col("per_detik") > 0)).alias("timed"))
+
+
+@query()
+def clean_stages(spark, sf_dir):
+    """Rows of each stage of cleaning documents, observed as they pass."""
+    return observed.clean_run(table(spark, sf_dir, "documents"), scratch(spark)).select("tahap", "baris", F.round("bagian", 6).alias("bagian"))
+
+
+@query()
+def document_bars(spark, sf_dir):
+    """Bars of every sentence of documents, summed by document: how many, how many end, and their mean end."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "text"))
+    b = homology.barcode(morphology.parse(d, dictionary_lexicon(spark, sf_dir))).select("doc_id", F.explode("bars").alias("b"))
+    ends = F.when(F.col("b.death") < float("inf"), F.col("b.death"))
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_bars"), F.count(ends).alias("n_ended"), F.round(F.coalesce(F.avg(ends), F.lit(0.0)), 6).alias("mean_end"))
+
+
 def queries() -> dict:
     return dict(Q)
 

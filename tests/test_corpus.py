@@ -47,7 +47,9 @@ def test_near_dedup(spark):
     assert got == set(brute_near(rows, s))
 
 
-def test_near_dedup_of_a_key_with_many_kept_rows(spark):
+@pytest.mark.parametrize("task_rows", [2000, 40, 1])
+def test_near_dedup_of_a_key_with_many_kept_rows(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(corpus, "TASK_ROWS", task_rows)
     import random
 
     r = random.Random(7)
@@ -63,7 +65,7 @@ def test_near_dedup_of_a_key_with_many_kept_rows(spark):
     rows, s = list(enumerate(texts)), corpus.Settings(key_length=40)
     want = set(brute_near(rows, s))
     assert len(want) > 200
-    got = corpus.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), s, rounds=3)
+    got = corpus.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), s)
     assert {r.doc_id for r in got.collect()} == want
 
 
