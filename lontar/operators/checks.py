@@ -269,7 +269,8 @@ def _roots(df: DataFrame) -> DataFrame:
     df = held(df, "_s", F.array_sort(F.transform("tokens", lambda x: F.struct(x["root"].alias("root"), x["idx"].alias("idx"), x["domain"].alias("domain")))))
     s = F.col("_s")
     same = lambda x, i: F.coalesce(F.get(s, i)["root"] == x["root"], F.lit(False))
-    group = lambda x: F.coalesce(chosen(x["domain"], R.DOMAIN_GROUPS), x["domain"])
+    # some domains are called like groups of others
+    group = lambda x: F.coalesce(F.concat(F.lit("="), chosen(x["domain"], R.DOMAIN_GROUPS)), x["domain"])
     runs = F.transform(s, lambda x, i: F.struct(x["idx"].alias("first"), x["root"].alias("root"), ((i > 0) & same(x, i - 1)).alias("again"), x["domain"].alias("domain"), group(x).alias("group"), same(x, i + 1).alias("twice"), same(x, i + 2).alias("thrice")))
     starts = F.filter(runs, lambda x: ~x["again"])
     last = F.transform(F.filter(runs, lambda x: ~x["twice"]), lambda x: x["first"])

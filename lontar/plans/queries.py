@@ -728,6 +728,11 @@ hasil AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent
 PARSE = _parse_sql()
 
 
+def plainly_parsed(spark, sf_dir) -> DataFrame:
+    """The sentences by the seed lexicon: most words are unknown to it, which keeps the SQL of scores and topology quick."""
+    return stored(morphology.parse(sentence_rows(spark, sf_dir), seeds.lexicon(spark)))
+
+
 def parsed(spark, sf_dir) -> DataFrame:
     return stored(morphology.parse(sentence_rows(spark, sf_dir), dictionary_lexicon(spark, sf_dir)))
 
@@ -787,13 +792,15 @@ TOPOLOGY = PARSE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 tk AS (SELECT doc_id, sent_idx, idx, root, lower(root) AS kata, hasil.domain, lex.kelas FROM hasil LEFT JOIN lex ON lex.kata = lower(root)),
 gap AS (SELECT a.doc_id, a.sent_idx, a.root AS ra, b.root AS rb, {_distance_case()} AS d FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx),
 sisi AS (SELECT DISTINCT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y FROM gap WHERE d <= 1.5),
-rc AS (SELECT DISTINCT doc_id, sent_idx, root AS r, root AS z FROM tk UNION SELECT rc.doc_id, rc.sent_idx, rc.r, CASE WHEN e.x = rc.z THEN e.y ELSE e.x END FROM rc JOIN sisi e ON e.doc_id = rc.doc_id AND e.sent_idx = rc.sent_idx AND (e.x = rc.z OR e.y = rc.z)),
-b0 AS (SELECT doc_id, sent_idx, count(DISTINCT m) AS b0 FROM (SELECT doc_id, sent_idx, r, min(z) AS m FROM rc GROUP BY ALL) GROUP BY ALL),
+ed AS (SELECT doc_id, sent_idx, x AS p, y AS q FROM sisi UNION SELECT doc_id, sent_idx, y, x FROM sisi),
+us AS (SELECT doc_id, sent_idx, count(DISTINCT root) AS v, count(DISTINCT CASE WHEN domain IS NOT NULL THEN root END) AS k FROM tk GROUP BY ALL),
+rc AS (SELECT DISTINCT doc_id, sent_idx, root AS r, root AS z FROM tk JOIN us USING (doc_id, sent_idx) WHERE v = k UNION SELECT rc.doc_id, rc.sent_idx, rc.r, e.q FROM rc JOIN ed e ON e.doc_id = rc.doc_id AND e.sent_idx = rc.sent_idx AND e.p = rc.z),
+b0 AS (SELECT doc_id, sent_idx, count(DISTINCT m) AS b0 FROM (SELECT doc_id, sent_idx, r, min(z) AS m FROM rc GROUP BY ALL) GROUP BY ALL UNION ALL SELECT doc_id, sent_idx, 1 FROM us WHERE v > k),
 n1 AS (SELECT doc_id, sent_idx, count(*) AS n FROM tk GROUP BY ALL), e1 AS (SELECT doc_id, sent_idx, count(*) AS e FROM sisi GROUP BY ALL),
 tri AS (SELECT a.doc_id, a.sent_idx, count(DISTINCT list_sort(list_distinct([a.root, b.root, c.root]))) AS f FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.idx < b.idx JOIN tk c ON b.doc_id = c.doc_id AND b.sent_idx = c.sent_idx AND b.idx < c.idx
  JOIN sisi p ON p.doc_id = a.doc_id AND p.sent_idx = a.sent_idx AND p.x = least(a.root, b.root) AND p.y = greatest(a.root, b.root) JOIN sisi q ON q.doc_id = a.doc_id AND q.sent_idx = a.sent_idx AND q.x = least(a.root, c.root) AND q.y = greatest(a.root, c.root)
  JOIN sisi s ON s.doc_id = a.doc_id AND s.sent_idx = a.sent_idx AND s.x = least(b.root, c.root) AND s.y = greatest(b.root, c.root) GROUP BY a.doc_id, a.sent_idx),
-iso AS (SELECT doc_id, sent_idx, count(*) AS i FROM (SELECT DISTINCT doc_id, sent_idx, root FROM tk) r WHERE NOT EXISTS (SELECT 1 FROM sisi e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND (e.x = r.root OR e.y = r.root)) GROUP BY ALL),
+iso AS (SELECT doc_id, sent_idx, count(*) AS i FROM (SELECT DISTINCT doc_id, sent_idx, root FROM tk) r WHERE NOT EXISTS (SELECT 1 FROM ed e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND e.p = r.root) GROUP BY ALL),
 al AS (SELECT CAST(sent.doc_id AS BIGINT) AS doc_id, CAST(sent.sent_idx AS INT) AS sent_idx, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 2 THEN coalesce(n, 0) ELSE b0 END AS b0, coalesce(e, 0) AS e, coalesce(f, 0) AS f, CASE WHEN n >= 2 THEN coalesce(i, 0) ELSE 0 END AS i
  FROM sent LEFT JOIN n1 USING (doc_id, sent_idx) LEFT JOIN b0 USING (doc_id, sent_idx) LEFT JOIN e1 USING (doc_id, sent_idx) LEFT JOIN tri USING (doc_id, sent_idx) LEFT JOIN iso USING (doc_id, sent_idx)),
 be AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, e - n + b0) END AS b1 FROM al), xc AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, b1 - greatest(0, e - n)) END AS ex FROM be)"""
@@ -801,6 +808,7 @@ be AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE greatest(0, e - n + b0) END AS b1 F
 
 def _score_sql(config: Config = Config()) -> str:
     topo = TOPOLOGY[TOPOLOGY.index("tk AS (SELECT") :].replace("FROM gap WHERE d <= 1.5", f"FROM gap WHERE d <= {float(config.threshold)}")
+    topo = topo[: topo.index("tri AS (SELECT a.doc_id")] + "tri AS (SELECT doc_id, sent_idx, 0 AS f FROM us),\n" + topo[topo.index("iso AS (SELECT") :]  # triangles are no part of a score
     nouns = "('N', 'N_proper', 'N_serapan')"
     clash = " OR ".join(f"(v.domain = {lit(k)} AND o.domain IN ({', '.join(lit(x) for x in sorted(w))}))" for k, w in config.incompatible.items())
     phrases = values("frasa", "a, b, ord", [(*ph.split(), i) for i, ph in enumerate(R.COMPLEMENT_PHRASES)])
@@ -844,7 +852,7 @@ SCORE = _score_sql()
 
 @query(SCORE + """ SELECT doc_id, sent_idx, n_morfisme, n_rusak, round(e_kom, 6) AS energi FROM (SELECT *, CAST(n + pas + gantung + nvo AS INT) AS n_morfisme, CAST(beda + gantung + nvo AS INT) AS n_rusak FROM pn)""")
 def composition_checks(spark, sf_dir):
-    return checks.composition(checks.edges(parsed(spark, sf_dir))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
+    return checks.composition(checks.edges(plainly_parsed(spark, sf_dir))).select("doc_id", "sent_idx", "n_morfisme", "n_rusak", F.round("e_komposisi", 6).alias("energi"))
 
 
 def _violations_sql() -> str:
@@ -865,7 +873,7 @@ kmp AS (SELECT a.doc_id, a.sent_idx, a.root || ' ' || b.root AS tokens, 'sintakt
  UNION ALL SELECT doc_id, sent_idx, tanda, 'semantik', 0.9 FROM gt JOIN (SELECT doc_id, sent_idx, arg_min({mark}, ord * 1000 + tempat) AS tanda FROM tg GROUP BY doc_id, sent_idx) USING (doc_id, sent_idx) WHERE gantung = 1
  UNION ALL SELECT v.doc_id, v.sent_idx, v.root || ' ' || arg_min(o.root, o.idx), 'semantik', 0.7 FROM ft v JOIN hasil o ON o.doc_id = v.doc_id AND o.sent_idx = v.sent_idx AND o.idx BETWEEN v.idx + 1 AND v.idx + 3 WHERE v.kelas IN ('V', 'V_serapan') AND NOT v.netral AND o.kelas IN {nouns} AND ({clash}) GROUP BY v.doc_id, v.sent_idx, v.idx, v.root),
 akar AS (SELECT doc_id, sent_idx, root, min(idx) AS fk FROM hasil GROUP BY ALL),
-tpl AS (SELECT r.doc_id, r.sent_idx, root AS tokens, 0.7 AS sev FROM akar r JOIN al USING (doc_id, sent_idx) WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM sisi e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND (e.x = r.root OR e.y = r.root))
+tpl AS (SELECT r.doc_id, r.sent_idx, root AS tokens, 0.7 AS sev FROM akar r JOIN al USING (doc_id, sent_idx) WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.doc_id = r.doc_id AND e.sent_idx = r.sent_idx AND e.p = r.root)
  UNION ALL SELECT doc_id, sent_idx, string_agg(root, ' ' ORDER BY fk), 0.8 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY fk) AS k FROM akar) JOIN al USING (doc_id, sent_idx) WHERE n > 1 AND b0 > 1 AND k <= 4 GROUP BY doc_id, sent_idx
  UNION ALL SELECT doc_id, sent_idx, string_agg(root, ' ' ORDER BY idx), 0.5 FROM hasil JOIN xc USING (doc_id, sent_idx) WHERE ex > 0 AND idx < 3 GROUP BY doc_id, sent_idx),
 vio AS (SELECT doc_id, sent_idx, tipe, tokens, tipe AS dimensi, sev, 'pasangan' AS asal FROM psg UNION ALL SELECT doc_id, sent_idx, tipe, tokens, tipe, sev, 'urutan' FROM urt UNION ALL SELECT doc_id, sent_idx, 'komposisi', tokens, dim, sev, 'komposisi' FROM kmp UNION ALL SELECT doc_id, sent_idx, 'topologis', tokens, 'topologis', sev, 'topologi' FROM tpl)"""
@@ -876,18 +884,18 @@ VIOLATIONS = _violations_sql()
 
 @query(VIOLATIONS + " SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, tipe, tokens, dimensi, round(CAST(sev AS DOUBLE), 6) AS severitas, asal FROM vio")
 def violations(spark, sf_dir):
-    a = checks.analyse(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
+    a = checks.analyse(plainly_parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("pelanggaran").alias("v"))
     return a.select("doc_id", "sent_idx", "v.tipe", F.concat_ws(" ", "v.tokens").alias("tokens"), "v.dimensi", F.round("v.severitas", 6).alias("severitas"), "v.asal")
 
 
 @query()
 def violation_spans(spark, sf_dir):
-    return checks.spans(checks.analyse(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
+    return checks.spans(checks.analyse(plainly_parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("spans").alias("s")).select("doc_id", "sent_idx", "s.mulai", "s.akhir", "s.token", "s.dimensi")
 
 
 @query(VIOLATIONS + " SELECT dimensi, asal, count(*) AS n, round(max(CAST(sev AS DOUBLE)), 6) AS terberat FROM vio GROUP BY dimensi, asal")
 def violations_by_dimension(spark, sf_dir):
-    a = checks.analyse(parsed(spark, sf_dir))
+    a = checks.analyse(plainly_parsed(spark, sf_dir))
     out = None
     for d in R.DIMENSIONS:
         x = reports.of_dimension(a, d).select(F.explode("pelanggaran").alias("v")).groupBy("v.dimensi", "v.asal").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v.severitas"), 6).alias("terberat"))
@@ -898,7 +906,7 @@ def violations_by_dimension(spark, sf_dir):
 @query(VIOLATIONS + """, tv AS (SELECT h.doc_id, h.sent_idx, h.idx, h.teks, count(v.tipe) AS n FROM hasil h LEFT JOIN vio v ON v.doc_id = h.doc_id AND v.sent_idx = h.sent_idx AND list_contains(string_split(v.tokens, ' '), h.root) AND v.tokens NOT IN ('antara lain', 'terdiri dari', 'terdiri atas', 'sebagai berikut') GROUP BY ALL)
 SELECT doc_id, sent_idx, idx, teks, CAST(n AS INT) AS n FROM tv""")
 def token_states(spark, sf_dir):
-    a = reports.token_states(checks.analyse(parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("keadaan").alias("k"))
+    a = reports.token_states(checks.analyse(plainly_parsed(spark, sf_dir))).select("doc_id", "sent_idx", F.explode("keadaan").alias("k"))
     return a.select("doc_id", "sent_idx", "k.idx", "k.teks", F.size("k.pelanggaran").alias("n"))
 
 
@@ -940,14 +948,14 @@ def adjacency(spark, sf_dir):
 
 @query(SCORE + """ SELECT doc_id, sent_idx, round(least(1, skor), 6) AS skor, round(energi, 6) AS energi, energi < 0.5 AND NOT anomali AS valid, round(lengkap, 6) AS lengkap, CASE WHEN coalesce(pj, 0) > 0.3 THEN 'mixed' ELSE 'formal' END AS register, round(puas, 6) AS kepuasan, CAST(np AS INT) AS n_pelanggaran FROM sk""")
 def sentence_scores(spark, sf_dir):
-    a = checks.analyse(parsed(spark, sf_dir))
+    a = checks.analyse(plainly_parsed(spark, sf_dir))
     return a.select("doc_id", "sent_idx", F.round("skor", 6).alias("skor"), F.round("energi", 6).alias("energi"), "valid", F.round("lengkap", 6).alias("lengkap"), "register", F.round("rata_kepuasan", 6).alias("kepuasan"), F.size("pelanggaran").alias("n_pelanggaran"))
 
 
 @query(TOPOLOGY + """ SELECT doc_id, sent_idx, CAST(b0 AS INT) AS betti0, CAST(b1 AS BIGINT) AS betti1, CAST(n - e + f AS BIGINT) AS euler, CAST(e AS BIGINT) AS n_sisi, CAST(f AS BIGINT) AS n_segitiga, CAST(i AS INT) AS n_terpencil,
  n > 1 AND (b0 > 1 OR ex > 2 OR i > 0) AS anomali, round(ex * 0.2::DOUBLE + i * 0.3::DOUBLE, 6) AS energi FROM xc""")
 def topology_numbers(spark, sf_dir):
-    t = checks.topology(checks.edges(parsed(spark, sf_dir)))
+    t = checks.topology(checks.edges(plainly_parsed(spark, sf_dir)))
     return t.select("doc_id", "sent_idx", "betti0", "betti1", "euler", "n_sisi", "n_segitiga", F.size("terpencil").alias("n_terpencil"), "anomali", F.round("e_topologis", 6).alias("energi"))
 
 
@@ -1135,13 +1143,13 @@ def structure_validity(spark, sf_dir):
 @query(SCORE + """, rb AS (SELECT kategori, least(1, skor) AS skor, energi < 0.5 AND NOT anomali AS valid FROM sk JOIN sent ON sent.doc_id = sk.doc_id AND sent.sent_idx = sk.sent_idx)
 SELECT kategori, count(*) AS run_size, count(*) FILTER (valid) AS valid_count, round(count(*) FILTER (valid)::DOUBLE / count(*), 6) AS valid_rate, round(avg(skor), 6) AS average_score FROM rb GROUP BY ROLLUP (kategori)""")
 def robustness_report(spark, sf_dir):
-    a = checks.analyse(parsed(spark, sf_dir).join(sentence_rows(spark, sf_dir).select("doc_id", "sent_idx", "kategori"), ["doc_id", "sent_idx"]))
+    a = checks.analyse(plainly_parsed(spark, sf_dir).join(sentence_rows(spark, sf_dir).select("doc_id", "sent_idx", "kategori"), ["doc_id", "sent_idx"]))
     return metrics.robustness(a).select("kategori", "run_size", "valid_count", F.round("valid_rate", 6).alias("valid_rate"), F.round("average_score", 6).alias("average_score"))
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_score_sql(Config.preset(x))} SELECT {lit(x)} AS preset, count(*) FILTER (energi < 0.5 AND NOT anomali) AS n_valid, round(avg(least(1, skor)), 6) AS skor FROM sk)" for x in PRESETS))
 def preset_scores(spark, sf_dir):
-    p = parsed(spark, sf_dir)
+    p = plainly_parsed(spark, sf_dir)
     out = None
     for name in PRESETS:
         a = checks.analyse(p, Config.preset(name)).agg(F.lit(name).alias("preset"), F.count_if("valid").alias("n_valid"), F.round(F.avg("skor"), 6).alias("skor"))
@@ -1181,18 +1189,18 @@ def document_scores(spark, sf_dir):
 
 
 @query(TOPOLOGY + """, ak AS (SELECT doc_id, sent_idx, root, min(idx) AS f FROM tk GROUP BY ALL), jr AS (SELECT doc_id, sent_idx, least(ra, rb) AS x, greatest(ra, rb) AS y, min(d) AS d FROM gap WHERE ra <> rb GROUP BY ALL),
-th AS (SELECT DISTINCT doc_id, sent_idx, d AS t FROM jr), rr AS (SELECT ak.doc_id, ak.sent_idx, t, root AS r, root AS z FROM ak JOIN th USING (doc_id, sent_idx) UNION SELECT rr.doc_id, rr.sent_idx, t, r, CASE WHEN jr.x = z THEN jr.y ELSE jr.x END FROM rr JOIN jr ON jr.doc_id = rr.doc_id AND jr.sent_idx = rr.sent_idx AND jr.d <= t AND (jr.x = z OR jr.y = z)),
+th AS (SELECT DISTINCT doc_id, sent_idx, d AS t FROM jr), rr AS (SELECT ak.doc_id, ak.sent_idx, t, root AS r, root AS z FROM ak JOIN th USING (doc_id, sent_idx) UNION SELECT rr.doc_id, rr.sent_idx, t, r, js.y FROM rr JOIN (SELECT * FROM jr UNION ALL SELECT doc_id, sent_idx, y AS x, x AS y, d FROM jr) js ON js.doc_id = rr.doc_id AND js.sent_idx = rr.sent_idx AND js.x = z AND js.d <= t),
 mt AS (SELECT a.doc_id, a.sent_idx, a.root, min(t) AS death FROM ak a JOIN rr ON rr.doc_id = a.doc_id AND rr.sent_idx = a.sent_idx AND rr.r = a.root JOIN ak b ON b.doc_id = a.doc_id AND b.sent_idx = a.sent_idx AND b.root = rr.z AND b.f < a.f GROUP BY a.doc_id, a.sent_idx, a.root)
 SELECT CAST(ak.doc_id AS BIGINT) AS doc_id, CAST(ak.sent_idx AS INT) AS sent_idx, round(coalesce(CAST(death AS DOUBLE), 'inf'::DOUBLE), 6) AS death, root FROM ak LEFT JOIN mt USING (doc_id, sent_idx, root)""")
 def barcodes(spark, sf_dir):
-    b = homology.barcode(parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
+    b = homology.barcode(plainly_parsed(spark, sf_dir)).select("doc_id", "sent_idx", F.explode("bars").alias("b"))
     return b.select("doc_id", "sent_idx", F.round("b.death", 6).alias("death"), "b.root")
 
 
 @query("WITH b5 AS (" + SQL["barcodes"] + """), s5 AS (SELECT doc_id, sent_idx, count(*) AS n_batang, count(*) FILTER (death = 'inf'::DOUBLE) AS n_abadi, coalesce(max(death) FILTER (death < 'inf'::DOUBLE), 0) AS terlama, coalesce(avg(death) FILTER (death < 'inf'::DOUBLE), 0) AS rata_rata FROM b5 GROUP BY ALL)
 SELECT doc_id, sent_idx, CAST(n_batang AS INT) AS n_batang, CAST(n_abadi AS INT) AS n_abadi, round(terlama, 6) AS terlama, round(rata_rata, 6) AS rata_rata FROM s5""")
 def barcode_summary(spark, sf_dir):
-    b = reports.barcode_summary(homology.barcode(parsed(spark, sf_dir))).where("n_batang > 0")
+    b = reports.barcode_summary(homology.barcode(plainly_parsed(spark, sf_dir))).where("n_batang > 0")
     return b.select("doc_id", "sent_idx", "n_batang", "n_abadi", F.round("terlama", 6).alias("terlama"), F.round("rata_rata", 6).alias("rata_rata"))
 
 
@@ -1586,5 +1594,9 @@ def queries() -> dict:
     return dict(Q)
 
 
+#: Queries over plainly_parsed().
+PLAIN = "composition_checks violations violations_by_dimension token_states sentence_scores topology_numbers robustness_report barcodes preset_scores barcode_summary".split()
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {k: SQL[k].replace(RAW_SQL, SEED_RAW_SQL) for k in PLAIN}
