@@ -1,9 +1,10 @@
 """Connected components of a graph given as an edge table, by alternating large and small stars.
 
 Each round relinks every node to the least node it knows (large star: its larger neighbours; small star: its smaller
-ones and itself) until nothing changes; then each node's one neighbour is its component's least node. Rounds work by
-joins on (node, least neighbour) with partial aggregates before each shuffle, so a node of very high degree is never
-gathered in one task; each round's edges are written to the shared checkpoint folder, which cuts the lineage.
+ones and itself) until nothing changes; then each node's one neighbour is its component's least node. Least neighbours are
+partial minima before their shuffle; where edges meet them, a node of very high degree relies on adaptive execution's split
+of skewed joins (spark.sql.adaptive.skewJoin). Each round's edges are written to the shared checkpoint folder, which cuts
+the lineage.
 """
 
 from __future__ import annotations
