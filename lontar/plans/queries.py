@@ -1376,6 +1376,12 @@ def dictionary_load(spark, sf_dir):
     return dictionary.load(_entries(spark, sf_dir), 20_000).select("lemma", "id", "pos", "n_entries")
 
 
+@query(f"WITH {DICT_SQL} SELECT lemma, id, pos, n_entries FROM dl3")
+def dictionary_all(spark, sf_dir):
+    """The dictionary without a bound on its ids."""
+    return dictionary.load(_entries(spark, sf_dir)).select("lemma", "id", "pos", "n_entries")
+
+
 def _counts(spark, sf_dir) -> DataFrame:
     """(lemma, pos, freq, first) with the tokens' numbers as frequencies."""
     return _entries(spark, sf_dir).select("lemma", "pos", "freq", F.col("seq").alias("first"))
