@@ -1,6 +1,6 @@
 """Work that must not grow faster than the input: what is worked out once, and what is not shuffled."""
 
-from lontar.operators import checks, morphology
+from lontar.operators import checks, dependency, morphology
 from lontar.plans import queries
 from lontar.sources import seeds
 
@@ -27,3 +27,18 @@ def test_presets_share_edges_order_and_topology(spark):
 def test_edges_and_composition_do_not_grow_with_the_square_of_a_sentence(spark):
     p = morphology.parse(spark.createDataFrame([(1, 0, "anak membaca buku")], "doc_id int, sent_idx int, text string"), seeds.lexicon(spark))
     assert "array_distinct" not in plan(checks.edges(p).select("edges"))
+
+
+def test_mask_shuffles_tokens_once_and_no_pairs(spark):
+    rows = dependency.token_rows(spark.createDataFrame([(1, 0, "anak membaca buku di rumah"), (None, 0, "anak membaca buku")], "doc_id long, sent_idx int, text string"), ["doc_id", "sent_idx"])
+    m = dependency.mask(rows, ["doc_id", "sent_idx"], 32)
+    p = physical(m)
+    assert p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+    h = {(r.doc_id, r.idx): r.head for r in dependency.heads(dependency.tags(rows, ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"]).collect()}
+    want = set()
+    for (d, i), a in h.items():
+        want.add((d, i, i))
+        if a >= 0:
+            want |= {(d, i, a), (d, a, i)} | {(d, i, j) for (e, j), b in h.items() if d is not None and e == d and b == a and i != j}
+    got = [(r.doc_id, r.i, r.j) for r in m.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
