@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import pairs as pairing
 from . import sequences
 from ..functions.text import in_list
+from .lexicon import small
 from ..plans.rules import ACTION_VERBS, DOMAIN_WORDS, OBJECTS, SUBJECTS, TEMPLATES
 
 
@@ -17,10 +19,15 @@ def words(c):
 def pmi(texts: DataFrame, vocab: DataFrame | None = None, window: int = 4, min_count: int = 2) -> DataFrame:
     """(a, b, n, pmi): unordered pairs of different words within a window of a text, with positive PMI.
 
-    All probabilities are over the number of tokens. Pairs come from shifted arrays in each row: tokens are not
-    shuffled by position, and equal pairs of a task are summed before the shuffle.
+    All probabilities are over the number of tokens. Words are numbered and pairs counted by buckets (`pairs`). Beyond the
+    words that may be broadcast, pairs come from shifted arrays in each row, and are joined with the words' counts.
     """
     ws = texts.select(words(F.col("text")).alias("w"))
+    num = pairing.numbered(ws, "w") if vocab is None else None
+    if num is not None:
+        name = lambda c: small(num.words.select(F.col("t").alias(f"_{c}"), F.col("n").alias(c)))
+        p = pairing.scored(num, window, min_count).join(name("x"), "x").join(name("y"), "y")
+        return p.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n", "pmi")
     if vocab is not None:
         # words outside the vocabulary close up, so they go before pairs are formed
         known = vocab.select(F.col("token").alias("t")).distinct()
@@ -163,6 +170,27 @@ def cooccurrence_loss(df: DataFrame, pmi: DataFrame, window: int = 3) -> DataFra
     return n.agg(F.coalesce(-F.sum(F.col("n") * F.col("pmi")) / F.sum("n"), F.lit(0.0)).alias("cooccurrence_loss"))
 
 
+def own_cooccurrence_loss(texts: DataFrame, window: int = 3) -> DataFrame:
+    """cooccurrence_loss of texts by their own PMI: a pair's occurrences within both windows are counted at once."""
+    num = pairing.numbered(texts.select(words(F.col("text")).alias("ids")))
+    if num is None:
+        return cooccurrence_loss(texts.select(words(F.col("text")).alias("ids")), pmi(texts), window)
+    n = pairing.scored(num, near=window, ignored="0")
+    return n.agg(F.coalesce(-F.sum(F.col("m") * F.col("pmi")) / F.nullif(F.sum("m"), F.lit(0)), F.lit(0.0)).alias("cooccurrence_loss"))
+
+
+def own_coherence(texts: DataFrame, key: str = "doc_id", window: int = 3) -> DataFrame:
+    """metrics.coherence of texts by their own PMI."""
+    from . import metrics
+
+    ids = texts.select(key, words(F.col("text")).alias("ids"))
+    num = pairing.numbered(ids, key=(key,))
+    if num is None:
+        return metrics.coherence(ids, pmi(texts), key, window)
+    by = pairing.by_text(num, near=window).join(num.texts.select("id", key), "id").groupBy(key).agg((F.sum("s") / F.sum("n")).alias("s"))
+    return texts.select(key).join(by, key, "left").agg(F.coalesce(F.avg(F.coalesce("s", F.lit(0.0))), F.lit(0.0)).alias("coherence_score"))
+
+
 def negatives(df: DataFrame, n: int = 1, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """(key, copy, ids): n versions of each row with its ids in a seeded order; two or fewer stay. Padding (0) is at the end."""
     real = F.filter("ids", lambda x: x.cast("string") != "0")
