@@ -11,7 +11,7 @@ new. Pairs are a set, so types that stand in a circle are each above the other a
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,12 +107,12 @@ def is_subtype(pairs: DataFrame, above: DataFrame) -> DataFrame:
 
 
 def _with_types(df: DataFrame, kb: Base, above: DataFrame, slot: str, name: str) -> DataFrame:
-    """Adds the type of a slot's value (column `name`) and all types above it (_atas_`name`)."""
+    """Adds the type of a slot's value (column `name`) and all types above it (_atas_`name`). above: (tipe, _atas)."""
     value = F.col(f"prop.{slot}.nilai")
     df = looked_up(df.withColumn("kata", F.lower(value)), "kata", kb.entities).drop("kata")
     kind = F.when(value.isNotNull(), F.coalesce("tipe", F.when(value.rlike(r"^\p{Lu}"), ANY_PERSON), F.lit(ANY)))
     df = df.withColumn("tipe", kind)
-    df = looked_up(df, "tipe", above.groupBy("tipe").agg(F.collect_set("supertipe").alias("_atas")))
+    df = looked_up(df, "tipe", above)
     return df.withColumn(f"_atas_{name}", F.coalesce("_atas", F.array("tipe"))).drop("_atas").withColumnRenamed("tipe", name)
 
 
@@ -120,10 +120,12 @@ def inferences(df: DataFrame, kb: Base) -> DataFrame:
     """Adds tipe_agen, tipe_pasien, tipe_aksi, inferensi: what the base's rules conclude from prop, by priority.
 
     prop as semantics.proposition gives it; null gives no types and an empty array. A rule needs an affirmed proposition,
-    its action type, and agent and patient of its types or below them.
+    its action type, and agent and patient of its types or below them. The base is worked out once and stored: words are
+    looked up four times. So are the propositions.
     """
-    above = stored(closure(kb.supertypes))
-    df = df.drop("tipe_agen", "tipe_pasien", "tipe_aksi", "inferensi", "kata", "tipe")
+    kb = Base(*(stored(getattr(kb, f.name)) for f in fields(Base)))
+    above = stored(closure(kb.supertypes).groupBy("tipe").agg(F.collect_set("supertipe").alias("_atas")))
+    df = stored(df.drop("tipe_agen", "tipe_pasien", "tipe_aksi", "inferensi", "kata", "tipe"))
     df = _with_types(_with_types(df, kb, above, "AGEN", "tipe_agen"), kb, above, "PASIEN", "tipe_pasien")
     action = F.lower("prop.aksi")
     for name, word in (("_a0", action), ("_a1", bare(action, R.ACTION_PREFIXES))):
