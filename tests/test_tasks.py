@@ -20,3 +20,15 @@ def test_look_ups_beyond_a_broadcast_read_left_once(spark, monkeypatch):
         got = storage.looked_up(left, "key", right)
         assert sorted(map(tuple, got.select("id", "key", "v").collect()), key=str) == want
         assert few > 1 or "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_lemma_has_its_first_source_without_a_sort(spark, tmp_path):
+    from lontar.plans import queries as Q
+
+    rows = [(5, "Rumah rumah besar", "en", "s7"), (2, "besar api", "en", "s3"), (9, "api rumah", "fr", None), (1, "api", "de", "tanpa"), (4, None, "es", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = Q.dictionary_rows(spark, str(tmp_path))
+    domain = lambda i: Q.R.DOMAINS[i % len(Q.R.DOMAINS)]
+    want = {("rumah", "n", domain(7), 1005), ("besar", "n", domain(3), 1002), ("api", "n", domain(3), 1002), ("api", "v", domain(0), 1009), ("rumah", "v", domain(0), 1009), ("api", "adj", domain(0), 1001)}
+    assert {(r.lemma, r.pos, r.domain, r.seq) for r in d.where("definition IS NULL AND seq > 1000").collect()} == want
+    assert "SortAggregate" not in d._jdf.queryExecution().toString()
