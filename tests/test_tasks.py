@@ -32,3 +32,18 @@ def test_a_lemma_has_its_first_source_without_a_sort(spark, tmp_path):
     want = {("rumah", "n", domain(7), 1005), ("besar", "n", domain(3), 1002), ("api", "n", domain(3), 1002), ("api", "v", domain(0), 1009), ("rumah", "v", domain(0), 1009), ("api", "adj", domain(0), 1001)}
     assert {(r.lemma, r.pos, r.domain, r.seq) for r in d.where("definition IS NULL AND seq > 1000").collect()} == want
     assert "SortAggregate" not in d._jdf.queryExecution().toString()
+
+
+def test_tokens_beyond_a_broadcast_are_dealt_by_their_number(spark, monkeypatch):
+    t = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(0).alias("idx"), F.concat(F.lit("w"), F.col("id") % 90).alias("teks"), F.lit(False).alias("lanjut"))
+    words = t.select("teks", "lanjut", F.upper("teks").alias("root")).distinct()
+    want = sorted(map(tuple, t.join(words, ["teks", "lanjut"]).collect()))
+    monkeypatch.setattr(morphology, "FEW", 10)
+    monkeypatch.setattr(morphology, "TOKENS", 20)
+    got = morphology.with_analyses(t, words, ["doc_id"]).select("teks", "lanjut", "doc_id", "idx", "root")
+    assert sorted(map(tuple, got.collect())) == want
+    sizes = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 600 / 4
+    monkeypatch.setattr(morphology, "TOKENS", 10**6)  # few tokens: as many tasks as shuffles have
+    got = morphology.with_analyses(t, words, ["doc_id"]).select("teks", "lanjut", "doc_id", "idx", "root")
+    assert sorted(map(tuple, got.collect())) == want
