@@ -135,3 +135,20 @@ def test_load_vocabulary(spark, tmp_path):
 def test_best(spark, text, root, affix):
     r = morphology.best(spark.createDataFrame([(text,)], "word string")).first()
     assert (r.root, r.affix) == (root, affix)
+
+
+def test_heads_and_masks_without_shuffles_are_those_of_windows(spark):
+    from lontar.operators import morphology
+    from pyspark.sql import functions as F
+
+    words = "kucing saya makan ikan di rumah besar dan adalah itu ini yang sangat cepat tiga 3,5 berlari memakan dari ke anjing, tidak . ! bermain Σας İndi ekologi makanan".split()
+    rows = [(i // 9, i % 9, " ".join(words[(i * 7 + k * k * (i % 5 + 1)) % len(words)] for k in range(i % 60))) for i in range(300)] + [(None, 1, " ".join(words)), (77, None, "makan ikan besar")]
+    s = spark.createDataFrame([*rows, (99, 0, " ".join(words * 5)), (99, 1, None)], "doc_id long, sent_idx int, text string")
+    key = ["doc_id", "sent_idx"]
+    old = dependency.tags(dependency.token_rows(s, key), key)
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(dependency.heads(old, key).select(*key, "idx", "tag", "head"), dependency.sentence_heads(s, key))
+    pairs = dependency.mask(dependency.token_rows(s, key), key).groupBy(*key).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("i").cast("long").alias("places"))
+    assert same(pairs, dependency.mask_sums(s, key)) and dependency.mask_sums(s, key).where("doc_id = 99").first().n_pairs > 1000
+    tags = spark.createDataFrame([(w.lower(),) for w in words], "w string").select("w", morphology.tag_of(F.col("w")).alias("t")).collect()
+    assert [morphology.plain_tag(r.w) for r in tags] == [r.t for r in tags]
