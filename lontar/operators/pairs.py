@@ -1,7 +1,7 @@
 """Pairs of words within a window, counted and scored over a whole corpus.
 
-Words are numbered by frequency, the numbers with their counts are broadcast (16 bytes a word), and texts are stored as
-numbers. A task counts the pairs of a million words at a time; what it has of each bucket of pairs goes as one row of packed
+Words are numbered by frequency, the numbers with their counts are broadcast (16 bytes a word; the words themselves stay
+where they are), and texts are stored as numbers. A task counts the pairs of a million words at a time; what it has of each bucket of pairs goes as one row of packed
 columns to the task that sums the bucket. Buckets are as many as the pairs need, and are worked off in SLICES passes over
 the numbered texts, so that disk holds the shuffle of one pass only.
 
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 #: Words that may be broadcast; passes over the texts; pairs of a bucket, at least so many buckets a pass; words counted at once.
-MOST, SLICES, BUCKET, LEAST, BLOCK = 4_000_000, 4, 4_000_000, 32, 1_000_000
+MOST, SLICES, BUCKET, LEAST, BLOCK = 24_000_000, 4, 4_000_000, 32, 1_000_000
+#: Up to so many words a pair's key and a text's place are sorted as one number of 64 bits.
+NARROW = 1 << 22
 #: Pairs of the TOP most frequent words are counted in each task and never shuffled by document.
 TOP = 1024
 U = np.uint64
@@ -57,10 +59,19 @@ def numbered(df: DataFrame, words: str = "ids", key: tuple = ()) -> Numbered | N
     counts = stored(df.select(words).mapInArrow(counted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")))
     if counts.count() > MOST:
         return None
-    t = counts.toArrow()  # MOST words at most
-    names, c = t.column("t").combine_chunks(), t.column("c").to_numpy()
-    order = np.lexsort((_hashes(names), -c))
-    h = _hashes(names)[order]
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column("t")).view(np.int64)), b.column("c")], ["h", "c"])
+
+    t = counts.mapInArrow(hashed, "h long, c long").toArrow()  # 16 bytes a word, MOST words at most
+    h, c = t.column("h").to_numpy().view(U), t.column("c").to_numpy()
+    total = int(c.sum())
+    if not len(c) or c.max() < 1 << 32:
+        c = c.astype(np.uint32)
+    order = np.argsort(h)
+    order = order[np.argsort(-c[order].astype(np.int64), kind="stable")]
+    h = h[order]
     by_hash = np.argsort(h)
     spark = df.sparkSession
     told = spark.sparkContext.broadcast((h[by_hash], by_hash.astype(np.int32), c[order]))
@@ -82,7 +93,7 @@ def numbered(df: DataFrame, words: str = "ids", key: tuple = ()) -> Numbered | N
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(number[np.searchsorted(hashes, _hashes(b.column("t")))], pa.int32()), b.column("c")], ["t", "n", "c"])
 
-    return Numbered(texts, counts.mapInArrow(rows, "t string, n int, c long"), int(c.sum()), told)
+    return Numbered(texts, counts.mapInArrow(rows, "t string, n int, c long"), total, told)
 
 
 def _blocks(batches, window: int, base: int, block: int):
@@ -150,8 +161,10 @@ def _dealt(num: Numbered, window: int, near: int, ignored: int, part: int, bucke
                 row, keys, far, at = row[ok], keys[ok], far[ok], at[ok]
             if not len(keys):
                 continue
-            # two words' numbers have 44 bits, a text's place 20
-            order = np.argsort((keys.astype(U) << U(20)) | row.astype(U) if by_text else keys)
+            if by_text and base > NARROW:
+                order = np.lexsort((row, keys))
+            else:  # two words' numbers have 44 bits, a text's place 20
+                order = np.argsort((keys.astype(U) << U(20)) | row.astype(U) if by_text else keys)
             order = order[np.argsort(at[order].astype(np.uint16) if per < 1 << 16 else at[order], kind="stable")]
             row, keys, far, at = row[order], keys[order], far[order], at[order]
             begin = _runs(keys, row) if by_text else _runs(keys)

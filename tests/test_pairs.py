@@ -40,3 +40,12 @@ def test_scores_by_their_own_pairs(texts, monkeypatch):
         assert training.own_coherence(texts).first()[0] == pytest.approx(coherence, abs=1e-9)
     none = texts.where("doc_id = 3")
     assert training.own_cooccurrence_loss(none).first()[0] == 0 == training.own_coherence(none).first()[0]
+
+
+def test_pairs_of_many_words_are_numbered_too(texts, monkeypatch):
+    assert pairs.MOST > 20_000_000  # 6 GB of documents have some 17 million words
+    by = lambda: sorted((r.id, round(r.s, 9), r.n) for r in pairs.by_text(pairs.numbered(texts.select(training.words(F.col("text")).alias("ids")))).collect())
+    old = by()
+    monkeypatch.setattr(pairs, "NARROW", 1)  # numbers of so many words that a text's place has no room beside them
+    monkeypatch.setattr(pairs, "TOP", 2)
+    assert by() == old and old
